@@ -10,10 +10,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-DIGITS = 6
+from routewright.functions.numbers import rounded
 
 
 def qrels(instances: DataFrame, resolution: str) -> DataFrame:
@@ -92,26 +94,29 @@ def micro_metrics(
         "f1": (2 * F.col("tp"), F.col("n") + n_gold),
     }[measure]
     value = F.when(bottom == 0, 0.0).otherwise(top * 100.0 / bottom)
-    return pooled.select(*by, "k", F.round(value, DIGITS).alias("value"))
+    return pooled.select(*by, "k", rounded(value).alias("value"))
 
 
 def query_recall(run: DataFrame, rel: DataFrame, ks: list[int], by: list[str]) -> DataFrame:
-    """(by…, qid, r@k for each k): recall per question that has a gold set.
+    """(by…, qid, r@k for each k): recall per question.
 
-    A question that a method answered with nothing still counts, with 0.
+    A question that a method answered with nothing counts with 0, and so does
+    one without a gold set.
     """
-    ranked = first_ranks(run, rel, by).where("rel = 1")
-    found = ranked.groupBy(*by, "qid").agg(
-        *[F.count(F.when(F.col("rank") <= k, 1)).alias(f"tp{k}") for k in ks]
+    found = first_ranks(run, rel, by).groupBy(*by, "qid").agg(
+        *[
+            F.count(F.when((F.col("rank") <= k) & (F.col("rel") == 1), 1)).alias(f"tp{k}")
+            for k in ks
+        ]
     )
     gold = _gold_sizes(rel)
     if by:
         methods = run.select(*by).distinct().agg(F.collect_list(F.struct(*by)).alias("m")).scalar()
         gold = gold.select("qid", "n_gold", F.inline(methods))
-    return gold.join(found, [*by, "qid"], "left").select(
+    return gold.join(found, [*by, "qid"], "full").select(
         *by,
         "qid",
-        *[(F.coalesce(f"tp{k}", F.lit(0)) / F.col("n_gold")).alias(f"r{k}") for k in ks],
+        *[F.coalesce(F.col(f"tp{k}") / F.col("n_gold"), F.lit(0.0)).alias(f"r{k}") for k in ks],
     )
 
 
@@ -120,7 +125,7 @@ def macro_recall(run: DataFrame, rel: DataFrame, ks: list[int], by: list[str]) -
     per_query = query_recall(run, rel, ks, by)
     means = per_query.groupBy(*by).agg(*[F.avg(f"r{k}").alias(f"r{k}") for k in ks])
     cells = F.array(
-        *[F.struct(F.lit(k).alias("k"), F.round(F.col(f"r{k}"), DIGITS).alias("value")) for k in ks]
+        *[F.struct(F.lit(k).alias("k"), rounded(F.col(f"r{k}")).alias("value")) for k in ks]
     )
     return means.select(*by, F.inline(cells))
 
@@ -174,8 +179,8 @@ def precision_recall_curve(
         flags.select(*by, F.inline(points))
         .groupBy(*by, "k")
         .agg(
-            F.round(F.avg("v.p"), DIGITS).alias("precision"),
-            F.round(F.avg("v.r"), DIGITS).alias("recall"),
+            rounded(F.avg("v.p")).alias("precision"),
+            rounded(F.avg("v.r")).alias("recall"),
         )
     )
 
@@ -206,7 +211,7 @@ def average_precision(
     return flags.withColumn("pts", points).select(
         *by,
         "qid",
-        F.round(F.aggregate(areas, F.lit(0.0), lambda a, x: a + x), DIGITS).alias("ap"),
+        rounded(F.aggregate(areas, F.lit(0.0), lambda a, x: a + x)).alias("ap"),
     )
 
 
@@ -219,7 +224,7 @@ def map_by_table_count(
         ap.join(gold.select("qid", "db"), "qid")
         .join(sizes.where(F.col("n_tables") < below), "db")
         .groupBy(*by, "n_tables")
-        .agg(F.round(F.avg("ap"), DIGITS).alias("map"), F.count(F.lit(1)).alias("n"))
+        .agg(rounded(F.avg("ap")).alias("map"), F.count(F.lit(1)).alias("n"))
     )
 
 
@@ -247,8 +252,8 @@ def paired_t(scores: DataFrame, base: str, metrics: list[str]) -> DataFrame:
         "method",
         "metric",
         "n",
-        F.round("mean_diff", DIGITS).alias("mean_diff"),
-        F.round(t, DIGITS).alias("t"),
+        rounded(F.col("mean_diff")).alias("mean_diff"),
+        rounded(t).alias("t"),
         (F.col("n") - 1).alias("df"),
     )
 
@@ -292,9 +297,17 @@ def t_p_value(t: float | None, df: int) -> float | None:
     return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
 
 
+@F.pandas_udf(T.DoubleType())
+def _p_values(t: pd.Series, df: pd.Series) -> pd.Series:
+    known = [None if pd.isna(x) else float(x) for x in t]
+    return pd.Series(
+        [t_p_value(x, int(n)) for x, n in zip(known, df, strict=True)], dtype="float64"
+    )
+
+
 def with_p_values(tests: DataFrame) -> DataFrame:
-    """Add ``p``; one row per (method, metric), so a plain function is enough."""
-    return tests.withColumn("p", F.udf(t_p_value, "double")("t", "df"))
+    """Add ``p``, the two-sided p-value of each test."""
+    return tests.withColumn("p", _p_values("t", "df"))
 
 
 def top_schema_recall(run: DataFrame, rel: DataFrame) -> DataFrame:

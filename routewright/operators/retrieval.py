@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from routewright.functions.numbers import rounded
 from routewright.functions.text import tokens
 
 K1 = 1.2
@@ -125,7 +126,7 @@ def search(
 
 def roll_up(run: DataFrame) -> DataFrame:
     """(qid, db, score): mean score of a database's retrieved documents."""
-    return run.groupBy("qid", "db").agg(F.round(F.avg("score"), SCORE_DIGITS).alias("score"))
+    return run.groupBy("qid", "db").agg(rounded(F.avg("score")).alias("score"))
 
 
 def predicted_rows(run: DataFrame, top: int = TOP_DATABASES) -> DataFrame:
@@ -136,7 +137,7 @@ def predicted_rows(run: DataFrame, top: int = TOP_DATABASES) -> DataFrame:
     by_db = Window.partitionBy("qid", "db")
     order = Window.partitionBy("qid").orderBy(F.desc("db_score"), F.asc("db"))
     return (
-        run.withColumn("db_score", F.round(F.avg("score").over(by_db), SCORE_DIGITS))
+        run.withColumn("db_score", rounded(F.avg("score").over(by_db)))
         .withColumn("db_rank", F.dense_rank().over(order))
         .where(F.col("db_rank") <= top)
     )
@@ -248,7 +249,7 @@ def autotune(
     )
     per_query = pairs.join(found, ["k1", "b", *keys], "left")
     return per_query.groupBy("k1", "b").agg(
-        F.round(F.avg(F.coalesce("tp", F.lit(0)) / F.col("n_rel")), SCORE_DIGITS).alias("recall")
+        rounded(F.avg(F.coalesce("tp", F.lit(0)) / F.col("n_rel"))).alias("recall")
     )
 
 

@@ -33,8 +33,10 @@ def max_tables(instances: DataFrame) -> DataFrame:
     return instances.agg(top.alias("max_tables"), (2 + 2 * top).alias("walk_len"))
 
 
-def weighted_draw(histogram: DataFrame, what: str, *key: Column | str) -> Column:
-    """A size drawn with the histogram's weights.
+def weighted_draw(
+    df: DataFrame, histogram: DataFrame, what: str, out: str, *key: Column | str
+) -> DataFrame:
+    """Add ``out``, a size drawn with the histogram's weights.
 
     The histogram has one row per distinct size, so its running sums fit in one
     scalar subquery.
@@ -45,9 +47,13 @@ def weighted_draw(histogram: DataFrame, what: str, *key: Column | str) -> Column
         .select("size", running.alias("hi"))
         .agg(F.sort_array(F.collect_list(F.struct("hi", "size"))).alias("steps"))
     ).scalar()
-    total = histogram.where(F.col("what") == what).agg(F.sum("n").alias("n")).scalar()
-    draw = draw_below(total, *key)
-    return F.get(F.filter(steps, lambda s: s["hi"] > draw), F.lit(0))["size"]
+    total = F.element_at("_steps", -1)["hi"]
+    return (
+        df.withColumn("_steps", steps)
+        .withColumn("_draw", draw_below(total, *key))
+        .withColumn(out, F.get(F.filter("_steps", lambda s: s["hi"] > F.col("_draw")), F.lit(0))["size"])
+        .drop("_steps", "_draw")
+    )
 
 
 def _hub(members: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -77,7 +83,8 @@ def random_walks(
 ) -> DataFrame:
     """(walk_id, db, path): uniform walks source -> db -> table -> linked table …
 
-    starts(walk_id). Every step picks one of the distinct neighbours with equal
+    starts(walk_id). ``walk_len`` counts all nodes, so a path has up to
+    ``walk_len - 2`` tables. Every step picks one of the distinct neighbours with equal
     chance. A pair that shares several keys would be met several times on the
     hub's line, so a pick counts only through the pair's smallest key and is
     drawn again otherwise. A walk ends early at a table without neighbours.
@@ -103,10 +110,10 @@ def random_walks(
         )
     )
     done = state.where("false")
-    moves = walk_len - 2
+    most = walk_len - 2
 
     while not state.isEmpty():
-        full = F.size("path") > moves
+        full = F.size("path") >= most
         going = state.where(~full)
         stop = state.where(full)
         # the picked key is the one whose stretch of the line holds the draw
@@ -147,7 +154,7 @@ def random_walks(
             F.when(F.col("again").isNull(), F.lit(0)).otherwise(F.col("attempt") + 1).alias("attempt"),
         )
         tagged = cut_lineage(
-            moved.withColumn("end", F.size("path") > moves).unionByName(
+            moved.withColumn("end", F.size("path") >= most).unionByName(
                 stop.unionByName(stuck).withColumn("end", F.lit(True))
             )
         )
@@ -163,8 +170,8 @@ def dedupe_walks(walks: DataFrame) -> DataFrame:
 
 def truncate_walks(walks: DataFrame, histogram: DataFrame) -> DataFrame:
     """Keep as many leading tables as a drawn question would have."""
-    n = weighted_draw(histogram, "table", F.lit("n_tables"), "walk_id")
-    return walks.withColumn("n", n).select(
+    drawn = weighted_draw(walks, histogram, "table", "n", F.lit("n_tables"), "walk_id")
+    return drawn.select(
         "walk_id", "db", F.slice("tables", F.lit(1), F.least("n", F.size("tables"))).alias("tables")
     )
 
@@ -176,14 +183,13 @@ def sample_columns(walks: DataFrame, columns: DataFrame, histogram: DataFrame) -
     is a number taken from the histogram.
     """
     largest = histogram.where("what = 'column'").agg(F.max("size").alias("m")).first()["m"] or 0
-    visits = walks.select("walk_id", "db", F.posexplode("tables").alias("pos", "tbl")).withColumn(
-        "k", weighted_draw(histogram, "column", F.lit("n_columns"), "walk_id", "tbl")
-    )
+    visits = walks.select("walk_id", "db", F.posexplode("tables").alias("pos", "tbl"))
+    sized = weighted_draw(visits, histogram, "column", "k", F.lit("n_columns"), "walk_id", "tbl")
     order = Window.partitionBy("walk_id", "pos").orderBy(
-        shuffle_key(F.lit("column"), "walk_id", "tbl", "col", F.col("col_pos").cast("string"))
+        shuffle_key(F.lit("column"), "walk_id", "tbl", "col", "col_pos")
     )
     return (
-        visits.join(columns.select("db", "tbl", "col_pos", "col"), ["db", "tbl"])
+        sized.join(columns.select("db", "tbl", "col_pos", "col"), ["db", "tbl"])
         .withColumn("draw_pos", F.row_number().over(order))
         .where(F.col("draw_pos") <= F.lit(largest))
         .where("draw_pos <= k")

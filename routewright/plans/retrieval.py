@@ -220,7 +220,7 @@ sc AS (
   GROUP BY k1, b, qid, doc_id),
 run AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k1, b, qid
   ORDER BY score DESC, doc_id) AS rank FROM sc) WHERE rank <= 10)
-SELECT k1, b, round(avg(coalesce(tp, 0) / n), 6) AS recall
+SELECT k1, b, round(avg(coalesce(tp, 0) / n) + 1e-9, 6) AS recall
 FROM (SELECT qid, count(*) AS n FROM trel GROUP BY qid) g CROSS JOIN grid
 LEFT JOIN (SELECT k1, b, run.qid, count(*) AS tp FROM run JOIN trel USING (qid, doc_id)
   GROUP BY ALL) f USING (k1, b, qid)
@@ -236,9 +236,9 @@ ORACLE = {
     "bm25_lengths": f"WITH {t.BM25} SELECT doc_id, n::BIGINT AS len FROM len",
     "bm25_search": f"{_SEARCH} SELECT qid, doc_id, db, score, rank::INT AS rank FROM run",
     "bm25_autotune": _tune_sql(),
-    "db_rollup": f"{_SEARCH} SELECT qid, db, round(avg(score), 6) AS score FROM run GROUP BY ALL",
+    "db_rollup": f"{_SEARCH} SELECT qid, db, round(avg(score) + 1e-9, 6) AS score FROM run GROUP BY ALL",
     "pred_schemas": f"""{_SEARCH},
-dbs AS (SELECT qid, db, round(avg(score), 6) AS s, string_agg(doc_id::VARCHAR, ',' ORDER BY rank) AS tables
+dbs AS (SELECT qid, db, round(avg(score) + 1e-9, 6) AS s, string_agg(doc_id::VARCHAR, ',' ORDER BY rank) AS tables
   FROM run GROUP BY qid, db),
 top AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, db) - 1 AS db_pos FROM dbs)
 SELECT b.qid, db_pos, db, tables FROM bench b LEFT JOIN (SELECT * FROM top WHERE db_pos < 5) USING (qid)""",
@@ -250,7 +250,7 @@ SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY seen) - 1 AS db_pos, db
   SELECT conv_id * 1000 + turn AS doc_id, 'c' || conv_id AS source, text, role, conv_id
   FROM conversations), {t.BM25.replace('FROM documents', 'FROM docs')}, {t.BENCH},
 {t.bm25_run('bench', 'qid', 5)}
-SELECT qid, rank::INT AS rank, text AS question, 'SELECT ' || d.role AS sql, d.source AS db,
+SELECT qid, rank::INT AS rank, d.text AS question, 'SELECT ' || d.role AS sql, d.source AS db,
   't' || c.turn AS tbl, c.role AS col
 FROM run JOIN docs d USING (doc_id) JOIN conversations c USING (conv_id)""",
     "segment_queries": f"WITH {t.SEGMENTS} SELECT qid, sid::INT AS sid, text FROM segq",

@@ -1,2 +1,194 @@
-QUERIES = {}
-ORACLE = {}
+"""Synthetic schema queries: histograms, walks, draws, splits."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from routewright.operators import graph as g
+from routewright.operators import synth as s
+from routewright.plans import tables as t
+
+
+def cardinality_histogram(spark, d):
+    return s.cardinalities(t.instances(spark, d))
+
+
+def max_tables(spark, d):
+    return s.max_tables(t.instances(spark, d))
+
+
+def _walks(spark, d):
+    """One walk per order; the walk length follows from the largest question."""
+    walk_len = s.max_tables(t.instances(spark, d)).first()["walk_len"]
+    columns = t.keep(t.full_columns(spark, d))
+    starts = t.load(spark, d, "orders").select(F.col("o_orderkey").alias("walk_id"))
+    return s.random_walks(starts, columns, g.clique_members(columns), walk_len)
+
+
+def random_walks(spark, d):
+    return _walks(spark, d).select("walk_id", "db", F.array_join("path", ",").alias("path"))
+
+
+def _line_walks(spark, d):
+    """The suppliers of an order in line order stand for a walk."""
+    lines = t.load(spark, d, "lineitem").groupBy("l_orderkey").agg(
+        F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("ls")
+    )
+    key = F.col("l_orderkey")
+    return lines.select(
+        key.alias("walk_id"),
+        F.concat(F.lit("o"), key.cast("string")).alias("db"),
+        F.transform("ls", lambda x: F.concat(F.lit("s"), x["l_suppkey"].cast("string"))).alias("path"),
+    )
+
+
+def _joined(df):
+    return df.select("walk_id", "db", F.array_join("tables", ",").alias("tables"))
+
+
+def walk_dedupe(spark, d):
+    return _joined(s.dedupe_walks(_line_walks(spark, d)))
+
+
+def draw_table_count(spark, d):
+    walks = s.dedupe_walks(_line_walks(spark, d))
+    return _joined(s.truncate_walks(walks, cardinality_histogram(spark, d)))
+
+
+def draw_columns(spark, d):
+    walks = s.dedupe_walks(_line_walks(spark, d))
+    return s.sample_columns(walks, t.plain_columns(spark, d), cardinality_histogram(spark, d))
+
+
+def assemble_synthetic(spark, d):
+    """The whole chain: walks, truncation, columns, nested instances."""
+    histogram = t.keep(cardinality_histogram(spark, d))
+    walks = s.truncate_walks(s.dedupe_walks(_walks(spark, d)), histogram)
+    drawn = s.sample_columns(walks, t.plain_columns(spark, d), histogram)
+    return s.assemble_synthetic(walks, drawn).select(
+        "qid",
+        "sql",
+        F.col("schema.database").alias("db"),
+        F.array_join(
+            F.transform(
+                "schema.metadata",
+                lambda x: F.concat(x["name"], F.lit("("), F.array_join(x["columns"], ","), F.lit(")")),
+            ),
+            ";",
+        ).alias("metadata"),
+    )
+
+
+def train_validation_split(spark, d):
+    docs = t.load(spark, d, "documents").select("doc_id", "source")
+    return s.train_validation_split(docs, "doc_id")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        cardinality_histogram,
+        max_tables,
+        random_walks,
+        walk_dedupe,
+        draw_table_count,
+        draw_columns,
+        assemble_synthetic,
+        train_validation_split,
+    )
+}
+
+_HIST = """
+tsz AS (SELECT ok, count(DISTINCT tbl) FILTER (col LIKE 'r%') AS size FROM cols GROUP BY ok),
+csz AS (SELECT ok, tbl, count(*) AS size FROM cols WHERE col LIKE 'r%' GROUP BY ok, tbl),
+hist AS (SELECT 'table' AS what, size, count(*) AS n FROM tsz GROUP BY size
+  UNION ALL SELECT 'column', size, count(*) FROM csz GROUP BY size),
+steps AS (SELECT what, size, sum(n) OVER (PARTITION BY what ORDER BY size) AS hi,
+  sum(n) OVER (PARTITION BY what) AS total FROM hist)"""
+
+
+def _size(what: str, key: str) -> str:
+    """Scalar subquery: the size drawn for a key."""
+    x = f"floor({t.draw(key)} * total)"
+    return f"(SELECT min(size) FROM steps WHERE what = '{what}' AND hi > {x})"
+
+
+def _below(n: str, key: str) -> str:
+    return f"floor({t.draw(key)} * {n})::BIGINT"
+
+
+def _number(item: str, group: str = "") -> str:
+    part = f"PARTITION BY {group} " if group else ""
+    return f"row_number() OVER ({part}ORDER BY substr(md5({item}), 1, 2), {item}) - 1"
+
+
+_WALK = f"""
+most AS (SELECT 2 * max(size) AS most FROM tsz),
+tb AS (SELECT db, tbl, {_number('tbl', 'db')} AS tbl_no FROM (SELECT DISTINCT db, tbl FROM cols)),
+dbs AS (SELECT db, n_tbl, {_number('db')} AS db_no, count(*) OVER () AS n_db
+  FROM (SELECT db, count(*) AS n_tbl FROM tb GROUP BY db)),
+slots AS (SELECT *, {_number('tbl', 'db, key')} AS slot FROM memb),
+shares AS (SELECT db, tbl, key, slot AS own, sum(size - 1) OVER w - (size - 1) AS lo,
+    sum(size - 1) OVER w AS hi, sum(size - 1) OVER (PARTITION BY db, tbl) AS total
+  FROM slots WINDOW w AS (PARTITION BY db, tbl ORDER BY key)),
+mk AS (SELECT x.db, x.tbl AS a, y.tbl AS b, min(x.key) AS key FROM memb x JOIN memb y USING (db, key)
+  WHERE x.tbl <> y.tbl GROUP BY ALL),
+s0 AS (SELECT o_orderkey AS walk_id, {_below('n.n_db', "'walk|' || o_orderkey || '|db'")} AS db_no
+  FROM orders, (SELECT count(*) AS n_db FROM dbs) n),
+s1 AS (SELECT walk_id, tb.db, tb.tbl FROM s0 JOIN dbs USING (db_no)
+  JOIN tb ON tb.db = dbs.db AND tb.tbl_no = {_below('dbs.n_tbl', "'walk|' || walk_id || '|tbl'")}),
+walk AS (
+  SELECT walk_id, db, tbl, [tbl] AS path, 0 AS attempt FROM s1
+  UNION ALL
+  SELECT w.walk_id, w.db, CASE WHEN mk.key = s.key THEN x.tbl ELSE w.tbl END,
+    CASE WHEN mk.key = s.key THEN list_append(w.path, x.tbl) ELSE w.path END,
+    CASE WHEN mk.key = s.key THEN 0 ELSE w.attempt + 1 END
+  FROM (SELECT walk.*, total, floor({t.draw("'walk|' || walk_id || '|' || len(path) || '|' || attempt")} * total) AS pick
+        FROM walk JOIN (SELECT DISTINCT db, tbl, total FROM shares) USING (db, tbl), most
+        WHERE len(path) < most) w
+  JOIN shares s ON s.db = w.db AND s.tbl = w.tbl AND w.pick >= s.lo AND w.pick < s.hi
+  JOIN slots x ON x.db = w.db AND x.key = s.key
+    AND x.slot = w.pick - s.lo + CASE WHEN w.pick - s.lo >= s.own THEN 1 ELSE 0 END
+  JOIN mk ON mk.db = w.db AND mk.a = w.tbl AND mk.b = x.tbl),
+walked AS (SELECT walk_id, db, arg_max(path, len(path)) AS path FROM walk GROUP BY walk_id, db)"""
+
+_LINE_WALK = """
+visit AS (SELECT ok AS walk_id, db, tbl, min(col_pos) AS at FROM cols GROUP BY ok, db, tbl),
+vis AS (SELECT walk_id, db, tbl, row_number() OVER (PARTITION BY walk_id ORDER BY at) - 1 AS pos FROM visit)"""
+
+_COLS = f"""
+drawn AS (SELECT * FROM (
+  SELECT v.*, {_size('column', "'n_columns|' || v.walk_id || '|' || v.tbl")} AS k, c.col,
+    row_number() OVER (PARTITION BY v.walk_id, v.pos
+      ORDER BY md5('column|' || v.walk_id || '|' || v.tbl || '|' || c.col || '|' || c.col_pos)) AS draw_pos
+  FROM vis v JOIN cols c ON c.db = v.db AND c.tbl = v.tbl) WHERE draw_pos <= k)"""
+
+_WITH = f"WITH RECURSIVE {t.CATALOG}, {_HIST}"
+
+ORACLE = {
+    "cardinality_histogram": f"WITH {t.LINES}, {_HIST} SELECT what, size::INT AS size, n FROM hist",
+    "max_tables": f"""WITH {t.LINES}, {_HIST}
+SELECT max(size)::INT AS max_tables, (2 + 2 * max(size))::INT AS walk_len FROM tsz""",
+    "random_walks": f"{_WITH}, {_WALK} SELECT walk_id, db, array_to_string(path, ',') AS path FROM walked",
+    "walk_dedupe": f"""WITH {t.LINES}, {_LINE_WALK}
+SELECT walk_id, db, string_agg(tbl, ',' ORDER BY pos) AS tables FROM vis GROUP BY walk_id, db""",
+    "draw_table_count": f"""WITH {t.LINES}, {_HIST}, {_LINE_WALK},
+n AS (SELECT ok AS walk_id, {_size('table', "'n_tables|' || ok")} AS n FROM tsz)
+SELECT walk_id, db, coalesce(string_agg(tbl, ',' ORDER BY pos) FILTER (pos < n), '') AS tables
+FROM vis JOIN n USING (walk_id) GROUP BY walk_id, db""",
+    "draw_columns": f"""WITH {t.LINES}, {_HIST}, {_LINE_WALK}, {_COLS}
+SELECT walk_id, db, pos::INT AS pos, tbl, draw_pos::INT AS draw_pos, col FROM drawn""",
+    "assemble_synthetic": f"""{_WITH}, {_WALK},
+visit AS (SELECT walk_id, db, tbl, min(i) AS at FROM (
+  SELECT walk_id, db, unnest(path) AS tbl, generate_subscripts(path, 1) AS i FROM walked) GROUP BY ALL),
+n AS (SELECT walk_id, {_size('table', "'n_tables|' || walk_id")} AS n FROM walked),
+vis AS (SELECT * EXCLUDE (n) FROM (
+  SELECT walk_id, db, tbl, row_number() OVER (PARTITION BY walk_id ORDER BY at) - 1 AS pos FROM visit)
+  JOIN n USING (walk_id) WHERE pos < n), {_COLS},
+tbs AS (SELECT v.walk_id, v.pos, v.tbl || '(' || coalesce(string_agg(d.col, ',' ORDER BY draw_pos), '') || ')' AS x
+  FROM vis v LEFT JOIN drawn d ON d.walk_id = v.walk_id AND d.pos = v.pos GROUP BY v.walk_id, v.pos, v.tbl)
+SELECT walk_id AS qid, '' AS sql, db, coalesce(string_agg(x, ';' ORDER BY pos), '') AS metadata
+FROM walked LEFT JOIN tbs USING (walk_id) GROUP BY walk_id, db""",
+    "train_validation_split": f"""SELECT doc_id, source,
+  CASE WHEN {t.draw("'split|' || doc_id")} < 0.1 THEN 'validation' ELSE 'train' END AS split FROM documents""",
+}
