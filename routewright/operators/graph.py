@@ -110,7 +110,7 @@ def check_routes(steps: DataFrame, columns: DataFrame, members: DataFrame) -> Da
         steps.join(hub, ["db", "tbl"])
         .withColumn("first", F.min("pos").over(by_key))
         .where("first < pos")
-        .select("rid", "pos")
+        .select("rid", "pos", "tbl")
         .distinct()
         .withColumn("linked", F.lit(True))
     )
@@ -122,7 +122,7 @@ def check_routes(steps: DataFrame, columns: DataFrame, members: DataFrame) -> Da
     return (
         base.withColumn("again", repeat)
         .withColumn("start", start)
-        .join(reach, ["rid", "pos"], "left")
+        .join(reach, ["rid", "pos", "tbl"], "left")
         .groupBy("rid")
         .agg(F.bool_and(legal).alias("valid"), F.count(F.lit(1)).alias("n_tables"))
     )

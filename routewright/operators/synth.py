@@ -9,6 +9,9 @@ from routewright.functions.draws import draw_below, shuffle_key, unit_draw
 from routewright.functions.positions import number_rows
 from routewright.session import cut_lineage
 
+# A database with at most this many clique rows is walked inside one row.
+SMALL_GRAPH = 256
+
 
 def cardinalities(instances: DataFrame) -> DataFrame:
     """(what, size, n): tables per question and columns per mentioned table."""
@@ -78,59 +81,84 @@ def _hub(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     return slots.select("db", "key", "slot", "tbl"), shares
 
 
-def random_walks(
-    starts: DataFrame, columns: DataFrame, members: DataFrame, walk_len: int, seed: str = "walk"
-) -> DataFrame:
-    """(walk_id, db, path): uniform walks source -> db -> table -> linked table …
-
-    starts(walk_id). ``walk_len`` counts all nodes, so a path has up to
-    ``walk_len - 2`` tables. Every step picks one of the distinct neighbours with equal
-    chance. A pair that shares several keys would be met several times on the
-    hub's line, so a pick counts only through the pair's smallest key and is
-    drawn again otherwise. A walk ends early at a table without neighbours.
-    """
+def _starts(starts: DataFrame, columns: DataFrame, seed: str) -> DataFrame:
+    """(walk_id, db, tbl): a database by equal chance, then one of its tables."""
     tables = cut_lineage(
         number_rows(columns.select("db", "tbl").distinct(), ["db"], "tbl", "tbl_no")
     )
     dbs = number_rows(tables.groupBy("db").agg(F.count(F.lit(1)).alias("n_tbl")), [], "db", "db_no")
     n_dbs = tables.agg(F.countDistinct("db").alias("n")).scalar()
-    slots, shares = _hub(members)
-    slots, shares = cut_lineage(slots), cut_lineage(shares)
-    hub = slots.select("db", "key", "tbl")
-
     at_db = starts.select(
         "walk_id", draw_below(n_dbs, F.lit(seed), "walk_id", F.lit("db")).alias("db_no")
     ).join(dbs, "db_no")
-    at_table = at_db.withColumn(
-        "tbl_no", draw_below(F.col("n_tbl"), F.lit(seed), "walk_id", F.lit("tbl"))
-    ).join(tables, ["db", "tbl_no"])
-    state = cut_lineage(
-        at_table.select(
-            "walk_id", "db", "tbl", F.array("tbl").alias("path"), F.lit(0).alias("attempt")
+    return (
+        at_db.withColumn("tbl_no", draw_below(F.col("n_tbl"), F.lit(seed), "walk_id", F.lit("tbl")))
+        .join(tables, ["db", "tbl_no"])
+        .select("walk_id", "db", "tbl")
+    )
+
+
+def _walk_small(begun: DataFrame, members: DataFrame, most: int, seed: str) -> DataFrame:
+    """Walks inside databases whose cliques are few enough to travel with the row.
+
+    A step picks from the sorted distinct neighbours of the last table.
+    """
+    cliques = (
+        members.groupBy("db", "key")
+        .agg(F.collect_list("tbl").alias("tbls"))
+        .groupBy("db")
+        .agg(F.collect_list("tbls").alias("cliques"))
+    )
+
+    def step(path: Column, i: Column) -> Column:
+        last = F.element_at(path, -1)
+        around = F.flatten(F.filter("cliques", lambda c: F.array_contains(c, last)))
+        near = F.array_sort(F.array_except(around, F.array(last)))
+        moved = F.transform(
+            F.array(near),
+            lambda n: F.concat(
+                path,
+                F.slice(n, F.floor(unit_draw(F.lit(seed), "walk_id", i) * F.size(n)).cast("int") + 1, F.lit(1)),
+            ),
         )
+        return F.coalesce(F.get(moved, F.lit(0)), path)
+
+    path = F.array("tbl")
+    if most > 1:
+        path = F.aggregate(F.sequence(F.lit(1), F.lit(most - 1)), path, step)
+    return begun.join(cliques, "db", "left").select("walk_id", "db", path.alias("path"))
+
+
+def _walk_large(begun: DataFrame, members: DataFrame, most: int, seed: str) -> DataFrame:
+    """Walks inside databases of any size, one round of joins per step.
+
+    A pair that shares several keys is met several times on the hub's line, so
+    a pick counts only through the pair's smallest key and is drawn again
+    otherwise: all distinct neighbours keep the same chance.
+    """
+    slots, shares = _hub(members)
+    slots, shares = cut_lineage(slots), cut_lineage(shares)
+    hub = slots.select("db", "key", "tbl")
+    state = cut_lineage(
+        begun.select("walk_id", "db", "tbl", F.array("tbl").alias("path"), F.lit(0).alias("attempt"))
     )
     done = state.where("false")
-    most = walk_len - 2
 
     while not state.isEmpty():
         full = F.size("path") >= most
-        going = state.where(~full)
         stop = state.where(full)
         # the picked key is the one whose stretch of the line holds the draw
-        line = going.join(shares, ["db", "tbl"], "left").withColumn(
-            "pick",
-            draw_below(
-                F.col("total"), F.lit(seed), "walk_id", F.size("path").cast("string"), "attempt"
-            ),
+        line = state.where(~full).join(shares, ["db", "tbl"], "left").withColumn(
+            "pick", draw_below(F.col("total"), F.lit(seed), "walk_id", F.size("path"), "attempt")
         )
         stuck = line.where("total is null").select(*state.columns)
+        offset = F.col("pick") - F.col("lo")
         hit = line.where("pick >= lo and pick < hi").withColumn(
-            "slot",
-            F.col("pick") - F.col("lo") + F.when(F.col("pick") - F.col("lo") >= F.col("own"), 1).otherwise(0),
+            "slot", offset + F.when(offset >= F.col("own"), 1).otherwise(0)
+        )
+        proposed = hit.join(slots.withColumnRenamed("tbl", "nxt"), ["db", "key", "slot"]).select(
+            "walk_id", "db", "tbl", "path", "attempt", "key", "nxt"
         )
-        proposed = hit.join(
-            slots.withColumnRenamed("tbl", "nxt"), ["db", "key", "slot"]
-        ).select("walk_id", "db", "tbl", "path", "attempt", "key", "nxt")
         smaller = (
             proposed.select("walk_id", "db", "tbl", "nxt", "key")
             .join(hub.withColumnRenamed("key", "other"), ["db", "tbl"])
@@ -144,14 +172,13 @@ def random_walks(
             .distinct()
             .withColumn("again", F.lit(True))
         )
+        ok = F.col("again").isNull()
         moved = proposed.join(smaller, "walk_id", "left").select(
             "walk_id",
             "db",
-            F.when(F.col("again").isNull(), F.col("nxt")).otherwise(F.col("tbl")).alias("tbl"),
-            F.when(F.col("again").isNull(), F.concat("path", F.array("nxt")))
-            .otherwise(F.col("path"))
-            .alias("path"),
-            F.when(F.col("again").isNull(), F.lit(0)).otherwise(F.col("attempt") + 1).alias("attempt"),
+            F.when(ok, F.col("nxt")).otherwise(F.col("tbl")).alias("tbl"),
+            F.when(ok, F.concat("path", F.array("nxt"))).otherwise(F.col("path")).alias("path"),
+            F.when(ok, F.lit(0)).otherwise(F.col("attempt") + 1).alias("attempt"),
         )
         tagged = cut_lineage(
             moved.withColumn("end", F.size("path") >= most).unionByName(
@@ -163,6 +190,37 @@ def random_walks(
     return done.select("walk_id", "db", "path")
 
 
+def random_walks(
+    starts: DataFrame,
+    columns: DataFrame,
+    members: DataFrame,
+    walk_len: int,
+    seed: str = "walk",
+    small: int = SMALL_GRAPH,
+) -> DataFrame:
+    """(walk_id, db, path): uniform walks source -> db -> table -> linked table …
+
+    starts(walk_id). ``walk_len`` counts all nodes, so a path has up to
+    ``walk_len - 2`` tables. Every step picks one of the distinct neighbours with
+    equal chance; a walk ends early at a table without neighbours. Databases
+    with more than ``small`` clique rows are walked by joins instead of in place.
+    """
+    most = walk_len - 2
+    sizes = members.groupBy("db").agg(F.count(F.lit(1)).alias("n"))
+    large = cut_lineage(sizes.where(F.col("n") > small).select("db"))
+    begun = _starts(starts, columns, seed)
+    if large.isEmpty():
+        return _walk_small(begun, members, most, seed)
+    begun = cut_lineage(begun)
+    return _walk_small(
+        begun.join(large, "db", "left_anti"), members.join(large, "db", "left_anti"), most, seed
+    ).unionByName(
+        _walk_large(
+            begun.join(large, "db", "left_semi"), members.join(large, "db", "left_semi"), most, seed
+        )
+    )
+
+
 def dedupe_walks(walks: DataFrame) -> DataFrame:
     """(walk_id, db, tables): distinct tables in order of their first visit."""
     return walks.select("walk_id", "db", F.array_distinct("path").alias("tables"))

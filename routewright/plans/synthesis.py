@@ -127,34 +127,23 @@ most AS (SELECT 2 * max(size) AS most FROM tsz),
 tb AS (SELECT db, tbl, {_number('tbl', 'db')} AS tbl_no FROM (SELECT DISTINCT db, tbl FROM cols)),
 dbs AS (SELECT db, n_tbl, {_number('db')} AS db_no, count(*) OVER () AS n_db
   FROM (SELECT db, count(*) AS n_tbl FROM tb GROUP BY db)),
-slots AS (SELECT *, {_number('tbl', 'db, key')} AS slot FROM memb),
-shares AS (SELECT db, tbl, key, slot AS own, sum(size - 1) OVER w - (size - 1) AS lo,
-    sum(size - 1) OVER w AS hi, sum(size - 1) OVER (PARTITION BY db, tbl) AS total
-  FROM slots WINDOW w AS (PARTITION BY db, tbl ORDER BY key)),
-mk AS (SELECT x.db, x.tbl AS a, y.tbl AS b, min(x.key) AS key FROM memb x JOIN memb y USING (db, key)
-  WHERE x.tbl <> y.tbl GROUP BY ALL),
+near AS (SELECT x.db, x.tbl, list_sort(list(DISTINCT y.tbl)) AS tbls
+  FROM memb x JOIN memb y USING (db, key) WHERE x.tbl <> y.tbl GROUP BY x.db, x.tbl),
 s0 AS (SELECT o_orderkey AS walk_id, {_below('n.n_db', "'walk|' || o_orderkey || '|db'")} AS db_no
   FROM orders, (SELECT count(*) AS n_db FROM dbs) n),
 s1 AS (SELECT walk_id, tb.db, tb.tbl FROM s0 JOIN dbs USING (db_no)
   JOIN tb ON tb.db = dbs.db AND tb.tbl_no = {_below('dbs.n_tbl', "'walk|' || walk_id || '|tbl'")}),
 walk AS (
-  SELECT walk_id, db, tbl, [tbl] AS path, 0 AS attempt FROM s1
+  SELECT walk_id, db, tbl, [tbl] AS path FROM s1
   UNION ALL
-  SELECT w.walk_id, w.db, CASE WHEN mk.key = s.key THEN x.tbl ELSE w.tbl END,
-    CASE WHEN mk.key = s.key THEN list_append(w.path, x.tbl) ELSE w.path END,
-    CASE WHEN mk.key = s.key THEN 0 ELSE w.attempt + 1 END
-  FROM (SELECT walk.*, total, floor({t.draw("'walk|' || walk_id || '|' || len(path) || '|' || attempt")} * total) AS pick
-        FROM walk JOIN (SELECT DISTINCT db, tbl, total FROM shares) USING (db, tbl), most
-        WHERE len(path) < most) w
-  JOIN shares s ON s.db = w.db AND s.tbl = w.tbl AND w.pick >= s.lo AND w.pick < s.hi
-  JOIN slots x ON x.db = w.db AND x.key = s.key
-    AND x.slot = w.pick - s.lo + CASE WHEN w.pick - s.lo >= s.own THEN 1 ELSE 0 END
-  JOIN mk ON mk.db = w.db AND mk.a = w.tbl AND mk.b = x.tbl),
+  SELECT w.walk_id, w.db, w.nxt, list_append(w.path, w.nxt)
+  FROM (SELECT walk.*, tbls[{_below('len(tbls)', "'walk|' || walk_id || '|' || len(path)")} + 1] AS nxt
+        FROM walk JOIN near USING (db, tbl), most WHERE len(path) < most) w),
 walked AS (SELECT walk_id, db, arg_max(path, len(path)) AS path FROM walk GROUP BY walk_id, db)"""
 
 _LINE_WALK = """
-visit AS (SELECT ok AS walk_id, db, tbl, min(col_pos) AS at FROM cols GROUP BY ok, db, tbl),
-vis AS (SELECT walk_id, db, tbl, row_number() OVER (PARTITION BY walk_id ORDER BY at) - 1 AS pos FROM visit)"""
+visit AS (SELECT ok AS walk_id, db, tbl, min(col_pos) AS fst FROM cols GROUP BY ok, db, tbl),
+vis AS (SELECT walk_id, db, tbl, row_number() OVER (PARTITION BY walk_id ORDER BY fst) - 1 AS pos FROM visit)"""
 
 _COLS = f"""
 drawn AS (SELECT * FROM (
@@ -179,11 +168,11 @@ FROM vis JOIN n USING (walk_id) GROUP BY walk_id, db""",
     "draw_columns": f"""WITH {t.LINES}, {_HIST}, {_LINE_WALK}, {_COLS}
 SELECT walk_id, db, pos::INT AS pos, tbl, draw_pos::INT AS draw_pos, col FROM drawn""",
     "assemble_synthetic": f"""{_WITH}, {_WALK},
-visit AS (SELECT walk_id, db, tbl, min(i) AS at FROM (
+visit AS (SELECT walk_id, db, tbl, min(i) AS fst FROM (
   SELECT walk_id, db, unnest(path) AS tbl, generate_subscripts(path, 1) AS i FROM walked) GROUP BY ALL),
 n AS (SELECT walk_id, {_size('table', "'n_tables|' || walk_id")} AS n FROM walked),
 vis AS (SELECT * EXCLUDE (n) FROM (
-  SELECT walk_id, db, tbl, row_number() OVER (PARTITION BY walk_id ORDER BY at) - 1 AS pos FROM visit)
+  SELECT walk_id, db, tbl, row_number() OVER (PARTITION BY walk_id ORDER BY fst) - 1 AS pos FROM visit)
   JOIN n USING (walk_id) WHERE pos < n), {_COLS},
 tbs AS (SELECT v.walk_id, v.pos, v.tbl || '(' || coalesce(string_agg(d.col, ',' ORDER BY draw_pos), '') || ')' AS x
   FROM vis v LEFT JOIN drawn d ON d.walk_id = v.walk_id AND d.pos = v.pos GROUP BY v.walk_id, v.pos, v.tbl)
