@@ -102,7 +102,7 @@ def context_gold_hit(pred: DataFrame, gold: DataFrame, columns: DataFrame) -> Da
         pred.join(gold.select("qid", "db"), "qid")
         .withColumn("at", at)
         .where("at >= 0")
-        .select("qid", F.slice("pred_schemas", F.col("at") + 1, F.lit(1)).alias("pred_schemas"))
+        .select("qid", F.slice("pred_schemas", F.greatest("at", F.lit(0)) + 1, F.lit(1)).alias("pred_schemas"))
     )
     return context_predicted(hit, columns, 1)
 

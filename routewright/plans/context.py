@@ -90,8 +90,9 @@ ids AS (SELECT db, row_number() OVER (ORDER BY substr(md5(db), 1, 2), db) - 1 AS
   FROM (SELECT DISTINCT db FROM cols)),
 qs AS (SELECT DISTINCT ok AS qid, db FROM cols),
 pick AS (
-  SELECT qid, p AS schema_pos, ids.db FROM (SELECT qid, unnest([0, 1, 3, 4]) AS p FROM qs) q, (SELECT max(n) AS n FROM ids) m
-  JOIN ids ON ids.db_no = floor({t.draw("'context|' || qid || '|' || p")} * m.n)::BIGINT
+  SELECT qid, p AS schema_pos, ids.db FROM (
+    SELECT qid, p, floor({t.draw("'context|' || qid || '|' || p")} * (SELECT max(n) FROM ids))::BIGINT AS db_no
+    FROM (SELECT qid, unnest([0, 1, 3, 4]) AS p FROM qs)) JOIN ids USING (db_no)
   UNION ALL SELECT qid, 2, db FROM qs)"""
 
 _PRED = f"""{retrieval._beams_sql()},

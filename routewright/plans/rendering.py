@@ -87,11 +87,11 @@ def text2schema_pair(spark, d):
 
 
 def _completions(spark, d):
-    """(qid, text): numbered schema items per order; finished and pending orders keep
-    the form, urgent ones have a line without a number."""
+    """(qid, text): numbered schema items per order; a highly taxed line lacks its number."""
     item = F.struct(
         "l_linenumber",
         "l_partkey",
+        "l_suppkey",
         F.concat(
             F.when(F.col("l_tax") > 0.075, F.lit("")).otherwise(F.concat(F.col("l_linenumber").cast("string"), F.lit(":"))),
             F.lit(" supplier_"),
