@@ -32,12 +32,8 @@ def aligned_type(types: Column, index: Column, type_offset: int) -> Column:
     return F.get(types, index - F.lit(type_offset))
 
 
-def flatten_dump(raw: DataFrame, type_offset: int = 0) -> DataFrame:
-    """One row per real column; the ``*`` pseudo-column has no table and drops out.
-
-    Names are looked up inside the dump row before the explode, so no array is
-    carried on the exploded rows.
-    """
+def _column_structs(type_offset: int) -> Column:
+    """The real columns of a dump row, with all names looked up inside the row."""
     item = F.transform(
         "column_names_original",
         lambda c, i: F.struct(
@@ -48,7 +44,7 @@ def flatten_dump(raw: DataFrame, type_offset: int = 0) -> DataFrame:
             aligned_type(F.col("column_types"), i, type_offset).alias("type"),
         ),
     )
-    items = F.transform(
+    return F.transform(
         F.filter(item, lambda x: x["t"] >= 0),
         lambda x: F.struct(
             x["t"].cast("bigint").alias("tbl_pos"),
@@ -60,27 +56,23 @@ def flatten_dump(raw: DataFrame, type_offset: int = 0) -> DataFrame:
             x["type"].alias("type"),
         ),
     )
-    return raw.select(F.col("db_id").alias("db"), F.inline(items))
 
 
-def primary_keys(raw: DataFrame) -> DataFrame:
-    """(db, col_pos, pk_pos) from single (``3``) and composite (``[3, 4]``) entries."""
-    as_list = F.transform(
-        "primary_keys",
-        lambda k: F.from_json(
-            F.when(k.startswith("["), k).otherwise(F.concat(F.lit("["), k, F.lit("]"))),
-            "array<bigint>",
-        ),
-    )
-    return (
-        raw.select(F.col("db_id").alias("db"), F.posexplode(F.flatten(as_list)).alias("p", "col_pos"))
-        .groupBy("db", "col_pos")
-        .agg(F.min("p").alias("pk_pos"))
+def _key_positions() -> Column:
+    """Column indices of single (``3``) and composite (``[3, 4]``) key entries."""
+    return F.flatten(
+        F.transform(
+            "primary_keys",
+            lambda k: F.from_json(
+                F.when(k.startswith("["), k).otherwise(F.concat(F.lit("["), k, F.lit("]"))),
+                "array<bigint>",
+            ),
+        )
     )
 
 
-def declared_keys(raw: DataFrame) -> DataFrame:
-    """(db, col_pos, fk_tbl, fk_col) of the declared pairs; the last pair wins."""
+def _declared_structs() -> Column:
+    """Declared pairs with the names of their targets."""
     named = F.transform(
         "foreign_keys",
         lambda p, i: F.struct(
@@ -89,7 +81,7 @@ def declared_keys(raw: DataFrame) -> DataFrame:
             F.get(F.col("column_names_original"), F.get(p, F.lit(1))).alias("target"),
         ),
     )
-    resolved = F.transform(
+    return F.transform(
         named,
         lambda x: F.struct(
             x["pair"].alias("pair"),
@@ -100,71 +92,160 @@ def declared_keys(raw: DataFrame) -> DataFrame:
             F.lower(F.get(x["target"], F.lit(1))).alias("fk_col"),
         ),
     )
-    pairs = raw.select(F.col("db_id").alias("db"), F.inline(resolved))
+
+
+def flatten_dump(raw: DataFrame, type_offset: int = 0) -> DataFrame:
+    """One row per real column; the ``*`` pseudo-column has no table and drops out.
+
+    No array is carried on the exploded rows, and nothing is shuffled.
+    """
+    return raw.select(F.col("db_id").alias("db"), F.inline(_column_structs(type_offset)))
+
+
+def primary_keys(raw: DataFrame) -> DataFrame:
+    """(db, col_pos, pk_pos) of the key columns, by their first entry."""
+    return (
+        raw.select(F.col("db_id").alias("db"), F.posexplode(_key_positions()).alias("p", "col_pos"))
+        .groupBy("db", "col_pos")
+        .agg(F.min("p").alias("pk_pos"))
+    )
+
+
+def declared_keys(raw: DataFrame) -> DataFrame:
+    """(db, col_pos, fk_tbl, fk_col) of the declared pairs; the last pair wins."""
+    pairs = raw.select(F.col("db_id").alias("db"), F.inline(_declared_structs()))
     last = pairs.groupBy("db", "col_pos").agg(
         F.max_by(F.struct("fk_tbl", "fk_col"), "pair").alias("fk")
     )
     return last.select("db", "col_pos", "fk.fk_tbl", "fk.fk_col")
 
 
-def inferred_keys(columns: DataFrame) -> DataFrame:
-    """(db, col_pos, fk_tbl, fk_col): the first other key column of the same name.
-
-    columns(db, tbl, col_pos, col, pk_pos). Only the first two key columns of a
-    (db, name) can be an answer (the second serves the first itself), so the
-    name group is reduced to two rows before the join and never paired up.
-    """
+def first_two_keys(columns: DataFrame) -> DataFrame:
+    """(db, col, first, second): the first two key columns of a name, never ``id``."""
     keys = columns.where(F.col("pk_pos").isNotNull() & (F.col("col") != "id"))
     order = Window.partitionBy("db", "col").orderBy("pk_pos")
     ranked = keys.withColumn("rn", F.row_number().over(order)).where("rn <= 2")
     target = F.struct(F.col("col_pos").alias("at"), F.col("tbl"))
-    two = ranked.groupBy("db", "col").agg(
+    return ranked.groupBy("db", "col").agg(
         F.max(F.when(F.col("rn") == 1, target)).alias("first"),
         F.max(F.when(F.col("rn") == 2, target)).alias("second"),
     )
-    pick = F.when(F.col("first.at") != F.col("col_pos"), F.col("first")).otherwise(
-        F.col("second")
-    )
+
+
+def _other_key(col_pos: Column) -> Column:
+    """The first key column of the name that is not the column itself."""
+    return F.when(F.col("first.at") != col_pos, F.col("first")).otherwise(F.col("second"))
+
+
+def inferred_keys(columns: DataFrame) -> DataFrame:
+    """(db, col_pos, fk_tbl, fk_col): the first other key column of the same name.
+
+    columns(db, tbl, col_pos, col, pk_pos). Only the first two key columns of a
+    (db, name) can be an answer (the second serves the first itself), so the
+    name group is reduced to two rows before the join and never paired up.
+    """
     return (
         columns.select("db", "col_pos", "col")
-        .join(two, ["db", "col"])
-        .withColumn("hit", pick)
+        .join(first_two_keys(columns), ["db", "col"])
+        .withColumn("hit", _other_key(F.col("col_pos")))
         .where("hit is not null")
         .select("db", "col_pos", F.col("hit.tbl").alias("fk_tbl"), F.col("col").alias("fk_col"))
     )
 
 
+def key_columns(raw: DataFrame) -> DataFrame:
+    """(db, tbl, col_pos, col, pk_pos) of the key columns, straight from the dump row."""
+    keys = F.transform(
+        _key_positions(),
+        lambda k, i: F.struct(
+            k.alias("col_pos"),
+            i.alias("p"),
+            F.get(F.col("column_names_original"), k.cast("int")).alias("c"),
+        ),
+    )
+    named = F.transform(
+        keys,
+        lambda x: F.struct(
+            x["col_pos"].alias("col_pos"),
+            x["p"].alias("p"),
+            F.lower(
+                F.get(F.col("table_names_original"), F.get(x["c"], F.lit(0)).cast("int"))
+            ).alias("tbl"),
+            F.lower(F.get(x["c"], F.lit(1))).alias("col"),
+        ),
+    )
+    return (
+        raw.select(F.col("db_id").alias("db"), F.inline(named))
+        .groupBy("db", "tbl", "col_pos", "col")
+        .agg(F.min("p").alias("pk_pos"))
+    )
+
+
+def keyed_columns(raw: DataFrame, type_offset: int = 0) -> DataFrame:
+    """Flat columns with (pk_pos, declared): one pass over the dump, one shuffle.
+
+    Columns, key entries and declared pairs leave the dump row together as facts
+    about (db, col_pos) and are merged by one partial aggregation.
+    """
+    column = "struct<tbl_pos:bigint,tbl:string,tbl_norm:string,col:string,col_norm:string,type:string>"
+    key = "struct<fk_tbl:string,fk_col:string>"
+
+    def fact(col_pos: Column, **known: Column) -> Column:
+        none = {
+            "c": F.lit(None).cast(column),
+            "pk_pos": F.lit(None).cast("int"),
+            "pair": F.lit(None).cast("int"),
+            "fk": F.lit(None).cast(key),
+        }
+        fields = [known.get(name, value).alias(name) for name, value in none.items()]
+        return F.struct(col_pos.cast("bigint").alias("col_pos"), *fields)
+
+    columns = F.transform(
+        _column_structs(type_offset),
+        lambda x: fact(
+            x["col_pos"],
+            c=F.struct(*[x[n].alias(n) for n in ("tbl_pos", "tbl", "tbl_norm", "col", "col_norm", "type")]),
+        ),
+    )
+    keys = F.transform(_key_positions(), lambda k, i: fact(k, pk_pos=i))
+    pairs = F.transform(
+        _declared_structs(),
+        lambda x: fact(
+            x["col_pos"], pair=x["pair"], fk=F.struct(x["fk_tbl"].alias("fk_tbl"), x["fk_col"].alias("fk_col"))
+        ),
+    )
+    facts = raw.select(F.col("db_id").alias("db"), F.inline(F.concat(columns, keys, pairs)))
+    merged = facts.groupBy("db", "col_pos").agg(
+        F.first("c", ignorenulls=True).alias("c"),
+        F.min("pk_pos").alias("pk_pos"),
+        F.max_by("fk", "pair").alias("declared"),
+    )
+    return merged.where("c is not null").select("db", "col_pos", "c.*", "pk_pos", "declared")
+
+
 def build_catalog(raw: DataFrame, type_offset: int = 0, split_names: bool = False) -> DataFrame:
     """The whole catalog of a dump, with declared and inferred foreign keys."""
-    flat = flatten_dump(raw, type_offset)
+    cols = keyed_columns(raw, type_offset)
     if split_names:
-        flat = flat.withColumn("tbl_norm", normalise_name(F.col("tbl"))).withColumn(
+        cols = cols.withColumn("tbl_norm", normalise_name(F.col("tbl"))).withColumn(
             "col_norm", normalise_name(F.col("col"))
         )
-    cols = flat.join(primary_keys(raw), ["db", "col_pos"], "left")
-    declared = declared_keys(raw).select(
-        "db", "col_pos", F.struct("fk_tbl", "fk_col").alias("declared")
-    )
-    inferred = inferred_keys(cols).select(
-        "db", "col_pos", F.struct("fk_tbl", "fk_col").alias("inferred")
-    )
-    key = F.coalesce("declared", "inferred")
-    return (
-        cols.join(declared, ["db", "col_pos"], "left")
-        .join(inferred, ["db", "col_pos"], "left")
-        .select(
-            "db",
-            "tbl_pos",
-            "tbl",
-            "tbl_norm",
-            "col_pos",
-            "col",
-            "col_norm",
-            "type",
-            F.col("pk_pos").isNotNull().alias("is_pk"),
-            key["fk_tbl"].alias("fk_tbl"),
-            key["fk_col"].alias("fk_col"),
-        )
+    two = first_two_keys(key_columns(raw))
+    inferred = _other_key(F.col("col_pos"))
+    return cols.join(two, ["db", "col"], "left").select(
+        "db",
+        "tbl_pos",
+        "tbl",
+        "tbl_norm",
+        "col_pos",
+        "col",
+        "col_norm",
+        "type",
+        F.col("pk_pos").isNotNull().alias("is_pk"),
+        F.coalesce(F.col("declared.fk_tbl"), inferred["tbl"]).alias("fk_tbl"),
+        F.when(F.col("declared").isNotNull(), F.col("declared.fk_col"))
+        .when(inferred.isNotNull(), F.col("col"))
+        .alias("fk_col"),
     )
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from routewright.functions.numbers import rounded
 from routewright.functions.text import tokens
+from routewright.session import cut_lineage
 
 K1 = 1.2
 B = 0.75
@@ -48,20 +49,26 @@ def build_index(docs: DataFrame) -> Bm25Index:
     """Index docs(doc_id, db, text); several rows of one doc_id are its parts.
 
     Term counts are pre-aggregated before the shuffle, so a giant document
-    moves one row per distinct term and task.
+    moves one row per distinct term and task. An empty document is one posting
+    without a term, so that it still counts for the averages.
     """
-    words = docs.select("doc_id", "db", F.explode(tokens(F.col("text"))).alias("term"))
-    postings = words.groupBy("doc_id", "db", "term").agg(F.count(F.lit(1)).alias("tf"))
-    lengths = docs.groupBy("doc_id").agg(
-        F.sum(F.size(tokens(F.col("text")))).cast("bigint").alias("len")
-    )
-    stats = lengths.agg(
-        F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len")
-    )
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    words = docs.select("doc_id", "db", F.explode_outer(tokens(F.col("text"))).alias("term"))
+    postings = words.groupBy("doc_id", "db", "term").agg(F.count("term").alias("tf"))
+    return index_of(postings)
+
+
+def index_of(postings: DataFrame) -> Bm25Index:
+    lengths = postings.groupBy("doc_id").agg(F.sum("tf").alias("len"))
+    stats = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
+    df = postings.where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return Bm25Index(postings, lengths, stats, df)
 
 
+def stored_index(docs: DataFrame) -> Bm25Index:
+    """An index whose postings are written once; the text is not read again."""
+    return index_of(cut_lineage(build_index(docs).postings))
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """(qid…, term, qtf) of queries(qid…, text); a repeated word counts each time."""
     keys = [c for c in queries.columns if c != "text"]

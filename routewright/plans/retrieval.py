@@ -13,7 +13,7 @@ GRID = [(k1, b) for k1 in (0.9, 1.2, 2.0) for b in (0.4, 0.75)]
 
 
 def _index(spark: SparkSession, d: str) -> r.Bm25Index:
-    return r.build_index(t.documents(spark, d))
+    return r.stored_index(t.documents(spark, d))
 
 
 def _run(spark: SparkSession, d: str, k: int = r.CUTOFF) -> DataFrame:
@@ -21,11 +21,11 @@ def _run(spark: SparkSession, d: str, k: int = r.CUTOFF) -> DataFrame:
 
 
 def bm25_index(spark, d):
-    return _index(spark, d).postings
+    return r.build_index(t.documents(spark, d)).postings.where("term is not null")
 
 
 def bm25_lengths(spark, d):
-    return _index(spark, d).lengths
+    return r.build_index(t.documents(spark, d)).lengths
 
 
 def bm25_search(spark, d):
@@ -100,7 +100,7 @@ def few_shot_docs(spark, d):
 
 def few_shot_examples(spark, d):
     train = _train(spark, d)
-    index = r.build_index(r.few_shot_documents(train))
+    index = r.stored_index(r.few_shot_documents(train))
     return r.few_shot_examples(index, t.questions(spark, d), train, _train_columns(spark, d)).select(
         "qid", "rank", "question", "sql", "db", "tbl", "col"
     )

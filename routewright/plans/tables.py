@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from routewright.functions.text import tokens
 from routewright.operators import catalog, graph, labelling
-from routewright.session import cut_lineage
+from routewright.session import cut_lineage, spread
 
 SEP = "<sep>"
 
@@ -39,7 +39,11 @@ def _lines_by_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def schema_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw dumps with parallel arrays; types omit ``*`` (offset 1)."""
+    """Raw dumps with parallel arrays; types omit ``*`` (offset 1).
+
+    Written first, as a dump is a file: its arrays are then read, not rebuilt
+    for every lookup.
+    """
     orders = _lines_by_order(spark, sf_dir).withColumn(
         "ss", F.array_sort(F.array_distinct(F.transform("ls", lambda x: x["l_suppkey"])))
     )
@@ -52,7 +56,7 @@ def schema_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbered = F.transform("ls", lambda x, i: F.struct(x.alias("x"), (i + 1).alias("j")))
     declared = F.filter(numbered, lambda y: y["x"]["l_returnflag"] == "N")
     again = F.filter(declared, lambda y: y["x"]["l_linestatus"] == "F")
-    return orders.select(
+    dump = orders.select(
         _text("o", F.col("l_orderkey")).alias("db_id"),
         F.transform("ss", lambda s: _text("S", s)).alias("table_names_original"),
         F.transform("ss", lambda s: _text("supplier ", s)).alias("table_names"),
@@ -76,6 +80,7 @@ def schema_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.transform(again, lambda y: F.array(y["j"], F.least(n, F.lit(2)))),
         ).alias("foreign_keys"),
     )
+    return keep(dump)
 
 
 def plain_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,7 +228,8 @@ def returned_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """docs(doc_id, db, text): the source is the database."""
-    return load(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("db"), "text")
+    docs = load(spark, sf_dir, "documents")
+    return spread(docs.select("doc_id", F.col("source").alias("db"), "text"))
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
