@@ -16,7 +16,6 @@ from routewright.plans import registry
 from routewright.session import local_session
 
 HEADLINE = [
-    "bm25_index",
     "bm25_search",
     "pred_schemas",
     "bm25_autotune",
@@ -27,18 +26,12 @@ HEADLINE = [
     "catalog_build",
     "sql_mentions",
     "fk_clique_members",
-    "serialize_schema",
-    "schema_frontier",
     "random_walks",
-    "assemble_synthetic",
     "beam_aggregate",
     "context_random5",
-    "sql_prompt_single",
     "parse_segments",
     "micro_recall",
-    "macro_recall_at_k",
     "precision_recall_curve",
-    "average_precision",
     "paired_t_test",
     "pending_requests",
 ]

@@ -12,8 +12,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from routewright.session import cut_lineage
+
 ROOT = "source"
 
+# A table name that more databases have is handled per distinct list of names.
+HEAVY_NAME = 10_000
+
 
 def tree_edges(columns: DataFrame) -> DataFrame:
     """source -> database and database -> table edges."""
@@ -133,16 +138,21 @@ def table_index(columns: DataFrame) -> DataFrame:
     return columns.select("tbl", "db").distinct()
 
 
-def vote_database(labels: DataFrame, index: DataFrame) -> DataFrame:
+def vote_database(labels: DataFrame, index: DataFrame, heavy: int = HEAVY_NAME) -> DataFrame:
     """(qid, db): database named by most tables of a flat table list.
 
     labels(qid, pos, tbl); ties go to the database seen first, that is by the
     earliest table, then by name. Lists that name no known table get an empty
     database.
+
+    A name that more than ``heavy`` databases have is not joined list by list.
+    It adds its votes to the databases that the list's other names reached; a
+    database reached by heavy names only can win just as the best of its list
+    of heavy names, which is found once per distinct such list.
     """
-    votes = labels.join(index, "tbl").groupBy("qid", "db").agg(
-        F.count(F.lit(1)).alias("votes"), F.min("pos").alias("seen")
-    )
+    many = index.groupBy("tbl").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > heavy)
+    hot = cut_lineage(many.select("tbl"))
+    votes = _heavy_votes(labels, index, hot) if not hot.isEmpty() else _votes(labels, index)
     best = votes.groupBy("qid").agg(
         F.min(F.struct((-F.col("votes")).alias("v"), "seen", "db")).alias("best")
     )
@@ -154,6 +164,48 @@ def vote_database(labels: DataFrame, index: DataFrame) -> DataFrame:
     )
 
 
+def _votes(labels: DataFrame, index: DataFrame) -> DataFrame:
+    return labels.join(index, "tbl").groupBy("qid", "db").agg(
+        F.count(F.lit(1)).alias("votes"), F.min("pos").alias("seen")
+    )
+
+
+def _heavy_votes(labels: DataFrame, index: DataFrame, hot: DataFrame) -> DataFrame:
+    """(qid, db, votes, seen) of every database that can win its list."""
+    light = _votes(labels.join(hot, "tbl", "left_anti"), index)
+    heavy_rows = labels.join(hot, "tbl", "left_semi").select("qid", "pos", "tbl")
+    added = _votes_at(light.select("qid", "db").join(heavy_rows, "qid"), index)
+    reached = (
+        light.unionByName(added)
+        .groupBy("qid", "db")
+        .agg(F.sum("votes").alias("votes"), F.min("seen").alias("seen"))
+    )
+    lists = heavy_rows.groupBy("qid").agg(
+        F.sort_array(F.collect_list(F.struct("pos", "tbl"))).alias("at")
+    ).withColumn("names", F.transform("at", lambda x: x["tbl"]))
+    each = lists.select("names").distinct().select("names", F.posexplode("names").alias("i", "tbl"))
+    per_db = each.join(index, "tbl").groupBy("names", "db").agg(
+        F.count(F.lit(1)).alias("votes"), F.min("i").alias("i")
+    )
+    winner = per_db.groupBy("names").agg(
+        F.min(F.struct((-F.col("votes")).alias("v"), "i", "db")).alias("w")
+    )
+    alone = lists.join(winner, "names").select(
+        "qid",
+        F.col("w.db").alias("db"),
+        (-F.col("w.v")).alias("votes"),
+        F.get(F.col("at"), F.col("w.i"))["pos"].alias("seen"),
+    )
+    return reached.unionByName(alone)
+
+
+def _votes_at(named: DataFrame, index: DataFrame) -> DataFrame:
+    """Votes of (qid, db, pos, tbl) rows whose database really has the table."""
+    return named.join(index, ["tbl", "db"], "left_semi").groupBy("qid", "db").agg(
+        F.count(F.lit(1)).alias("votes"), F.min("pos").alias("seen")
+    )
+
+
 def has_separator(name: Column, separator: str) -> Column:
     """True for a name that would break a serialised schema."""
     return name.contains(separator)

@@ -104,6 +104,25 @@ def test_labels(spark):
     assert voted == {1: "y", 2: "z", 3: ""}
 
 
+def test_votes_with_heavy_names(spark):
+    rng = random.Random(11)
+    has = {f"t{i}": sorted(rng.sample(range(30), 28 if i < 3 else rng.randrange(1, 5))) for i in range(12)}
+    index = spark.createDataFrame([(t, f"d{d:02}") for t, ds in has.items() for d in ds], "tbl string, db string")
+    lists = {q: [f"t{rng.choice([0, 1, 2, *range(13)])}" for _ in range(rng.randrange(1, 6))] for q in range(80)}
+    labels = spark.createDataFrame([(q, p, t) for q, ts in lists.items() for p, t in enumerate(ts)], "qid bigint, pos int, tbl string")
+    want = {}
+    for q, ts in lists.items():
+        votes, seen = collections.Counter(), {}
+        for p, t in enumerate(ts):
+            for d in has.get(t, ()):
+                votes[f"d{d:02}"] += 1
+                seen.setdefault(f"d{d:02}", p)
+        want[q] = min(votes, key=lambda d: (-votes[d], seen[d], d)) if votes else ""
+    for heavy in (1000, 10, 0):
+        got = {r["qid"]: r["db"] for r in graph.vote_database(labels, index, heavy).collect()}
+        assert got == want
+
+
 def walk_rows(spark, cols, members, small, n=3000, walk_len=8):
     starts = spark.range(n).withColumnRenamed("id", "walk_id")
     return synth.random_walks(starts, cols, members, walk_len, small=small).collect()
