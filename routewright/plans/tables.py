@@ -252,13 +252,16 @@ def text_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
         .where(F.size("w") >= SHINGLE)
         .select("qid", joined(F.lit(1)).alias("s"))
     )
-    runs = (
+    # the word runs are built inside the row, so no text is copied per run
+    runs = F.transform(
+        F.sequence(F.lit(1), F.size("w") - SHINGLE + 1), lambda i: joined(i)
+    )
+    shingles = (
         documents(spark, sf_dir)
         .select("doc_id", words.alias("w"))
         .where(F.size("w") >= SHINGLE)
-        .select("doc_id", F.explode(F.sequence(F.lit(1), F.size("w") - SHINGLE + 1)).alias("i"), "w")
+        .select("doc_id", F.explode(runs).alias("s"))
     )
-    shingles = runs.select("doc_id", joined(F.col("i")).alias("s"))
     return shingles.join(heads, "s").select("qid", "doc_id").distinct()
 
 
