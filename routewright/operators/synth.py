@@ -206,6 +206,7 @@ def random_walks(
     with more than ``small`` clique rows are walked by joins instead of in place.
     """
     most = walk_len - 2
+    members = cut_lineage(members)
     sizes = members.groupBy("db").agg(F.count(F.lit(1)).alias("n"))
     large = cut_lineage(sizes.where(F.col("n") > small).select("db"))
     begun = _starts(starts, columns, seed)
