@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routewright.llm import exact_dedup, mixing, packing, url_rules
+from routewright.llm import exact_dedup, mixing, near_dup, packing, url_rules
 from routewright.llm.common import load
 
 
@@ -25,6 +25,10 @@ def op5_heavy_hitter_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(load(spark, sf_dir, "documents"))
 
 
+def op8_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_dup(load(spark, sf_dir, "documents"))
+
+
 def op10_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(load(spark, sf_dir, "documents"))
     return mixed.select(
@@ -39,6 +43,7 @@ QUERIES = {
         op3_association_url_rules,
         op4_power_of_two_packing,
         op5_heavy_hitter_dedup,
+        op8_bbit_minhash,
         op10_pivotal_mixing,
     )
 }
