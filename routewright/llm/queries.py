@@ -5,10 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routewright.llm import exact_dedup, mixing, near_dup, packing, url_rules
+from routewright.llm import (
+    context_mixing,
+    exact_dedup,
+    language_id,
+    mixing,
+    near_dup,
+    packing,
+    quality,
+    url_rules,
+)
 from routewright.llm.common import load
 
 
+def op1_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op3_association_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(load(spark, sf_dir, "pages")).drop("met_tokens")
 
@@ -25,10 +38,18 @@ def op5_heavy_hitter_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(load(spark, sf_dir, "documents"))
 
 
+def op7_crf_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.label(load(spark, sf_dir, "documents"))
+
+
 def op8_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_dup(load(spark, sf_dir, "documents"))
 
 
+def op9_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.score(load(spark, sf_dir, "documents"))
+
+
 def op10_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(load(spark, sf_dir, "documents"))
     return mixed.select(
@@ -40,10 +61,13 @@ def op10_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_bradley_terry_quality,
         op3_association_url_rules,
         op4_power_of_two_packing,
         op5_heavy_hitter_dedup,
+        op7_crf_language_id,
         op8_bbit_minhash,
+        op9_context_mixing,
         op10_pivotal_mixing,
     )
 }
