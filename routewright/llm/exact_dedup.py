@@ -41,7 +41,10 @@ def frequent(ids: DataFrame) -> DataFrame:
     partial = ids.groupBy((F.spark_partition_id() % FAN_IN).alias("part")).agg(
         F.expr(f"approx_top_k_accumulate(digest, {TRACKED})").alias("summary")
     )
-    merged = partial.agg(F.expr(f"approx_top_k_combine(summary, {TRACKED})").alias("summary"))
+    # One group, and not none: a task without rows then makes no empty summary.
+    merged = partial.groupBy((F.col("part") * 0).alias("all")).agg(
+        F.expr(f"approx_top_k_combine(summary, {TRACKED})").alias("summary")
+    )
     top = merged.select(F.explode(F.expr(f"approx_top_k_estimate(summary, {HEAVY})")).alias("t"))
     return top.select(F.col("t.item").alias("digest"))
 
