@@ -81,6 +81,8 @@ def _declared_structs() -> Column:
             F.get(F.col("column_names_original"), F.get(p, F.lit(1))).alias("target"),
         ),
     )
+    # A pair onto the ``*`` pseudo-column names no table and is no key.
+    named = F.filter(named, lambda x: F.get(x["target"], F.lit(0)).cast("int") >= 0)
     return F.transform(
         named,
         lambda x: F.struct(
@@ -242,7 +244,7 @@ def build_catalog(raw: DataFrame, type_offset: int = 0, split_names: bool = Fals
         "col_norm",
         "type",
         F.col("pk_pos").isNotNull().alias("is_pk"),
-        F.coalesce(F.col("declared.fk_tbl"), inferred["tbl"]).alias("fk_tbl"),
+        F.coalesce("declared.fk_tbl", inferred["tbl"]).alias("fk_tbl"),
         F.when(F.col("declared").isNotNull(), F.col("declared.fk_col"))
         .when(inferred.isNotNull(), F.col("col"))
         .alias("fk_col"),

@@ -38,9 +38,13 @@ def tree_edges(columns: DataFrame) -> DataFrame:
 
 
 def clique_members(columns: DataFrame) -> DataFrame:
-    """(db, key, tbl): owner and referencing tables of each key, two or more."""
+    """(db, key, tbl, size): owner and referencing tables of each key, two or more.
+
+    ``key`` holds the referenced table and column side by side, as both may
+    have dots in their names.
+    """
     linked = columns.where("fk_tbl is not null")
-    key = F.concat_ws(".", "fk_tbl", "fk_col").alias("key")
+    key = F.struct("fk_tbl", "fk_col").alias("key")
     members = (
         linked.select("db", key, F.explode(F.array("tbl", "fk_tbl")).alias("tbl")).distinct()
     )
@@ -134,7 +138,7 @@ def check_routes(steps: DataFrame, columns: DataFrame, members: DataFrame) -> Da
 
 
 def table_index(columns: DataFrame) -> DataFrame:
-    """Inverted map as rows: (tbl, db, db_pos), databases in name order."""
+    """Inverted map as rows: (tbl, db)."""
     return columns.select("tbl", "db").distinct()
 
 
@@ -164,6 +168,19 @@ def vote_database(labels: DataFrame, index: DataFrame, heavy: int = HEAVY_NAME)
     )
 
 
+def voted_schema(labels: DataFrame, index: DataFrame) -> DataFrame:
+    """(qid, db, tables): the voted database with the list's tables in order.
+
+    A list that names no known table has an empty database and no tables.
+    """
+    listed = labels.groupBy("qid").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("pos", "tbl"))), lambda x: x["tbl"]).alias("all")
+    )
+    none = F.array().cast("array<string>")
+    tables = F.when(F.col("db") == "", none).otherwise(F.col("all")).alias("tables")
+    return vote_database(labels, index).join(listed, "qid").select("qid", "db", tables)
+
+
 def _votes(labels: DataFrame, index: DataFrame) -> DataFrame:
     return labels.join(index, "tbl").groupBy("qid", "db").agg(
         F.count(F.lit(1)).alias("votes"), F.min("pos").alias("seen")
@@ -273,7 +290,7 @@ def serialise(
     they share are gathered. Children keep catalog order, or a seeded random one.
     """
     tables = mentions.select("qid", "db", "tbl_pos", "tbl").distinct()
-    hub = members.select("db", "key", "tbl")
+    hub = members.select("db", F.to_json("key").alias("key"), "tbl")
     order = F.col("tbl_pos") if seed is None else F.md5(F.concat_ws("|", F.lit(seed), "qid", "tbl"))
     linked = tables.join(hub, ["db", "tbl"], "left").groupBy("qid", "db", "tbl_pos", "tbl").agg(
         F.collect_list(F.when(F.col("key").isNotNull(), F.struct("tbl", "key"))).alias("links")

@@ -1,9 +1,12 @@
 """Which tables and columns a SQL text mentions.
 
-No SQL is parsed. Identifiers are cut out by position (after FROM, JOIN or in a
-FROM list: tables; everything else: columns) and kept only if the question's
-own catalog has them. A column name without its table counts for every
-mentioned table that has it.
+No SQL is parsed. Comments and string literals are cut out in one alternation,
+so none can open inside another; parenthesised parts are lifted out from the
+innermost on and read like statements of their own. What is left of each part
+has flat FROM clauses, whose items start with a table name. All other
+identifiers count as columns. Both are kept only if the question's own catalog
+has them. A column name without its table counts for every mentioned table that
+has it.
 """
 
 from __future__ import annotations
@@ -11,49 +14,84 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# A lifted part leaves this mark, which no identifier holds.
+_MARK = "\ue000"
+
 # The shapes cut out of a statement.
-_LITERAL = r"'(?:[^']|'')*'"
-_COMMENT = r"--[^\n]*|(?s)/\*.*?\*/"
-_CLAUSE_END = (
-    r"(?=\b(?:where|group|order|having|limit|union|intersect|except|on|using|join|inner|left"
-    r"|right|full|cross|natural|select)\b|[();]|$)"
+_QUOTED = r'"[^"]*"|`[^`]*`|\[[^\]]*\]'
+_SKIPPED = rf"({_QUOTED})|'(?:[^']|'')*'|--[^\n]*|/\*(?s:.*?)\*/"
+_INNERMOST = r"\(([^()]*)\)"
+_IDENTIFIER = rf"(?:{_QUOTED}|[^\s,;.\"`\[\]{_MARK}]+)"
+_CLAUSE_END = r"(?=\b(?:where|group|order|having|limit|union|intersect|except|window|select)\b|;|$)"
+_FROM_CLAUSE = rf"(?s)\bfrom\s+(.*?){_CLAUSE_END}"
+_NEXT_ITEM = r",|\b(?:(?:natural|left|right|full|cross|inner|outer)\s+)*join\b"
+_CHANGED = rf"\b(?:into|update)\s+((?:{_IDENTIFIER}\s*\.\s*)*{_IDENTIFIER})"
+_NAME = rf"^\s*(?:{_IDENTIFIER}\s*\.\s*)*({_IDENTIFIER})"
+_NAME_AND_ALIAS = (
+    rf"^\s*(?:(?:{_IDENTIFIER}\s*\.\s*)*{_IDENTIFIER}|{_MARK})"
+    rf"(?:\s+(?:as\s+)?(?!(?:on|using)\b){_IDENTIFIER})?"
 )
-_FROM_LIST = r"(?is)\bfrom\s+([^();]+?)\s*" + _CLAUSE_END
-_JOIN_ITEM = r"(?is)\bjoin\s+([^\s(),;]+)"
-_TABLE_PLACE = r"(?is)\bfrom\s+[^();]+?\s*" + _CLAUSE_END + r"|\bjoin\s+[^\s(),;]+"
-_QUOTED = r'["`\[]([^"`\]]+)["`\]]'
-_PLAIN = r"(?U)(?:\w+\s*\.\s*)?\b(\w+)\b(?!\s*[(.])"
-_ALIAS = r"(?iU)\bas\s+\w+"
-_LAST_NAME = r'(?U)^\s*(?:["`\[]?[^"`\].\s]+["`\]]?\s*\.\s*)*["`\[]?([^"`\].\s]+)'
+_QUOTED_COLUMN = rf"({_QUOTED})(?!\s*\.)"
+_PLAIN_COLUMN = rf"(?U)(?:\w+\s*\.\s*)?\b(\w+)\b(?!\s*[{_MARK}.])"
+_ALIAS = rf"(?iU)\bas\s+(?:\w+|{_QUOTED})"
+
+
+def _parts(sql: Column) -> Column:
+    """The statement without its parenthesised parts, and those, each flat."""
+    bare = F.lower(F.regexp_replace(sql, _SKIPPED, "$1 "))
+    opened = F.regexp_count(bare, F.lit(r"\("))
+    start = F.struct(bare.alias("text"), F.array().cast("array<string>").alias("parts"))
+
+    def lift(state: Column, _: Column) -> Column:
+        inner = F.regexp_extract_all(state["text"], F.lit(_INNERMOST), F.lit(1))
+        left = F.regexp_replace(state["text"], _INNERMOST, f" {_MARK} ")
+        return F.struct(left.alias("text"), F.concat(state["parts"], inner).alias("parts"))
+
+    # Every round lifts one part at least while a pair of parentheses is left.
+    rounds = F.when(opened > 0, F.sequence(F.lit(1), opened)).otherwise(
+        F.array().cast("array<int>")
+    )
+    lifted = F.aggregate(rounds, start, lift)
+    return F.concat(F.array(lifted["text"]), lifted["parts"])
+
+
+def _items(part: Column) -> Column:
+    """Items of the FROM clauses: a name or a mark, an alias, a condition."""
+    clauses = F.regexp_extract_all(part, F.lit(_FROM_CLAUSE), F.lit(1))
+    return F.flatten(F.transform(clauses, lambda c: F.split(c, _NEXT_ITEM)))
 
 
-def _clean(sql: Column) -> Column:
-    bare = F.regexp_replace(F.regexp_replace(sql, _LITERAL, " "), _COMMENT, " ")
-    return F.lower(bare)
+def _unquoted(name: Column) -> Column:
+    return F.regexp_replace(name, r'^["`\[]|["`\]]$', "")
 
 
 def table_names(sql: Column) -> Column:
     """Distinct lower-cased names in table position."""
-    text = _clean(sql)
-    listed = F.flatten(
-        F.transform(
-            F.regexp_extract_all(text, F.lit(_FROM_LIST), F.lit(1)), lambda s: F.split(s, ",")
+
+    def named(part: Column) -> Column:
+        changed = F.regexp_extract_all(part, F.lit(_CHANGED), F.lit(1))
+        return F.transform(
+            F.concat(_items(part), changed), lambda i: _unquoted(F.regexp_extract(i, _NAME, 1))
         )
-    )
-    joined = F.regexp_extract_all(text, F.lit(_JOIN_ITEM), F.lit(1))
-    names = F.transform(
-        F.concat(listed, joined), lambda s: F.regexp_extract(s, _LAST_NAME, 1)
-    )
+
+    names = F.flatten(F.transform(_parts(sql), named))
     return F.array_distinct(F.filter(names, lambda n: n != ""))
 
 
 def column_names(sql: Column) -> Column:
     """Distinct lower-cased names outside table position."""
-    text = F.regexp_replace(_clean(sql), _TABLE_PLACE, " ")
-    quoted = F.regexp_extract_all(text, F.lit(_QUOTED), F.lit(1))
-    rest = F.regexp_replace(F.regexp_replace(text, _QUOTED, " "), _ALIAS, " ")
-    plain = F.regexp_extract_all(rest, F.lit(_PLAIN), F.lit(1))
-    return F.array_distinct(F.concat(quoted, plain))
+
+    def named(part: Column) -> Column:
+        conditions = F.transform(_items(part), lambda i: F.regexp_replace(i, _NAME_AND_ALIAS, " "))
+        rest = F.concat_ws(" ; ", F.regexp_replace(part, _FROM_CLAUSE, " "), conditions)
+        rest = F.regexp_replace(F.regexp_replace(rest, _CHANGED, " "), _ALIAS, " ")
+        quoted = F.regexp_extract_all(rest, F.lit(_QUOTED_COLUMN), F.lit(1))
+        plain = F.regexp_extract_all(
+            F.regexp_replace(rest, _QUOTED, " "), F.lit(_PLAIN_COLUMN), F.lit(1)
+        )
+        return F.concat(F.transform(quoted, _unquoted), plain)
+
+    return F.array_distinct(F.flatten(F.transform(_parts(sql), named)))
 
 
 def sql_mentions(statements: DataFrame, columns: DataFrame) -> DataFrame:

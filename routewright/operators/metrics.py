@@ -130,89 +130,77 @@ def macro_recall(run: DataFrame, rel: DataFrame, ks: list[int], by: list[str]) -
     return means.select(*by, F.inline(cells))
 
 
-def _rank_flags(
-    run: DataFrame, rel: DataFrame, n: int, by: list[str], questions: DataFrame | None
+def _curves(
+    run: DataFrame, rel: DataFrame, n: int, questions: DataFrame, by: list[str]
 ) -> DataFrame:
-    """(by…, qid, n_gold, flags): for each question the (rank, rel) of its first n documents.
+    """(by…, qid, points): precision and recall of each question at k = 1..n.
 
-    At most n entries per question. questions(by…, qid) adds the ones without
-    any prediction.
+    ``points`` are running sums over the ranks, one pass in the row. A question
+    without any prediction has zeros.
     """
     ranked = first_ranks(run.where(F.col("rank") <= n), rel, by)
-    flags = ranked.groupBy(*by, "qid").agg(
-        F.collect_list(F.struct("rank", "rel")).alias("flags")
-    )
-    if questions is not None:
-        none = F.array().cast("array<struct<rank:int,rel:int>>")
-        flags = questions.select(*by, "qid").join(flags, [*by, "qid"], "left").withColumn(
-            "flags", F.coalesce("flags", none)
-        )
-    return flags.join(_gold_sizes(rel), "qid", "left").withColumn(
+    flags = ranked.groupBy(*by, "qid").agg(F.collect_list(F.struct("rank", "rel")).alias("flags"))
+    asked = questions.select(*by, "qid").join(flags, [*by, "qid"], "left")
+    sized = asked.join(_gold_sizes(rel), "qid", "left").withColumn(
         "n_gold", F.coalesce("n_gold", F.lit(0))
     )
+    # The flag of each rank, -1 where the list has none.
+    at = F.map_from_entries("flags")
+    by_rank = F.transform(
+        F.sequence(F.lit(1), F.lit(n)), lambda k: F.coalesce(F.try_element_at("at", k), F.lit(-1))
+    )
+    start = F.struct(
+        F.lit(0).alias("n"), F.lit(0).alias("tp"),
+        F.array().cast("array<struct<n:int,tp:int>>").alias("seen"),
+    )
 
+    def add(state: Column, flag: Column) -> Column:
+        count = (state["n"] + (flag >= 0).cast("int")).alias("n")
+        hits = (state["tp"] + (flag == 1).cast("int")).alias("tp")
+        return F.struct(count, hits, F.concat(state["seen"], F.array(F.struct(count, hits))).alias("seen"))
 
-def _at_k(flags: Column, n_gold: Column, k: Column) -> Column:
-    """struct(p, r) at cutoff k; 0 where a ratio is empty."""
-    cut = F.filter(flags, lambda f: f["rank"] <= k)
-    tp = F.size(F.filter(cut, lambda f: f["rel"] == 1))
-    return F.struct(
-        F.when(F.size(cut) > 0, tp / F.size(cut)).otherwise(0.0).alias("p"),
-        F.when(n_gold > 0, tp / n_gold).otherwise(0.0).alias("r"),
+    seen = F.aggregate("by_rank", start, add)["seen"]
+    points = F.transform(
+        seen,
+        lambda s: F.struct(
+            F.when(s["n"] > 0, s["tp"] / s["n"]).otherwise(0.0).alias("p"),
+            F.when(F.col("n_gold") > 0, s["tp"] / F.col("n_gold")).otherwise(0.0).alias("r"),
+        ),
+    )
+    return (
+        sized.withColumn("at", at)
+        .withColumn("by_rank", by_rank)
+        .select(*by, "qid", points.alias("points"))
     )
 
 
 def precision_recall_curve(
-    run: DataFrame,
-    rel: DataFrame,
-    by: list[str],
-    n: int = 50,
-    questions: DataFrame | None = None,
+    run: DataFrame, rel: DataFrame, questions: DataFrame, by: list[str], n: int = 50
 ) -> DataFrame:
-    """(by…, k, precision, recall): means over the questions for k = 1..n."""
-    flags = _rank_flags(run, rel, n, by, questions)
-    points = F.transform(
-        F.sequence(F.lit(1), F.lit(n)),
-        lambda k: F.struct(k.alias("k"), _at_k(F.col("flags"), F.col("n_gold"), k).alias("v")),
-    )
+    """(by…, k, precision, recall): means over the questions for k = 1..n.
+
+    questions(by…, qid) names every question that was asked.
+    """
+    curves = _curves(run, rel, n, questions, by)
     return (
-        flags.select(*by, F.inline(points))
-        .groupBy(*by, "k")
-        .agg(
-            rounded(F.avg("v.p")).alias("precision"),
-            rounded(F.avg("v.r")).alias("recall"),
-        )
+        curves.select(*by, F.posexplode("points").alias("at", "v"))
+        .groupBy(*by, (F.col("at") + 1).alias("k"))
+        .agg(rounded(F.avg("v.p")).alias("precision"), rounded(F.avg("v.r")).alias("recall"))
     )
 
 
 def average_precision(
-    run: DataFrame,
-    rel: DataFrame,
-    by: list[str],
-    n: int = 15,
-    questions: DataFrame | None = None,
+    run: DataFrame, rel: DataFrame, questions: DataFrame, by: list[str], n: int = 15
 ) -> DataFrame:
     """(by…, qid, ap): trapezoidal area under (recall, precision), from (0, 1) to k = n."""
-    flags = _rank_flags(run, rel, n, by, questions)
     start = F.struct(F.lit(1.0).alias("p"), F.lit(0.0).alias("r"))
-    points = F.concat(
-        F.array(start),
-        F.transform(
-            F.sequence(F.lit(1), F.lit(n)),
-            lambda k: _at_k(F.col("flags"), F.col("n_gold"), k),
-        ),
-    )
-    areas = F.transform(
-        F.sequence(F.lit(1), F.lit(n)),
-        lambda i: (F.get(F.col("pts"), i)["r"] - F.get(F.col("pts"), i - 1)["r"])
-        * (F.get(F.col("pts"), i)["p"] + F.get(F.col("pts"), i - 1)["p"])
-        / 2,
-    )
-    return flags.withColumn("pts", points).select(
-        *by,
-        "qid",
-        rounded(F.aggregate(areas, F.lit(0.0), lambda a, x: a + x)).alias("ap"),
+    pairs = F.arrays_zip(F.concat(F.array(start), F.col("points")).alias("a"), F.col("points").alias("b"))
+    area = F.aggregate(
+        F.slice(pairs, 1, n),
+        F.lit(0.0),
+        lambda sum_, x: sum_ + (x["b"]["r"] - x["a"]["r"]) * (x["b"]["p"] + x["a"]["p"]) / 2,
     )
+    return _curves(run, rel, n, questions, by).select(*by, "qid", rounded(area).alias("ap"))
 
 
 def map_by_table_count(
@@ -231,19 +219,24 @@ def map_by_table_count(
 def paired_t(scores: DataFrame, base: str, metrics: list[str]) -> DataFrame:
     """(method, metric, n, mean_diff, t, df): paired test of each method against ``base``.
 
-    scores(method, qid, metric columns…). Sums of differences and of their
-    squares need one aggregation; a constant difference has no t.
+    scores(method, qid, metric columns…), one row per method and question. A
+    question's methods meet in one row, so neither side is joined; a constant
+    difference has no t.
     """
-    names = F.array(
-        *[F.struct(F.lit(m).alias("metric"), F.col(m).alias("x")) for m in metrics]
+    met = scores.groupBy("qid").agg(F.collect_list(F.struct("method", *metrics)).alias("all"))
+    ours = F.get(F.filter("all", lambda x: x["method"] == base), F.lit(0))
+    others = (
+        met.withColumn("ours", ours)
+        .where("ours is not null")
+        .select("ours", F.explode(F.filter("all", lambda x: x["method"] != base)).alias("x"))
     )
-    long = scores.select("method", "qid", F.inline(names))
-    ours = long.where(F.col("method") == base).select("qid", "metric", F.col("x").alias("x0"))
-    diff = (
-        long.where(F.col("method") != base)
-        .join(ours, ["qid", "metric"])
-        .withColumn("d", F.col("x0") - F.col("x"))
+    names = F.array(
+        *[
+            F.struct(F.lit(m).alias("metric"), (F.col(f"ours.{m}") - F.col(f"x.{m}")).alias("d"))
+            for m in metrics
+        ]
     )
+    diff = others.select(F.col("x.method").alias("method"), F.inline(names))
     stats = diff.groupBy("method", "metric").agg(
         F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean_diff"), F.stddev_samp("d").alias("sd")
     )
@@ -258,6 +251,10 @@ def paired_t(scores: DataFrame, base: str, metrics: list[str]) -> DataFrame:
     )
 
 
+# From so many degrees of freedom on, t is normal to more digits than are left.
+NORMAL_FROM = 10_000_000
+
+
 def _beta_fraction(a: float, b: float, x: float) -> float:
     """Continued fraction of the incomplete beta function (Lentz's method)."""
     tiny = 1e-300
@@ -276,14 +273,16 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
             step = c * d
             h *= step
         if abs(step - 1.0) < 1e-14:
-            break
-    return h
+            return h
+    raise ArithmeticError(f"no convergence at a={a}, b={b}, x={x}")
 
 
 def t_p_value(t: float | None, df: int) -> float | None:
     """Two-sided p-value of Student's t."""
     if t is None or df < 1:
         return None
+    if df > NORMAL_FROM:
+        return math.erfc(abs(t) / math.sqrt(2))
     a, b, x = df / 2.0, 0.5, df / (df + t * t)
     if x >= 1.0:
         return 1.0
@@ -349,7 +348,8 @@ def dataset_stats(records: DataFrame, columns: DataFrame) -> DataFrame:
     """Counts per dataset as text, ``-`` for an empty split.
 
     records(dataset, split), columns(dataset, db, tbl, col). A split counts all
-    files whose name starts with it.
+    files whose name starts with it. A dataset that only one side knows has
+    empty splits or 0 databases.
     """
 
     def cell(split: str) -> Column:
@@ -366,7 +366,7 @@ def dataset_stats(records: DataFrame, columns: DataFrame) -> DataFrame:
         F.sum("tbls").alias("n_tables"),
         F.sum("cols").alias("n_cols"),
     )
-    return splits.join(sizes, "dataset")
+    return splits.join(sizes, "dataset", "full").fillna("-").fillna(0)
 
 
 def melt_sweep(wide: DataFrame, ids: list[str], value: str) -> DataFrame:

@@ -52,15 +52,15 @@ def assemble_sql(text: Column) -> Column:
 def pick_database(reply: Column, n_schemas: Column) -> Column:
     """Index in the first ``[n]``, kept inside the list; 0 when there is none.
 
-    Digits beyond the integer range mean the last schema.
+    Digits beyond the integer range mean the last schema; an empty list has index 0.
     """
     digits = F.regexp_extract(reply, _CHOICE, 1)
     index = F.coalesce(digits.try_cast("int"), F.when(digits != "", F.lit(2147483647)), F.lit(0))
-    return F.least(index, n_schemas - 1)
+    return F.greatest(F.least(index, n_schemas - 1), F.lit(0))
 
 
 def picked_schema(schemas: Column, reply: Column) -> Column:
-    """The list with only the chosen schema."""
+    """The list with only the chosen schema; an empty list stays empty."""
     return F.slice(schemas, pick_database(reply, F.size(schemas)) + 1, F.lit(1))
 
 

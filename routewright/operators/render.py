@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A database's document is built in parts of at most this many tables.
-TABLES_PER_PART = 64
-
-
 def docs_column(columns: DataFrame) -> DataFrame:
     """(db, tbl, col, text): ``db table column``."""
     return columns.select(
@@ -31,14 +27,7 @@ def docs_table(columns: DataFrame) -> DataFrame:
 
 
 def docs_database(columns: DataFrame) -> DataFrame:
-    """(db, part, text): ``db`` and all its tables with their columns.
-
-    ``tbl_pos`` is the dense position of the table in its database. Databases of
-    more than ``TABLES_PER_PART`` tables continue in further parts, so that no
-    task gathers a giant database; the index counts the parts of a document
-    together.
-    """
-    part = F.floor(F.col("tbl_pos") / TABLES_PER_PART).cast("bigint").alias("part")
+    """(db, text): ``db`` and all its tables with their columns, in catalog order."""
     text = F.array_join(
         F.transform(
             F.sort_array(F.collect_list(F.struct("tbl_pos", "tbl", "tbl_norm", "cols"))),
@@ -46,18 +35,8 @@ def docs_database(columns: DataFrame) -> DataFrame:
         ),
         " ",
     )
-    return (
-        _table_text(columns)
-        .groupBy("db", part)
-        .agg(text.alias("body"))
-        .select(
-            "db",
-            "part",
-            F.when(F.col("part") == 0, F.concat_ws(" ", "db", "body"))
-            .otherwise(F.col("body"))
-            .alias("text"),
-        )
-    )
+    bodies = _table_text(columns).groupBy("db").agg(text.alias("body"))
+    return bodies.select("db", F.concat_ws(" ", "db", "body").alias("text"))
 
 
 def schema_text(schema: Column) -> Column:

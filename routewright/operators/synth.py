@@ -9,8 +9,8 @@ from routewright.functions.draws import draw_below, shuffle_key, unit_draw
 from routewright.functions.positions import number_rows
 from routewright.session import cut_lineage
 
-# A database with at most this many clique rows is walked inside one row.
-SMALL_GRAPH = 256
+# Proposals that one job makes for every walk.
+STEPS_AT_ONCE = 8
 
 
 def cardinalities(instances: DataFrame) -> DataFrame:
@@ -59,26 +59,22 @@ def weighted_draw(
     )
 
 
-def _hub(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Clique slots (db, key, slot, tbl) and each table's share of its keys.
+def _lines(members: DataFrame) -> DataFrame:
+    """(db, tbl, slots, lines, total): each table with its keys on one line.
 
-    The share (db, tbl, key, own, lo, hi, total) lays the other members of all
-    keys of a table on one line [0, total), so one number picks one of them.
+    ``lines`` holds (key, own, lo, hi) in key order and lays the other members of
+    all its keys on [0, total), so one number picks one of them; ``own`` is the
+    table's own number among the key's members. A table has at most as many
+    keys as its database has references to or from it.
     """
     slots = number_rows(members.select("db", "key", "size", "tbl"), ["db", "key"], "tbl", "slot")
-    others = F.col("size") - 1
-    mine = Window.partitionBy("db", "tbl")
-    upto = mine.orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
-    shares = slots.select(
-        "db",
-        "tbl",
-        "key",
-        F.col("slot").alias("own"),
-        (F.sum(others).over(upto) - others).alias("lo"),
-        F.sum(others).over(upto).alias("hi"),
-        F.sum(others).over(mine).alias("total"),
+    upto = Window.partitionBy("db", "tbl").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
+    hi = F.sum(F.col("size") - 1).over(upto)
+    laid = slots.withColumns({"hi": hi, "lo": hi - (F.col("size") - 1)})
+    line = F.struct("key", F.col("slot").alias("own"), "lo", "hi")
+    return laid.groupBy("db", "tbl").agg(
+        F.sort_array(F.collect_list(line)).alias("lines"), F.max("hi").alias("total")
     )
-    return slots.select("db", "key", "slot", "tbl"), shares
 
 
 def _starts(starts: DataFrame, columns: DataFrame, seed: str) -> DataFrame:
@@ -98,96 +94,55 @@ def _starts(starts: DataFrame, columns: DataFrame, seed: str) -> DataFrame:
     )
 
 
-def _walk_small(begun: DataFrame, members: DataFrame, most: int, seed: str) -> DataFrame:
-    """Walks inside databases whose cliques are few enough to travel with the row.
+def _step(state: DataFrame, places: DataFrame, most: int, p: float, q: float, seed: str) -> DataFrame:
+    """One proposal per unfinished walk, accepted or not.
 
-    A step picks from the sorted distinct neighbours of the last table.
+    A pair that shares several keys is met several times on the line, so a pick
+    counts only through the pair's smallest key: all distinct neighbours keep
+    the same chance. ``p`` and ``q`` thin out the proposals as the walk's last
+    step asks.
     """
-    cliques = (
-        members.groupBy("db", "key")
-        .agg(F.collect_list("tbl").alias("tbls"))
-        .groupBy("db")
-        .agg(F.collect_list("tbls").alias("cliques"))
+    going = (F.size("path") < most) & (F.col("total") > 0)
+    pick = draw_below(F.col("total"), F.lit(seed), "walk_id", F.size("path"), "attempt")
+    at = F.get(
+        F.filter("lines", lambda x: (x["lo"] <= F.col("pick")) & (F.col("pick") < x["hi"])), F.lit(0)
+    )
+    offset = F.col("pick") - F.col("at.lo")
+    slot = offset + F.when(offset >= F.col("at.own"), 1).otherwise(0)
+    # Finished walks look for a place that no key has, each its own.
+    aimed = (
+        state.withColumn("pick", F.when(going, pick))
+        .withColumn("at", at)
+        .withColumn("key", F.col("at.key"))
+        .withColumn("slot", F.coalesce(slot, -1 - F.pmod(F.xxhash64("walk_id"), F.lit(1 << 20))))
     )
+    met = aimed.join(places, ["db", "key", "slot"], "left")
+    keys = F.transform("lines", lambda x: x["key"])
+    smaller = F.exists("nxt_lines", lambda x: (x["key"] < F.col("key")) & F.array_contains(keys, x["key"]))
+    near = F.exists("nxt_lines", lambda x: F.array_contains("prev_keys", x["key"]))
+    weight = (
+        F.when(F.col("prev").isNull(), 1.0)
+        .when(F.col("nxt") == F.col("prev"), 1 / p)
+        .when(near, 1.0)
+        .otherwise(1 / q)
+    )
+    luck = unit_draw(F.lit(seed), F.lit("accept"), "walk_id", F.size("path"), "attempt")
+    accepted = F.col("nxt").isNotNull() & ~smaller & (luck * max(1.0, 1 / p, 1 / q) < weight)
 
-    def step(path: Column, i: Column) -> Column:
-        last = F.element_at(path, -1)
-        around = F.flatten(F.filter("cliques", lambda c: F.array_contains(c, last)))
-        near = F.array_sort(F.array_except(around, F.array(last)))
-        moved = F.transform(
-            F.array(near),
-            lambda n: F.concat(
-                path,
-                F.slice(n, F.floor(unit_draw(F.lit(seed), "walk_id", i) * F.size(n)).cast("int") + 1, F.lit(1)),
-            ),
-        )
-        return F.coalesce(F.get(moved, F.lit(0)), path)
-
-    path = F.array("tbl")
-    if most > 1:
-        path = F.aggregate(F.sequence(F.lit(1), F.lit(most - 1)), path, step)
-    return begun.join(cliques, "db", "left").select("walk_id", "db", path.alias("path"))
-
-
-def _walk_large(begun: DataFrame, members: DataFrame, most: int, seed: str) -> DataFrame:
-    """Walks inside databases of any size, one round of joins per step.
-
-    A pair that shares several keys is met several times on the hub's line, so
-    a pick counts only through the pair's smallest key and is drawn again
-    otherwise: all distinct neighbours keep the same chance.
-    """
-    slots, shares = _hub(members)
-    slots, shares = cut_lineage(slots), cut_lineage(shares)
-    hub = slots.select("db", "key", "tbl")
-    state = cut_lineage(
-        begun.select("walk_id", "db", "tbl", F.array("tbl").alias("path"), F.lit(0).alias("attempt"))
+    def after(moved: Column, stayed: str) -> Column:
+        return F.when(F.col("ok"), moved).otherwise(F.col(stayed))
+
+    return met.withColumn("ok", F.coalesce(accepted, F.lit(False))).select(
+        "walk_id",
+        "db",
+        after(F.col("nxt"), "tbl").alias("tbl"),
+        after(F.concat("path", F.array("nxt")), "path").alias("path"),
+        F.when(F.col("ok"), 0).otherwise(F.col("attempt") + 1).alias("attempt"),
+        after(F.col("nxt_lines"), "lines").alias("lines"),
+        after(F.col("nxt_total"), "total").alias("total"),
+        after(F.col("tbl"), "prev").alias("prev"),
+        after(keys, "prev_keys").alias("prev_keys"),
     )
-    done = state.where("false")
-
-    while not state.isEmpty():
-        full = F.size("path") >= most
-        stop = state.where(full)
-        # the picked key is the one whose stretch of the line holds the draw
-        line = state.where(~full).join(shares, ["db", "tbl"], "left").withColumn(
-            "pick", draw_below(F.col("total"), F.lit(seed), "walk_id", F.size("path"), "attempt")
-        )
-        stuck = line.where("total is null").select(*state.columns)
-        offset = F.col("pick") - F.col("lo")
-        hit = line.where("pick >= lo and pick < hi").withColumn(
-            "slot", offset + F.when(offset >= F.col("own"), 1).otherwise(0)
-        )
-        proposed = hit.join(slots.withColumnRenamed("tbl", "nxt"), ["db", "key", "slot"]).select(
-            "walk_id", "db", "tbl", "path", "attempt", "key", "nxt"
-        )
-        smaller = (
-            proposed.select("walk_id", "db", "tbl", "nxt", "key")
-            .join(hub.withColumnRenamed("key", "other"), ["db", "tbl"])
-            .where("other < key")
-            .join(
-                hub.select("db", F.col("key").alias("other"), F.col("tbl").alias("nxt")),
-                ["db", "other", "nxt"],
-                "left_semi",
-            )
-            .select("walk_id")
-            .distinct()
-            .withColumn("again", F.lit(True))
-        )
-        ok = F.col("again").isNull()
-        moved = proposed.join(smaller, "walk_id", "left").select(
-            "walk_id",
-            "db",
-            F.when(ok, F.col("nxt")).otherwise(F.col("tbl")).alias("tbl"),
-            F.when(ok, F.concat("path", F.array("nxt"))).otherwise(F.col("path")).alias("path"),
-            F.when(ok, F.lit(0)).otherwise(F.col("attempt") + 1).alias("attempt"),
-        )
-        tagged = cut_lineage(
-            moved.withColumn("end", F.size("path") >= most).unionByName(
-                stop.unionByName(stuck).withColumn("end", F.lit(True))
-            )
-        )
-        done = done.unionByName(tagged.where("end").drop("end"))
-        state = tagged.where(~F.col("end")).drop("end")
-    return done.select("walk_id", "db", "path")
 
 
 def random_walks(
@@ -196,30 +151,58 @@ def random_walks(
     members: DataFrame,
     walk_len: int,
     seed: str = "walk",
-    small: int = SMALL_GRAPH,
+    p: float = 1.0,
+    q: float = 1.0,
 ) -> DataFrame:
-    """(walk_id, db, path): uniform walks source -> db -> table -> linked table …
+    """(walk_id, db, path): walks source -> db -> table -> linked table …
 
     starts(walk_id). ``walk_len`` counts all nodes, so a path has up to
-    ``walk_len - 2`` tables. Every step picks one of the distinct neighbours with
-    equal chance; a walk ends early at a table without neighbours. Databases
-    with more than ``small`` clique rows are walked by joins instead of in place.
+    ``walk_len - 2`` tables; a walk ends early at a table without neighbours.
+    A step goes to one of the distinct neighbours: back to the last table with
+    weight 1 / p, to a table linked with the last one too (from the first table:
+    to any) with weight 1, elsewhere with weight 1 / q. Every database is walked
+    alike, through its keys, and no pair of tables is listed.
     """
+    return walk_from(_starts(starts, columns, seed), members, walk_len, seed, p, q)
+
+
+def walk_from(
+    begun: DataFrame,
+    members: DataFrame,
+    walk_len: int,
+    seed: str = "walk",
+    p: float = 1.0,
+    q: float = 1.0,
+) -> DataFrame:
+    """(walk_id, db, path) of begun(walk_id, db, tbl), as ``random_walks`` goes on."""
     most = walk_len - 2
-    members = cut_lineage(members)
-    sizes = members.groupBy("db").agg(F.count(F.lit(1)).alias("n"))
-    large = cut_lineage(sizes.where(F.col("n") > small).select("db"))
-    begun = _starts(starts, columns, seed)
-    if large.isEmpty():
-        return _walk_small(begun, members, most, seed)
-    begun = cut_lineage(begun)
-    return _walk_small(
-        begun.join(large, "db", "left_anti"), members.join(large, "db", "left_anti"), most, seed
-    ).unionByName(
-        _walk_large(
-            begun.join(large, "db", "left_semi"), members.join(large, "db", "left_semi"), most, seed
-        )
+    lines = cut_lineage(_lines(cut_lineage(members)))
+    places = cut_lineage(
+        lines.select(
+            "db",
+            F.col("tbl").alias("nxt"),
+            F.col("lines").alias("nxt_lines"),
+            F.col("total").alias("nxt_total"),
+            F.explode("lines").alias("l"),
+        ).select("db", "l.key", F.col("l.own").alias("slot"), "nxt", "nxt_lines", "nxt_total")
+    )
+    state = begun.join(lines, ["db", "tbl"], "left").select(
+        "walk_id",
+        "db",
+        "tbl",
+        F.array("tbl").alias("path"),
+        F.lit(0).alias("attempt"),
+        "lines",
+        "total",
+        F.lit(None).cast("string").alias("prev"),
+        F.transform("lines", lambda x: x["key"]).alias("prev_keys"),
     )
+    while True:
+        for _ in range(STEPS_AT_ONCE):
+            state = _step(state, places, most, p, q, seed)
+        state = cut_lineage(state)
+        if state.where((F.size("path") < most) & (F.col("total") > 0)).isEmpty():
+            return state.select("walk_id", "db", "path")
 
 
 def dedupe_walks(walks: DataFrame) -> DataFrame:

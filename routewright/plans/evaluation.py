@@ -85,12 +85,20 @@ def query_metrics(spark, d):
     return scores.select("method", "qid", *[rounded(F.col(c)).alias(c) for c in ("dr1", "dr5", "tr5", "tr15")])
 
 
+def _asked(spark, d):
+    """(method, qid): every method is asked about every order."""
+    method = F.explode(F.array(F.lit("price"), F.lit("quantity"))).alias("method")
+    return t.gold(spark, d).select(method, "qid")
+
+
 def precision_recall_curve(spark, d):
-    return m.precision_recall_curve(t.ranked_runs(spark, d), t.returned_gold(spark, d), BY)
+    run, rel = t.ranked_runs(spark, d), t.returned_gold(spark, d)
+    return m.precision_recall_curve(run, rel, _asked(spark, d), BY)
 
 
 def average_precision(spark, d):
-    return m.average_precision(t.ranked_runs(spark, d), t.returned_gold(spark, d), BY)
+    run, rel = t.ranked_runs(spark, d), t.returned_gold(spark, d)
+    return m.average_precision(run, rel, _asked(spark, d), BY)
 
 
 def map_by_table_count(spark, d):
@@ -108,15 +116,11 @@ def paired_t_test(spark, d):
 
 
 def paired_t_p_value(spark, d):
-    return m.with_p_values(_tests(spark, d))
-
-
-# Lists of two suppliers, so that a list can hold a part of its database only.
-COMPARE_CUTOFF = 2
+    return m.with_p_values(_tests(spark, d)).withColumn("p", rounded(F.col("p")))
 
 
 def _top_recall(spark, d):
-    run = t.ranked_runs(spark, d).where(F.col("rank") <= COMPARE_CUTOFF)
+    run = t.sure_runs(spark, d)
     of_db = F.min("rank").over(Window.partitionBy("method", "qid", "db"))
     ranked = run.withColumn("db_first", of_db).withColumn(
         "db_rank", F.dense_rank().over(Window.partitionBy("method", "qid").orderBy("db_first"))
@@ -138,9 +142,13 @@ def method_compare_database(spark, d):
     return found.select("method", "qid", rounded(F.col("recall")).alias("recall"))
 
 
+# Finished orders are the validation, open and partly open ones the test.
+STATUSES = {"F": ["F"], "O": ["O", "P"]}
+
+
 def _order_metrics(spark, d, status):
-    """metrics(run, key, value): a customer is a run, its orders of a status the results."""
-    orders = t.load(spark, d, "orders").where(F.col("o_orderstatus") == status)
+    """metrics(run, key, value): a customer is a run, its orders of some statuses the results."""
+    orders = t.load(spark, d, "orders").where(F.col("o_orderstatus").isin(*STATUSES[status]))
     per = orders.groupBy("o_custkey").agg(
         F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("o_totalprice") > 300000, 1)).alias("big")
     )
@@ -285,7 +293,8 @@ ap AS (SELECT method, qid, round(sum((r - r0) * (p + p0) / 2) + 1e-9, 6) AS ap
 )
 
 _TOP = f"""WITH {t.RUNS},
-cut AS (SELECT * FROM runs WHERE rank <= 2),
+cut AS (SELECT * FROM (SELECT *, round(score * 100)::BIGINT AS cents FROM runs)
+  QUALIFY cents * count(*) OVER (PARTITION BY method, qid) >= sum(cents) OVER (PARTITION BY method, qid)),
 head AS (SELECT method, qid, db FROM runs WHERE rank = 1),
 toprec AS (
   SELECT method, qid, coalesce(hits / g, 0) AS recall
@@ -305,14 +314,23 @@ rec AS (
 
 
 def _history(status: str) -> str:
+    names = ", ".join(f"'{s}'" for s in STATUSES[status])
     return f"""SELECT 'c' || o_custkey AS run, unnest(['n', 'big/{status}']) AS key,
   unnest([count(*), count(*) FILTER (o_totalprice > 300000)])::VARCHAR AS value
-FROM orders WHERE o_orderstatus = '{status}' GROUP BY o_custkey"""
+FROM orders WHERE o_orderstatus IN ({names}) GROUP BY o_custkey"""
 
 
 _HISTORY = f"""v AS ({_history('F')}), te AS ({_history('O')}),
 hist AS (SELECT run, key, coalesce(te.value, v.value) AS value FROM v FULL JOIN te USING (run, key))"""
 
+_T_TEST = f"""{_PER_Q},
+long AS (UNPIVOT pq ON dr1, dr5, tr5, tr15 INTO NAME metric VALUE x),
+diff AS (SELECT b.method, metric, a.x - b.x AS d FROM long a JOIN long b USING (qid, metric)
+  WHERE a.method = 'price' AND b.method <> 'price'),
+tests AS (SELECT method, metric, count(*) AS n, round(avg(d) + 1e-9, 6) AS mean_diff,
+  CASE WHEN stddev_samp(d) > 0 THEN round(avg(d) / (stddev_samp(d) / sqrt(count(*))) + 1e-9, 6) END AS t,
+  count(*) - 1 AS df FROM diff GROUP BY ALL)"""
+
 ORACLE = {
     "qrels_column": f"WITH {t.LINES}, {t.GOLD} SELECT DISTINCT qid, db, tbl, col FROM gold",
     "qrels_table": f"WITH {t.LINES}, {t.GOLD} SELECT DISTINCT qid, db, tbl FROM gold",
@@ -337,13 +355,16 @@ FROM pts GROUP BY method, k""",
 size AS (SELECT l_orderkey AS qid, count(DISTINCT l_suppkey) AS n_tables FROM lineitem GROUP BY 1)
 SELECT method, n_tables, round(avg(ap) + 1e-9, 6) AS map, count(*) AS n
 FROM ap JOIN size USING (qid) WHERE n_tables < 20 GROUP BY ALL""",
-    "paired_t_test": f"""{_PER_Q},
-long AS (UNPIVOT pq ON dr1, dr5, tr5, tr15 INTO NAME metric VALUE x),
-diff AS (SELECT b.method, metric, a.x - b.x AS d FROM long a JOIN long b USING (qid, metric)
-  WHERE a.method = 'price' AND b.method <> 'price')
-SELECT method, metric, count(*) AS n, round(avg(d) + 1e-9, 6) AS mean_diff,
-  CASE WHEN stddev_samp(d) > 0 THEN round(avg(d) / (stddev_samp(d) / sqrt(count(*))) + 1e-9, 6) END AS t,
-  count(*) - 1 AS df FROM diff GROUP BY ALL""",
+    "paired_t_test": f"{_T_TEST} SELECT * FROM tests",
+    # Twice the upper tail of the density by Simpson's rule.
+    "paired_t_p_value": f"""{_T_TEST},
+steps AS (SELECT i, CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS w
+  FROM range(4001) r(i)),
+tails AS (SELECT method, metric,
+  2 * sum(w * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi())
+    * pow(1 + pow(abs(t) + i * 0.005, 2) / df, -(df + 1) / 2)) * 0.005 / 3 AS p
+  FROM (SELECT * REPLACE (df::DOUBLE AS df) FROM tests WHERE t IS NOT NULL), steps GROUP BY ALL)
+SELECT tests.*, round(p + 1e-9, 6) AS p FROM tests LEFT JOIN tails USING (method, metric)""",
     "method_compare": f"""{_TOP}
 SELECT a.qid, round(a.recall + 1e-9, 6) AS router_recall, round(b.recall + 1e-9, 6) AS best_other,
   1::BIGINT AS n_perfect

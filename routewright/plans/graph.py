@@ -13,13 +13,17 @@ def graph_tree_edges(spark, d):
     return g.tree_edges(t.plain_columns(spark, d))
 
 
+def _named_key(df):
+    return df.withColumn("key", F.concat_ws(".", "key.fk_tbl", "key.fk_col"))
+
+
 def fk_clique_members(spark, d):
-    return t.members(spark, d)
+    return _named_key(t.members(spark, d))
 
 
 def fk_clique_edges(spark, d):
     """How many edges each clique stands for."""
-    return g.clique_sizes(t.members(spark, d))
+    return _named_key(g.clique_sizes(t.members(spark, d)))
 
 
 def fk_linked_pairs(spark, d):
@@ -60,16 +64,25 @@ def table_to_db_index(spark, d):
     return _part_index(spark, d)
 
 
-def label_vote_db(spark, d):
-    """Each order's parts, and one unknown name, vote for an order."""
-    labels = t.load(spark, d, "lineitem").select(
+def _labels(spark, d):
+    return t.load(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("qid"),
         F.col("l_linenumber").alias("pos"),
         F.when(F.col("l_returnflag") == "A", F.lit("unknown"))
         .otherwise(F.concat(F.lit("p"), F.col("l_partkey").cast("string")))
         .alias("tbl"),
     )
-    return g.vote_database(labels, _part_index(spark, d))
+
+
+def label_vote_db(spark, d):
+    """Each order's parts, and one unknown name, vote for an order."""
+    return g.vote_database(_labels(spark, d), _part_index(spark, d))
+
+
+def label_vote_schema(spark, d):
+    """The same with the tables of the list, none where no name is known."""
+    voted = g.voted_schema(_labels(spark, d), _part_index(spark, d))
+    return voted.select("qid", "db", F.array_join("tables", ",").alias("tables"))
 
 
 def schema_to_label(spark, d):
@@ -125,6 +138,7 @@ QUERIES = {
         deserialize_schema,
         table_to_db_index,
         label_vote_db,
+        label_vote_schema,
         schema_to_label,
         schema_to_label_shuffled,
         separator_guard,
@@ -136,7 +150,37 @@ QUERIES = {
 _CAT = f"WITH {t.CATALOG}"
 _GOLD = f"WITH {t.LINES}, {t.GOLD}"
 
+_VOTES = """WITH idx AS (
+  SELECT DISTINCT 'p' || l_partkey AS tbl, 'o' || l_orderkey AS db FROM lineitem),
+lab AS (SELECT l_orderkey AS qid, l_linenumber AS pos,
+  CASE WHEN l_returnflag = 'A' THEN 'unknown' ELSE 'p' || l_partkey END AS tbl FROM lineitem),
+v AS (SELECT qid, db, count(*) AS n, min(pos) AS seen FROM lab JOIN idx USING (tbl) GROUP BY ALL),
+b AS (SELECT qid, db FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY n DESC, seen, db) AS r
+  FROM v) WHERE r = 1)"""
+
+# The stack as a list: the last table is taken, its unseen neighbours go on top.
+_PREORDER = """
+g AS (SELECT DISTINCT qid, db, tbl_pos, tbl FROM gold),
+pairs AS (SELECT DISTINCT a.qid, a.tbl, b.tbl AS nxt, b.tbl_pos
+  FROM g a JOIN memb x ON x.db = a.db AND x.tbl = a.tbl JOIN memb y ON y.db = x.db AND y.key = x.key
+  JOIN g b ON b.qid = a.qid AND b.tbl = y.tbl WHERE a.tbl <> b.tbl),
+adj AS (SELECT qid, tbl, list(nxt ORDER BY tbl_pos) AS near FROM pairs GROUP BY qid, tbl),
+st AS (
+  SELECT qid, db, list(tbl ORDER BY tbl_pos) AS stack, []::VARCHAR[] AS ord, count(*) AS n, 0 AS i
+  FROM g GROUP BY qid, db
+  UNION ALL
+  SELECT s.qid, db,
+    CASE WHEN old THEN rest ELSE rest || list_filter(coalesce(near, []), lambda x: NOT list_contains(done, x)) END,
+    done, n, i + 1
+  FROM (SELECT qid, db, n, i, stack[len(stack)] AS top, stack[1:len(stack) - 1] AS rest,
+          list_contains(ord, stack[len(stack)]) AS old,
+          CASE WHEN list_contains(ord, stack[len(stack)]) THEN ord ELSE list_append(ord, stack[len(stack)]) END AS done
+        FROM st WHERE len(stack) > 0 AND len(ord) < n) s
+  LEFT JOIN adj ON adj.qid = s.qid AND adj.tbl = s.top)"""
+
 ORACLE = {
+    "serialize_schema": f"""WITH RECURSIVE {t.CATALOG}, {t.GOLD}, {_PREORDER}
+SELECT qid, any_value(db) || '<sep>' || array_to_string(arg_max(ord, i), '<sep>') AS text FROM st GROUP BY qid""",
     "graph_tree_edges": f"""WITH {t.LINES}
 SELECT DISTINCT 'source' AS src, '' AS src_in, db AS dst, 'source' AS dst_in FROM cols
 UNION SELECT DISTINCT db, 'source', tbl, db FROM cols""",
@@ -151,6 +195,10 @@ JOIN memb x ON x.db = a.db AND x.tbl = a.tbl JOIN memb y ON y.db = a.db AND y.tb
 SELECT ok AS qid, (j - 1)::INT AS beam, CASE WHEN rf = 'N' THEN 'o' || ok ELSE 'o' || pk END AS db,
   's' || sk || ',s' || ln AS tables FROM lines""",
     "table_to_db_index": """SELECT DISTINCT 'p' || l_partkey AS tbl, 'o' || l_orderkey AS db FROM lineitem""",
+    "label_vote_schema": f"""{_VOTES}
+SELECT q.qid, coalesce(db, '') AS db, CASE WHEN db IS NULL THEN '' ELSE tables END AS tables
+FROM (SELECT qid, string_agg(tbl, ',' ORDER BY pos, tbl) AS tables FROM lab GROUP BY qid) q
+LEFT JOIN b USING (qid)""",
     "label_vote_db": """WITH idx AS (
   SELECT DISTINCT 'p' || l_partkey AS tbl, 'o' || l_orderkey AS db FROM lineitem),
 lab AS (SELECT l_orderkey AS qid, l_linenumber AS pos,

@@ -200,7 +200,7 @@ ORACLE = {
 SELECT db, tbl, col, db || ' ' || tbl_norm || ' ' || col_norm AS text FROM cols""",
     "docs_table": f"{_TB} SELECT db, tbl, db || ' ' || tbl_norm || ' ' || words AS text FROM tb",
     "docs_database": f"""{_TB}
-SELECT db, 0::BIGINT AS part,
+SELECT db,
   db || ' ' || string_agg(tbl_norm || ' ' || words, ' ' ORDER BY tbl_pos) AS text FROM tb GROUP BY db""",
     "stringize_schema": f"{_META} SELECT qid, db || chr(10) || text AS text FROM meta",
     "question_prompt": f"""{_META}

@@ -75,7 +75,7 @@ def _train(spark, d) -> DataFrame:
     """Every conversation turn is a training question of its conversation."""
     turns = t.load(spark, d, "conversations")
     return turns.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("qid"),
+        (F.col("conv_id") * t.TURNS + F.col("turn")).alias("qid"),
         F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("db"),
         F.col("text").alias("question"),
         F.concat(F.lit("SELECT "), "role").alias("sql"),
@@ -244,10 +244,10 @@ top AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, db) - 1 A
 SELECT b.qid, db_pos, db, tables FROM bench b LEFT JOIN (SELECT * FROM top WHERE db_pos < 5) USING (qid)""",
     "beam_aggregate": f"""{_beams_sql()}
 SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY seen) - 1 AS db_pos, db, tables FROM lst""",
-    "few_shot_docs": """SELECT conv_id * 1000 + turn AS doc_id, 'c' || conv_id AS db, text,
+    "few_shot_docs": f"""SELECT conv_id * {t.TURNS} + turn AS doc_id, 'c' || conv_id AS db, text,
   text AS question, 'SELECT ' || role AS sql FROM conversations""",
     "few_shot_examples": f"""WITH docs AS (
-  SELECT conv_id * 1000 + turn AS doc_id, 'c' || conv_id AS source, text, role, conv_id
+  SELECT conv_id * {t.TURNS} + turn AS doc_id, 'c' || conv_id AS source, text, role, conv_id
   FROM conversations), {t.BM25.replace('FROM documents', 'FROM docs')}, {t.BENCH},
 {t.bm25_run('bench', 'qid', 5)}
 SELECT qid, rank::INT AS rank, d.text AS question, 'SELECT ' || d.role AS sql, d.source AS db,

@@ -127,18 +127,29 @@ most AS (SELECT 2 * max(size) AS most FROM tsz),
 tb AS (SELECT db, tbl, {_number('tbl', 'db')} AS tbl_no FROM (SELECT DISTINCT db, tbl FROM cols)),
 dbs AS (SELECT db, n_tbl, {_number('db')} AS db_no, count(*) OVER () AS n_db
   FROM (SELECT db, count(*) AS n_tbl FROM tb GROUP BY db)),
-near AS (SELECT x.db, x.tbl, list_sort(list(DISTINCT y.tbl)) AS tbls
-  FROM memb x JOIN memb y USING (db, key) WHERE x.tbl <> y.tbl GROUP BY x.db, x.tbl),
+slots AS (SELECT db, key, tbl, {_number('tbl', 'db, key')} AS slot,
+  count(*) OVER (PARTITION BY db, key) - 1 AS others FROM memb),
+laid AS (SELECT *, sum(others) OVER (PARTITION BY db, tbl ORDER BY key) AS hi,
+  sum(others) OVER (PARTITION BY db, tbl) AS total FROM slots),
+firsts AS (SELECT x.db, x.tbl, y.tbl AS nxt, min(x.key) AS key
+  FROM memb x JOIN memb y USING (db, key) WHERE x.tbl <> y.tbl GROUP BY x.db, x.tbl, y.tbl),
 s0 AS (SELECT o_orderkey AS walk_id, {_below('n.n_db', "'walk|' || o_orderkey || '|db'")} AS db_no
   FROM orders, (SELECT count(*) AS n_db FROM dbs) n),
 s1 AS (SELECT walk_id, tb.db, tb.tbl FROM s0 JOIN dbs USING (db_no)
   JOIN tb ON tb.db = dbs.db AND tb.tbl_no = {_below('dbs.n_tbl', "'walk|' || walk_id || '|tbl'")}),
 walk AS (
-  SELECT walk_id, db, tbl, [tbl] AS path FROM s1
+  SELECT walk_id, db, tbl, [tbl] AS path, 0 AS attempt FROM s1
   UNION ALL
-  SELECT w.walk_id, w.db, w.nxt, list_append(w.path, w.nxt)
-  FROM (SELECT walk.*, tbls[{_below('len(tbls)', "'walk|' || walk_id || '|' || len(path)")} + 1] AS nxt
-        FROM walk JOIN near USING (db, tbl), most WHERE len(path) < most) w),
+  SELECT walk_id, db, CASE WHEN ok THEN nxt ELSE tbl END, CASE WHEN ok THEN list_append(path, nxt) ELSE path END,
+    CASE WHEN ok THEN 0 ELSE attempt + 1 END
+  FROM (SELECT p.*, slots.tbl AS nxt, f.key = p.key AS ok FROM (
+      SELECT w.*, l.key, l.slot AS own, pick - (l.hi - l.others) AS off FROM (
+        SELECT walk.*, {_below('total', "'walk|' || walk_id || '|' || len(path) || '|' || attempt")} AS pick
+        FROM walk JOIN (SELECT DISTINCT db, tbl, total FROM laid) USING (db, tbl), most
+        WHERE len(path) < most) w
+      JOIN laid l ON l.db = w.db AND l.tbl = w.tbl AND pick >= l.hi - l.others AND pick < l.hi) p
+    JOIN slots ON slots.db = p.db AND slots.key = p.key AND slots.slot = off + (off >= own)::BIGINT
+    JOIN firsts f ON f.db = p.db AND f.tbl = p.tbl AND f.nxt = slots.tbl)),
 walked AS (SELECT walk_id, db, arg_max(path, len(path)) AS path FROM walk GROUP BY walk_id, db)"""
 
 _LINE_WALK = """

@@ -15,6 +15,8 @@ from routewright.operators import catalog, graph, labelling
 from routewright.session import cut_lineage, spread
 
 SEP = "<sep>"
+# A conversation's turns are numbered below this.
+TURNS = 1 << 32
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -176,7 +178,7 @@ def beams(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ranked_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """run(method, qid, db, doc_id, rank): suppliers of an order by price and by quantity.
 
-    The database of a supplier is its nation; lists are cut at 50.
+    The database of a supplier is its nation.
     """
     lines = load(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_partkey"
@@ -194,11 +196,23 @@ def ranked_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("method", "qid").orderBy(
         F.desc("score"), "l_suppkey", "l_partkey"
     )
-    return rows.withColumn("rank", F.row_number().over(order)).where("rank <= 50").select(
-        "method", "qid", "db", _text("s", F.col("l_suppkey")).alias("doc_id"), "rank"
+    return rows.withColumn("rank", F.row_number().over(order)).select(
+        "method", "qid", "db", _text("s", F.col("l_suppkey")).alias("doc_id"), "rank", "score"
     )
 
 
+def sure_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, where a method lists what reaches its mean score only.
+
+    Scores are compared in whole hundredths, whose sums do not depend on order.
+    """
+    mine = Window.partitionBy("method", "qid")
+    cents = F.round(F.col("score") * 100).cast("bigint")
+    found = ranked_runs(spark, sf_dir).withColumn("cents", cents)
+    sums = {"n": F.count(F.lit(1)).over(mine), "total": F.sum("cents").over(mine)}
+    return found.withColumns(sums).where("cents * n >= total").drop("cents", "n", "total")
+
+
 def ranked_databases(run: DataFrame) -> DataFrame:
     """run(method, qid, doc_id, rank) over databases, in first-seen order."""
     seen = run.groupBy("method", "qid", "db").agg(F.min("rank").alias("first"))
@@ -209,19 +223,20 @@ def ranked_databases(run: DataFrame) -> DataFrame:
 
 
 def returned_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(qid, db, doc_id): returned suppliers of the order's first nation with returns."""
+    """(qid, db, doc_id): all returned suppliers of the order; the nation is the database."""
     lines = load(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(
         F.col("l_orderkey").alias("qid"), "l_suppkey"
     )
     suppliers = load(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"
     )
-    rows = lines.join(suppliers, "l_suppkey").distinct()
     return (
-        rows.withColumn("g", F.min("s_nationkey").over(Window.partitionBy("qid")))
-        .where("g = s_nationkey")
+        lines.join(suppliers, "l_suppkey")
+        .distinct()
         .select(
-            "qid", _text("n", F.col("g")).alias("db"), _text("s", F.col("l_suppkey")).alias("doc_id")
+            "qid",
+            _text("n", F.col("s_nationkey")).alias("db"),
+            _text("s", F.col("l_suppkey")).alias("doc_id"),
         )
     )
 
@@ -359,21 +374,17 @@ scored AS (
   FROM lineitem JOIN supplier ON s_suppkey = l_suppkey,
        (VALUES ('price'), ('quantity')) m(method)),
 runs AS (
-  SELECT method, qid, db, 's' || l_suppkey AS doc_id, rank FROM (
-    SELECT *, row_number() OVER (PARTITION BY method, qid
-      ORDER BY score DESC, l_suppkey, l_partkey) AS rank FROM scored) WHERE rank <= 50),
+  SELECT method, qid, db, 's' || l_suppkey AS doc_id, score, row_number() OVER (PARTITION BY method, qid
+    ORDER BY score DESC, l_suppkey, l_partkey) AS rank FROM scored),
 first AS (
   SELECT method, qid, doc_id, min(db) AS db, min(rank) AS rank FROM runs GROUP BY ALL),
 dbfirst AS (
   SELECT method, qid, db AS doc_id,
          row_number() OVER (PARTITION BY method, qid ORDER BY min(rank)) AS rank
   FROM runs GROUP BY method, qid, db),
-back AS (
-  SELECT DISTINCT l_orderkey AS qid, l_suppkey, s_nationkey,
-         min(s_nationkey) OVER (PARTITION BY l_orderkey) AS g
-  FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_returnflag = 'R'),
 rel AS (
-  SELECT qid, 'n' || g AS db, 's' || l_suppkey AS doc_id FROM back WHERE g = s_nationkey),
+  SELECT DISTINCT l_orderkey AS qid, 'n' || s_nationkey AS db, 's' || l_suppkey AS doc_id
+  FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_returnflag = 'R'),
 dbrel AS (SELECT DISTINCT qid, db AS doc_id FROM rel)"""
 
 WORDS = r"""list_filter(regexp_split_to_array(lower({text}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"""

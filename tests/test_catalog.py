@@ -114,15 +114,14 @@ def test_synonym_rule_renames_question(spark):
     assert sorted(catalog.reshape_records(raw, "synonym").columns) == ["db", "question", "sql"]
 
 
-def test_database_document_continues_in_parts(spark):
-    n = render.TABLES_PER_PART + 3
+def test_database_document_is_one_row(spark):
+    n = 200
     rows = [("d", i, f"t{i}", f"t{i}", 0, "c", f"c{i}") for i in range(n)]
     cols = spark.createDataFrame(
         rows, "db string, tbl_pos bigint, tbl string, tbl_norm string, col_pos bigint, col string, col_norm string"
     )
-    parts = [r["text"] for r in render.docs_database(cols).orderBy("part").collect()]
     whole = "d " + " ".join(f"t{i} c{i}" for i in range(n))
-    assert len(parts) == 2 and " ".join(parts) == whole
+    assert [r["text"] for r in render.docs_database(cols).collect()] == [whole]
 
 
 def test_gold_columns_and_nesting(spark):

@@ -103,13 +103,13 @@ def test_macro_recall_counts_unanswered(spark):
 def test_curve_and_average_precision(spark):
     lists, gold, run, rel = random_run(spark)
     questions = spark.createDataFrame([("m", q) for q in lists], "method string, qid bigint")
-    curve = m.precision_recall_curve(run, rel, ["method"], 50, questions).collect()
+    curve = m.precision_recall_curve(run, rel, questions, ["method"], 50).collect()
     assert len(curve) == 50
     for r in curve:
         rows = [at(lists, gold, q, r["k"]) for q in lists]
         assert r["precision"] == pytest.approx(sum(x[2] for x in rows) / len(rows), abs=1e-5)
         assert r["recall"] == pytest.approx(sum(x[3] for x in rows) / len(rows), abs=1e-5)
-    for r in m.average_precision(run, rel, ["method"], 15, questions).collect():
+    for r in m.average_precision(run, rel, questions, ["method"], 15).collect():
         pts = [(1.0, 0.0)] + [at(lists, gold, r["qid"], k)[2:] for k in range(1, 16)]
         area = sum((b[1] - a[1]) * (a[0] + b[0]) / 2 for a, b in zip(pts, pts[1:]))
         assert r["ap"] == pytest.approx(area, abs=1e-5)

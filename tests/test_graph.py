@@ -123,9 +123,9 @@ def test_votes_with_heavy_names(spark):
         assert got == want
 
 
-def walk_rows(spark, cols, members, small, n=3000, walk_len=8):
+def walk_rows(spark, cols, members, n=3000, walk_len=8, **options):
     starts = spark.range(n).withColumnRenamed("id", "walk_id")
-    return synth.random_walks(starts, cols, members, walk_len, small=small).collect()
+    return synth.random_walks(starts, cols, members, walk_len, **options).collect()
 
 
 def check_walks(rows, near, n, walk_len):
@@ -148,20 +148,61 @@ def check_walks(rows, near, n, walk_len):
             assert chi < degree + 6 * (2 * degree) ** 0.5 + 6
 
 
-def test_walks_in_place(spark):
+def test_walks_visit_distinct_neighbours_alike(spark):
     cols, members, near = fixture(spark, seed=7)
-    check_walks(walk_rows(spark, cols, members, small=10_000), near, 3000, 8)
+    check_walks(walk_rows(spark, cols, members), near, 3000, 8)
 
 
-def test_walks_by_joins(spark):
+def test_giant_clique_does_not_change_other_walks(spark):
+    """One key that 400 tables share, in a database of its own."""
     cols, members, near = fixture(spark, seed=7)
-    check_walks(walk_rows(spark, cols, members, small=0, walk_len=5), near, 3000, 5)
+    n = 400
+    more = spark.createDataFrame(
+        [("giant", i, f"g{i}", 0, "c", "g0", "id") for i in range(n)],
+        "db string, tbl_pos bigint, tbl string, col_pos bigint, col string, fk_tbl string, fk_col string",
+    )
+    starts = spark.range(300).withColumnRenamed("id", "walk_id")
+    small = synth._starts(starts, cols, "walk")
+    walks = synth.random_walks(starts, more, graph.clique_members(more), 6).collect()
+    assert len(walks) == 300 and all(len(r["path"]) == 4 for r in walks)
+    assert all(a != b for r in walks for a, b in zip(r["path"], r["path"][1:]))
+    assert len({t for r in walks for t in r["path"]}) > 300
+    # The same starts walk the same way whether or not the giant is there.
+    alone = synth.walk_from(small, members, 6).collect()
+    both = synth.walk_from(small, members.unionByName(graph.clique_members(more)), 6).collect()
+    assert sorted(alone) == sorted(both)
+
+
+def test_walks_return_or_wander_as_weighted(spark):
+    """A ring with a chord: back, near and far steps by their weights."""
+    ring = [("r", i, f"t{i}", j, "c", f"t{k}", f"k{i}{k}") for i in range(6)
+            for j, k in enumerate([(i + 1) % 6, (i + 2) % 6])]
+    cols = spark.createDataFrame(
+        ring, "db string, tbl_pos bigint, tbl string, col_pos bigint, col string, fk_tbl string, fk_col string"
+    )
+    members = graph.clique_members(cols)
+    near = {i: {(i + d) % 6 for d in (1, 2, -1, -2)} for i in range(6)}
+    kinds = collections.Counter()
+    for r in walk_rows(spark, cols, members, n=3000, walk_len=6, p=0.25, q=4.0):
+        path = [int(t[1:]) for t in r["path"]]
+        for a, b, c in zip(path, path[1:], path[2:]):
+            kinds["back" if c == a else "near" if c in near[a] else "far"] += 1
+    shares = {k: n / sum(kinds.values()) for k, n in kinds.items()}
+    # Of four neighbours one is the last table; two or one are linked with it too.
+    weights = collections.Counter()
+    for a in range(6):
+        for b in near[a]:
+            w = {c: 4.0 if c == a else 1.0 if c in near[a] else 0.25 for c in near[b]}
+            for c, x in w.items():
+                weights["back" if c == a else "near" if c in near[a] else "far"] += x / sum(w.values()) / 24
+    for k, w in weights.items():
+        assert abs(shares.get(k, 0) - w) < 0.03
 
 
 def test_walks_do_not_depend_on_partitioning(spark):
     cols, members, _ = fixture(spark)
-    a = walk_rows(spark, cols.repartition(1), members.repartition(1), 10_000, 200)
-    b = walk_rows(spark, cols.repartition(17), members.repartition(17), 10_000, 200)
+    a = walk_rows(spark, cols.repartition(1), members.repartition(1), 200)
+    b = walk_rows(spark, cols.repartition(17), members.repartition(17), 200)
     assert sorted(a) == sorted(b)
 
 
