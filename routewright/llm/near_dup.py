@@ -10,9 +10,13 @@ No key's members are paired with each other:
 
 1. Each member is paired with the smallest member of its key only. The best of
    these pairs by estimate are confirmed and joined to components.
-2. Where a key still spans several components, members of different ones are
-   compared by bit counts inside blocks of bounded size, and what could be
-   similar is confirmed. No pair that shares a key and could still join two
+2. Where a key still spans several components, their members are compared by
+   bit counts inside blocks of bounded size. Each component puts forward its
+   best pairs with others, as long as this joins any.
+3. Where that ends, the blocks are gone through once more with the members'
+   texts, and every pair of different components that the estimate does not
+   rule out is compared in full, inside the block. Only links leave it, one for
+   a member and a component. No pair that shares a key and could join two
    components stays untested.
 
 A link is missed if no band agrees, or if the estimate is five standard
@@ -49,8 +53,10 @@ BITS = 4
 LONGS = -(-MINIMA // 16)
 # Pairs of a document that the first round confirms: the best by estimate.
 FIRST_PAIRS = 3
-# Members that a block compares with others.
-BLOCK = 2048
+# Pairs that a component of a block puts forward in each further round.
+BEST_PAIRS = 2
+# A block's size: a member counts one, and one more for each UNIT of its shingles.
+BLOCK, UNIT = 4096, 128
 
 _CHANCE = 1 / (1 << BITS)
 _AT_LIMIT = PERCENT / 100 * (1 - _CHANCE) + _CHANCE
@@ -199,9 +205,11 @@ def hub_pairs(met: DataFrame, nodes: DataFrame) -> DataFrame:
     return placed.where(F.col("place") <= FIRST_PAIRS).select("a", "b")
 
 
-def _open_blocks(met: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
+def _open_blocks(met: DataFrame, roots: DataFrame, carried: DataFrame) -> DataFrame:
     """(members): blocks that hold all pairs of a key's members in different components.
 
+    ``carried`` is what a member brings along, by node.
+
     Members in the component of the key's hub are dealt to blocks once; only the
     others, which are few, are copied to each block.
     """
@@ -216,11 +224,12 @@ def _open_blocks(met: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFram
             "node",
             F.coalesce("root", "node").alias("root"),
             (F.coalesce("root", "node") != F.coalesce("hub_root", "hub")).alias("other"),
+            "weight",
         )
         .withColumns(
             {
-                "others": F.sum(F.col("other").cast("int")).over(group),
-                "mains": F.sum((~F.col("other")).cast("int")).over(group),
+                "others": F.sum(F.when(F.col("other"), F.col("weight"))).over(group),
+                "mains": F.sum(F.when(~F.col("other"), F.col("weight"))).over(group),
             }
         )
         .where("others > 0")
@@ -243,37 +252,91 @@ def _open_blocks(met: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFram
             "block", F.explode(F.when(F.col("other"), F.concat(to_mains, to_others)).otherwise(from_main))
         )
         .select("key", "block", "node", "root")
-        .join(nodes.select("node", "sketch"), "node")
+        .join(carried, "node")
     )
-    return dealt.groupBy("key", "block").agg(
-        F.collect_list(F.struct("node", "root", "sketch")).alias("members")
-    ).select("members")
+    member = F.struct("node", "root", *[c for c in carried.columns if c != "node"])
+    return dealt.groupBy("key", "block").agg(F.collect_list(member).alias("members")).select("members")
 
 
-def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components that the estimate does not rule out."""
+def _blocks(batches: Iterator[pa.RecordBatch]):
+    """(members, nodes, component codes, sketches) of each block."""
     for batch in batches:
-        lists = batch.column("members")
-        flat, at = lists.flatten(), lists.offsets.to_numpy()
-        at = at - at[0]
-        node = np.array(flat.field("node").to_pylist(), dtype=object)
-        code, _ = coded(flat.field("root"))
-        sketch = flat.field("sketch").flatten().to_numpy().reshape(-1, LONGS).view(np.uint64)
-        a, b = [], []
-        for lo, hi in zip(at[:-1], at[1:], strict=True):
-            for i in range(lo, hi, 64):
-                rows = np.arange(i, min(i + 64, hi))
-                near = _estimates(sketch[rows], sketch[lo:hi]) >= LEAST_ESTIMATE
-                near &= code[rows][:, None] != code[None, lo:hi]
-                x, y = np.nonzero(near)
-                x, y = rows[x], y + lo
-                a.extend(node[x[x < y]])
-                b.extend(node[y[x < y]])
-        low = [min(p) for p in zip(a, b, strict=True)]
-        high = [max(p) for p in zip(a, b, strict=True)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(low, pa.binary()), pa.array(high, pa.binary())], names=["a", "b"]
-        )
+        for i in range(batch.num_rows):
+            flat = batch.column("members").slice(i, 1).flatten()
+            node = np.array(flat.field("node").to_pylist(), dtype=object)
+            code, _ = coded(flat.field("root"))
+            sketch = flat.field("sketch").flatten().to_numpy().reshape(-1, LONGS).view(np.uint64)
+            yield flat, node, code, sketch
+
+
+def _guesses(sketch: np.ndarray, code: np.ndarray):
+    """(rows, estimates) of some rows at a time against all, -1 inside a component."""
+    for i in range(0, len(sketch), 64):
+        rows = np.arange(i, min(i + 64, len(sketch)))
+        guess = _estimates(sketch[rows], sketch)
+        guess[code[rows][:, None] == code[None]] = -1
+        yield rows, guess
+
+
+def _pairs(a, b) -> pa.RecordBatch:
+    low = [min(p) for p in zip(a, b, strict=True)]
+    high = [max(p) for p in zip(a, b, strict=True)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(low, pa.binary()), pa.array(high, pa.binary())], names=["a", "b"]
+    )
+
+
+def _best_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The most similar pairs that each component of a block has with others."""
+    for _, node, code, sketch in _blocks(batches):
+        best = [(guess.argmax(axis=1), guess.max(axis=1)) for _, guess in _guesses(sketch, code)]
+        y, guess = (np.concatenate(c) for c in zip(*best, strict=True))
+        order = np.lexsort((-guess, code))
+        place = np.arange(len(order)) - np.searchsorted(code[order], code[order])
+        x = order[(place < BEST_PAIRS) & (guess[order] >= LEAST_ESTIMATE)]
+        yield _pairs(node[x], node[y[x]])
+
+
+class _Shared:
+    """Intersections of a block's sets, by bits of the shingles that several have."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(s) for s in sets])
+        _, code, uses = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        column = np.where(uses > 1, np.cumsum(uses > 1) - 1, -1)[code]
+        row = np.repeat(np.arange(len(sets)), self.size)
+        self._bits = np.zeros((len(sets), int((uses > 1).sum()) // 64 + 1), dtype=np.uint64)
+        full = column >= 0
+        bit = np.uint64(1) << (column[full] % 64).astype(np.uint64)
+        np.bitwise_or.at(self._bits, (row[full], column[full] // 64), bit)
+
+    def linked(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Which pairs of places are links."""
+        both = np.empty(len(x), dtype=np.int64)
+        step = max(1, (1 << 21) // self._bits.shape[1])
+        for a in range(0, len(x), step):
+            some = slice(a, a + step)
+            both[some] = np.bitwise_count(self._bits[x[some]] & self._bits[y[some]]).sum(
+                axis=1, dtype=np.int64
+            )
+        return 100 * both >= PERCENT * (self.size[x] + self.size[y] - both)
+
+
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between components, one for a member and a component."""
+    for flat, node, code, sketch in _blocks(batches):
+        shared, a, b = None, [], []
+        for rows, guess in _guesses(sketch, code):
+            x, y = np.nonzero(guess >= LEAST_ESTIMATE)
+            x = rows[x]
+            x, y = x[x < y], y[x < y]
+            if len(x):
+                shared = shared or _Shared(shingle_sets(flat.field("text")))
+                link = shared.linked(x, y)
+                _, first = np.unique(x[link] * len(node) + code[y[link]], return_index=True)
+                a.extend(node[x[link][first]])
+                b.extend(node[y[link][first]])
+        yield _pairs(a, b)
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,13 +369,23 @@ def groups(docs: DataFrame) -> DataFrame:
     """(doc_id, f1, f2, node, n_shingles, root, component_id): one row per document."""
     rows = cut_lineage(sketches(docs))
     nodes = cut_lineage(rows.where("node is not null").dropDuplicates(["node"]))
-    met = cut_lineage(meetings(nodes))
+    weight = (1 + F.col("n_shingles") / UNIT).alias("weight")
+    met = cut_lineage(meetings(nodes).join(nodes.select("node", weight), "node"))
     wanted = nodes.select("node", "doc_id", "f1", "f2").join(met.select("node").distinct(), "node")
     texts = cut_lineage(_texts(docs, wanted))
+
     links = confirmed(hub_pairs(met, nodes), texts)
     roots = components(links)
-    crossing = _open_blocks(met, roots, nodes).mapInArrow(_cross_pairs, "a binary, b binary")
-    late = confirmed(cut_lineage(crossing.distinct()), texts)
+    sketch = nodes.select("node", "sketch")
+    while True:
+        best = _open_blocks(met, roots, sketch).mapInArrow(_best_pairs, "a binary, b binary")
+        more = confirmed(cut_lineage(best.distinct()), texts)
+        if more.isEmpty():
+            break
+        links = links.union(more)
+        roots = components(links)
+    blocks = _open_blocks(met, roots, sketch.join(texts, "node"))
+    late = blocks.mapInArrow(_block_links, "a binary, b binary")
     roots = components(links.union(late))
     least = cut_lineage(
         rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("own_id"))
