@@ -104,6 +104,23 @@ def flatten_dump(raw: DataFrame, type_offset: int = 0) -> DataFrame:
     return raw.select(F.col("db_id").alias("db"), F.inline(_column_structs(type_offset)))
 
 
+def flatten_tables(raw: DataFrame) -> DataFrame:
+    """(db, tbl_pos, tbl, tbl_norm) of every table, also of those without columns."""
+    return raw.select(
+        F.col("db_id").alias("db"),
+        F.inline(
+            F.transform(
+                "table_names_original",
+                lambda t, i: F.struct(
+                    i.cast("bigint").alias("tbl_pos"),
+                    F.lower(t).alias("tbl"),
+                    F.get("table_names", i).alias("tbl_norm"),
+                ),
+            )
+        ),
+    )
+
+
 def primary_keys(raw: DataFrame) -> DataFrame:
     """(db, col_pos, pk_pos) of the key columns, by their first entry."""
     return (
@@ -318,9 +335,11 @@ def gold_columns(columns: DataFrame, mentions: DataFrame) -> DataFrame:
     )
 
 
-def nest_catalog(columns: DataFrame) -> DataFrame:
+def nest_catalog(columns: DataFrame, tables: DataFrame | None = None) -> DataFrame:
     """catalog(db, tables): one row per database, in catalog order.
 
+    tables(db, tbl_pos, tbl, tbl_norm) adds those that have no column.
+
     Columns are gathered per table first, then tables per database. The record
     format is one database per row, so its size is the database's own.
     """
@@ -339,11 +358,18 @@ def nest_catalog(columns: DataFrame) -> DataFrame:
     per_table = columns.groupBy("db", "tbl_pos", "tbl", "tbl_norm").agg(
         F.sort_array(F.collect_list(column)).alias("columns")
     )
+    if tables is not None:
+        names = ["db", "tbl_pos", "tbl", "tbl_norm"]
+        bare = tables.select(*names).join(per_table.select(*names), names, "left_anti")
+        per_table = per_table.unionByName(bare, allowMissingColumns=True)
     table = F.struct(
         F.col("tbl_pos").alias("pos"),
         F.col("tbl").alias("name"),
         F.col("tbl_norm").alias("normalized_name"),
-        F.transform("columns", lambda c: c.dropFields("pos")).alias("columns"),
+        F.transform(
+            F.coalesce("columns", F.array().cast(per_table.schema["columns"].dataType)),
+            lambda c: c.dropFields("pos"),
+        ).alias("columns"),
     )
     return per_table.groupBy("db").agg(
         F.transform(

@@ -23,7 +23,7 @@ _SKIPPED = rf"({_QUOTED})|'(?:[^']|'')*'|--[^\n]*|/\*(?s:.*?)\*/"
 _INNERMOST = r"\(([^()]*)\)"
 _IDENTIFIER = rf"(?:{_QUOTED}|[^\s,;.\"`\[\]{_MARK}]+)"
 _CLAUSE_END = r"(?=\b(?:where|group|order|having|limit|union|intersect|except|window|select)\b|;|$)"
-_FROM_CLAUSE = rf"(?s)\bfrom\s+(.*?){_CLAUSE_END}"
+_FROM_CLAUSE = rf"\bfrom\s+((?:{_QUOTED}|[^\"`\[;])*?){_CLAUSE_END}"
 _NEXT_ITEM = r",|\b(?:(?:natural|left|right|full|cross|inner|outer)\s+)*join\b"
 _CHANGED = rf"\b(?:into|update)\s+((?:{_IDENTIFIER}\s*\.\s*)*{_IDENTIFIER})"
 _NAME = rf"^\s*(?:{_IDENTIFIER}\s*\.\s*)*({_IDENTIFIER})"

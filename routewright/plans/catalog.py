@@ -109,6 +109,11 @@ def sql_mentions(spark, d):
     return labelling.sql_mentions(t.statements(spark, d).select("qid", "db", "sql"), t.plain_columns(spark, d))
 
 
+def sql_mentions_shapes(spark, d):
+    """Sixteen ways to write the statements, from quoted names to nested queries."""
+    return labelling.sql_mentions(t.shaped_statements(spark, d), t.plain_columns(spark, d))
+
+
 def labelled_instances(spark, d):
     nested = labelling.instances(t.statements(spark, d), sql_mentions(spark, d))
     return nested.select(
@@ -147,6 +152,7 @@ QUERIES = {
         instance_reshape,
         quarantine_bad_rows,
         sql_mentions,
+        sql_mentions_shapes,
         labelled_instances,
         gold_only_columns,
     )
@@ -211,6 +217,7 @@ x AS (SELECT qid, CASE WHEN qid % 7 = 3 THEN 'x' || db ELSE db END AS db,
 SELECT *, CASE WHEN sql = '' THEN 'empty sql' WHEN qid % 5 = 1 THEN 'open quote'
   WHEN qid % 7 = 3 THEN 'unknown database' ELSE 'ok' END AS reason FROM x""",
     "sql_mentions": f"WITH {t.LINES}, {MENTIONS} SELECT * FROM ment",
+    "sql_mentions_shapes": f"WITH {t.LINES}, {MENTIONS} SELECT * FROM ment",
     "labelled_instances": f"""WITH {t.LINES}, {STATEMENTS}, {MENTIONS},
 tb AS (SELECT qid, tbl_pos, tbl || '(' || coalesce(string_agg(col, ',' ORDER BY col_pos), '') || ')' AS s
   FROM ment GROUP BY qid, tbl_pos, tbl),

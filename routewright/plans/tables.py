@@ -125,6 +125,52 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def shaped_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(qid, db, sql): the same mentions in the ways SQL can write them, by turns."""
+    back = F.filter("ls", lambda x: x["l_returnflag"] == "R")
+    named = F.exists(back, lambda x: x["l_linestatus"] == "F")
+    orders = _lines_by_order(spark, sf_dir).select(
+        F.col("l_orderkey").alias("qid"),
+        F.array_distinct(F.transform(back, lambda x: _text("S", x["l_suppkey"]))).alias("ss"),
+        F.when(named, "SELECT count(*), RF").otherwise("SELECT count(*)").alias("pick"),
+    )
+    one, rest = F.get("ss", F.lit(0)), F.slice("ss", 2, F.size("ss"))
+
+    def listed(of, before: str, after: str = "") -> F.Column:
+        """Each name between ``before`` and ``after``, one after another."""
+        return F.array_join(F.transform(of, lambda s: F.concat(F.lit(before), s, F.lit(after))), "")
+
+    def sql(*parts) -> F.Column:
+        return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+    pick = F.col("pick")
+    shapes = [
+        sql(pick, " FROM ", one, listed(rest, " JOIN ")),
+        sql(pick, " FROM ", one, listed(rest, ", ")),
+        sql(pick, " FROM (SELECT * FROM ", one, ") x", listed(rest, ", ")),
+        sql(pick, " FROM S0x JOIN ", one, " ON S0x.k = k", listed(rest, ", ")),
+        sql(pick, ' FROM "', one, '"', listed(rest, ' JOIN "', '"')),
+        sql(pick, " FROM `", one, "`", listed(rest, ", `", "`")),
+        sql(pick, " FROM [", one, "]", listed(rest, " CROSS JOIN [", "]")),
+        sql(pick, " FROM main.", one, listed(rest, ", main . ")),
+        sql(pick, " -- it's from S0\n FROM ", one, listed(rest, ", "), " WHERE n = 'x'"),
+        sql(pick, " /* don't read\n from S0 */ FROM ", one, listed(rest, " NATURAL LEFT JOIN ")),
+        sql("WITH c AS (SELECT * FROM ", one, ") ", pick, " FROM c", listed(rest, ", ")),
+        sql(pick, " FROM ", one, " WHERE k IN (SELECT k FROM x", listed(rest, " JOIN "), ")"),
+        sql(pick, " FROM ", one, " AS a", listed(rest, " INNER JOIN ", " b ON a.k = b.k")),
+        sql(pick, " FROM ", one, listed(rest, " UNION SELECT 1 FROM ")),
+        sql(pick, " FROM ", one, listed(rest, ", "), " WHERE n = 'it''s FROM S0 JOIN S9'"),
+        sql(pick, " FROM ((SELECT * FROM (SELECT 1 FROM ", one, ") y)) x",
+            listed(rest, " LEFT OUTER JOIN ", " USING (k)")),
+    ]
+    shape = F.element_at(F.array(*shapes), (F.col("qid") % len(shapes) + 1).cast("int"))
+    return orders.select(
+        "qid",
+        _text("o", F.col("qid")).alias("db"),
+        F.when(F.size("ss") > 0, shape).otherwise("").alias("sql"),
+    )
+
+
 def gold_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(qid, db, tbl_pos, tbl, col_pos, col): the returned lines of each order."""
     return (

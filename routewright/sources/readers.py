@@ -64,6 +64,18 @@ def read_catalog(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     )
 
 
+def read_tables(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(db, tbl_pos, tbl, tbl_norm) of the same files, also of tables without columns."""
+    files = spark.read.text(paths, wholetext=True)
+    dbs = files.select(F.explode(F.from_json("value", CATALOG_MAP_DDL)).alias("db", "tables"))
+    return dbs.select("db", F.posexplode("tables").alias("tbl_pos", "t")).select(
+        "db",
+        F.col("tbl_pos").cast("bigint").alias("tbl_pos"),
+        F.col("t.name").alias("tbl"),
+        F.col("t.normalized_name").alias("tbl_norm"),
+    )
+
+
 def read_split_family(
     spark: SparkSession,
     root: str,

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from routewright.operators import catalog, labelling, render
+from routewright.operators import catalog, labelling, parsing, render
 from routewright.sources.readers import DUMP_DDL
 
 DUMP = [
@@ -132,3 +132,57 @@ def test_gold_columns_and_nesting(spark):
     assert [t["name"] for t in nested] == ["item", "sale"]
     assert [c["name"] for c in nested[1]["columns"]] == ["id", "code", "ref"]
     assert nested[1]["columns"][2]["foreign_key"].asDict() == {"table": "item", "column": "code"}
+
+
+def test_statement_shapes(spark):
+    from pyspark.sql import functions as F
+
+    cases = {
+        "FROM `air carriers` JOIN \"order details\"": {"air carriers", "order details"},
+        "SELECT a FROM (SELECT b FROM t1) x, t2": {"t1", "t2"},
+        "SELECT a FROM t1 JOIN t3 ON t1.a = t3.a, t2": {"t1", "t2", "t3"},
+        "SELECT a -- it's here\n FROM t1 WHERE n = 'x'": {"t1"},
+        "WITH c AS (SELECT 1 FROM t1) SELECT * FROM c": {"t1", "c"},
+        "SELECT a FROM s.[t 1] WHERE b IN (SELECT c FROM t2 WHERE d > (SELECT max(e) FROM t3))": {
+            "t 1", "t2", "t3"},
+        "SELECT 'from x' FROM t1 ORDER BY a, b": {"t1"},
+        "INSERT INTO t1 SELECT * FROM t2": {"t1", "t2"},
+        "": set(),
+    }
+    df = spark.createDataFrame([(q,) for q in cases], "sql string")
+    got = df.select("sql", labelling.table_names(F.col("sql")).alias("t")).collect()
+    assert {r["sql"]: set(r["t"]) for r in got} == cases
+    cols = {
+        "SELECT t.a, \"b c\", count(d) FROM t1 x JOIN t2 ON x.e = t2.f WHERE g IN (SELECT h FROM t3)": {
+            "a", "b c", "d", "e", "f", "g", "h"},
+    }
+    df = spark.createDataFrame([(q,) for q in cols], "sql string")
+    for r in df.select("sql", labelling.column_names(F.col("sql")).alias("c")).collect():
+        assert cols[r["sql"]] <= set(r["c"]) and not {"t1", "t2", "t3", "count"} & set(r["c"])
+
+
+def test_declared_pair_onto_the_pseudo_column_is_no_key(spark):
+    *head, keys, pairs = DUMP[0]
+    raw = spark.createDataFrame([(*head, keys, [*pairs, [5, 0], [2, 0]])], DUMP_DDL)
+    rows = {r["col_pos"]: r for r in catalog.build_catalog(raw, type_offset=1).collect()}
+    assert (rows[5]["fk_tbl"], rows[5]["fk_col"]) == ("item", "code")
+    assert rows[2]["fk_tbl"] is None and rows[2]["fk_col"] is None
+
+
+def test_tables_without_columns_stay(spark):
+    *head, keys, pairs = DUMP[0]
+    names = [["Item", "Empty", "Sale"], ["item", "empty one", "sale"]]
+    moved = [[["2" if t == "1" else t, c] for t, c in x] for x in head[3:5]]
+    raw = spark.createDataFrame([(head[0], *names, *moved, head[5], keys, pairs)], DUMP_DDL)
+    tables = catalog.flatten_tables(raw)
+    assert [(r["tbl_pos"], r["tbl"]) for r in tables.collect()] == [(0, "item"), (1, "empty"), (2, "sale")]
+    nested = catalog.nest_catalog(catalog.build_catalog(raw, type_offset=1), tables).first()["tables"]
+    assert [(t["name"], len(t["columns"])) for t in nested] == [("item", 2), ("empty", 0), ("sale", 3)]
+
+
+def test_empty_schema_list_stays_empty(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([([], "[3]"), (["a", "b"], "[9]")], "s array<string>, r string")
+    got = [r[0] for r in df.select(parsing.picked_schema(F.col("s"), F.col("r"))).collect()]
+    assert got == [[], ["b"]]
