@@ -41,12 +41,14 @@ def lower_ascii(col: Column) -> Column:
     return F.translate(col, A_TO_Z, A_TO_Z.lower())
 
 
-def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows with about BATCH_BYTES of text, one row at least."""
+def slices(
+    batch: pa.RecordBatch, text: str = "text", size: int = BATCH_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with about ``size`` bytes of text, one row at least."""
     if not batch.num_rows:
         return
-    size = pc.fill_null(pc.binary_length(batch.column(text)), 0)
-    part = np.cumsum(size.to_numpy(zero_copy_only=False).astype(np.int64)) // BATCH_BYTES
+    own = pc.fill_null(pc.binary_length(batch.column(text)), 0)
+    part = np.cumsum(own.to_numpy(zero_copy_only=False).astype(np.int64)) // size
     cuts = np.flatnonzero(np.diff(part)) + 1
     for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
         yield batch.slice(a, b - a)

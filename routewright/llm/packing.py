@@ -16,10 +16,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +31,11 @@ VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
 LONGEST = 4096
 # Distinct words whose ids a worker remembers; others are encoded again.
-KNOWN_WORDS = 600_000
+KNOWN_WORDS = 200_000
+# Bytes of text that are encoded at once.
+AT_ONCE = 1 << 20
+# The tokenizer's own results are large; they are read off in small lots.
+ENCODED_AT_ONCE = 2048
 
 _PIECES = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids binary"
 
@@ -37,40 +43,57 @@ _PIECES = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids bi
 class WordEncoder:
     """Ids of texts, word by word.
 
-    The tokenizer cuts at white space before it merges, so a word's ids do not
-    depend on its neighbours, and each distinct word of a batch is encoded once.
+    The tokenizer cuts at white space before it merges and takes A-Z for a-z, so
+    a word's ids depend neither on its neighbours nor on that case, and each
+    distinct word of a batch is encoded once. Special tokens keep their case.
     """
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(vocabulary)
-        self._known: dict[str, np.ndarray] = {}
-
-    def _ids(self, distinct: list[str]) -> list[np.ndarray]:
-        new = [w for w in distinct if w not in self._known]
-        fresh: dict[str, np.ndarray] = {}
-        for a in range(0, len(new), 4096):
-            some = new[a : a + 4096]
-            for w, e in zip(
-                some, self._tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True
-            ):
-                fresh[w] = np.array(e.ids, dtype="<u4")
-        out = [self._known[w] if w in self._known else fresh[w] for w in distinct]
-        room = KNOWN_WORDS - len(self._known)
-        for w, _ in zip(new, range(room), strict=False):
-            self._known[w] = fresh[w]
-        return out
+        self._place: dict[str, int] = {}
+        # Ids of the known words one after another, and where each word's begin.
+        self._ids = np.zeros(0, dtype="<u4")
+        self._ends = np.zeros(1, dtype=np.int64)
+
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Their ids one after another, and where each word's begin."""
+        flat, sizes = [np.zeros(0, dtype="<u4")], [np.zeros(0, dtype=np.int64)]
+        for a in range(0, len(words), ENCODED_AT_ONCE):
+            some = words[a : a + ENCODED_AT_ONCE]
+            found = self._tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            ids = [e.ids for e in found]
+            sizes.append(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)))
+            flat.append(np.fromiter(chain.from_iterable(ids), dtype="<u4"))
+        return np.concatenate(flat), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+
+    def _look_up(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids at hand, and where each word's begin and end."""
+        place = np.fromiter(
+            (self._place.get(w, -1) for w in distinct), dtype=np.int64, count=len(distinct)
+        )
+        missing = np.flatnonzero(place < 0)
+        new = [distinct[i] for i in missing]
+        ids, ends = self._encode_words(new)
+        kept = min(len(new), KNOWN_WORDS - len(self._place))
+        known = len(self._place)
+        all_ids = np.concatenate([self._ids, ids])
+        all_ends = np.concatenate([self._ends, self._ends[-1] + ends[1:]])
+        place[missing] = known + np.arange(len(new))
+        for i, w in enumerate(new[:kept]):
+            self._place[w] = known + i
+        self._ends = all_ends[: known + kept + 1].copy()
+        self._ids = all_ids[: self._ends[-1]].copy()
+        return all_ids, all_ends[place], all_ends[place + 1]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Id boundaries per text (one more than texts) and all ids in order."""
         at, words = words_of(texts, lower=False)
-        code, distinct = coded(words)
-        ids = self._ids(distinct)
-        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        flat = np.concatenate(ids) if ids else np.zeros(0, dtype="<u4")
-        first = np.concatenate([[0], np.cumsum(size)])[:-1]
-        n = size[code]
+        special = pc.match_substring(words, "<|")
+        code, distinct = coded(pc.if_else(special, words, pc.ascii_lower(words)))
+        flat, first, last = self._look_up(distinct)
+        n = (last - first)[code]
         ends = np.concatenate([[0], np.cumsum(n)])
         take = np.repeat(first[code] - ends[:-1], n) + np.arange(ends[-1])
         return ends[at], flat[take]
@@ -101,7 +124,7 @@ def decompose(
         encoder = _encoder(vocabulary)
         end = np.array([end_id], dtype="<u4")
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=AT_ONCE):
                 ends, ids = encoder.encode(part.column("text"))
                 rows, starts, lengths, totals, blobs = [], [], [], [], []
                 for i in range(part.num_rows):
