@@ -14,13 +14,14 @@ from routewright.plans import (
     graph,
     rendering,
     retrieval,
+    schema_search,
     sources,
     synthesis,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = [retrieval, evaluation, catalog, graph, synthesis, rendering, context, cost, sources]
+_MODULES = [retrieval, schema_search, evaluation, catalog, graph, synthesis, rendering, context, cost, sources]
 
 
 def queries() -> dict[str, Query]:
