@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from routewright.llm import (
+    chat_snapshots,
     context_mixing,
     exact_dedup,
+    hamming_search,
     language_id,
     mixing,
     near_dup,
@@ -22,6 +24,10 @@ def op1_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op2_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_snapshots.render(load(spark, sf_dir, "conversations"))
+
+
 def op3_association_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(load(spark, sf_dir, "pages")).drop("met_tokens")
 
@@ -38,6 +44,11 @@ def op5_heavy_hitter_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(load(spark, sf_dir, "documents"))
 
 
+def op6_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = load(spark, sf_dir, "embeddings")
+    return hamming_search.search(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op7_crf_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.label(load(spark, sf_dir, "documents"))
 
@@ -62,9 +73,11 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_bradley_terry_quality,
+        op2_snapshot_collapse,
         op3_association_url_rules,
         op4_power_of_two_packing,
         op5_heavy_hitter_dedup,
+        op6_multi_index_hashing,
         op7_crf_language_id,
         op8_bbit_minhash,
         op9_context_mixing,
@@ -73,6 +86,26 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op2_snapshot_collapse": """
+WITH t0 AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM t0),
+c AS (SELECT conv_id, list({'r': role, 't': text} ORDER BY pos) AS said FROM t GROUP BY conv_id),
+begun AS (SELECT DISTINCT said[1:n] AS said FROM (SELECT said, unnest(range(1, len(said))) AS n FROM c)),
+kept AS (SELECT min(conv_id) AS conv_id, len(said) AS n_turns FROM c
+  WHERE said NOT IN (SELECT said FROM begun) GROUP BY said)
+SELECT conv_id, (pos - 1) // 1024 AS part, n_turns,
+  string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY pos) AS text
+FROM t JOIN kept USING (conv_id) GROUP BY ALL""",
+    "op6_multi_index_hashing": """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: coalesce(x > 0 AND NOT isnan(x), FALSE)) AS code
+  FROM embeddings WHERE len(embedding) = 64),
+d AS (SELECT q.vec_id AS query_id, v.vec_id,
+    len(list_filter(list_zip(q.code, v.code), lambda x: x[1] <> x[2]))::INT AS distance
+  FROM e q, e v WHERE q.vec_id % 50 = 0)
+SELECT query_id, vec_id, distance, rank::INT AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id NULLS LAST) AS rank FROM d)
+WHERE rank <= 10""",
     "op5_heavy_hitter_dedup": """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
   doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
