@@ -75,8 +75,11 @@ def _labels(spark, d):
 
 
 def label_vote_db(spark, d):
-    """Each order's parts, and one unknown name, vote for an order."""
-    return g.vote_database(_labels(spark, d), _part_index(spark, d))
+    """Each order's parts, and one unknown name, vote for an order.
+
+    About half of the names count as heavy, so both ways of voting are checked.
+    """
+    return g.vote_database(_labels(spark, d), _part_index(spark, d), heavy=30)
 
 
 def label_vote_schema(spark, d):

@@ -297,33 +297,38 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
 
 
+# Words in a row that tell a passage.
 SHINGLE = 8
 
 
-def text_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(qid, doc_id): documents that hold the first eight words of an item in a row."""
-    words = tokens(F.col("text"))
+def _runs(words: F.Column, n: F.Column) -> F.Column:
+    """All runs of n words, built inside the row, so no text is copied per run."""
+    starts = F.sequence(F.lit(1), F.size(words) - n + 1)
+    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+
 
-    def joined(start):
-        return F.array_join(F.slice(F.col("w"), start, F.lit(SHINGLE)), " ")
+def text_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(qid, doc_id): documents that share a run of eight words with an item.
 
-    heads = (
+    An item of fewer words is one run.
+    """
+    items = (
         questions(spark, sf_dir)
-        .select("qid", words.alias("w"))
-        .where(F.size("w") >= SHINGLE)
-        .select("qid", joined(F.lit(1)).alias("s"))
-    )
-    # the word runs are built inside the row, so no text is copied per run
-    runs = F.transform(
-        F.sequence(F.lit(1), F.size("w") - SHINGLE + 1), lambda i: joined(i)
+        .select("qid", tokens(F.col("text")).alias("w"))
+        .where(F.size("w") > 0)
+        .withColumn("n", F.least(F.size("w"), F.lit(SHINGLE)))
     )
-    shingles = (
-        documents(spark, sf_dir)
-        .select("doc_id", words.alias("w"))
-        .where(F.size("w") >= SHINGLE)
-        .select("doc_id", F.explode(runs).alias("s"))
+    passages = items.select("qid", F.explode(_runs(F.col("w"), F.col("n"))).alias("s")).distinct()
+    # At most SHINGLE different lengths.
+    lengths = sorted(r["n"] for r in items.select("n").distinct().collect())
+    texts = documents(spark, sf_dir).select("doc_id", tokens(F.col("text")).alias("w"))
+    length = F.explode(F.array(*[F.lit(n) for n in lengths]).cast("array<int>")).alias("n")
+    runs = (
+        texts.select("doc_id", "w", length)
+        .where(F.size("w") >= F.col("n"))
+        .select("doc_id", F.explode(_runs(F.col("w"), F.col("n"))).alias("s"))
     )
-    return shingles.join(heads, "s").select("qid", "doc_id").distinct()
+    return runs.join(passages, "s").select("qid", "doc_id").distinct()
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -466,12 +471,15 @@ run AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {keys}
 BENCH = "bench AS (SELECT item_id AS qid, text FROM benchmark)"
 
 TEXT_REL = f"""
-heads AS (SELECT qid, array_to_string(w[1:{SHINGLE}], ' ') AS s FROM (
-  SELECT item_id AS qid, {words('text')} AS w FROM benchmark) WHERE len(w) >= {SHINGLE}),
+iw AS (SELECT qid, w, least(len(w), {SHINGLE}) AS k FROM (
+  SELECT item_id AS qid, {words('text')} AS w FROM benchmark) WHERE len(w) > 0),
+passages AS (SELECT DISTINCT qid, array_to_string(w[i : i + k - 1], ' ') AS s
+  FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM iw)),
 dw AS (SELECT doc_id, {words('text')} AS w FROM documents),
-grams AS (SELECT doc_id, array_to_string(w[i : i + {SHINGLE - 1}], ' ') AS s
-  FROM (SELECT doc_id, w, unnest(range(1, len(w) - {SHINGLE - 2})) AS i FROM dw WHERE len(w) >= {SHINGLE})),
-trel AS (SELECT DISTINCT qid, doc_id FROM grams JOIN heads USING (s))"""
+grams AS (SELECT doc_id, array_to_string(w[i : i + k - 1], ' ') AS s
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i
+    FROM dw, (SELECT DISTINCT k FROM iw) WHERE len(w) >= k)),
+trel AS (SELECT DISTINCT qid, doc_id FROM grams JOIN passages USING (s))"""
 
 SEGMENTS = r"""
 seg0 AS (
