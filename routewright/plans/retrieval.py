@@ -135,7 +135,9 @@ def _covered(spark, d) -> DataFrame:
     matrix, q = _matrix(spark, d)
     # the run feeds both the weights and the choice: search once
     matrix = t.keep(matrix)
-    return cover.greedy_cover(matrix, cover.segment_weights(matrix, q))
+    weights = cover.segment_weights(matrix, q)
+    # Equal weights must stay equal, whatever the order of a sum.
+    return cover.greedy_cover(matrix, weights.withColumn("weight", F.round("weight", 6)))
 
 
 def segment_cover_greedy(spark, d):
@@ -231,7 +233,44 @@ _MATRIX = f"""{_SEG},
 best AS (SELECT qid, doc_id, max(score) AS best FROM run GROUP BY ALL),
 nd AS (SELECT qid, count(*) AS n_docs FROM best GROUP BY qid)"""
 
+_WEIGHTS = f"""{_MATRIX},
+full_m AS (
+  SELECT qid, sid, b.doc_id, (coalesce(score, 0) + 1) / 2 AS c
+  FROM segq JOIN best b USING (qid) LEFT JOIN run USING (qid, sid, doc_id)),
+p AS (SELECT *, c / sum(c) OVER (PARTITION BY qid, sid) AS p FROM full_m),
+e AS (SELECT qid, sid, -sum(p * ln(p)) AS entropy FROM p GROUP BY ALL),
+sw AS (SELECT qid, sid, round(entropy, 6) AS entropy,
+  round(1 / (1 + exp(-(avg(entropy) OVER (PARTITION BY qid) - entropy))), 6) AS weight FROM e)"""
+
+# One pick per round: the best cell of an uncovered segment and an unused document.
+_COVER = f"""{_WEIGHTS.replace('WITH ', 'WITH RECURSIVE ', 1)},
+nos AS (SELECT qid, doc_id, any_value(db) AS db,
+  row_number() OVER (PARTITION BY qid ORDER BY min(sid * 1000 + rank)) AS docno FROM run GROUP BY qid, doc_id),
+cells AS (SELECT sw.qid, sw.sid, docno, coalesce((score + 1) / 2, 0.5) * weight AS gain
+  FROM sw JOIN nos USING (qid) LEFT JOIN run ON run.qid = sw.qid AND run.sid = sw.sid AND run.doc_id = nos.doc_id),
+sizes AS (SELECT qid, count(DISTINCT sid) AS n_segs, least(20, count(DISTINCT docno)) AS most FROM cells GROUP BY qid),
+state AS (
+  SELECT qid, 0 AS i, []::BIGINT[] AS covered, []::BIGINT[] AS used, NULL::DOUBLE AS gain FROM sizes
+  UNION ALL
+  SELECT qid, i + 1,
+    CASE WHEN len(covered) + 1 = n_segs THEN []::BIGINT[] ELSE list_append(covered, best.sid) END,
+    list_append(used, best.docno), -best.g
+  FROM (SELECT state.qid, i, covered, used, n_segs,
+      min({{'g': -c.gain, 'sid': c.sid, 'docno': c.docno}}) AS best
+    FROM state JOIN sizes USING (qid) JOIN cells c ON c.qid = state.qid
+      AND NOT list_contains(covered, c.sid) AND NOT list_contains(used, c.docno)
+    WHERE i < most GROUP BY state.qid, i, covered, used, n_segs)),
+picked AS (SELECT state.qid, nos.doc_id, nos.db, gain AS score, i AS rank
+  FROM state JOIN nos ON nos.qid = state.qid AND nos.docno = used[i] WHERE i > 0)"""
+
 ORACLE = {
+    "segment_cover_greedy": f"""{_COVER}
+SELECT qid, doc_id, db, round(score, 6) AS score, rank::INT AS rank FROM picked""",
+    "covered_pred_schemas": f"""{_COVER},
+dbs AS (SELECT qid, db, round(avg(score) + 1e-9, 6) AS s, string_agg(doc_id::VARCHAR, ',' ORDER BY rank) AS tables
+  FROM picked GROUP BY qid, db),
+top AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, db) - 1 AS db_pos FROM dbs)
+SELECT b.qid, db_pos, db, tables FROM (SELECT item_id AS qid FROM benchmark) b LEFT JOIN (SELECT * FROM top WHERE db_pos < 5) USING (qid)""",
     "bm25_index": f"WITH {t.BM25} SELECT doc_id, db, term, tf FROM post",
     "bm25_lengths": f"WITH {t.BM25} SELECT doc_id, n::BIGINT AS len FROM len",
     "bm25_search": f"{_SEARCH} SELECT qid, doc_id, db, score, rank::INT AS rank FROM run",
@@ -257,14 +296,7 @@ FROM run JOIN docs d USING (doc_id) JOIN conversations c USING (conv_id)""",
     "segment_score_matrix": f"""{_MATRIX}
 SELECT qid, sid::INT AS sid, doc_id, score, best, n_docs
 FROM run JOIN best USING (qid, doc_id) JOIN nd USING (qid)""",
-    "segment_entropy_weight": f"""{_MATRIX},
-full_m AS (
-  SELECT qid, sid, b.doc_id, (coalesce(score, 0) + 1) / 2 AS c
-  FROM segq JOIN best b USING (qid) LEFT JOIN run USING (qid, sid, doc_id)),
-p AS (SELECT *, c / sum(c) OVER (PARTITION BY qid, sid) AS p FROM full_m),
-e AS (SELECT qid, sid, -sum(p * ln(p)) AS entropy FROM p GROUP BY ALL)
-SELECT qid, sid::INT AS sid, round(entropy, 6) AS entropy,
-  round(1 / (1 + exp(-(avg(entropy) OVER (PARTITION BY qid) - entropy))), 6) AS weight FROM e""",
+    "segment_entropy_weight": f"{_WEIGHTS} SELECT qid, sid::INT AS sid, entropy, weight FROM sw",
     "masked_mean_pool": f"""WITH {t.POOLED}
 SELECT qid::BIGINT AS text_id, dim::INT AS dim, round(x, 6) AS x FROM pooled""",
     "cls_pool": """WITH f AS (SELECT label, arg_min(embedding, vec_id) AS v FROM embeddings GROUP BY label)
