@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Query vectors up to this many are one block, sent to every task. More are cut
-# into blocks of this size that are paired with slices of so many documents.
+from routewright.session import cut_lineage
+
+# Query vectors of a block, documents of a slice, and query vectors of a matrix product.
 BLOCK = 4096
 SLICE = 20_000
+TILE = 64
 
 
 def masked_mean_pool(tokens: DataFrame) -> DataFrame:
@@ -42,89 +42,58 @@ def _unit(rows: pd.Series) -> np.ndarray:
 def _best(
     qids: np.ndarray, q: np.ndarray, ids: np.ndarray, d: np.ndarray, k: int
 ) -> pd.DataFrame:
-    """The k best (score, id) of each query against one batch of documents."""
-    scores = np.round(q @ d.T, 6)
-    take = min(k, len(ids))
-    picked = [np.lexsort((ids, -row))[:take] for row in scores]
-    return pd.DataFrame(
-        {
-            "qid": np.repeat(qids, take),
-            "doc_id": np.concatenate([ids[p] for p in picked]) if picked else ids[:0],
-            "score": np.concatenate([row[p] for row, p in zip(scores, picked, strict=True)])
-            if picked
-            else np.zeros(0),
-        }
-    )
-
+    """The k best (score, id) of each query among one slice, TILE queries at a time.
 
-def _merge(parts: list[pd.DataFrame], k: int) -> pd.DataFrame:
-    rows = pd.concat(parts, ignore_index=True)
-    rows = rows.sort_values(["qid", "score", "doc_id"], ascending=[True, False, True])
-    return rows.groupby("qid", sort=False).head(k)
-
-
-def _rank(partial: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("doc_id"))
-    return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-_PARTIAL = "qid bigint, doc_id bigint, score double"
-
-
-def dense_search(
-    queries: DataFrame, docs: DataFrame, k: int, block: int = BLOCK
-) -> DataFrame:
+    Only documents that reach the k-th best score are sorted.
+    """
+    take = min(k, len(ids))
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for a in range(0, len(qids), TILE):
+        scores = np.round(q[a : a + TILE] @ d.T, 6)
+        least = np.partition(scores, len(ids) - take, axis=1)[:, len(ids) - take]
+        for qid, row, low in zip(qids[a : a + TILE], scores, least, strict=True):
+            near = np.flatnonzero(row >= low)
+            near = near[np.lexsort((ids[near], -row[near]))[:take]]
+            found.append((np.full(take, qid), ids[near], row[near]))
+    columns = [np.concatenate(c) for c in zip(*found, strict=True)]
+    return pd.DataFrame(dict(zip(("qid", "doc_id", "score"), columns, strict=True)))
+
+
+def dense_search(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """run(qid, doc_id, score, rank): exact cosine top-k of docs(doc_id, vec) per queries(qid, vec).
 
-    Up to ``block`` queries go to the tasks as one matrix, and documents are not
-    shuffled at all. Beyond that, query blocks and document slices are paired on
-    the cluster. Either way a task keeps k rows per query.
+    Documents are dealt to slices and queries to blocks; each pair of them is
+    one task's work and keeps k rows per query. Slices are at least as many as
+    the cluster works on at a time, so many and few queries go the same way.
     """
-    head = queries.select("qid", "vec").limit(block + 1).toPandas()
-    if len(head) <= block:
-        return _rank(_search_one_block(head, docs, k), k)
-    return _rank(_search_blocks(queries, docs, k, block), k)
-
-
-def _search_one_block(head: pd.DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    qids = head["qid"].to_numpy(dtype=np.int64)
-    matrix = _unit(head["vec"]) if len(head) else np.zeros((0, 0))
-    shared = docs.sparkSession.sparkContext.broadcast((qids, matrix))
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qids, q = shared.value
-        best = None
-        for batch in batches:
-            if not len(qids) or not len(batch):
-                continue
-            part = _best(qids, q, batch["doc_id"].to_numpy(dtype=np.int64), _unit(batch["vec"]), k)
-            best = part if best is None else _merge([best, part], k)
-        if best is not None:
-            yield best
-
-    return docs.select("doc_id", "vec").mapInPandas(scan, _PARTIAL)
-
-
-def _search_blocks(queries: DataFrame, docs: DataFrame, k: int, block: int) -> DataFrame:
-    n_blocks = -(-queries.count() // block)
-    n_slices = -(-docs.count() // SLICE)
-    spread = F.pmod(F.xxhash64("qid"), F.lit(n_blocks))
-    # every query block meets every document slice once, in a group of its own
-    left = queries.select("qid", "vec", spread.cast("int").alias("qblock")).select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(n_slices - 1))).alias("slice")
+    spark = docs.sparkSession
+    asked = cut_lineage(queries.select("qid", "vec"))
+    n_blocks = max(1, -(-asked.count() // BLOCK))
+    n_slices = max(-(-docs.count() // SLICE), spark.sparkContext.defaultParallelism)
+
+    def own(key: str, n: int):
+        return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+
+    def every(n: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    left = asked.withColumn("block", own("qid", n_blocks)).withColumn("slice", every(n_slices))
+    right = (
+        docs.select("doc_id", "vec")
+        .withColumn("slice", own("doc_id", n_slices))
+        .withColumn("block", every(n_blocks))
     )
-    right = docs.select(
-        "doc_id", "vec", F.pmod(F.xxhash64("doc_id"), F.lit(n_slices)).cast("int").alias("slice")
-    ).select("*", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("qblock"))
 
     def pair(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(d):
             return pd.DataFrame({"qid": [], "doc_id": [], "score": []})
-        qids, qm = q["qid"].to_numpy(dtype=np.int64), _unit(q["vec"])
-        return _best(qids, qm, d["doc_id"].to_numpy(dtype=np.int64), _unit(d["vec"]), k)
+        qids, ids = q["qid"].to_numpy(dtype=np.int64), d["doc_id"].to_numpy(dtype=np.int64)
+        return _best(qids, _unit(q["vec"]), ids, _unit(d["vec"]), k)
 
-    return (
-        left.groupBy("qblock", "slice")
-        .cogroup(right.groupBy("qblock", "slice"))
-        .applyInPandas(pair, _PARTIAL)
+    partial = (
+        left.groupBy("block", "slice")
+        .cogroup(right.groupBy("block", "slice"))
+        .applyInPandas(pair, "qid bigint, doc_id bigint, score double")
     )
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("doc_id"))
+    return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

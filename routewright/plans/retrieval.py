@@ -171,6 +171,28 @@ def dense_search(spark, d):
     return dense_run(spark, d)
 
 
+def _vector_run(spark, d, k: int = 100) -> tuple[DataFrame, DataFrame]:
+    """Every fiftieth vector asks for its neighbours; a label is a database."""
+    asked = t.vectors(spark, d).where("doc_id % 50 = 0").withColumnRenamed("doc_id", "qid")
+    dbs = t.load(spark, d, "embeddings").select(
+        F.col("vec_id").alias("doc_id"), F.concat(F.lit("l"), F.col("label").cast("string")).alias("db")
+    )
+    run = dense.dense_search(asked, t.vectors(spark, d), k)
+    return run.join(dbs, "doc_id").select("qid", "doc_id", "db", "score", "rank"), asked
+
+
+def dense_vector_search(spark, d):
+    return _vector_run(spark, d)[0]
+
+
+def dense_db_rollup(spark, d):
+    return r.roll_up(_vector_run(spark, d)[0])
+
+
+def dense_pred_schemas(spark, d):
+    return _flat_pred(r.predicted_schemas(*_vector_run(spark, d)))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -191,6 +213,9 @@ QUERIES = {
         masked_mean_pool,
         cls_pool,
         dense_search,
+        dense_vector_search,
+        dense_db_rollup,
+        dense_pred_schemas,
     )
 }
 
@@ -233,6 +258,12 @@ _MATRIX = f"""{_SEG},
 best AS (SELECT qid, doc_id, max(score) AS best FROM run GROUP BY ALL),
 nd AS (SELECT qid, count(*) AS n_docs FROM best GROUP BY qid)"""
 
+_VECTORS = """WITH e AS (SELECT vec_id, 'l' || label AS db, embedding::DOUBLE[] AS v FROM embeddings),
+sc AS (SELECT q.vec_id AS qid, x.vec_id AS doc_id, x.db, round(list_cosine_similarity(q.v, x.v), 6) AS score
+  FROM e q, e x WHERE q.vec_id % 50 = 0),
+run AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM sc)
+  WHERE rank <= 100)"""
+
 _WEIGHTS = f"""{_MATRIX},
 full_m AS (
   SELECT qid, sid, b.doc_id, (coalesce(score, 0) + 1) / 2 AS c
@@ -302,6 +333,13 @@ SELECT qid::BIGINT AS text_id, dim::INT AS dim, round(x, 6) AS x FROM pooled""",
     "cls_pool": """WITH f AS (SELECT label, arg_min(embedding, vec_id) AS v FROM embeddings GROUP BY label)
 SELECT label::BIGINT AS text_id, (generate_subscripts(v, 1) - 1)::INT AS dim,
   round(unnest(v)::DOUBLE, 6) AS x FROM f""",
+    "dense_vector_search": f"{_VECTORS} SELECT qid, doc_id, db, score, rank::INT AS rank FROM run",
+    "dense_db_rollup": f"{_VECTORS} SELECT qid, db, round(avg(score) + 1e-9, 6) AS score FROM run GROUP BY ALL",
+    "dense_pred_schemas": f"""{_VECTORS},
+dbs AS (SELECT qid, db, round(avg(score) + 1e-9, 6) AS s, string_agg(doc_id::VARCHAR, ',' ORDER BY rank) AS tables
+  FROM run GROUP BY qid, db),
+top AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, db) - 1 AS db_pos FROM dbs)
+SELECT qid, db_pos, db, tables FROM top WHERE db_pos < 5""",
     "dense_search": f"""WITH {t.POOLED},
 sc AS (SELECT qid::BIGINT AS qid, vec_id AS doc_id,
   round(list_cosine_similarity(vec, embedding::DOUBLE[]), 6) AS score FROM qvec, embeddings)

@@ -203,12 +203,15 @@ def test_running_cost_of_a_stream(spark, tmp_path):
     ddl = "call_id bigint, model string, prompt_tokens bigint, completion_tokens bigint"
     path = str(tmp_path / "calls")
     spark.createDataFrame([(1, "gpt-4", 10**6, 0)], ddl).write.json(path)
-    query = running_cost(spark.readStream.schema(ddl).json(path), "running")
+    totals = str(tmp_path / "totals")
+    query = running_cost(spark.readStream.schema(ddl).json(path), totals)
     try:
         query.processAllAvailable()
         spark.createDataFrame([(2, "gpt-4", 0, 10**6)], ddl).write.mode("append").json(path)
         query.processAllAvailable()
-        rows = {r["model"]: r["cost"] for r in spark.table("running").collect()}
     finally:
         query.stop()
+    states = spark.read.parquet(totals)
+    last = states.agg({"batch": "max"}).first()[0]
+    rows = {r["model"]: r["cost"] for r in states.where(f"batch = {last}").collect()}
     assert rows == {"gpt-4": 90.0, None: 90.0}

@@ -135,14 +135,16 @@ def vectors(spark, n, ddl, seed):
     return m, spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], ddl)
 
 
-def test_dense_search_one_block_and_many(spark, monkeypatch):
+def test_dense_search_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(dense, "SLICE", 50)
+    monkeypatch.setattr(dense, "TILE", 2)
     q, qdf = vectors(spark, 7, "qid bigint, vec array<float>", 1)
     d, ddf = vectors(spark, 300, "doc_id bigint, vec array<float>", 2)
     q64, d64 = q.astype(float), d.astype(float)
     cos = (q64 / np.linalg.norm(q64, axis=1, keepdims=True)) @ (d64 / np.linalg.norm(d64, axis=1, keepdims=True)).T
     for block in (100, 3):
-        run = dense.dense_search(qdf, ddf.repartition(5), 12, block).collect()
+        monkeypatch.setattr(dense, "BLOCK", block)
+        run = dense.dense_search(qdf, ddf.repartition(5), 12).collect()
         for i in range(7):
             mine = sorted((x for x in run if x["qid"] == i), key=lambda x: x["rank"])
             assert [x["doc_id"] for x in mine] == list(np.lexsort((np.arange(300), -np.round(cos[i], 6)))[:12])
