@@ -44,7 +44,7 @@ LEXICON_USES, LEXICON_SHARE = 3, 0.9
 # Words that are scanned as one block.
 SPAN = 32
 # A text stays in a pipeline if its language has at least this share.
-LEAST_SHARE = 0.4
+LEAST_SHARE = 0.3
 
 _BREAK = 10
 _ODD = seeded(21, 8) | np.uint64(1)
