@@ -31,6 +31,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ from routewright.session import cut_lineage
 HELD_OUT = 1
 ORDERS = 6  # contexts of 0 to 5 bytes
 # Places of each order's table, as powers of two.
-TABLE_BITS = (8, 16, 19, 20, 21, 21)
+TABLE_BITS = (8, 16, 18, 20, 20, 21)
 # Words whose counts are broadcast, at 16 bytes each.
 KNOWN_WORDS = 500_000
 ROUNDS, STEP, RATE = 2, 4096, 0.3
@@ -280,9 +281,26 @@ def _bit_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def build(counts: DataFrame) -> Mixer:
-    """The model. What reaches the driver is bounded by its tables, weights and map."""
-    spark = counts.sparkSession
+def _tables(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Zeros and ones of every table place."""
+    counted = (
+        grams.mapInArrow(_bit_counts, "at bigint, n0 bigint, n1 bigint")
+        .groupBy("at")
+        .agg(F.least(F.sum("n0"), F.lit(_MOST)).alias("n0"), F.least(F.sum("n1"), F.lit(_MOST)).alias("n1"))
+        .select(F.col("at").cast("int"), F.expr("cast(n0 * 65536 + n1 as bigint)").alias("both"))
+    )
+    zeros, ones = np.zeros(_FIRST[-1], dtype=np.uint16), np.zeros(_FIRST[-1], dtype=np.uint16)
+    for batch in counted.toArrow().to_batches():
+        at, both = batch.column("at").to_numpy(), batch.column("both").to_numpy()
+        zeros[at], ones[at] = both >> 16, both & _MOST
+    return zeros, ones
+
+
+def build(counts: DataFrame) -> tuple[Broadcast, np.ndarray, np.ndarray]:
+    """The tables, which tasks get once, and the weights and the map, which go with each job.
+
+    What reaches the driver is bounded by their sizes.
+    """
     # Grams of one context meet in one task, so long contexts have their places once.
     grams = cut_lineage(
         counts.where(F.col("kind") == _GRAM)
@@ -290,43 +308,32 @@ def build(counts: DataFrame) -> Mixer:
         .repartition("context")
         .select("key", "n")
     )
-    tables = (
-        grams.mapInArrow(_bit_counts, "at bigint, n0 bigint, n1 bigint")
-        .groupBy("at")
-        .agg(F.least(F.sum("n0"), F.lit(_MOST)).alias("n0"), F.least(F.sum("n1"), F.lit(_MOST)).alias("n1"))
-        .select(F.col("at").cast("int"), F.expr("cast(n0 * 65536 + n1 as bigint)").alias("both"))
-    )
-    mixer = Mixer(np.zeros(_FIRST[-1], dtype=np.uint16), np.zeros(_FIRST[-1], dtype=np.uint16))
-    for batch in tables.toArrow().to_batches():
-        at, both = batch.column("at").to_numpy(), batch.column("both").to_numpy()
-        mixer.zeros[at], mixer.ones[at] = both >> 16, both & _MOST
+    tables = counts.sparkSession.sparkContext.broadcast(_tables(grams))
+    weights = Mixer(None, None).weights
     for _ in range(ROUNDS):
-        shipped = spark.sparkContext.broadcast(mixer)
-        learned = grams.mapInArrow(_learning(shipped), "i int, total double, mass double")
+        learned = grams.mapInArrow(_learning(tables, weights), "i int, total double, mass double")
         sums = learned.groupBy("i").agg(F.sum("total").alias("total"), F.sum("mass").alias("mass")).toArrow()
         if sums.num_rows:
+            weights = weights.copy()
             mean = sums["total"].to_numpy() / sums["mass"].to_numpy()
-            mixer.weights = mixer.weights.copy()
-            mixer.weights.ravel()[sums["i"].to_numpy()] = mean
-    shipped = spark.sparkContext.broadcast(mixer)
-    observed = grams.mapInArrow(_observing(shipped), "i int, events double, ones double")
+            weights.ravel()[sums["i"].to_numpy()] = mean
+    observed = grams.mapInArrow(_observing(tables, weights), "i int, events double, ones double")
     cells = observed.groupBy("i").agg(F.sum("events").alias("events"), F.sum("ones").alias("ones")).toArrow()
     centre = np.tile(np.linspace(-SPAN, SPAN, CELLS), 1 << MAP_BITS)
     events, ones = np.zeros(len(centre)), np.zeros(len(centre))
-    events[cells["i"].to_numpy()], ones[cells["i"].to_numpy()] = cells["events"].to_numpy(), cells["ones"].to_numpy()
+    at = cells["i"].to_numpy()
+    events[at], ones[at] = cells["events"].to_numpy(), cells["ones"].to_numpy()
     # A cell begins at its own log-odds, with the weight of a few events.
     rate = (ones + 8 / (1 + np.exp(-centre))) / (events + 8)
-    mixer.mapped = np.clip(np.log(rate / (1 - rate)), -SPAN, SPAN)
-    return mixer
+    return tables, weights, np.clip(np.log(rate / (1 - rate)), -SPAN, SPAN).astype(np.float32)
 
 
-def _learning(shipped):
+def _learning(tables: Broadcast, weights: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, count = _grams(batches)
         if not len(code):
             return
-        start = shipped.value
-        mixer = Mixer(start.zeros, start.ones, start.weights.copy())
+        mixer = Mixer(*tables.value, weights.copy())
         mixer.learn(code, count)
         mass = np.full(mixer.weights.size, float(count.sum()))
         yield pa.RecordBatch.from_arrays(
@@ -341,10 +348,10 @@ def _learning(shipped):
     return run
 
 
-def _observing(shipped):
+def _observing(tables: Broadcast, weights: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, count = _grams(batches)
-        events, ones = shipped.value.observe(code, count)
+        events, ones = Mixer(*tables.value, weights).observe(code, count)
         full = np.flatnonzero(events)
         yield pa.RecordBatch.from_arrays(
             [pa.array(full.astype(np.int32)), pa.array(events[full]), pa.array(ones[full])],
@@ -383,11 +390,11 @@ _SCORED = (
 )
 
 
-def _scoring(shipped):
+def _scoring(tables: Broadcast, weights: np.ndarray, mapped: np.ndarray, words: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, key, n = shipped.value
+        key, n = words.value
         log = np.log10(n + 0.5)
-        costs = GramCosts(mixer)
+        costs = GramCosts(Mixer(*tables.value, weights, mapped))
         for batch in batches:
             for part in slices(batch):
                 yield _score_slice(part, costs, key, log)
@@ -440,12 +447,13 @@ def score(docs: DataFrame) -> DataFrame:
     ).first()
     n, docs_seen = totals.tokens or 0, totals.docs or 0
     distinct = totals.words + (docs_seen > 0)
-    shipped = docs.sparkSession.sparkContext.broadcast((build(counts), *frequent_words(words)))
+    known = docs.sparkSession.sparkContext.broadcast(frequent_words(words))
+    scoring = _scoring(*build(counts), known)
     rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), (fold() == HELD_OUT).alias("held_out"), "text"
     )
     scored = cut_lineage(
-        rows.mapInArrow(_scoring(shipped), _SCORED).withColumn("row", F.monotonically_increasing_id())
+        rows.mapInArrow(scoring, _SCORED).withColumn("row", F.monotonically_increasing_id())
     )
     rare = (
         scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w"))
