@@ -204,7 +204,8 @@ def judge(
     # Urls differ in tokens that no rule has; without those few token sets are left.
     known = F.array(*[F.lit(t) for t in sorted(useful)]).cast("array<string>")
     seen = seen.withColumn("tokens", F.sort_array(F.array_intersect(F.col("tokens"), known)))
-    met = match(seen.where("given is null").select("tokens").distinct(), mined)
+    # Written, so that both sides of the join are plain shuffles and a common set can be split.
+    met = cut_lineage(match(seen.where("given is null").select("tokens").distinct(), mined))
     judged = seen.join(met, "tokens", "left")
     mined_verdict = F.coalesce(F.col("met.verdict"), F.lit(default))
     return judged.select(
