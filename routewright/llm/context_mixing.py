@@ -50,7 +50,6 @@ MAP_BITS, CELLS, SPAN = 12, 33, 8.0
 
 _FIRST = np.concatenate([[0], np.cumsum([1 << b for b in TABLE_BITS])])
 _ODD = seeded(31, ORDERS + 3) | np.uint64(1)
-_MOST = 65535
 _EMPTY = np.uint64((1 << 64) - 1)
 _GATES = ORDERS * 8
 _WORD, _GRAM, _DOC = 0, 1, 2
@@ -282,17 +281,21 @@ def _bit_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _tables(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones of every table place."""
+    """Zeros and ones of every table place.
+
+    They are summed in 64 bits and kept as 32-bit floats: no count is too large,
+    and odds are right to seven digits.
+    """
     counted = (
         grams.mapInArrow(_bit_counts, "at bigint, n0 bigint, n1 bigint")
         .groupBy("at")
-        .agg(F.least(F.sum("n0"), F.lit(_MOST)).alias("n0"), F.least(F.sum("n1"), F.lit(_MOST)).alias("n1"))
-        .select(F.col("at").cast("int"), F.expr("cast(n0 * 65536 + n1 as bigint)").alias("both"))
+        .agg(F.sum("n0").cast("float").alias("n0"), F.sum("n1").cast("float").alias("n1"))
+        .select(F.col("at").cast("int"), "n0", "n1")
     )
-    zeros, ones = np.zeros(_FIRST[-1], dtype=np.uint16), np.zeros(_FIRST[-1], dtype=np.uint16)
+    zeros, ones = np.zeros(_FIRST[-1], dtype=np.float32), np.zeros(_FIRST[-1], dtype=np.float32)
     for batch in counted.toArrow().to_batches():
-        at, both = batch.column("at").to_numpy(), batch.column("both").to_numpy()
-        zeros[at], ones[at] = both >> 16, both & _MOST
+        at = batch.column("at").to_numpy()
+        zeros[at], ones[at] = batch.column("n0").to_numpy(), batch.column("n1").to_numpy()
     return zeros, ones
 
 

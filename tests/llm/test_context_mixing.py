@@ -123,3 +123,22 @@ def test_learning_lowers_the_cost(spark):
     for _ in range(5):
         mixer.learn(code, counts)
     assert (mixer.costs(code) * counts).sum() < before
+
+
+def test_large_counts_keep_their_odds(spark):
+    text = pa.array(["the cat sat on the mat and the dog sat on the log " * 200])
+    code, counts = np.unique(M.stream(*words_of(text))[0], return_counts=True)
+
+    def looked_up(times):
+        rows = [(int(k), int(n) * times) for k, n in zip(code, counts, strict=True)]
+        tables = M._tables(spark.createDataFrame(rows, "key bigint, n bigint"))
+        mixer = M.Mixer(*tables)
+        odds = [mixer.look_up(code, bit, own=False)[0][: M.ORDERS] for bit in range(8)]
+        least = [np.minimum(*(t[M.places(code, bit)] for t in tables)) for bit in range(8)]
+        return np.stack(odds), np.stack(least)
+
+    odds, least = looked_up(1)
+    many, _ = looked_up(10_000)
+    frequent = least >= 100
+    assert frequent.sum() > 100 and np.abs(odds[frequent]).max() > 1
+    assert np.allclose(many[frequent], odds[frequent], atol=0.005)
