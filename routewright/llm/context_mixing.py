@@ -41,9 +41,11 @@ from routewright.session import cut_lineage
 HELD_OUT = 1
 ORDERS = 6  # contexts of 0 to 5 bytes
 # Places of each order's table, as powers of two.
-TABLE_BITS = (8, 16, 18, 20, 20, 21)
+TABLE_BITS = (8, 16, 19, 20, 21, 21)
 # Words whose counts are broadcast, at 16 bytes each.
 KNOWN_WORDS = 500_000
+# Text that is scored at a time: its grams' arrays stand beside the tables in each worker.
+SCORED_BYTES = 1 << 20
 ROUNDS, STEP, RATE = 2, 4096, 0.3
 # The adaptive map: places of its contexts, and cells of log-odds from -SPAN to SPAN.
 MAP_BITS, CELLS, SPAN = 12, 33, 8.0
@@ -399,7 +401,7 @@ def _scoring(tables: Broadcast, weights: np.ndarray, mapped: np.ndarray, words:
         log = np.log10(n + 0.5)
         costs = GramCosts(Mixer(*tables.value, weights, mapped))
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=SCORED_BYTES):
                 yield _score_slice(part, costs, key, log)
 
     return run

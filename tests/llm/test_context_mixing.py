@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import rows as R
 
 from routewright.llm import context_mixing as M
@@ -142,3 +143,16 @@ def test_large_counts_keep_their_odds(spark):
     frequent = least >= 100
     assert frequent.sum() > 100 and np.abs(odds[frequent]).max() > 1
     assert np.allclose(many[frequent], odds[frequent], atol=0.005)
+
+
+def test_few_contexts_share_a_place():
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"]
+    grams = np.unique(M.stream(*words_of(texts.combine_chunks()))[0])
+    for k, most in ((2, 0.02), (3, 0.05), (4, 0.1), (5, 0.3)):
+        seen, used = 0, []
+        for bit in range(8):
+            key = (grams & np.uint64((1 << 8 * (k + 1)) - 1)) >> np.uint64(8 - bit)
+            _, first = np.unique(key, return_index=True)
+            seen += len(first)
+            used.append(M.places(grams[first], bit)[k])
+        assert 1 - len(np.unique(np.concatenate(used))) / seen < most, k
