@@ -34,8 +34,6 @@ RULES = (
 )
 MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.8
-# Tokens of a labelled url that mining looks at, most frequent first. Matching looks at all.
-MINED_TOKENS = 10
 
 _VERDICT = "verdict="
 
@@ -118,7 +116,7 @@ def mine(
     order = F.array(*[F.lit(t) for t in common])
     items = labelled.select(
         F.concat(
-            F.slice(F.array_intersect(order, F.col("tokens")), 1, MINED_TOKENS),
+            F.array_intersect(order, F.col("tokens")),
             F.array(F.concat(F.lit(_VERDICT), F.col("verdict"))),
         ).alias("items")
     )

@@ -76,6 +76,17 @@ def test_mined_rules_equal_brute_force(spark):
     }
 
 
+def test_mining_looks_at_all_tokens(spark):
+    # Ten common tokens say nothing; the rarest ones tell the verdict.
+    common = [f"t{i:02}" for i in range(10)]
+    data = [([*common, "x"], "block")] * 6 + [([*common, "y"], "allow")] * 5 + [(common, "allow")] * 2
+    got = U.mine(spark.createDataFrame(data, "tokens array<string>, verdict string"), 0.1, 0.8)
+    assert {(tuple(r.tokens), r.verdict, r.confidence, round(r.support, 6)) for r in got.collect()} == {
+        (("x",), "block", 1.0, round(6 / 13, 6)),
+        (("y",), "allow", 1.0, round(5 / 13, 6)),
+    }
+
+
 def test_surest_rule_wins(spark):
     sets = spark.createDataFrame([(["a", "b", "z"],), (["z"],), (["b"],)], "tokens array<string>")
     rules = spark.createDataFrame(
