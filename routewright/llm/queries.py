@@ -15,6 +15,7 @@ from routewright.llm import (
     near_dup,
     packing,
     quality,
+    token_alignment,
     url_rules,
 )
 from routewright.llm.common import load
@@ -69,6 +70,17 @@ def op10_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def alignment_rows(aligned: DataFrame, most: int = token_alignment.FREQUENT_PAIRS) -> DataFrame:
+    """Counts of the links, with a digest in place of the groups."""
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    digested = aligned.withColumn("groups_sha256", digest).drop("groups")
+    return token_alignment.count_links(digested, most=most)
+
+
+def op11_interval_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment_rows(token_alignment.align(load(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -82,6 +94,7 @@ QUERIES = {
         op8_bbit_minhash,
         op9_context_mixing,
         op10_pivotal_mixing,
+        op11_interval_alignment,
     )
 }
 
