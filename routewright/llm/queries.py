@@ -11,6 +11,7 @@ from routewright.llm import (
     exact_dedup,
     hamming_search,
     language_id,
+    line_rules,
     mixing,
     near_dup,
     packing,
@@ -81,6 +82,11 @@ def op11_interval_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment_rows(token_alignment.align(load(spark, sf_dir, "documents")))
 
 
+def op13_line_labelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (load(spark, sf_dir, t) for t in ("documents", "labels"))
+    return line_rules.judge(docs, labels).drop("boilerplate")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -95,6 +101,7 @@ QUERIES = {
         op9_context_mixing,
         op10_pivotal_mixing,
         op11_interval_alignment,
+        op13_line_labelling,
     )
 }
 
