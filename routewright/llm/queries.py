@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from routewright.llm import (
+    ball_search,
     chat_snapshots,
     context_mixing,
     exact_dedup,
@@ -82,6 +83,10 @@ def op11_interval_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment_rows(token_alignment.align(load(spark, sf_dir, "documents")))
 
 
+def op12_ball_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_search.search(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def op13_line_labelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (load(spark, sf_dir, t) for t in ("documents", "labels"))
     return line_rules.judge(docs, labels).drop("boilerplate")
@@ -101,6 +106,7 @@ QUERIES = {
         op9_context_mixing,
         op10_pivotal_mixing,
         op11_interval_alignment,
+        op12_ball_tree_search,
         op13_line_labelling,
     )
 }
@@ -126,6 +132,24 @@ d AS (SELECT q.vec_id AS query_id, v.vec_id,
 SELECT query_id, vec_id, distance, rank::INT AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id NULLS LAST) AS rank FROM d)
 WHERE rank <= 10""",
+    "op12_ball_tree_search": r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+stat AS (SELECT count(*) FILTER (WHERE len(terms) > 0) AS n_docs, sum(len(terms))::BIGINT AS total FROM d),
+uses AS (SELECT row, doc_id, len(terms) AS n, unnest(terms) AS term FROM d),
+tf AS (SELECT row, doc_id, n, term, count(*) AS tf FROM uses GROUP BY ALL),
+weight AS (SELECT term, floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2.0::DOUBLE * count(*) + 1)))::BIGINT AS w
+  FROM tf, stat GROUP BY term, n_docs),
+item AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+scored AS (SELECT item_id, row, doc_id,
+    sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // total))))::BIGINT AS score
+  FROM item JOIN weight USING (term) JOIN tf USING (term), stat GROUP BY item_id, row, doc_id)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank
+  FROM scored WHERE score > 0) WHERE rank <= 10""",
     "op5_heavy_hitter_dedup": """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
   doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
