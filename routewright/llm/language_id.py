@@ -43,8 +43,11 @@ SWITCH = 0.25
 LEXICON_USES, LEXICON_SHARE = 3, 0.9
 # Words that are scanned as one block.
 SPAN = 32
-# A text stays in a pipeline if its language has at least this share.
-LEAST_SHARE = 0.3
+# A text stays in a pipeline if its words speak for some language at least this much
+# against the rest, as a share of what the middle training run's words do.
+LEAST_EVIDENCE = 0.25
+# Bytes of text that are scanned at once.
+AT_ONCE = 1 << 20
 
 _BREAK = 10
 _ODD = seeded(21, 8) | np.uint64(1)
@@ -60,6 +63,8 @@ class Chain:
     lexicon_language: np.ndarray
     moves: np.ndarray
     first: np.ndarray
+    # Middle evidence of the training runs.
+    evidence: float = 0.0
 
 
 def _place(kind: int, code: np.ndarray) -> np.ndarray:
@@ -125,6 +130,17 @@ def emissions(chain: Chain, distinct: list[str]) -> np.ndarray:
     )
 
 
+def evidence(at: np.ndarray, emit: np.ndarray) -> np.ndarray:
+    """How far each text's words speak for one language against the mean of all, per word.
+
+    Weights of n-grams that were not learned are 0 or speak against each other,
+    so this is small for other scripts and for random letters, however many
+    languages there are.
+    """
+    margin = np.concatenate([[0.0], np.cumsum(emit.max(axis=1) - emit.mean(axis=1))])
+    return (margin[at[1:]] - margin[at[:-1]]) / np.maximum(1, np.diff(at))
+
+
 def _scaled(x: np.ndarray) -> np.ndarray:
     return x / x.sum(axis=-1, keepdims=True)
 
@@ -177,6 +193,7 @@ def fit(runs: list[str], languages: list[str]) -> Chain | None:
                 truth.append(np.concatenate([np.full(at[p + 1] - at[p], label[p]) for p in parts]))
             _step(chain, seen, tokens, truth, place, ends)
     chain.weights = chain.weights.astype(np.float32)
+    chain.evidence = float(np.median(evidence(at, emissions(chain, distinct)[code])))
     return chain
 
 
@@ -326,6 +343,22 @@ def learn(docs: DataFrame) -> Chain | None:
     return fit([s[2] for s in sample], [s[0] for s in sample])
 
 
+def predict(chain: Chain | None, text: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, its share, and evidence relative to the training runs, of each text."""
+    names, score, told = [UNKNOWN] * len(text), np.zeros(len(text)), np.zeros(len(text))
+    if chain is not None:
+        at, words = words_of(pc.utf8_lower(text), lower=False)
+        code, distinct = coded(words)
+        weights = emissions(chain, distinct)[code]
+        found = shares(chain, at, weights)
+        told = evidence(at, weights) / max(chain.evidence, 1e-9)
+        letter = pc.fill_null(pc.match_substring_regex(text, r"\pL"), False)
+        for i in np.flatnonzero(letter.to_numpy(zero_copy_only=False)):
+            best = int(found[i].argmax())
+            names[i], score[i] = chain.languages[best], min(1.0, found[i, best])
+    return names, score, told
+
+
 def identify(docs: DataFrame, chain: Chain | None, row: Column) -> DataFrame:
     """(row, lang_pred, score) of every document; ``row`` is carried along untouched."""
     rows = docs.select(row.alias("row"), F.col("text").cast("string").alias("text"))
@@ -334,18 +367,8 @@ def identify(docs: DataFrame, chain: Chain | None, row: Column) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shipped.value
         for batch in batches:
-            for part in slices(batch):
-                text = part.column("text")
-                names = [UNKNOWN] * part.num_rows
-                score = np.zeros(part.num_rows)
-                if known is not None:
-                    at, words = words_of(pc.utf8_lower(text), lower=False)
-                    code, distinct = coded(words)
-                    found = shares(known, at, emissions(known, distinct)[code])
-                    letter = pc.fill_null(pc.match_substring_regex(text, r"\pL"), False)
-                    for i in np.flatnonzero(letter.to_numpy(zero_copy_only=False)):
-                        best = int(found[i].argmax())
-                        names[i], score[i] = known.languages[best], min(1.0, found[i, best])
+            for part in slices(batch, size=AT_ONCE):
+                names, score, _ = predict(known, part.column("text"))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("row"), pa.array(names), pa.array(score)],
                     names=["row", "lang_pred", "score"],
@@ -361,8 +384,21 @@ def label(docs: DataFrame) -> DataFrame:
     return identify(docs, learn(docs), row).select("row.*", "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least: float = LEAST_SHARE) -> DataFrame:
-    """Documents whose language is known and has its share, with all their columns."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    found = identify(docs, learn(docs), row)
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")
+def keep_identified(docs: DataFrame, least: float = LEAST_EVIDENCE) -> DataFrame:
+    """Documents whose language is known by enough evidence, with all their columns.
+
+    Only the text goes to Python and only the decision comes back.
+    """
+    shipped = docs.sparkSession.sparkContext.broadcast(learn(docs))
+
+    @F.arrow_udf("boolean")
+    def known(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+            kept = []
+            for part in slices(batch, size=AT_ONCE):
+                names, _, told = predict(shipped.value, part.column("text"))
+                kept += [x != UNKNOWN and e >= least for x, e in zip(names, told, strict=True)]
+            yield pa.array(kept, pa.bool_())
+
+    return docs.where(known(F.col("text").cast("string")))

@@ -49,7 +49,45 @@ def test_features_of_a_word():
     assert np.bincount(own).tolist() == [2 + 3 + 2 + 1, 2 + 3 + 2 + 1, 4 + 5 + 4 + 2]
 
 
-def test_gradient_is_that_of_the_likelihood():
+def test_steps_follow_the_gradient_of_the_likelihood():
+    """One step with large past gradients is a known multiple of the gradient."""
+    distinct = ["ab", "cd", "abc", "é"]
+    rng = np.random.default_rng(3)
+    chain = _chain(seed=4)
+    chain.weights *= 0.3
+    own, place = L.features(distinct)
+    order = np.argsort(own, kind="stable")
+    place, ends = place[order], np.searchsorted(own[order], np.arange(len(distinct) + 1))
+    tokens = [rng.integers(0, 4, n) for n in (5, 1, 3)]
+    truth = [rng.integers(0, 3, len(t)) for t in tokens]
+
+    def told():
+        total = 0.0
+        for t, y in zip(tokens, truth, strict=True):
+            emit = L.emissions(chain, distinct)[t]
+            path = chain.first[y[0]] + emit[np.arange(len(y)), y].sum() + chain.moves[y[:-1], y[1:]].sum()
+            alpha = chain.first + emit[0]
+            for e in emit[1:]:
+                alpha = np.logaddexp.reduce(alpha[:, None] + chain.moves, axis=0) + e
+            total += path - np.logaddexp.reduce(alpha)
+        return total
+
+    parts = (chain.weights, chain.moves, chain.first)
+    before = [p.copy() for p in parts]
+    spots = [(0, (int(place[3]), 1)), (0, (int(place[0]), 2)), (1, (0, 1)), (1, (2, 2)), (2, (1,))]
+    slopes = []
+    for i, at in spots:
+        parts[i][at] += 1e-4
+        up = told()
+        parts[i][at] -= 2e-4
+        slopes.append((up - told()) / 2e-4 - L.DECAY * before[i][at])
+        parts[i][at] = before[i][at]
+    L._step(chain, [np.full(p.shape, 1e12) for p in parts], tokens, truth, place, ends)
+    for (i, at), slope in zip(spots, slopes, strict=True):
+        assert abs((parts[i][at] - before[i][at]) * 1e6 / L.RATE - slope) < 1e-3
+
+
+def test_learned_languages_are_told_apart():
     runs, langs = ["aa ab aa", "zz zy zz", "aa aa"], ["x", "y", "x"]
     chain = L.fit(runs * 20, langs * 20)
     at, words = words_of(pa.array(["aa ab", "zy zz zz"]))
@@ -58,6 +96,23 @@ def test_gradient_is_that_of_the_likelihood():
     assert chain.languages == ["x", "y"] and got[0, 0] > 0.9 and got[1, 1] > 0.9
 
 
+def test_unlearned_scripts_go_and_short_clean_texts_stay(spark):
+    docs = load(spark, SF, "documents")
+    rng = np.random.default_rng(5)
+
+    def words(alphabet):
+        return " ".join("".join(rng.choice(list(alphabet), rng.integers(3, 9))) for _ in range(40))
+
+    other = [words("абвгдежзиклмнопрстуфхцчш"), words("αβγδεζηθικλμνξοπρστυ"), words("漢字仮名交文章語"), words("مرحباكيفل")]
+    rows = [(90_000 + i, t, "en", "s", 1) for i, t in enumerate(other)]
+    fine = ["Of the and.", "That with the.", "Les de la.", "Und der die."]
+    rows += [(91_000 + i, t, None, "s", 1) for i, t in enumerate(fine)]
+    mixed = docs.unionByName(spark.createDataFrame([r[:2] + (None,) + r[3:] for r in rows], docs.schema))
+    kept = {r.doc_id for r in L.keep_identified(mixed).select("doc_id").collect()}
+    assert not kept & {r[0] for r in rows[:4]}
+    assert {r[0] for r in rows[4:]} <= kept and len(kept) == docs.count() + 4
+
+
 def test_held_out_languages_are_found(spark):
     docs = load(spark, SF, "documents")
     lang = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
