@@ -1,72 +1,110 @@
-"""Sparse retrieval: BM25 index, exact top-k search, roll-up to databases.
-
-Scoring runs where the documents are. Postings are shuffled once by document,
-the query terms meet them there, and only k rows per query and task leave it.
-No hint forces a broadcast: Catalyst broadcasts the query terms while they are
-below its size threshold and shuffles by term beyond it, where adaptive
-execution splits the postings of frequent terms.
+"""Sparse retrieval: BM25 index, exact top-k search by upper bounds, roll-up to databases.
+
+Documents are dealt to blocks. The index keeps, for every term and block, the
+largest number of uses and the shortest length, which bound the term's part of
+any score there for all parameters. A search first scores each query's rare
+terms alone; the k-th of these partial scores is a floor that k documents reach.
+Then only blocks, and in them only documents, whose bound reaches the floor are
+scored with all terms, so no step lists all documents that share a word with a
+query. No hint forces a broadcast: Catalyst broadcasts the query terms while
+they are below its size threshold and shuffles them beyond it.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from routewright.functions.numbers import rounded
 from routewright.functions.text import tokens
-from routewright.session import cut_lineage
+from routewright.session import cut_lineage, scratch_path
 
 K1 = 1.2
 B = 0.75
 CUTOFF = 100
 TOP_DATABASES = 5
 SCORE_DIGITS = 6
+# Documents of a block on average.
+BLOCK_DOCS = 1024
+# Rare terms of a query are scored alone while they have so many postings per wanted document.
+PROBED = 16
+# A bound must miss the floor by this to count; far above the error of a sum, and rounding.
+SLACK = 1e-5
 
 
 @dataclass(frozen=True)
 class Bm25Index:
-    """postings(doc_id, db, term, tf), lengths(doc_id, len), stats(n_docs, avg_len), df(term, df)."""
+    """postings(doc_id, db, term, tf, len, block), lengths(doc_id, len), stats(n_docs, avg_len),
+    df(term, df), bounds(term, block, tf, len): most uses and least length there."""
 
     postings: DataFrame
     lengths: DataFrame
     stats: DataFrame
     df: DataFrame
+    bounds: DataFrame
 
     def write(self, path: str) -> None:
-        for name in ("postings", "lengths", "stats", "df"):
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        for f in fields(self):
+            getattr(self, f.name).write.mode("overwrite").parquet(f"{path}/{f.name}")
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> Bm25Index:
-        return Bm25Index(
-            *[spark.read.parquet(f"{path}/{n}") for n in ("postings", "lengths", "stats", "df")]
-        )
+        return Bm25Index(*[spark.read.parquet(f"{path}/{f.name}") for f in fields(Bm25Index)])
 
 
-def build_index(docs: DataFrame) -> Bm25Index:
-    """Index docs(doc_id, db, text); several rows of one doc_id are its parts.
+def count_postings(docs: DataFrame) -> DataFrame:
+    """(doc_id, db, term, tf) of docs(doc_id, db, text); rows of one doc_id are its parts.
 
     Term counts are pre-aggregated before the shuffle, so a giant document
     moves one row per distinct term and task. An empty document is one posting
     without a term, so that it still counts for the averages.
     """
     words = docs.select("doc_id", "db", F.explode_outer(tokens(F.col("text"))).alias("term"))
-    postings = words.groupBy("doc_id", "db", "term").agg(F.count("term").alias("tf"))
-    return index_of(postings)
+    return words.groupBy("doc_id", "db", "term").agg(F.count("term").alias("tf"))
+
+
+def build_index(docs: DataFrame) -> Bm25Index:
+    return index_of(count_postings(docs))
 
 
-def index_of(postings: DataFrame) -> Bm25Index:
-    lengths = postings.groupBy("doc_id").agg(F.sum("tf").alias("len"))
+def index_of(counted: DataFrame) -> Bm25Index:
+    lengths = counted.groupBy("doc_id").agg(F.sum("tf").alias("len"))
     stats = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
-    df = postings.where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return Bm25Index(postings, lengths, stats, df)
+    n_blocks = F.ceil(stats.select("n_docs").scalar() / BLOCK_DOCS)
+    postings = counted.join(lengths, "doc_id").withColumn(
+        "block", F.pmod(F.xxhash64("doc_id"), F.greatest(n_blocks, F.lit(1)))
+    )
+    said = postings.where("term is not null")
+    df = said.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    bounds = said.groupBy("term", "block").agg(F.max("tf").alias("tf"), F.min("len").alias("len"))
+    return Bm25Index(postings, lengths, stats, df, bounds)
 
 
 def stored_index(docs: DataFrame) -> Bm25Index:
-    """An index whose postings are written once; the text is not read again."""
-    return index_of(cut_lineage(build_index(docs).postings))
+    """An index that is written once: neither text nor postings are counted again."""
+    spark = docs.sparkSession
+    counted = cut_lineage(count_postings(docs))
+    index = index_of(counted)
+    path = scratch_path(spark, "index")
+    # Each table is derived from those already written.
+    for name in ("lengths", "stats", "postings", "df", "bounds"):
+        getattr(index, name).write.parquet(f"{path}/{name}")
+        if name == "postings":
+            placed = spark.read.parquet(f"{path}/{name}").where("term is not null")
+            by_block = placed.groupBy("term", "block").agg(
+                F.max("tf").alias("tf"), F.min("len").alias("len"), F.count(F.lit(1)).alias("n")
+            )
+            by_block = cut_lineage(by_block)
+            index = Bm25Index(
+                index.postings,
+                index.lengths,
+                index.stats,
+                by_block.groupBy("term").agg(F.sum("n").alias("df")),
+                by_block.drop("n"),
+            )
+    return Bm25Index.read(spark, path)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -85,24 +123,18 @@ def _tf_part(tf: Column, length: Column, avg: Column, k1: float, b: float) -> Co
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avg))
 
 
-def match_postings(index: Bm25Index, queries: DataFrame) -> tuple[DataFrame, list[str]]:
-    """(keys…, doc_id, db, len, tf, w): postings that meet a query term, by document.
-
-    Postings of other terms are dropped before the shuffle.
-    """
+def _weighted(index: Bm25Index, queries: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(keys…, term, df, w): weights of the query terms that some document has."""
     terms = query_terms(queries)
     keys = [c for c in terms.columns if c not in ("term", "qtf")]
-    vocabulary = terms.select("term").distinct()
-    weighted = terms.join(
-        index.df.join(vocabulary, "term", "left_semi").select("term", _idf(index).alias("idf")),
-        "term",
-    ).select(*keys, "term", (F.col("qtf") * F.col("idf")).alias("w"))
-    local = (
-        index.postings.join(vocabulary, "term", "left_semi")
-        .repartition("doc_id")
-        .join(index.lengths, "doc_id")
-    )
-    return local.join(weighted, "term"), keys
+    weight = (F.col("qtf") * _idf(index)).alias("w")
+    return terms.join(index.df, "term").select(*keys, "term", "df", weight), keys
+
+
+def match_postings(index: Bm25Index, queries: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(keys…, doc_id, db, len, tf, w): all postings that meet a query term."""
+    weighted, keys = _weighted(index, queries)
+    return index.postings.join(weighted.drop("df"), "term"), keys
 
 
 def score_documents(
@@ -123,12 +155,102 @@ def top_k(scored: DataFrame, keys: list[str], k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+@dataclass(frozen=True)
+class Pruned:
+    """Steps of a search, for what they list; all hold the keys of a query."""
+
+    # Query terms with their floor, sum of the other terms' bounds, and whether they can lift
+    # a document over the floor.
+    terms: DataFrame
+    # Partial scores from the rare terms alone.
+    probed: DataFrame
+    # Terms of the blocks that are read, and the documents that can reach the floor.
+    blocks: DataFrame
+    candidates: DataFrame
+    scored: DataFrame
+
+
+def prune(
+    index: Bm25Index, queries: DataFrame, k: int = CUTOFF, k1: float = K1, b: float = B
+) -> Pruned:
+    """Score all documents that can be among the k best of a query, and few others.
+
+    A query whose terms are all rare is done after the first step. For others the
+    terms are sorted by bound; those that together stay below the floor cannot
+    bring a document in, so only documents of the remaining ones are looked at.
+    """
+    avg = index.stats.select("avg_len").scalar()
+    weighted, keys = _weighted(index, queries)
+    whole = index.bounds.groupBy("term").agg(F.max("tf").alias("tf"), F.min("len").alias("len"))
+    part = _tf_part(F.col("tf"), F.col("len"), avg, k1, b) * F.col("w")
+    by_df = Window.partitionBy(*keys).orderBy("df", "term").rowsBetween(Window.unboundedPreceding, 0)
+    own = Window.partitionBy(*keys)
+    rare = (F.sum("df").over(by_df) <= PROBED * k) | (F.row_number().over(by_df) == 1)
+    terms = cut_lineage(
+        weighted.join(whole, "term")
+        .withColumn("top", part)
+        .withColumn("rare", rare)
+        .withColumn("done", F.min("rare").over(own))
+        .drop("tf", "len")
+    )
+
+    def partial(asked: DataFrame, on: list[str]) -> DataFrame:
+        return index.postings.join(asked, on).groupBy(*keys, "doc_id", "db").agg(F.sum(part).alias("s"))
+
+    probe = partial(terms.where("rare").select(*keys, "term", "w"), ["term"])
+    probed = cut_lineage(
+        probe.join(terms.select(*keys, "done").distinct(), keys).select(*probe.columns, "done")
+    )
+    by_score = Window.partitionBy(*keys).orderBy(F.desc("s"))
+    floors = (
+        probed.where("not done")
+        .withColumn("rank", F.row_number().over(by_score))
+        .where(F.col("rank") == k)
+        .select(*keys, (F.col("s") * (1 - SLACK) - SLACK).alias("floor"))
+    )
+    by_top = Window.partitionBy(*keys).orderBy("top", "term").rowsBetween(Window.unboundedPreceding, 0)
+    lifted = terms.where("not done").join(floors, keys, "left").na.fill(0.0, ["floor"])
+    lifted = lifted.withColumn("lifts", F.sum("top").over(by_top) >= F.col("floor"))
+    rest = F.sum(F.when(~F.col("lifts"), F.col("top")).otherwise(0.0)).over(own)
+    lifted = cut_lineage(lifted.withColumn("rest", rest))
+
+    by_block = Window.partitionBy(*keys, "block")
+    blocks = (
+        lifted.where("lifts")
+        .join(index.bounds, "term")
+        .withColumn("bound", F.sum(part).over(by_block) + F.col("rest"))
+        .where("bound >= floor")
+        .select(*keys, "term", "block", "w")
+    )
+    known = partial(blocks, ["term", "block"])
+    limits = lifted.select(*keys, "floor", "rest").distinct()
+    candidates = cut_lineage(
+        known.join(limits, keys).where("s + rest >= floor").select(*known.columns)
+    )
+    others = lifted.where("not lifts").select(*keys, "term", "w")
+    more = (
+        candidates.select(*keys, "doc_id")
+        .join(others, keys)
+        .join(index.postings.select("doc_id", "term", "tf", "len"), ["doc_id", "term"])
+        .groupBy(*keys, "doc_id")
+        .agg(F.sum(part).alias("more"))
+    )
+    full = candidates.join(more, [*keys, "doc_id"], "left").select(
+        *keys, "doc_id", "db", (F.col("s") + F.coalesce("more", F.lit(0.0))).alias("s")
+    )
+    scored = probed.where("done").select(*full.columns).unionByName(full)
+    scored = scored.select(
+        "doc_id", "db", *keys, F.round("s", SCORE_DIGITS).alias("score")
+    )
+    return Pruned(lifted, probed, blocks, candidates, scored)
+
+
 def search(
     index: Bm25Index, queries: DataFrame, k: int = CUTOFF, k1: float = K1, b: float = B
 ) -> DataFrame:
     """run(keys…, doc_id, db, score, rank): exact top-k of queries(keys…, text)."""
     keys = [c for c in queries.columns if c != "text"]
-    return top_k(score_documents(index, queries, k1, b), keys, k)
+    return top_k(prune(index, queries, k, k1, b).scored, keys, k)
 
 
 def roll_up(run: DataFrame) -> DataFrame:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from routewright.functions.draws import draw_below, shuffle_key, unit_draw
+from routewright.functions.draws import draw_below, unit_draw
 from routewright.functions.positions import number_rows
 from routewright.session import cut_lineage
 
 # Proposals that one job makes for every walk.
-STEPS_AT_ONCE = 8
+STEPS_AT_ONCE = 6
 
 
 def cardinalities(instances: DataFrame) -> DataFrame:
@@ -59,21 +59,69 @@ def weighted_draw(
     )
 
 
-def _lines(members: DataFrame) -> DataFrame:
-    """(db, tbl, slots, lines, total): each table with its keys on one line.
+def _places(members: DataFrame) -> DataFrame:
+    """(db, key, tbl, low, slot, lo, n): every member's place on its key.
 
-    ``lines`` holds (key, own, lo, hi) in key order and lays the other members of
-    all its keys on [0, total), so one number picks one of them; ``own`` is the
-    table's own number among the key's members. A table has at most as many
-    keys as its database has references to or from it.
+    ``low`` lists the smaller keys that the member shares with another member of
+    this key. Members with the same ``low`` meet the same others first elsewhere,
+    so they stand side by side: [lo, lo + n) are their slots.
     """
-    slots = number_rows(members.select("db", "key", "size", "tbl"), ["db", "key"], "tbl", "slot")
+    mine = members.select("db", "key", "tbl")
+    both = mine.join(mine.select("db", "tbl", F.col("key").alias("low")), ["db", "tbl"]).where(
+        "low < key"
+    )
+    shared = both.groupBy("db", "key", "low").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    lows = (
+        both.join(shared.drop("n"), ["db", "key", "low"])
+        .groupBy("db", "key", "tbl")
+        .agg(F.sort_array(F.collect_list("low")).alias("low"))
+    )
+    none = F.filter(F.array("key"), lambda _: F.lit(False))
+    marked = cut_lineage(
+        members.join(lows, ["db", "key", "tbl"], "left").withColumn("low", F.coalesce("low", none))
+    )
+    kinds = marked.groupBy("db", "key", "low").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("db", "key").orderBy("low").rowsBetween(Window.unboundedPreceding, -1)
+    kinds = kinds.withColumn("lo", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    return (
+        number_rows(marked, ["db", "key", "low"], "tbl", "slot")
+        .join(kinds, ["db", "key", "low"])
+        .withColumn("slot", F.col("slot") + F.col("lo"))
+    )
+
+
+def _lines(places: DataFrame) -> DataFrame:
+    """(db, tbl, lines, total): each table with its distinct neighbours on one line.
+
+    ``lines`` holds (key, lo, hi, skips) in key order: [lo, hi) are the members of
+    the key that share no smaller key with the table, and ``skips`` the slots of
+    the others and of the table itself. So one number in [0, total) names one
+    distinct neighbour, and no pair of tables is listed: those to be skipped are
+    found by ``low``. A table has at most as many keys as columns take part in.
+    """
+    kinds = places.select("db", "key", "low", "lo", "n").distinct()
+    each = kinds.where(F.size("low") > 0).withColumn("x", F.explode("low"))
+    met = (
+        each.select("db", "key", "low", "x")
+        .join(each.select("db", "key", "x", "lo", "n"), ["db", "key", "x"])
+        .groupBy("db", "key", "low")
+        .agg(F.sort_array(F.collect_set(F.struct("lo", "n"))).alias("met"))
+    )
+    itself = F.array(F.struct(F.col("slot").alias("lo"), F.lit(1).cast("bigint").alias("n")))
+    skips = F.coalesce("met", itself)
+    left = F.col("size") - F.aggregate("skips", F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
     upto = Window.partitionBy("db", "tbl").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
-    hi = F.sum(F.col("size") - 1).over(upto)
-    laid = slots.withColumns({"hi": hi, "lo": hi - (F.col("size") - 1)})
-    line = F.struct("key", F.col("slot").alias("own"), "lo", "hi")
+    laid = (
+        places.select("db", "key", "tbl", "size", "low", "slot")
+        .join(met, ["db", "key", "low"], "left")
+        .withColumn("skips", skips)
+        .withColumn("left", left)
+        .withColumn("hi", F.sum("left").over(upto))
+        .withColumn("lo", F.col("hi") - F.col("left"))
+    )
     return laid.groupBy("db", "tbl").agg(
-        F.sort_array(F.collect_list(line)).alias("lines"), F.max("hi").alias("total")
+        F.sort_array(F.collect_list(F.struct("key", "lo", "hi", "skips"))).alias("lines"),
+        F.max("hi").alias("total"),
     )
 
 
@@ -95,20 +143,21 @@ def _starts(starts: DataFrame, columns: DataFrame, seed: str) -> DataFrame:
 
 
 def _step(state: DataFrame, places: DataFrame, most: int, p: float, q: float, seed: str) -> DataFrame:
-    """One proposal per unfinished walk, accepted or not.
+    """One proposal per unfinished walk: a distinct neighbour by equal chance.
 
-    A pair that shares several keys is met several times on the line, so a pick
-    counts only through the pair's smallest key: all distinct neighbours keep
-    the same chance. ``p`` and ``q`` thin out the proposals as the walk's last
-    step asks.
+    With equal weights it is always taken. Else ``p`` and ``q`` thin the
+    proposals out; how many that takes depends on the weights, not on the graph.
     """
     going = (F.size("path") < most) & (F.col("total") > 0)
     pick = draw_below(F.col("total"), F.lit(seed), "walk_id", F.size("path"), "attempt")
     at = F.get(
         F.filter("lines", lambda x: (x["lo"] <= F.col("pick")) & (F.col("pick") < x["hi"])), F.lit(0)
     )
-    offset = F.col("pick") - F.col("at.lo")
-    slot = offset + F.when(offset >= F.col("at.own"), 1).otherwise(0)
+    slot = F.aggregate(
+        "at.skips",
+        F.col("pick") - F.col("at.lo"),
+        lambda r, x: r + F.when(r >= x["lo"], x["n"]).otherwise(0),
+    )
     # Finished walks look for a place that no key has, each its own.
     aimed = (
         state.withColumn("pick", F.when(going, pick))
@@ -118,16 +167,18 @@ def _step(state: DataFrame, places: DataFrame, most: int, p: float, q: float, se
     )
     met = aimed.join(places, ["db", "key", "slot"], "left")
     keys = F.transform("lines", lambda x: x["key"])
-    smaller = F.exists("nxt_lines", lambda x: (x["key"] < F.col("key")) & F.array_contains(keys, x["key"]))
-    near = F.exists("nxt_lines", lambda x: F.array_contains("prev_keys", x["key"]))
-    weight = (
-        F.when(F.col("prev").isNull(), 1.0)
-        .when(F.col("nxt") == F.col("prev"), 1 / p)
-        .when(near, 1.0)
-        .otherwise(1 / q)
-    )
-    luck = unit_draw(F.lit(seed), F.lit("accept"), "walk_id", F.size("path"), "attempt")
-    accepted = F.col("nxt").isNotNull() & ~smaller & (luck * max(1.0, 1 / p, 1 / q) < weight)
+    if p == q == 1:
+        accepted = F.col("nxt").isNotNull()
+    else:
+        near = F.exists("nxt_lines", lambda x: F.array_contains("prev_keys", x["key"]))
+        weight = (
+            F.when(F.col("prev").isNull(), 1.0)
+            .when(F.col("nxt") == F.col("prev"), 1 / p)
+            .when(near, 1.0)
+            .otherwise(1 / q)
+        )
+        luck = unit_draw(F.lit(seed), F.lit("accept"), "walk_id", F.size("path"), "attempt")
+        accepted = F.col("nxt").isNotNull() & (luck * max(1.0, 1 / p, 1 / q) < weight)
 
     def after(moved: Column, stayed: str) -> Column:
         return F.when(F.col("ok"), moved).otherwise(F.col(stayed))
@@ -176,15 +227,19 @@ def walk_from(
 ) -> DataFrame:
     """(walk_id, db, path) of begun(walk_id, db, tbl), as ``random_walks`` goes on."""
     most = walk_len - 2
-    lines = cut_lineage(_lines(cut_lineage(members)))
+    placed = cut_lineage(_places(cut_lineage(members)))
+    lines = cut_lineage(_lines(placed))
     places = cut_lineage(
-        lines.select(
-            "db",
-            F.col("tbl").alias("nxt"),
-            F.col("lines").alias("nxt_lines"),
-            F.col("total").alias("nxt_total"),
-            F.explode("lines").alias("l"),
-        ).select("db", "l.key", F.col("l.own").alias("slot"), "nxt", "nxt_lines", "nxt_total")
+        placed.select("db", "key", "slot", F.col("tbl").alias("nxt"))
+        .join(
+            lines.select(
+                "db",
+                F.col("tbl").alias("nxt"),
+                F.col("lines").alias("nxt_lines"),
+                F.col("total").alias("nxt_total"),
+            ),
+            ["db", "nxt"],
+        )
     )
     state = begun.join(lines, ["db", "tbl"], "left").select(
         "walk_id",
@@ -197,12 +252,18 @@ def walk_from(
         F.lit(None).cast("string").alias("prev"),
         F.transform("lines", lambda x: x["key"]).alias("prev_keys"),
     )
+    going = (F.size("path") < most) & F.coalesce(F.col("total") > 0, F.lit(False))
+    done: DataFrame | None = None
     while True:
         for _ in range(STEPS_AT_ONCE):
             state = _step(state, places, most, p, q, seed)
         state = cut_lineage(state)
-        if state.where((F.size("path") < most) & (F.col("total") > 0)).isEmpty():
-            return state.select("walk_id", "db", "path")
+        # Finished walks leave the state.
+        ended = state.where(~going).select("walk_id", "db", "path")
+        done = ended if done is None else done.unionByName(ended)
+        state = state.where(going)
+        if state.isEmpty():
+            return done
 
 
 def dedupe_walks(walks: DataFrame) -> DataFrame:
@@ -218,24 +279,39 @@ def truncate_walks(walks: DataFrame, histogram: DataFrame) -> DataFrame:
     )
 
 
+def drawn_positions(n: Column, k: Column, *key: Column | str) -> Column:
+    """k distinct numbers below n, every set alike: the j-th draw is from the first
+    n - k + j numbers, and where it falls on a number taken before, the last of those
+    is taken instead."""
+    none = F.array().cast("array<bigint>")
+
+    def take(taken: Column, j: Column) -> Column:
+        drawn = draw_below(j + 1, *key, j.cast("string"))
+        return F.concat(taken, F.array(F.when(F.array_contains(taken, drawn), j).otherwise(drawn)))
+
+    steps = F.when(k > 0, F.sequence(n - k, n - 1)).otherwise(none)
+    return F.aggregate(steps, none, take)
+
+
 def sample_columns(walks: DataFrame, columns: DataFrame, histogram: DataFrame) -> DataFrame:
     """(walk_id, db, pos, tbl, draw_pos, col): drawn columns, without replacement.
 
-    The sort per (walk, table) is cut to the largest drawn size first: the limit
-    is a number taken from the histogram.
+    Positions are drawn from the number of a table's columns and only the drawn
+    ones are joined, so a table of many columns costs what is drawn from it.
     """
-    largest = histogram.where("what = 'column'").agg(F.max("size").alias("m")).first()["m"] or 0
     visits = walks.select("walk_id", "db", F.posexplode("tables").alias("pos", "tbl"))
-    sized = weighted_draw(visits, histogram, "column", "k", F.lit("n_columns"), "walk_id", "tbl")
-    order = Window.partitionBy("walk_id", "pos").orderBy(
-        shuffle_key(F.lit("column"), "walk_id", "tbl", "col", "col_pos")
+    numbered = cut_lineage(
+        number_rows(columns.select("db", "tbl", "col_pos", "col"), ["db", "tbl"], "col_pos", "col_no")
     )
+    sizes = numbered.groupBy("db", "tbl").agg(F.count(F.lit(1)).alias("n_cols"))
+    sized = weighted_draw(visits, histogram, "column", "k", F.lit("n_columns"), "walk_id", "tbl")
+    least = F.least(F.col("k").cast("bigint"), F.col("n_cols"))
+    drawn = drawn_positions(F.col("n_cols"), least, F.lit("column"), "walk_id", "tbl")
     return (
-        sized.join(columns.select("db", "tbl", "col_pos", "col"), ["db", "tbl"])
-        .withColumn("draw_pos", F.row_number().over(order))
-        .where(F.col("draw_pos") <= F.lit(largest))
-        .where("draw_pos <= k")
-        .select("walk_id", "db", "pos", "tbl", "draw_pos", "col")
+        sized.join(sizes, ["db", "tbl"])
+        .select("walk_id", "db", "pos", "tbl", F.posexplode(drawn).alias("draw_pos", "col_no"))
+        .join(numbered, ["db", "tbl", "col_no"])
+        .select("walk_id", "db", "pos", "tbl", (F.col("draw_pos") + 1).alias("draw_pos"), "col")
     )
 
 

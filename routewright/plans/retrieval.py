@@ -21,7 +21,7 @@ def _run(spark: SparkSession, d: str, k: int = r.CUTOFF) -> DataFrame:
 
 
 def bm25_index(spark, d):
-    return r.build_index(t.documents(spark, d)).postings.where("term is not null")
+    return r.count_postings(t.documents(spark, d)).where("term is not null")
 
 
 def bm25_lengths(spark, d):

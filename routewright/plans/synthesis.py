@@ -8,6 +8,9 @@ from routewright.operators import graph as g
 from routewright.operators import synth as s
 from routewright.plans import tables as t
 
+# Parameters of the weighted walks: weight 1 / RETURN to go back, 1 / IN_OUT to go on.
+RETURN, IN_OUT = 0.5, 2.0
+
 
 def cardinality_histogram(spark, d):
     return s.cardinalities(t.instances(spark, d))
@@ -17,18 +20,24 @@ def max_tables(spark, d):
     return s.max_tables(t.instances(spark, d))
 
 
-def _walks(spark, d):
+def _walks(spark, d, p: float = 1.0, q: float = 1.0):
     """One walk per order; the walk length follows from the largest question."""
     walk_len = s.max_tables(t.instances(spark, d)).first()["walk_len"]
     columns = t.keep(t.full_columns(spark, d))
     starts = t.load(spark, d, "orders").select(F.col("o_orderkey").alias("walk_id"))
-    return s.random_walks(starts, columns, g.clique_members(columns), walk_len)
+    return s.random_walks(starts, columns, g.clique_members(columns), walk_len, p=p, q=q)
 
 
 def random_walks(spark, d):
     return _walks(spark, d).select("walk_id", "db", F.array_join("path", ",").alias("path"))
 
 
+def weighted_walks(spark, d):
+    """Walks that rather return and stay near."""
+    walks = _walks(spark, d, RETURN, IN_OUT)
+    return walks.select("walk_id", "db", F.array_join("path", ",").alias("path"))
+
+
 def _line_walks(spark, d):
     """The suppliers of an order in line order stand for a walk."""
     lines = t.load(spark, d, "lineitem").groupBy("l_orderkey").agg(
@@ -90,6 +99,7 @@ QUERIES = {
         cardinality_histogram,
         max_tables,
         random_walks,
+        weighted_walks,
         walk_dedupe,
         draw_table_count,
         draw_columns,
@@ -122,46 +132,64 @@ def _number(item: str, group: str = "") -> str:
     return f"row_number() OVER ({part}ORDER BY substr(md5({item}), 1, 2), {item}) - 1"
 
 
-_WALK = f"""
+def _walk(p: float = 1.0, q: float = 1.0) -> str:
+    """Each walk draws a distinct neighbour by number: by first shared key, then by slot."""
+    luck = t.draw("'walk|accept|' || walk_id || '|' || len(path) || '|' || attempt")
+    return f"""
 most AS (SELECT 2 * max(size) AS most FROM tsz),
 tb AS (SELECT db, tbl, {_number('tbl', 'db')} AS tbl_no FROM (SELECT DISTINCT db, tbl FROM cols)),
 dbs AS (SELECT db, n_tbl, {_number('db')} AS db_no, count(*) OVER () AS n_db
   FROM (SELECT db, count(*) AS n_tbl FROM tb GROUP BY db)),
-slots AS (SELECT db, key, tbl, {_number('tbl', 'db, key')} AS slot,
-  count(*) OVER (PARTITION BY db, key) - 1 AS others FROM memb),
-laid AS (SELECT *, sum(others) OVER (PARTITION BY db, tbl ORDER BY key) AS hi,
-  sum(others) OVER (PARTITION BY db, tbl) AS total FROM slots),
+meets AS (SELECT a.db, a.key, a.tbl, b.key AS low FROM memb a JOIN memb b USING (db, tbl) WHERE b.key < a.key),
+shared AS (SELECT db, key, low FROM meets GROUP BY ALL HAVING count(*) > 1),
+lows AS (SELECT db, key, tbl, list(low ORDER BY low) AS low FROM meets JOIN shared USING (db, key, low) GROUP BY db, key, tbl),
+slots AS (SELECT memb.db, memb.key, memb.tbl, row_number() OVER (PARTITION BY memb.db, memb.key
+    ORDER BY coalesce(low, []), substr(md5(memb.tbl), 1, 2), memb.tbl) - 1 AS slot
+  FROM memb LEFT JOIN lows USING (db, key, tbl)),
 firsts AS (SELECT x.db, x.tbl, y.tbl AS nxt, min(x.key) AS key
   FROM memb x JOIN memb y USING (db, key) WHERE x.tbl <> y.tbl GROUP BY x.db, x.tbl, y.tbl),
+nb AS (SELECT f.db, f.tbl, f.nxt, row_number() OVER (PARTITION BY f.db, f.tbl ORDER BY f.key, s.slot) - 1 AS place,
+    count(*) OVER (PARTITION BY f.db, f.tbl) AS total
+  FROM firsts f JOIN slots s ON s.db = f.db AND s.key = f.key AND s.tbl = f.nxt),
 s0 AS (SELECT o_orderkey AS walk_id, {_below('n.n_db', "'walk|' || o_orderkey || '|db'")} AS db_no
   FROM orders, (SELECT count(*) AS n_db FROM dbs) n),
 s1 AS (SELECT walk_id, tb.db, tb.tbl FROM s0 JOIN dbs USING (db_no)
   JOIN tb ON tb.db = dbs.db AND tb.tbl_no = {_below('dbs.n_tbl', "'walk|' || walk_id || '|tbl'")}),
 walk AS (
-  SELECT walk_id, db, tbl, [tbl] AS path, 0 AS attempt FROM s1
+  SELECT walk_id, db, tbl, NULL::VARCHAR AS prev, [tbl] AS path, 0 AS attempt FROM s1
   UNION ALL
-  SELECT walk_id, db, CASE WHEN ok THEN nxt ELSE tbl END, CASE WHEN ok THEN list_append(path, nxt) ELSE path END,
-    CASE WHEN ok THEN 0 ELSE attempt + 1 END
-  FROM (SELECT p.*, slots.tbl AS nxt, f.key = p.key AS ok FROM (
-      SELECT w.*, l.key, l.slot AS own, pick - (l.hi - l.others) AS off FROM (
-        SELECT walk.*, {_below('total', "'walk|' || walk_id || '|' || len(path) || '|' || attempt")} AS pick
-        FROM walk JOIN (SELECT DISTINCT db, tbl, total FROM laid) USING (db, tbl), most
-        WHERE len(path) < most) w
-      JOIN laid l ON l.db = w.db AND l.tbl = w.tbl AND pick >= l.hi - l.others AND pick < l.hi) p
-    JOIN slots ON slots.db = p.db AND slots.key = p.key AND slots.slot = off + (off >= own)::BIGINT
-    JOIN firsts f ON f.db = p.db AND f.tbl = p.tbl AND f.nxt = slots.tbl)),
+  SELECT walk_id, db, CASE WHEN ok THEN nxt ELSE tbl END, CASE WHEN ok THEN tbl ELSE prev END,
+    CASE WHEN ok THEN list_append(path, nxt) ELSE path END, CASE WHEN ok THEN 0 ELSE attempt + 1 END
+  FROM (SELECT w.*, nb.nxt, w.luck * {max(1.0, 1 / p, 1 / q)} < CASE WHEN w.prev IS NULL THEN 1.0
+      WHEN nb.nxt = w.prev THEN {1 / p} WHEN g.key IS NOT NULL THEN 1.0 ELSE {1 / q} END AS ok
+    FROM (SELECT walk.*, {luck} AS luck,
+        {_below('total', "'walk|' || walk_id || '|' || len(path) || '|' || attempt")} AS pick
+      FROM walk JOIN (SELECT DISTINCT db, tbl, total FROM nb) USING (db, tbl), most WHERE len(path) < most) w
+    JOIN nb ON nb.db = w.db AND nb.tbl = w.tbl AND nb.place = w.pick
+    LEFT JOIN firsts g ON g.db = w.db AND g.tbl = w.prev AND g.nxt = nb.nxt)),
 walked AS (SELECT walk_id, db, arg_max(path, len(path)) AS path FROM walk GROUP BY walk_id, db)"""
 
+
+_WALK = _walk()
+
 _LINE_WALK = """
 visit AS (SELECT ok AS walk_id, db, tbl, min(col_pos) AS fst FROM cols GROUP BY ok, db, tbl),
 vis AS (SELECT walk_id, db, tbl, row_number() OVER (PARTITION BY walk_id ORDER BY fst) - 1 AS pos FROM visit)"""
 
 _COLS = f"""
-drawn AS (SELECT * FROM (
-  SELECT v.*, {_size('column', "'n_columns|' || v.walk_id || '|' || v.tbl")} AS k, c.col,
-    row_number() OVER (PARTITION BY v.walk_id, v.pos
-      ORDER BY md5('column|' || v.walk_id || '|' || v.tbl || '|' || c.col || '|' || c.col_pos)) AS draw_pos
-  FROM vis v JOIN cols c ON c.db = v.db AND c.tbl = v.tbl) WHERE draw_pos <= k)"""
+cno AS (SELECT db, tbl, col, count(*) OVER (PARTITION BY db, tbl) AS n,
+  row_number() OVER (PARTITION BY db, tbl ORDER BY substr(md5(col_pos::VARCHAR), 1, 2), col_pos) - 1 AS col_no FROM cols),
+need AS (SELECT v.walk_id, v.db, v.pos, v.tbl, n,
+    least(n, {_size('column', "'n_columns|' || v.walk_id || '|' || v.tbl")}) AS k
+  FROM vis v JOIN (SELECT DISTINCT db, tbl, n FROM cno) USING (db, tbl)),
+take AS (
+  SELECT walk_id, db, pos, tbl, n, n - k AS j, []::BIGINT[] AS taken FROM need
+  UNION ALL
+  SELECT walk_id, db, pos, tbl, n, j + 1, list_append(taken, CASE WHEN list_contains(taken, r) THEN j ELSE r END)
+  FROM (SELECT *, {_below('(j + 1)', "'column|' || walk_id || '|' || tbl || '|' || j")} AS r FROM take WHERE j < n)),
+drawn AS (SELECT walk_id, db, pos, tbl, draw_pos, col FROM (
+  SELECT walk_id, db, pos, tbl, unnest(taken) AS col_no, generate_subscripts(taken, 1) AS draw_pos
+  FROM take WHERE j = n) JOIN cno USING (db, tbl, col_no))"""
 
 _WITH = f"WITH RECURSIVE {t.CATALOG}, {_HIST}"
 
@@ -170,13 +198,14 @@ ORACLE = {
     "max_tables": f"""WITH {t.LINES}, {_HIST}
 SELECT max(size)::INT AS max_tables, (2 + 2 * max(size))::INT AS walk_len FROM tsz""",
     "random_walks": f"{_WITH}, {_WALK} SELECT walk_id, db, array_to_string(path, ',') AS path FROM walked",
+    "weighted_walks": f"{_WITH}, {_walk(RETURN, IN_OUT)} SELECT walk_id, db, array_to_string(path, ',') AS path FROM walked",
     "walk_dedupe": f"""WITH {t.LINES}, {_LINE_WALK}
 SELECT walk_id, db, string_agg(tbl, ',' ORDER BY pos) AS tables FROM vis GROUP BY walk_id, db""",
     "draw_table_count": f"""WITH {t.LINES}, {_HIST}, {_LINE_WALK},
 n AS (SELECT ok AS walk_id, {_size('table', "'n_tables|' || ok")} AS n FROM tsz)
 SELECT walk_id, db, coalesce(string_agg(tbl, ',' ORDER BY pos) FILTER (pos < n), '') AS tables
 FROM vis JOIN n USING (walk_id) GROUP BY walk_id, db""",
-    "draw_columns": f"""WITH {t.LINES}, {_HIST}, {_LINE_WALK}, {_COLS}
+    "draw_columns": f"""WITH RECURSIVE {t.LINES}, {_HIST}, {_LINE_WALK}, {_COLS}
 SELECT walk_id, db, pos::INT AS pos, tbl, draw_pos::INT AS draw_pos, col FROM drawn""",
     "assemble_synthetic": f"""{_WITH}, {_WALK},
 visit AS (SELECT walk_id, db, tbl, min(i) AS fst FROM (

@@ -231,3 +231,65 @@ def test_few_shot(spark):
     index = r.build_index(r.few_shot_documents(train))
     rows = r.few_shot_examples(index, q, train, cols, 2).orderBy("rank", "col_pos").collect()
     assert [(x["rank"], x["sql"], x["col"]) for x in rows] == [(1, "SELECT 2", "z"), (2, "SELECT 1", "x"), (2, "SELECT 1", "y")]
+
+
+def test_search_leaves_out_what_cannot_be_among_the_best(spark, monkeypatch):
+    """Common words alone bring no document in once k documents share the rare ones."""
+    monkeypatch.setattr(r, "BLOCK_DOCS", 40)
+    monkeypatch.setattr(r, "PROBED", 4)
+    rng = random.Random(8)
+    common = [f"c{i}" for i in range(6)]
+    docs = [(i, "d0", " ".join(rng.choices(common, k=12))) for i in range(1500)]
+    docs += [
+        (2000 + 20 * q + j, "d1", f"r{q} s{q} " + " ".join(rng.choices(common, k=6)))
+        for q in range(8) for j in range(20)
+    ]
+    queries = [(q, f"r{q} s{q} " + " ".join(common)) for q in range(8)]
+    queries += [(20, "c0 c1"), (21, "r1"), (22, "c0 r1 r2 c0 c3")]
+    df = spark.createDataFrame(docs, "doc_id bigint, db string, text string")
+    index, q = r.stored_index(df), spark.createDataFrame(queries, "qid bigint, text string")
+    for k1, b in ((1.2, 0.75), (2.0, 0.0)):
+        got, want = as_lists(r.search(index, q, 10, k1, b)), brute(docs, queries, k1, b)
+        for qid, _ in queries:
+            assert got[qid] == [(s, d) for s, d in want[qid][:10]]
+    steps = r.prune(index, q, 10)
+    pairs = sum(len(x) for x in brute(docs, queries).values())
+    rare = [x for x in range(8)]
+    assert steps.candidates.where(F.col("qid").isin(rare)).count() <= 8 * 20
+    assert steps.probed.count() <= 11 * r.PROBED * 10 + 1700
+    n_blocks = index.bounds.select("block").distinct().count()
+    assert steps.blocks.where(F.col("qid").isin(rare)).count() < 8 * 2 * n_blocks
+    assert steps.candidates.count() < pairs / 3
+
+
+def test_lazy_cover_picks_what_the_full_matrix_gives():
+    rng = random.Random(9)
+    for _ in range(300):
+        n_docs, n = rng.randrange(1, 9), rng.randrange(1, 6)
+        cells = {
+            s: [(rng.choice([0.0, 0.5, 1.0, 2.0]), d) for d in rng.sample(range(n_docs), rng.randrange(n_docs + 1))]
+            for s in range(n)
+        }
+        weights = [rng.choice([0.3, 0.5, 0.6]) for _ in range(n)]
+        gain = np.full((n, n_docs), 0.5)
+        for s, row in cells.items():
+            for x, d in row:
+                gain[s, d] = (x + 1) / 2
+        gain *= np.array(weights)[:, None]
+        open_, free, want = np.ones(n, bool), np.ones(n_docs, bool), []
+        while len(want) < min(6, n_docs):
+            if not open_.any():
+                open_[:] = True
+            s, d = np.unravel_index(np.argmax(np.where(open_[:, None] & free, gain, -1)), gain.shape)
+            want.append((int(d), gain[s, d]))
+            open_[s], free[d] = False, False
+        assert cover.lazy_cover(cells, weights, n_docs, 6) == want
+
+
+def test_lazy_cover_of_many_segments():
+    """The full matrix of this question would have 2.5 billion cells."""
+    rng = random.Random(10)
+    cells = {s: [(rng.random(), s * 100 + i) for i in range(100)] for s in range(5000)}
+    picks = cover.lazy_cover(cells, [0.5] * 5000, 500_000, 20)
+    best = sorted((max(x) for x in cells.values()), reverse=True)[:20]
+    assert [d for d, _ in picks] == [d for _, d in best]
