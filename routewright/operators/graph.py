@@ -16,9 +16,6 @@ from routewright.session import cut_lineage
 
 ROOT = "source"
 
-# A table name that more databases have is handled per distinct list of names.
-HEAVY_NAME = 10_000
-
 
 def tree_edges(columns: DataFrame) -> DataFrame:
     """source -> database and database -> table edges."""
@@ -142,32 +139,69 @@ def table_index(columns: DataFrame) -> DataFrame:
     return columns.select("tbl", "db").distinct()
 
 
-def vote_database(labels: DataFrame, index: DataFrame, heavy: int = HEAVY_NAME) -> DataFrame:
+def vote_database(labels: DataFrame, index: DataFrame) -> DataFrame:
     """(qid, db): database named by most tables of a flat table list.
 
     labels(qid, pos, tbl); ties go to the database seen first, that is by the
     earliest table, then by name. Lists that name no known table get an empty
     database.
 
-    A name that more than ``heavy`` databases have is not joined list by list.
-    It adds its votes to the databases that the list's other names reached; a
-    database reached by heavy names only can win just as the best of its list
-    of heavy names, which is found once per distinct such list.
+    Equal lists are answered once. Of a list, the table that the fewest databases
+    have is looked up first; the best of these databases, counted over the whole
+    list, is a floor. Tables that all together have fewer votes than the floor can
+    bring no database in, so of those, taken from the most widespread one on, no
+    databases are listed: their votes are only tested.
     """
-    many = index.groupBy("tbl").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > heavy)
-    hot = cut_lineage(many.select("tbl"))
-    votes = _heavy_votes(labels, index, hot) if not hot.isEmpty() else _votes(labels, index)
-    best = votes.groupBy("qid").agg(
-        F.min(F.struct((-F.col("votes")).alias("v"), "seen", "db")).alias("best")
+    rows = labels.groupBy("qid").agg(
+        F.sort_array(F.collect_list(F.struct("pos", "tbl"))).alias("at")
     )
+    lists = cut_lineage(rows.select("qid", F.transform("at", lambda x: x["tbl"]).alias("names")))
+    best = best_of_lists(lists.select("names").distinct(), index)
+    return lists.join(best, "names", "left").select("qid", F.coalesce("db", F.lit("")).alias("db"))
+
+
+def listed_names(lists: DataFrame, index: DataFrame) -> DataFrame:
+    """(names, tbl, n, uses, first): known tables of each list, and how many databases have each."""
+    widths = index.groupBy("tbl").agg(F.count(F.lit(1)).alias("n"))
+    each = lists.select("names", F.posexplode("names").alias("i", "tbl"))
     return (
-        labels.select("qid")
-        .distinct()
-        .join(best, "qid", "left")
-        .select("qid", F.coalesce("best.db", F.lit("")).alias("db"))
+        each.groupBy("names", "tbl")
+        .agg(F.count(F.lit(1)).alias("uses"), F.min("i").alias("first"))
+        .join(widths, "tbl")
     )
 
 
+def opening_names(known: DataFrame, floors: DataFrame) -> DataFrame:
+    """Tables of each list whose databases must be listed, given (names, floor)."""
+    widest = Window.partitionBy("names").orderBy(F.desc("n"), "tbl")
+    upto = F.sum("uses").over(widest.rowsBetween(Window.unboundedPreceding, 0))
+    return known.join(floors, "names").withColumn("upto", upto).where("upto >= floor")
+
+
+def _best_votes(reached: DataFrame, known: DataFrame, index: DataFrame) -> DataFrame:
+    """(names, best): the winner of the (names, db) reached, by votes of the whole list."""
+    named = reached.join(known.select("names", "tbl", "uses", "first"), "names")
+    votes = named.join(index, ["tbl", "db"], "left_semi").groupBy("names", "db").agg(
+        F.sum("uses").alias("votes"), F.min("first").alias("seen")
+    )
+    return votes.groupBy("names").agg(
+        F.min(F.struct((-F.col("votes")).alias("v"), "seen", "db")).alias("best")
+    )
+
+
+def best_of_lists(lists: DataFrame, index: DataFrame) -> DataFrame:
+    """(names, db) of distinct lists of table names."""
+    known = cut_lineage(listed_names(lists, index))
+    narrow = Window.partitionBy("names").orderBy("n", "tbl")
+    rarest = known.withColumn("nth", F.row_number().over(narrow)).where("nth = 1")
+    reached = rarest.join(index, "tbl").select("names", "db")
+    floors = cut_lineage(_best_votes(reached, known, index)).select(
+        "names", (-F.col("best.v")).alias("floor")
+    )
+    opened = opening_names(known, floors).join(index, "tbl").select("names", "db").distinct()
+    return _best_votes(opened, known, index).select("names", F.col("best.db").alias("db"))
+
+
 def voted_schema(labels: DataFrame, index: DataFrame) -> DataFrame:
     """(qid, db, tables): the voted database with the list's tables in order.
 
@@ -181,48 +215,6 @@ def voted_schema(labels: DataFrame, index: DataFrame) -> DataFrame:
     return vote_database(labels, index).join(listed, "qid").select("qid", "db", tables)
 
 
-def _votes(labels: DataFrame, index: DataFrame) -> DataFrame:
-    return labels.join(index, "tbl").groupBy("qid", "db").agg(
-        F.count(F.lit(1)).alias("votes"), F.min("pos").alias("seen")
-    )
-
-
-def _heavy_votes(labels: DataFrame, index: DataFrame, hot: DataFrame) -> DataFrame:
-    """(qid, db, votes, seen) of every database that can win its list."""
-    light = _votes(labels.join(hot, "tbl", "left_anti"), index)
-    heavy_rows = labels.join(hot, "tbl", "left_semi").select("qid", "pos", "tbl")
-    added = _votes_at(light.select("qid", "db").join(heavy_rows, "qid"), index)
-    reached = (
-        light.unionByName(added)
-        .groupBy("qid", "db")
-        .agg(F.sum("votes").alias("votes"), F.min("seen").alias("seen"))
-    )
-    lists = heavy_rows.groupBy("qid").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "tbl"))).alias("at")
-    ).withColumn("names", F.transform("at", lambda x: x["tbl"]))
-    each = lists.select("names").distinct().select("names", F.posexplode("names").alias("i", "tbl"))
-    per_db = each.join(index, "tbl").groupBy("names", "db").agg(
-        F.count(F.lit(1)).alias("votes"), F.min("i").alias("i")
-    )
-    winner = per_db.groupBy("names").agg(
-        F.min(F.struct((-F.col("votes")).alias("v"), "i", "db")).alias("w")
-    )
-    alone = lists.join(winner, "names").select(
-        "qid",
-        F.col("w.db").alias("db"),
-        (-F.col("w.v")).alias("votes"),
-        F.get(F.col("at"), F.col("w.i"))["pos"].alias("seen"),
-    )
-    return reached.unionByName(alone)
-
-
-def _votes_at(named: DataFrame, index: DataFrame) -> DataFrame:
-    """Votes of (qid, db, pos, tbl) rows whose database really has the table."""
-    return named.join(index, ["tbl", "db"], "left_semi").groupBy("qid", "db").agg(
-        F.count(F.lit(1)).alias("votes"), F.min("pos").alias("seen")
-    )
-
-
 def has_separator(name: Column, separator: str) -> Column:
     """True for a name that would break a serialised schema."""
     return name.contains(separator)

@@ -120,7 +120,7 @@ def paired_t_p_value(spark, d):
 
 
 def _top_recall(spark, d):
-    run = t.sure_runs(spark, d)
+    run = t.compared_runs(spark, d)
     of_db = F.min("rank").over(Window.partitionBy("method", "qid", "db"))
     ranked = run.withColumn("db_first", of_db).withColumn(
         "db_rank", F.dense_rank().over(Window.partitionBy("method", "qid").orderBy("db_first"))
@@ -293,14 +293,15 @@ ap AS (SELECT method, qid, round(sum((r - r0) * (p + p0) / 2) + 1e-9, 6) AS ap
 )
 
 _TOP = f"""WITH {t.RUNS},
-cut AS (SELECT * FROM (SELECT *, round(score * 100)::BIGINT AS cents FROM runs)
-  QUALIFY cents * count(*) OVER (PARTITION BY method, qid) >= sum(cents) OVER (PARTITION BY method, qid)),
-head AS (SELECT method, qid, db FROM runs WHERE rank = 1),
+compared AS (SELECT method, qid, db, doc_id, rank FROM runs
+  UNION ALL SELECT 'region', qid, 'r' || n_regionkey, doc_id, rank FROM runs
+  JOIN supplier ON doc_id = 's' || s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE method = 'price'),
+head AS (SELECT method, qid, db FROM compared WHERE rank = 1),
 toprec AS (
   SELECT method, qid, coalesce(hits / g, 0) AS recall
-  FROM (SELECT method, qid FROM head UNION SELECT method, qid FROM rel, (VALUES ('price'), ('quantity')) m(method))
+  FROM (SELECT method, qid FROM head UNION SELECT method, qid FROM rel, (VALUES ('price'), ('quantity'), ('region')) m(method))
   LEFT JOIN (SELECT method, qid, count(DISTINCT rel.doc_id) AS hits
-    FROM cut JOIN head USING (method, qid, db) JOIN rel USING (qid, doc_id) GROUP BY ALL) USING (method, qid)
+    FROM compared JOIN head USING (method, qid, db) JOIN rel USING (qid, doc_id) GROUP BY ALL) USING (method, qid)
   LEFT JOIN (SELECT qid, count(*) AS g FROM rel GROUP BY qid) USING (qid))"""
 
 _TEXT = f"""WITH {t.BM25}, {t.BENCH}, {t.bm25_run('bench', 'qid', 100)}, {t.TEXT_REL},
@@ -366,10 +367,10 @@ tails AS (SELECT method, metric,
   FROM (SELECT * REPLACE (df::DOUBLE AS df) FROM tests WHERE t IS NOT NULL), steps GROUP BY ALL)
 SELECT tests.*, round(p + 1e-9, 6) AS p FROM tests LEFT JOIN tails USING (method, metric)""",
     "method_compare": f"""{_TOP}
-SELECT a.qid, round(a.recall + 1e-9, 6) AS router_recall, round(b.recall + 1e-9, 6) AS best_other,
-  1::BIGINT AS n_perfect
-FROM toprec a JOIN toprec b ON a.qid = b.qid AND a.method = 'price' AND b.method = 'quantity'
-WHERE a.recall > 0 AND a.recall < 1 AND b.recall = 1""",
+SELECT a.qid, round(a.recall + 1e-9, 6) AS router_recall, round(max(b.recall) + 1e-9, 6) AS best_other,
+  count(*) FILTER (b.recall = 1) AS n_perfect
+FROM toprec a JOIN toprec b ON a.qid = b.qid AND a.method = 'price' AND b.method <> 'price'
+WHERE a.recall > 0 AND a.recall < 1 GROUP BY a.qid, a.recall HAVING n_perfect > 0""",
     "method_compare_database": f"""{_TOP}
 SELECT method, qid, round(recall + 1e-9, 6) AS recall FROM toprec
 WHERE qid IN (SELECT qid FROM rel WHERE db = 'n5')""",

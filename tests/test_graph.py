@@ -118,9 +118,20 @@ def test_votes_with_heavy_names(spark):
                 votes[f"d{d:02}"] += 1
                 seen.setdefault(f"d{d:02}", p)
         want[q] = min(votes, key=lambda d: (-votes[d], seen[d], d)) if votes else ""
-    for heavy in (1000, 10, 0):
-        got = {r["qid"]: r["db"] for r in graph.vote_database(labels, index, heavy).collect()}
-        assert got == want
+    assert {r["qid"]: r["db"] for r in graph.vote_database(labels, index).collect()} == want
+
+
+def test_widespread_names_are_not_listed_where_others_outvote_them(spark):
+    """"id" is in every database; two rare tables of one database settle the list."""
+    index = [("id", f"d{i}") for i in range(2000)] + [("a", "d7"), ("b", "d7"), ("a", "d9")]
+    lists = spark.createDataFrame([(["a", "b", "id"],), (["id"],)], "names array<string>")
+    index = spark.createDataFrame(index, "tbl string, db string")
+    known = graph.listed_names(lists, index)
+    floors = spark.createDataFrame([(["a", "b", "id"], 3), (["id"], 1)], "names array<string>, floor int")
+    opened = {(tuple(r.names), r.tbl) for r in graph.opening_names(known, floors).collect()}
+    assert opened == {(("a", "b", "id"), "b"), (("id",), "id")}
+    got = {tuple(r.names): r.db for r in graph.best_of_lists(lists, index).collect()}
+    assert got == {("a", "b", "id"): "d7", ("id",): "d0"}
 
 
 def walk_rows(spark, cols, members, n=3000, walk_len=8, **options):

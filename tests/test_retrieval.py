@@ -293,3 +293,27 @@ def test_lazy_cover_of_many_segments():
     picks = cover.lazy_cover(cells, [0.5] * 5000, 500_000, 20)
     best = sorted((max(x) for x in cells.values()), reverse=True)[:20]
     assert [d for d, _ in picks] == [d for _, d in best]
+
+
+def test_dense_search_leaves_out_far_cells(spark, monkeypatch):
+    """Tight groups of vectors: a query reads its own group's cells and few others."""
+    monkeypatch.setattr(dense, "CELL_DOCS", 20)
+    monkeypatch.setattr(dense, "FIRST_CELLS", 1)
+    monkeypatch.setattr(dense, "GROWTH", 2)
+    rng = np.random.default_rng(6)
+    heads = rng.normal(size=(12, 16))
+    rows = np.concatenate([h + rng.normal(size=(40, 16)) * 0.05 for h in heads]).astype("float32")
+    docs = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rows)], "doc_id bigint, vec array<float>")
+    asked = [(q, [float(x) for x in rows[q * 40]]) for q in range(12)] + [(50, [0.0] * 16)]
+    queries = spark.createDataFrame(asked, "qid bigint, vec array<float>")
+    index = dense.CellIndex(docs)
+    best, looked = dense._search_block(index, queries, 10)
+    assert looked < 13 * len(index.cells) / 2
+    plan = index.read([0])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(cell" in plan
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    for qid, vec in asked:
+        cos = np.round(unit @ (np.array(vec) / (np.linalg.norm(vec) or 1)), 6)
+        want = np.lexsort((np.arange(len(cos)), -cos))[:10]
+        got = [r.doc_id for r in best.where(f"qid = {qid}").orderBy("rank").collect()]
+        assert got == want.tolist()
