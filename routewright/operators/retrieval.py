@@ -17,6 +17,7 @@ from dataclasses import dataclass, fields
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from routewright.functions.draws import unit_draw
 from routewright.functions.numbers import rounded
 from routewright.functions.text import tokens
 from routewright.session import cut_lineage, scratch_path
@@ -387,6 +388,34 @@ def best_parameters(tuned: DataFrame) -> DataFrame:
     return tuned.orderBy(F.desc("recall"), "k1", "b").limit(1)
 
 
+def tune(
+    index: Bm25Index,
+    queries: DataFrame,
+    qrels: DataFrame,
+    grid: list[tuple[float, float]],
+    shares: tuple[float, ...] = (0.25, 0.5, 1.0),
+    at: int = 10,
+    seed: str = "tune",
+) -> tuple[float, float]:
+    """The parameter pair of the best recall@``at``, by successive halving.
+
+    Each round measures the pairs that are left on a larger seeded share of the
+    queries and keeps the better half; the last round uses all queries. Ties go
+    to the smaller pair. Only queries with relevant documents count.
+    """
+    keys = [c for c in queries.columns if c != "text"]
+    draw = unit_draw(F.lit(seed), *keys)
+    left = sorted((float(k1), float(b)) for k1, b in grid)
+    for share in shares:
+        asked, wanted = queries.where(draw < share), qrels.where(draw < share)
+        found = autotune(index, asked, wanted, left, at, at).collect()
+        order = {(r.k1, r.b): -r.recall for r in found}
+        left = sorted(left, key=lambda pair: (order.get(pair, 0.0), pair))
+        left = sorted(left[: max(1, -(-len(left) // 2))])
+    best = min(left, key=lambda pair: (order.get(pair, 0.0), pair))
+    return best
+
+
 def few_shot_documents(train: DataFrame) -> DataFrame:
     """Index documents of training questions: (doc_id, db, text, question, sql)."""
     return train.select(

@@ -10,6 +10,7 @@ from routewright.plans import (
     catalog,
     context,
     cost,
+    cover_chain,
     evaluation,
     graph,
     rendering,
@@ -21,7 +22,9 @@ from routewright.plans import (
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = [retrieval, schema_search, evaluation, catalog, graph, synthesis, rendering, context, cost, sources]
+_MODULES = [
+    retrieval, schema_search, cover_chain, evaluation, catalog, graph, synthesis, rendering, context, cost, sources,
+]
 
 
 def queries() -> dict[str, Query]:

@@ -11,6 +11,10 @@ from routewright.plans import tables as t
 
 GRID = [(k1, b) for k1 in (0.9, 1.2, 2.0) for b in (0.4, 0.75)]
 
+# Parameters that tuning chooses from, and the shares of the questions of its rounds.
+RANGE = [(k1, b) for k1 in (0.6, 0.9, 1.2, 1.6, 2.0) for b in (0.25, 0.5, 0.75, 0.9)]
+SHARES = (0.25, 0.5, 1.0)
+
 
 def _index(spark: SparkSession, d: str) -> r.Bm25Index:
     return r.stored_index(t.documents(spark, d))
@@ -36,6 +40,13 @@ def bm25_autotune(spark, d):
     return r.autotune(_index(spark, d), t.questions(spark, d), t.text_qrels(spark, d), GRID)
 
 
+def bm25_search_tuned(spark, d):
+    """Search with the parameters that tuning finds best."""
+    index, questions = _index(spark, d), t.questions(spark, d)
+    k1, b = r.tune(index, questions, t.keep(t.text_qrels(spark, d)), RANGE, SHARES)
+    return r.search(index, questions, k1=k1, b=b).withColumns({"k1": F.lit(k1), "b": F.lit(b)})
+
+
 def db_rollup(spark, d):
     return r.roll_up(_run(spark, d))
 
@@ -200,6 +211,7 @@ QUERIES = {
         bm25_lengths,
         bm25_search,
         bm25_autotune,
+        bm25_search_tuned,
         db_rollup,
         pred_schemas,
         beam_aggregate,
@@ -234,24 +246,35 @@ lst AS (SELECT qid, db, min(first) AS seen,
         string_agg(tbl, ',' ORDER BY n DESC, first) AS tables FROM cnt GROUP BY qid, db)"""
 
 
-def _tune_sql() -> str:
-    wide = ", ".join(f"({k1}::DOUBLE, {b}::DOUBLE)" for k1, b in GRID)
+def _scores_sql(grid: list[tuple[float, float]]) -> str:
+    """``sc``: every document's score for every question and parameter pair."""
+    wide = ", ".join(f"({k1}::DOUBLE, {b}::DOUBLE)" for k1, b in grid)
     return f"""WITH {t.BM25}, {t.BENCH}, {t.TEXT_REL},
 grid(k1, b) AS (VALUES {wide}),
 qt AS (SELECT qid, term, count(*) AS qtf FROM (
   SELECT qid, unnest({t.words('text')}) AS term FROM bench) GROUP BY ALL),
 sc AS (
-  SELECT k1, b, qid, doc_id, round(sum(qtf * idf * tf * (k1 + 1)
+  SELECT k1, b, qid, doc_id, db, round(sum(qtf * idf * tf * (k1 + 1)
     / (tf + k1 * (1 - b + b * n / avg_len))), 6) AS score
   FROM qt JOIN dfs USING (term) JOIN post USING (term) JOIN len USING (doc_id), st, grid
-  GROUP BY k1, b, qid, doc_id),
-run AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k1, b, qid
-  ORDER BY score DESC, doc_id) AS rank FROM sc) WHERE rank <= 10)
-SELECT k1, b, round(avg(coalesce(tp, 0) / n) + 1e-9, 6) AS recall
-FROM (SELECT qid, count(*) AS n FROM trel GROUP BY qid) g CROSS JOIN grid
-LEFT JOIN (SELECT k1, b, run.qid, count(*) AS tp FROM run JOIN trel USING (qid, doc_id)
-  GROUP BY ALL) f USING (k1, b, qid)
-GROUP BY k1, b"""
+  GROUP BY k1, b, qid, doc_id, db),
+run AS (SELECT *, row_number() OVER (PARTITION BY k1, b, qid ORDER BY score DESC, doc_id) AS rank FROM sc),
+per AS (SELECT k1, b, qid, coalesce(tp, 0) / n AS r
+  FROM (SELECT qid, count(*) AS n FROM trel GROUP BY qid) g CROSS JOIN grid
+  LEFT JOIN (SELECT k1, b, run.qid, count(*) AS tp FROM run JOIN trel USING (qid, doc_id) WHERE rank <= 10
+    GROUP BY ALL) f USING (k1, b, qid))"""
+
+
+def _halving_sql() -> str:
+    """``winner``: the pair that is left after each round keeps the better half."""
+    rounds, left, n = [], "grid", len(RANGE)
+    for i, share in enumerate(SHARES):
+        n = -(-n // 2) if i < len(SHARES) - 1 else 1
+        rounds.append(f"""left{i} AS (SELECT k1, b FROM {left} LEFT JOIN (
+    SELECT k1, b, round(avg(r) + 1e-9, 6) AS recall FROM per WHERE {t.draw("'tune|' || qid")} < {share} GROUP BY k1, b)
+  USING (k1, b) ORDER BY coalesce(recall, 0) DESC, k1, b LIMIT {n})""")
+        left = f"left{i}"
+    return ",\n".join(rounds)
 
 
 _MATRIX = f"""{_SEG},
@@ -305,7 +328,10 @@ SELECT b.qid, db_pos, db, tables FROM (SELECT item_id AS qid FROM benchmark) b L
     "bm25_index": f"WITH {t.BM25} SELECT doc_id, db, term, tf FROM post",
     "bm25_lengths": f"WITH {t.BM25} SELECT doc_id, n::BIGINT AS len FROM len",
     "bm25_search": f"{_SEARCH} SELECT qid, doc_id, db, score, rank::INT AS rank FROM run",
-    "bm25_autotune": _tune_sql(),
+    "bm25_autotune": f"{_scores_sql(GRID)} SELECT k1, b, round(avg(r) + 1e-9, 6) AS recall FROM per GROUP BY k1, b",
+    "bm25_search_tuned": f"""{_scores_sql(RANGE)}, {_halving_sql()}
+SELECT qid, doc_id, db, score, rank::INT AS rank, k1, b
+FROM run JOIN left{len(SHARES) - 1} USING (k1, b) WHERE rank <= 100""",
     "db_rollup": f"{_SEARCH} SELECT qid, db, round(avg(score) + 1e-9, 6) AS score FROM run GROUP BY ALL",
     "pred_schemas": f"""{_SEARCH},
 dbs AS (SELECT qid, db, round(avg(score) + 1e-9, 6) AS s, string_agg(doc_id::VARCHAR, ',' ORDER BY rank) AS tables
