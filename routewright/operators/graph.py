@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from routewright.functions.draws import draw_below
+from routewright.functions.positions import number_rows
 from routewright.session import cut_lineage
 
 ROOT = "source"
@@ -80,6 +82,111 @@ def neighbours(chosen: DataFrame, members: DataFrame) -> DataFrame:
     return reached.join(taken, ["sid", "db", "nxt"], "left_anti")
 
 
+def frontier_spans(chosen: DataFrame, places: DataFrame) -> DataFrame:
+    """(sid, db, key, lo, hi, skips): the neighbours of each state, by key and unlisted.
+
+    chosen(sid, db, tbl), and ``places`` of ``clique_places`` with all smaller keys. The distinct tables
+    that may follow a state lie on [0, total), key by key. [lo, hi) are those of
+    the key's members that share no smaller key of the state and are not chosen;
+    ``skips`` are the slots of the others. A state has a row per key, however
+    many tables share it.
+    """
+    at = cut_lineage(
+        chosen.select("sid", "db", "tbl")
+        .distinct()
+        .join(places.select("db", "tbl", "key", "size", "slot", F.col("lo").alias("kind"), "low"), ["db", "tbl"])
+    )
+    keys = at.select("sid", "db", "key", "size").distinct()
+    kinds = places.where(F.size("low") > 0).select("db", "key", "low", "lo", "n").distinct()
+    before = (
+        keys.join(kinds.withColumn("x", F.explode("low")), ["db", "key"])
+        .join(keys.select("sid", "db", F.col("key").alias("x")), ["sid", "db", "x"], "left_semi")
+        .select("sid", "db", "key", "lo", "n")
+        .distinct()
+    )
+    own = at.join(
+        before.select("sid", "db", "key", F.col("lo").alias("kind")), ["sid", "db", "key", "kind"], "left_anti"
+    ).select("sid", "db", "key", F.col("slot").alias("lo"), F.lit(1).cast("bigint").alias("n"))
+    skips = (
+        before.unionByName(own)
+        .groupBy("sid", "db", "key")
+        .agg(F.sort_array(F.collect_list(F.struct("lo", "n"))).alias("skips"), F.sum("n").alias("out"))
+    )
+    upto = Window.partitionBy("sid", "db").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
+    left = F.col("size") - F.coalesce("out", F.lit(0))
+    hi = F.sum(left).over(upto)
+    return keys.join(skips, ["sid", "db", "key"], "left").select(
+        "sid", "db", "key", (hi - left).alias("lo"), hi.alias("hi"), "skips"
+    )
+
+
+def frontier_sizes(spans: DataFrame) -> DataFrame:
+    """(sid, db, n): how many tables may follow each state."""
+    return spans.groupBy("sid", "db").agg(F.max("hi").alias("n"))
+
+
+def frontier_draws(spans: DataFrame, places: DataFrame, seed: str = "frontier") -> DataFrame:
+    """(sid, db, nxt): one table that may follow each state, all alike."""
+    picked = frontier_sizes(spans).where("n > 0").withColumn(
+        "pick", draw_below(F.col("n"), F.lit(seed), "sid", "db")
+    )
+    at = spans.join(picked, ["sid", "db"]).where("lo <= pick and pick < hi")
+    slot = F.aggregate(
+        F.coalesce("skips", F.filter(F.array(F.struct("lo", F.col("hi").alias("n"))), lambda _: F.lit(False))),
+        F.col("pick") - F.col("lo"),
+        lambda r, x: r + F.when(r >= x["lo"], x["n"]).otherwise(0),
+    )
+    return at.select("sid", "db", "key", slot.alias("slot")).join(
+        places.select("db", "key", "slot", F.col("tbl").alias("nxt")), ["db", "key", "slot"]
+    ).select("sid", "db", "nxt")
+
+
+def frontier_holds(asked: DataFrame, chosen: DataFrame, members: DataFrame) -> DataFrame:
+    """Those (sid, db, nxt) that may follow their state; nothing else is looked at."""
+    hub = members.select("db", "key", "tbl")
+    keys = chosen.join(hub, ["db", "tbl"]).select("sid", "db", "key").distinct()
+    reached = (
+        asked.join(hub.withColumnRenamed("tbl", "nxt"), ["db", "nxt"])
+        .join(keys, ["sid", "db", "key"], "left_semi")
+        .select("sid", "db", "nxt")
+        .distinct()
+    )
+    return reached.join(chosen.select("sid", "db", F.col("tbl").alias("nxt")), ["sid", "db", "nxt"], "left_anti")
+
+
+def clique_places(members: DataFrame, least: int = 2) -> DataFrame:
+    """(db, key, tbl, size, low, slot, lo, n): every member's place on its key.
+
+    ``low`` lists the smaller keys of the member that at least ``least`` members of
+    this key have. Members with the same ``low`` meet the same others first
+    elsewhere, so they stand side by side: [lo, lo + n) are their slots. Steps from
+    one table ask for two members, itself and another; states of several tables
+    ask for one.
+    """
+    mine = members.select("db", "key", "tbl")
+    both = mine.join(mine.select("db", "tbl", F.col("key").alias("low")), ["db", "tbl"]).where(
+        "low < key"
+    )
+    shared = both.groupBy("db", "key", "low").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    lows = (
+        both.join(shared.drop("n"), ["db", "key", "low"])
+        .groupBy("db", "key", "tbl")
+        .agg(F.sort_array(F.collect_list("low")).alias("low"))
+    )
+    none = F.filter(F.array("key"), lambda _: F.lit(False))
+    marked = cut_lineage(
+        members.join(lows, ["db", "key", "tbl"], "left").withColumn("low", F.coalesce("low", none))
+    )
+    kinds = marked.groupBy("db", "key", "low").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("db", "key").orderBy("low").rowsBetween(Window.unboundedPreceding, -1)
+    kinds = kinds.withColumn("lo", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    return (
+        number_rows(marked, ["db", "key", "low"], "tbl", "slot")
+        .join(kinds, ["db", "key", "low"])
+        .withColumn("slot", F.col("slot") + F.col("lo"))
+    )
+
+
 def frontier(states: DataFrame, columns: DataFrame, members: DataFrame) -> DataFrame:
     """What may follow a partial schema: (sid, db, nxt).
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from routewright.functions.draws import draw_below, unit_draw
 from routewright.functions.positions import number_rows
+from routewright.operators.graph import clique_places
 from routewright.session import cut_lineage
 
 # Proposals that one job makes for every walk.
@@ -59,37 +60,6 @@ def weighted_draw(
     )
 
 
-def _places(members: DataFrame) -> DataFrame:
-    """(db, key, tbl, low, slot, lo, n): every member's place on its key.
-
-    ``low`` lists the smaller keys that the member shares with another member of
-    this key. Members with the same ``low`` meet the same others first elsewhere,
-    so they stand side by side: [lo, lo + n) are their slots.
-    """
-    mine = members.select("db", "key", "tbl")
-    both = mine.join(mine.select("db", "tbl", F.col("key").alias("low")), ["db", "tbl"]).where(
-        "low < key"
-    )
-    shared = both.groupBy("db", "key", "low").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    lows = (
-        both.join(shared.drop("n"), ["db", "key", "low"])
-        .groupBy("db", "key", "tbl")
-        .agg(F.sort_array(F.collect_list("low")).alias("low"))
-    )
-    none = F.filter(F.array("key"), lambda _: F.lit(False))
-    marked = cut_lineage(
-        members.join(lows, ["db", "key", "tbl"], "left").withColumn("low", F.coalesce("low", none))
-    )
-    kinds = marked.groupBy("db", "key", "low").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("db", "key").orderBy("low").rowsBetween(Window.unboundedPreceding, -1)
-    kinds = kinds.withColumn("lo", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    return (
-        number_rows(marked, ["db", "key", "low"], "tbl", "slot")
-        .join(kinds, ["db", "key", "low"])
-        .withColumn("slot", F.col("slot") + F.col("lo"))
-    )
-
-
 def _lines(places: DataFrame) -> DataFrame:
     """(db, tbl, lines, total): each table with its distinct neighbours on one line.
 
@@ -227,7 +197,7 @@ def walk_from(
 ) -> DataFrame:
     """(walk_id, db, path) of begun(walk_id, db, tbl), as ``random_walks`` goes on."""
     most = walk_len - 2
-    placed = cut_lineage(_places(cut_lineage(members)))
+    placed = cut_lineage(clique_places(cut_lineage(members)))
     lines = cut_lineage(_lines(placed))
     places = cut_lineage(
         placed.select("db", "key", "slot", F.col("tbl").alias("nxt"))

@@ -112,6 +112,33 @@ def schema_frontier(spark, d):
     return g.frontier(_states(spark, d), columns, g.clique_members(columns))
 
 
+def _chosen(spark, d):
+    """The gold tables of each question as a state, and the places of all cliques."""
+    columns = t.keep(t.full_columns(spark, d))
+    chosen = t.gold_mentions(spark, d).select(F.col("qid").alias("sid"), "db", "tbl").distinct()
+    return chosen, t.keep(g.clique_members(columns))
+
+
+def frontier_sizes(spark, d):
+    chosen, members = _chosen(spark, d)
+    return g.frontier_sizes(g.frontier_spans(chosen, t.keep(g.clique_places(members, least=1))))
+
+
+def frontier_draws(spark, d):
+    chosen, members = _chosen(spark, d)
+    places = t.keep(g.clique_places(members, least=1))
+    return g.frontier_draws(t.keep(g.frontier_spans(chosen, places)), places)
+
+
+def frontier_holds(spark, d):
+    """Every table of an order is asked about."""
+    chosen, members = _chosen(spark, d)
+    asked = chosen.select("sid", "db").distinct().join(
+        members.select("db", F.col("tbl").alias("nxt")).distinct(), "db"
+    )
+    return g.frontier_holds(asked, chosen, members)
+
+
 def valid_route_check(spark, d):
     """A route visits the suppliers of an order in line order."""
     steps = t.load(spark, d, "lineitem").select(
@@ -137,6 +164,9 @@ QUERIES = {
         serialize_schema,
         deserialize_schema,
         table_to_db_index,
+        frontier_sizes,
+        frontier_draws,
+        frontier_holds,
         label_vote_db,
         label_vote_schema,
         schema_to_label,
@@ -178,6 +208,17 @@ st AS (
         FROM st WHERE len(stack) > 0 AND len(ord) < n) s
   LEFT JOIN adj ON adj.qid = s.qid AND adj.tbl = s.top)"""
 
+# Neighbours of each state by first shared key, then by slot.
+_REACHED = f"""{_CAT}, {t.GOLD}, {t.slots_sql(1)},
+state AS (SELECT DISTINCT qid AS sid, db, tbl FROM gold),
+touched AS (SELECT DISTINCT sid, db FROM state JOIN memb USING (db, tbl)),
+reach AS (SELECT s.sid, s.db, y.tbl AS nxt, min(y.key) AS key FROM state s
+  JOIN memb x ON x.db = s.db AND x.tbl = s.tbl JOIN memb y ON y.db = x.db AND y.key = x.key
+  WHERE NOT EXISTS (SELECT 1 FROM state h WHERE h.sid = s.sid AND h.tbl = y.tbl) GROUP BY s.sid, s.db, y.tbl),
+nb AS (SELECT r.sid, r.db, r.nxt, row_number() OVER (PARTITION BY r.sid ORDER BY r.key, s.slot) - 1 AS place,
+    count(*) OVER (PARTITION BY r.sid) AS total
+  FROM reach r JOIN slots s ON s.db = r.db AND s.key = r.key AND s.tbl = r.nxt)"""
+
 ORACLE = {
     "serialize_schema": f"""WITH RECURSIVE {t.CATALOG}, {t.GOLD}, {_PREORDER}
 SELECT qid, any_value(db) || '<sep>' || array_to_string(arg_max(ord, i), '<sep>') AS text FROM st GROUP BY qid""",
@@ -221,6 +262,11 @@ UNION ALL SELECT DISTINCT NULL::BIGINT, db, tbl FROM cols
 UNION ALL SELECT DISTINCT g.qid, g.db, y.tbl FROM gold g
   JOIN memb x ON x.db = g.db AND x.tbl = g.tbl JOIN memb y ON y.db = x.db AND y.key = x.key
   WHERE NOT EXISTS (SELECT 1 FROM gold h WHERE h.qid = g.qid AND h.tbl = y.tbl)""",
+    "frontier_sizes": f"""{_REACHED}
+SELECT sid, db, coalesce(n, 0)::BIGINT AS n FROM touched LEFT JOIN (SELECT sid, count(*) AS n FROM nb GROUP BY sid) USING (sid)""",
+    "frontier_draws": f"""{_REACHED}
+SELECT sid, db, nxt FROM nb WHERE place = floor({t.draw("'frontier|' || sid || '|' || db")} * total)::BIGINT""",
+    "frontier_holds": f"{_REACHED} SELECT sid, db, nxt FROM nb",
     "valid_route_check": f"""{_CAT},
 st AS (SELECT l_orderkey AS rid, 'o' || l_orderkey AS db, l_linenumber::BIGINT * 1000000000 + l_partkey AS pos,
   's' || CASE WHEN l_quantity < 2 THEN -1 ELSE l_suppkey END AS tbl FROM lineitem),

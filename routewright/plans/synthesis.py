@@ -140,12 +140,7 @@ most AS (SELECT 2 * max(size) AS most FROM tsz),
 tb AS (SELECT db, tbl, {_number('tbl', 'db')} AS tbl_no FROM (SELECT DISTINCT db, tbl FROM cols)),
 dbs AS (SELECT db, n_tbl, {_number('db')} AS db_no, count(*) OVER () AS n_db
   FROM (SELECT db, count(*) AS n_tbl FROM tb GROUP BY db)),
-meets AS (SELECT a.db, a.key, a.tbl, b.key AS low FROM memb a JOIN memb b USING (db, tbl) WHERE b.key < a.key),
-shared AS (SELECT db, key, low FROM meets GROUP BY ALL HAVING count(*) > 1),
-lows AS (SELECT db, key, tbl, list(low ORDER BY low) AS low FROM meets JOIN shared USING (db, key, low) GROUP BY db, key, tbl),
-slots AS (SELECT memb.db, memb.key, memb.tbl, row_number() OVER (PARTITION BY memb.db, memb.key
-    ORDER BY coalesce(low, []), substr(md5(memb.tbl), 1, 2), memb.tbl) - 1 AS slot
-  FROM memb LEFT JOIN lows USING (db, key, tbl)),
+{t.slots_sql(2)},
 firsts AS (SELECT x.db, x.tbl, y.tbl AS nxt, min(x.key) AS key
   FROM memb x JOIN memb y USING (db, key) WHERE x.tbl <> y.tbl GROUP BY x.db, x.tbl, y.tbl),
 nb AS (SELECT f.db, f.tbl, f.nxt, row_number() OVER (PARTITION BY f.db, f.tbl ORDER BY f.key, s.slot) - 1 AS place,

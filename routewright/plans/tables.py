@@ -469,6 +469,17 @@ run AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {keys}
   ORDER BY score DESC, doc_id) AS rank FROM sc) WHERE rank <= {k})"""
 
 
+def slots_sql(least: int) -> str:
+    """A clique's members side by side with those that share the same smaller keys."""
+    return f"""
+meets AS (SELECT a.db, a.key, a.tbl, b.key AS low FROM memb a JOIN memb b USING (db, tbl) WHERE b.key < a.key),
+shared AS (SELECT db, key, low FROM meets GROUP BY ALL HAVING count(*) >= {least}),
+lows AS (SELECT db, key, tbl, list(low ORDER BY low) AS low FROM meets JOIN shared USING (db, key, low) GROUP BY db, key, tbl),
+slots AS (SELECT memb.db, memb.key, memb.tbl, row_number() OVER (PARTITION BY memb.db, memb.key
+    ORDER BY coalesce(low, []), substr(md5(memb.tbl), 1, 2), memb.tbl) - 1 AS slot
+  FROM memb LEFT JOIN lows USING (db, key, tbl))"""
+
+
 BENCH = "bench AS (SELECT item_id AS qid, text FROM benchmark)"
 
 TEXT_REL = f"""

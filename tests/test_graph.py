@@ -56,6 +56,45 @@ def test_neighbours_and_frontier(spark):
     assert {r["nxt"] for r in rows if r["sid"] == 4} == near["d2", "t2"]
 
 
+def test_frontier_without_listing_it(spark):
+    """Sizes, draws and membership of states of one to four tables."""
+    cols, members, near = fixture(spark, seed=4)
+    rng = random.Random(6)
+    states = {i: (f"d{rng.randrange(3)}", rng.sample([f"t{j}" for j in range(9)], rng.randrange(1, 5))) for i in range(60)}
+    rows = [(i, db, x) for i, (db, xs) in states.items() for x in xs]
+    chosen = spark.createDataFrame(rows, "sid bigint, db string, tbl string")
+    want = {i: set().union(*(near[db, x] for x in xs)) - set(xs) for i, (db, xs) in states.items()}
+    places = graph.clique_places(members, least=1).cache()
+    spans = graph.frontier_spans(chosen, places).cache()
+    sizes = {r["sid"]: r["n"] for r in graph.frontier_sizes(spans).collect()}
+    assert all(sizes.get(i, 0) == len(w) for i, w in want.items())
+    drawn = collections.defaultdict(collections.Counter)
+    for seed in range(12):
+        for r in graph.frontier_draws(spans, places, str(seed)).collect():
+            assert r["nxt"] in want[r["sid"]]
+            drawn[r["sid"]][r["nxt"]] += 1
+    assert set(drawn) == {i for i, w in want.items() if w}
+    assert sum(len(c) for c in drawn.values()) > 0.7 * sum(min(12, len(w)) for w in want.values())
+    asked = spark.createDataFrame(
+        [(i, db, f"t{j}") for i, (db, _) in states.items() for j in range(9)], "sid bigint, db string, nxt string"
+    )
+    held = collections.defaultdict(set)
+    for r in graph.frontier_holds(asked, chosen, members).collect():
+        held[r["sid"]].add(r["nxt"])
+    assert all(held[i] == w for i, w in want.items())
+
+
+def test_frontier_of_a_giant_clique_has_a_row_per_key(spark):
+    members = spark.range(20_000).select(
+        F.lit("g").alias("db"), F.struct(F.lit("hub").alias("fk_tbl"), F.lit("id").alias("fk_col")).alias("key"),
+        F.concat(F.lit("t"), F.col("id").cast("string")).alias("tbl"), F.lit(20_000).cast("bigint").alias("size"),
+    )
+    chosen = members.where("tbl in ('t1', 't7', 't9')").select(F.lit(1).cast("bigint").alias("sid"), "db", "tbl")
+    spans = graph.frontier_spans(chosen, graph.clique_places(members, least=1))
+    row, = spans.collect()
+    assert (row["lo"], row["hi"], len(row["skips"])) == (0, 19_997, 3)
+
+
 def test_check_routes(spark):
     cols, members, near = fixture(spark, seed=2)
     rng = random.Random(5)
