@@ -3,7 +3,8 @@
 Documents are dealt to blocks. The index keeps, for every term and block, the
 largest number of uses and the shortest length, which bound the term's part of
 any score there for all parameters. A search first scores each query's rare
-terms alone; the k-th of these partial scores is a floor that k documents reach.
+terms alone, and the best documents of that in full; the k-th of these scores is
+a floor that k documents reach.
 Then only blocks, and in them only documents, whose bound reaches the floor are
 scored with all terms, so no step lists all documents that share a word with a
 query. No hint forces a broadcast: Catalyst broadcasts the query terms while
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from routewright.functions.draws import unit_draw
 from routewright.functions.numbers import rounded
 from routewright.functions.text import tokens
-from routewright.session import cut_lineage, scratch_path
+from routewright.session import cut_lineage
 
 K1 = 1.2
 B = 0.75
@@ -31,6 +32,8 @@ SCORE_DIGITS = 6
 BLOCK_DOCS = 1024
 # Rare terms of a query are scored alone while they have so many postings per wanted document.
 PROBED = 16
+# So many times the wanted documents are scored in full for a floor.
+HEADS = 2
 # A bound must miss the floor by this to count; far above the error of a sum, and rounding.
 SLACK = 1e-5
 
@@ -38,7 +41,7 @@ SLACK = 1e-5
 @dataclass(frozen=True)
 class Bm25Index:
     """postings(doc_id, db, term, tf, len, block), lengths(doc_id, len), stats(n_docs, avg_len),
-    df(term, df), bounds(term, block, tf, len): most uses and least length there."""
+    df(term, df, tf, len), bounds(term, block, tf, len): most uses and least length there."""
 
     postings: DataFrame
     lengths: DataFrame
@@ -70,42 +73,36 @@ def build_index(docs: DataFrame) -> Bm25Index:
     return index_of(count_postings(docs))
 
 
-def index_of(counted: DataFrame) -> Bm25Index:
-    lengths = counted.groupBy("doc_id").agg(F.sum("tf").alias("len"))
+def index_of(counted: DataFrame, lengths: DataFrame | None = None) -> Bm25Index:
+    if lengths is None:
+        lengths = counted.groupBy("doc_id").agg(F.sum("tf").alias("len"))
     stats = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
     n_blocks = F.ceil(stats.select("n_docs").scalar() / BLOCK_DOCS)
     postings = counted.join(lengths, "doc_id").withColumn(
         "block", F.pmod(F.xxhash64("doc_id"), F.greatest(n_blocks, F.lit(1)))
     )
     said = postings.where("term is not null")
-    df = said.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    bounds = said.groupBy("term", "block").agg(F.max("tf").alias("tf"), F.min("len").alias("len"))
+    most, least = F.max("tf").alias("tf"), F.min("len").alias("len")
+    df = said.groupBy("term").agg(F.count(F.lit(1)).alias("df"), most, least)
+    bounds = said.groupBy("term", "block").agg(most, least)
     return Bm25Index(postings, lengths, stats, df, bounds)
 
 
 def stored_index(docs: DataFrame) -> Bm25Index:
     """An index that is written once: neither text nor postings are counted again."""
-    spark = docs.sparkSession
     counted = cut_lineage(count_postings(docs))
-    index = index_of(counted)
-    path = scratch_path(spark, "index")
-    # Each table is derived from those already written.
-    for name in ("lengths", "stats", "postings", "df", "bounds"):
-        getattr(index, name).write.parquet(f"{path}/{name}")
-        if name == "postings":
-            placed = spark.read.parquet(f"{path}/{name}").where("term is not null")
-            by_block = placed.groupBy("term", "block").agg(
-                F.max("tf").alias("tf"), F.min("len").alias("len"), F.count(F.lit(1)).alias("n")
-            )
-            by_block = cut_lineage(by_block)
-            index = Bm25Index(
-                index.postings,
-                index.lengths,
-                index.stats,
-                by_block.groupBy("term").agg(F.sum("n").alias("df")),
-                by_block.drop("n"),
-            )
-    return Bm25Index.read(spark, path)
+    lengths = cut_lineage(counted.groupBy("doc_id").agg(F.sum("tf").alias("len")))
+    index = index_of(counted, lengths)
+    postings = cut_lineage(index.postings)
+    by_block = cut_lineage(
+        postings.where("term is not null")
+        .groupBy("term", "block")
+        .agg(F.max("tf").alias("tf"), F.min("len").alias("len"), F.count(F.lit(1)).alias("n"))
+    )
+    df = by_block.groupBy("term").agg(
+        F.sum("n").alias("df"), F.max("tf").alias("tf"), F.min("len").alias("len")
+    )
+    return Bm25Index(postings, lengths, index.stats, cut_lineage(df), by_block.drop("n"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -125,17 +122,17 @@ def _tf_part(tf: Column, length: Column, avg: Column, k1: float, b: float) -> Co
 
 
 def _weighted(index: Bm25Index, queries: DataFrame) -> tuple[DataFrame, list[str]]:
-    """(keys…, term, df, w): weights of the query terms that some document has."""
+    """(keys…, term, df, tf, len, w): weights and bounds of the query terms that documents have."""
     terms = query_terms(queries)
     keys = [c for c in terms.columns if c not in ("term", "qtf")]
     weight = (F.col("qtf") * _idf(index)).alias("w")
-    return terms.join(index.df, "term").select(*keys, "term", "df", weight), keys
+    return terms.join(index.df, "term").select(*keys, "term", "df", "tf", "len", weight), keys
 
 
 def match_postings(index: Bm25Index, queries: DataFrame) -> tuple[DataFrame, list[str]]:
     """(keys…, doc_id, db, len, tf, w): all postings that meet a query term."""
     weighted, keys = _weighted(index, queries)
-    return index.postings.join(weighted.drop("df"), "term"), keys
+    return index.postings.join(weighted.drop("df", "tf", "len"), "term"), keys
 
 
 def score_documents(
@@ -182,14 +179,12 @@ def prune(
     """
     avg = index.stats.select("avg_len").scalar()
     weighted, keys = _weighted(index, queries)
-    whole = index.bounds.groupBy("term").agg(F.max("tf").alias("tf"), F.min("len").alias("len"))
     part = _tf_part(F.col("tf"), F.col("len"), avg, k1, b) * F.col("w")
     by_df = Window.partitionBy(*keys).orderBy("df", "term").rowsBetween(Window.unboundedPreceding, 0)
     own = Window.partitionBy(*keys)
     rare = (F.sum("df").over(by_df) <= PROBED * k) | (F.row_number().over(by_df) == 1)
     terms = cut_lineage(
-        weighted.join(whole, "term")
-        .withColumn("top", part)
+        weighted.withColumn("top", part)
         .withColumn("rare", rare)
         .withColumn("done", F.min("rare").over(own))
         .drop("tf", "len")
@@ -202,10 +197,21 @@ def prune(
     probed = cut_lineage(
         probe.join(terms.select(*keys, "done").distinct(), keys).select(*probe.columns, "done")
     )
+    # The best of them are scored in full: a floor that common terms have raised as well.
     by_score = Window.partitionBy(*keys).orderBy(F.desc("s"))
+
+    def ranked(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("rank", F.row_number().over(by_score))
+
+    heads = ranked(probed.where("not done")).where(F.col("rank") <= HEADS * k).select(*keys, "doc_id")
+    whole_heads = (
+        heads.join(terms.select(*keys, "term", "w"), keys)
+        .join(index.postings.select("doc_id", "term", "tf", "len"), ["doc_id", "term"])
+        .groupBy(*keys, "doc_id")
+        .agg(F.sum(part).alias("s"))
+    )
     floors = (
-        probed.where("not done")
-        .withColumn("rank", F.row_number().over(by_score))
+        ranked(whole_heads)
         .where(F.col("rank") == k)
         .select(*keys, (F.col("s") * (1 - SLACK) - SLACK).alias("floor"))
     )

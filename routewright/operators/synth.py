@@ -11,7 +11,7 @@ from routewright.operators.graph import clique_places
 from routewright.session import cut_lineage
 
 # Proposals that one job makes for every walk.
-STEPS_AT_ONCE = 6
+STEPS_AT_ONCE = 8
 
 
 def cardinalities(instances: DataFrame) -> DataFrame:
@@ -135,20 +135,25 @@ def _step(state: DataFrame, places: DataFrame, most: int, p: float, q: float, se
         .withColumn("key", F.col("at.key"))
         .withColumn("slot", F.coalesce(slot, -1 - F.pmod(F.xxhash64("walk_id"), F.lit(1 << 20))))
     )
+    if p == q == 1:
+        # Nothing is drawn again, so neither the line nor the last table goes along.
+        moved = F.when(F.col("nxt").isNotNull(), F.concat("path", F.array("nxt"))).otherwise(F.col("path"))
+        bare = aimed.select("walk_id", "db", "path", "attempt", "key", "slot")
+        return bare.join(places, ["db", "key", "slot"], "left").select(
+            "walk_id", "db", moved.alias("path"), "attempt",
+            F.col("nxt_lines").alias("lines"), F.col("nxt_total").alias("total"),
+        )
     met = aimed.join(places, ["db", "key", "slot"], "left")
     keys = F.transform("lines", lambda x: x["key"])
-    if p == q == 1:
-        accepted = F.col("nxt").isNotNull()
-    else:
-        near = F.exists("nxt_lines", lambda x: F.array_contains("prev_keys", x["key"]))
-        weight = (
-            F.when(F.col("prev").isNull(), 1.0)
-            .when(F.col("nxt") == F.col("prev"), 1 / p)
-            .when(near, 1.0)
-            .otherwise(1 / q)
-        )
-        luck = unit_draw(F.lit(seed), F.lit("accept"), "walk_id", F.size("path"), "attempt")
-        accepted = F.col("nxt").isNotNull() & (luck * max(1.0, 1 / p, 1 / q) < weight)
+    near = F.exists("nxt_lines", lambda x: F.array_contains("prev_keys", x["key"]))
+    weight = (
+        F.when(F.col("prev").isNull(), 1.0)
+        .when(F.col("nxt") == F.col("prev"), 1 / p)
+        .when(near, 1.0)
+        .otherwise(1 / q)
+    )
+    luck = unit_draw(F.lit(seed), F.lit("accept"), "walk_id", F.size("path"), "attempt")
+    accepted = F.col("nxt").isNotNull() & (luck * max(1.0, 1 / p, 1 / q) < weight)
 
     def after(moved: Column, stayed: str) -> Column:
         return F.when(F.col("ok"), moved).otherwise(F.col(stayed))
@@ -211,16 +216,19 @@ def walk_from(
             ["db", "nxt"],
         )
     )
+    last = [
+        "tbl",
+        F.lit(None).cast("string").alias("prev"),
+        F.transform("lines", lambda x: x["key"]).alias("prev_keys"),
+    ]
     state = begun.join(lines, ["db", "tbl"], "left").select(
         "walk_id",
         "db",
-        "tbl",
         F.array("tbl").alias("path"),
         F.lit(0).alias("attempt"),
         "lines",
         "total",
-        F.lit(None).cast("string").alias("prev"),
-        F.transform("lines", lambda x: x["key"]).alias("prev_keys"),
+        *(last if (p, q) != (1, 1) else []),
     )
     going = (F.size("path") < most) & F.coalesce(F.col("total") > 0, F.lit(False))
     done: DataFrame | None = None
