@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from routewright.operators import cover, dense, retrieval as r
+from routewright.operators import block_scan, cover, dense, retrieval as r
 
 WORDS = [f"w{i}" for i in range(30)]
 
@@ -317,3 +317,28 @@ def test_dense_search_leaves_out_far_cells(spark, monkeypatch):
         want = np.lexsort((np.arange(len(cos)), -cos))[:10]
         got = [r.doc_id for r in best.where(f"qid = {qid}").orderBy("rank").collect()]
         assert got == want.tolist()
+
+
+def test_common_words_are_scored_without_listing_pairs(spark, monkeypatch):
+    """Only the best of a query leave a task of the block scan, for several parameters at once."""
+    monkeypatch.setattr(r, "PROBED", 0)
+    monkeypatch.setattr(block_scan, "PACK_DOCS", 50)
+    monkeypatch.setattr(block_scan, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(block_scan, "BLOCKS_A_TASK", 1)
+    rng = random.Random(12)
+    docs = [(i, f"d{i % 3}" if i % 9 else None, " ".join(rng.choices(WORDS[:6], k=rng.randrange(3, 9)))) for i in range(600)]
+    docs += [(1000 + i, "d5", docs[0][2]) for i in range(30)]
+    queries = [(q, " ".join(rng.choices(WORDS[:6], k=3))) for q in range(8)] + [(20, "nothing")]
+    left, scan = [], r.best_of_blocks
+    monkeypatch.setattr(r, "best_of_blocks", lambda *a: left.append(scan(*a)) or left[-1])
+    df = spark.createDataFrame([(f"n{d:04}", db, t) for d, db, t in docs], "doc_id string, db string, text string")
+    q, grid = spark.createDataFrame(queries, "qid bigint, text string"), [(1.2, 0.75), (2.0, 0.0)]
+    run = r.grid_runs(r.stored_index(df.repartition(3)), q, grid, 10).cache()
+    db_of = {f"n{d:04}": db for d, db, _ in docs}
+    for i, (k1, b) in enumerate(grid):
+        got, want = as_lists(run.where(f"pair = {i}")), brute(docs, queries, k1, b)
+        for qid, _ in queries:
+            assert got[qid] == [(s, f"n{d:04}") for s, d in want[qid][:10]]
+    assert all(x["db"] == db_of[x["doc_id"]] for x in run.collect())
+    tasks = left[0].rdd.getNumPartitions()
+    assert left[0].count() <= tasks * 2 * 8 * 10
