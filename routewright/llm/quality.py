@@ -7,8 +7,12 @@ of the drawn pairs. The ranking has no zero of its own: its threshold is the
 quantile of the labelled scores below which the labelled share of bad documents
 lies, and scores are shifted so that this threshold is THRESHOLD.
 
-Fitting uses a bounded sample of labelled documents, SAMPLE of each kind, and
-PARTNERS pairs for each; the share of bad documents counts all labels.
+Fitting uses all labelled documents of the learning folds, with PARTNERS pairs
+for each document of the more frequent kind. The features of every document are
+taken once and stored. Labelled documents are dealt to blocks, in which they are
+paired; the sums of a Newton step are added up per task, and the threshold is
+found by counting scores in ever narrower ranges, so what reaches the driver does
+not grow with the labels.
 
 Defined results: null text is empty text; labels that are null or have no
 document are ignored; a document that is labelled both ways counts as both; without
@@ -24,15 +28,18 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routewright.llm.common import coded, fold, slices, words_of
+from routewright.session import cut_lineage
 
 HELD_OUT = 0
 THRESHOLD = 0.3
-# Labelled documents of each kind that are fitted on, and pairs drawn for each of them.
-SAMPLE, PARTNERS = 2000, 16
+# Pairs drawn for each labelled document of the more frequent kind.
+PARTNERS = 16
+# Labelled documents of a block, fewest documents of a kind in it, and bins of a range of scores.
+BLOCK, RARE, BINS = 4096, 64, 4096
 NEWTON_STEPS, PENALTY = 12, 1e-3
 
 # Bytes that are counted as one kind each; bytes above 127 are letters of words.
@@ -127,6 +134,24 @@ def _expanded(z: np.ndarray) -> np.ndarray:
     return np.hstack([z, z**2])
 
 
+def _differences(g: np.ndarray, b: np.ndarray, seed: int) -> np.ndarray:
+    """Drawn pairs of a good and a bad document, PARTNERS for each of the more frequent kind."""
+    rng = np.random.default_rng(seed)
+    n = PARTNERS * max(len(g), len(b))
+    return g[rng.integers(0, len(g), n)] - b[rng.integers(0, len(b), n)]
+
+
+def _sums(d: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slope and curvature of the likelihood, without the penalty."""
+    p = 1 / (1 + np.exp(-np.clip(d @ w, -30, 30)))
+    return d.T @ (1 - p), (d * (p * (1 - p))[:, None]).T @ d
+
+
+def _newton(w: np.ndarray, slope: np.ndarray, curve: np.ndarray, n: int) -> np.ndarray:
+    ridge = PENALTY * n * np.eye(len(w))
+    return w + np.linalg.solve(curve + ridge, slope - ridge @ w)
+
+
 def fit(good: np.ndarray, bad: np.ndarray, bad_share: float) -> Ranking | None:
     """Bradley-Terry weights by Newton's method on the differences of drawn pairs."""
     if not len(good) or not len(bad):
@@ -135,16 +160,11 @@ def fit(good: np.ndarray, bad: np.ndarray, bad_share: float) -> Ranking | None:
     ranking = Ranking(both.mean(axis=0), both.std(axis=0) + 1e-9, np.zeros(2 * both.shape[1]), 0.0)
     g = _expanded((good - ranking.centre) / ranking.scale)
     b = _expanded((bad - ranking.centre) / ranking.scale)
-    rng = np.random.default_rng(3)
     n = PARTNERS * max(len(g), len(b))
-    d = g[rng.integers(0, len(g), n)] - b[rng.integers(0, len(b), n)]
+    d = _differences(g, b, 3)
     w = ranking.weights
-    ridge = PENALTY * n * np.eye(len(w))
     for _ in range(NEWTON_STEPS):
-        p = 1 / (1 + np.exp(-np.clip(d @ w, -30, 30)))
-        slope = d.T @ (1 - p) - ridge @ w
-        curve = (d * (p * (1 - p))[:, None]).T @ d + ridge
-        w = w + np.linalg.solve(curve, slope)
+        w = _newton(w, *_sums(d, w), n)
     ranking.weights = w
     raw = np.concatenate([ranking.raw(good), ranking.raw(bad)])
     mass = np.concatenate(
@@ -160,69 +180,169 @@ def fit(good: np.ndarray, bad: np.ndarray, bad_share: float) -> Ranking | None:
 _FOUND = "array<double>"
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(quality, text): at most SAMPLE documents of each kind, drawn by a hash of the id."""
+def featured(docs: DataFrame) -> DataFrame:
+    """(doc_id, found): the features of every document."""
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                found = pa.array(list(features(part.column("text"))), pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), found], names=["doc_id", "found"])
+
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, found {_FOUND}")
+
+
+def labelled(found: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, quality, found) of all labelled documents to learn from; rows that share an id count once."""
     usable = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where(
         F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (fold() != HELD_OUT)
     )
-    order = F.xxhash64(F.lit(9), "doc_id")
-    drawn = [
-        usable.where(F.col("quality") == q).withColumn("o", order).orderBy("o", "doc_id").limit(SAMPLE)
-        for q in (1, 0)
-    ]
-    ids = drawn[0].union(drawn[1]).select("doc_id", "quality")
-    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-    # Rows that share an id count once.
-    return found.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).drop("doc_id")
-
-
-def learn(docs: DataFrame, labels: DataFrame) -> Ranking | None:
-    """The ranking; its sample has at most 2 * SAMPLE rows of FEATURES numbers."""
+    return (
+        found.join(usable.distinct(), "doc_id")
+        .groupBy("doc_id", "quality")
+        .agg(F.min("found").alias("found"))
+    )
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, FEATURES)
+
+
+def learn(found: DataFrame, labels: DataFrame) -> Ranking | None:
+    """The ranking from found(doc_id, found) and all its labels."""
     share = (
         labels.where(fold() != HELD_OUT)
         .agg(F.avg(F.when(F.col("quality") == 0, 1.0).when(F.col("quality") == 1, 0.0)).alias("bad"))
         .first()
         .bad
     )
-    rows = labelled_sample(docs, labels)
-    found = rows.mapInArrow(_featured("quality"), f"quality int, found {_FOUND}").collect()
-    kinds = [np.array([r.found for r in sorted(found) if r.quality == q]) for q in (1, 0)]
-    return fit(kinds[0], kinds[1], share or 0.0)
-
+    rows = cut_lineage(labelled(found, labels))
+    counts = {r.quality: r["count"] for r in rows.groupBy("quality").count().collect()}
+    if sum(counts.values()) <= BLOCK:
+        own = sorted((r.quality, r.found) for r in rows.collect())
+        kinds = [np.array([x for kind, x in own if kind == q]) for q in (1, 0)]
+        return fit(kinds[0], kinds[1], share or 0.0)
+    if len(counts) < 2:
+        return None
+    return _fit_blocks(rows, counts, share or 0.0)
+
+
+def _fit_blocks(rows: DataFrame, counts: dict[int, int], share: float) -> Ranking:
+    """``fit`` over any number of rows(doc_id, quality, found)."""
+    n = sum(counts.values())
+    each = rows.select(F.posexplode("found").alias("i", "x"))
+    moments = each.groupBy("i").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).collect()
+    centre, scale = np.zeros(FEATURES), np.zeros(FEATURES)
+    for r in moments:
+        centre[r.i], scale[r.i] = r.m, r.s + 1e-9
+    ranking = Ranking(centre, scale, np.zeros(2 * FEATURES), 0.0)
+
+    # A rare kind is copied to further blocks, so that each has partners.
+    n_blocks = -(-n // BLOCK)
+    copies = {q: min(n_blocks, -(-RARE * n_blocks // c)) for q, c in counts.items()}
+    again = F.when(F.col("quality") == 1, copies[1]).otherwise(copies[0])
+    first = F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(n_blocks))
+    dealt = rows.select(
+        "doc_id", "quality", "found", F.explode(F.sequence(F.lit(0), again - 1)).alias("copy"), first.alias("first")
+    ).withColumn("block", F.pmod(F.col("first") + F.col("copy"), F.lit(n_blocks)))
+    blocks = cut_lineage(
+        dealt.groupBy("block").agg(
+            F.sort_array(F.collect_list(F.struct("doc_id", "quality", "found"))).alias("rows")
+        ).select("block", F.transform("rows", lambda r: r["quality"]).alias("kinds"),
+                 F.flatten(F.transform("rows", lambda r: r["found"])).alias("found"))
+    )
+    width = 2 * FEATURES
+
+    def step(w: np.ndarray):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            slope, curve, pairs = np.zeros(width), np.zeros((width, width)), 0
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    kinds = batch.column("kinds")[i].values.to_numpy(zero_copy_only=False)
+                    x = batch.column("found")[i].values.to_numpy(zero_copy_only=False).reshape(-1, FEATURES)
+                    z = _expanded((x - centre) / scale)
+                    if kinds.min() == kinds.max():
+                        continue
+                    d = _differences(z[kinds == 1], z[kinds == 0], batch.column("block")[i].as_py())
+                    own = _sums(d, w)
+                    slope, curve, pairs = slope + own[0], curve + own[1], pairs + len(d)
+            row = [pa.array([slope.tolist()]), pa.array([curve.ravel().tolist()]), pa.array([pairs], pa.int64())]
+            yield pa.RecordBatch.from_arrays(row, names=["slope", "curve", "n"])
+
+        return run
 
-def _featured(keep: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                x = features(part.column("text"))
-                found = pa.array(list(x), pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([part.column(keep), found], names=[keep, "found"])
+    w = ranking.weights
+    for _ in range(NEWTON_STEPS):
+        sums = blocks.mapInArrow(step(w), f"slope {_FOUND}, curve {_FOUND}, n bigint").collect()
+        slope = np.sum([r.slope for r in sums], axis=0)
+        curve = np.sum([r.curve for r in sums], axis=0).reshape(width, width)
+        w = _newton(w, slope, curve, sum(r.n for r in sums))
+    ranking.weights = w
+    mass = {1: (1 - share) / counts[1], 0: share / counts[0]}
+    ranking.threshold = _quantile(cut_lineage(_raw(rows, ranking)), mass, share)
+    return ranking
 
-    return run
 
+def _raw(rows: DataFrame, ranking: Ranking) -> DataFrame:
+    """(quality, raw) of labelled rows."""
 
-def ranked(docs: DataFrame, ranking: Ranking | None, row: Column) -> DataFrame:
-    """(row, score) of every document; ``row`` is carried along untouched."""
-    rows = docs.select(row.alias("row"), F.col("text").cast("string").alias("text"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = pa.array(ranking.raw(_matrix(batch.column("found"))))
+            yield pa.RecordBatch.from_arrays([batch.column("quality"), raw], names=["quality", "raw"])
+
+    return rows.select("quality", "found").mapInArrow(run, "quality int, raw double")
+
+
+def _quantile(raw: DataFrame, mass: dict[int, float], share: float) -> float:
+    """Halfway between the first score at which the mass reaches ``share`` and the one below it.
+
+    Each round counts the scores of BINS parts of a range and goes on in one of
+    them, until its distinct scores are few.
+    """
+    lo, hi = raw.agg(F.min("raw"), F.max("raw")).first()
+    below = 0.0
+    weight = F.when(F.col("quality") == 1, mass[1]).otherwise(mass[0])
+    while True:
+        inside = raw.where((F.col("raw") >= lo) & (F.col("raw") <= hi))
+        values = inside.groupBy("raw").agg(F.sum(weight).alias("mass")).orderBy("raw").limit(BINS + 1).collect()
+        if len(values) <= BINS:
+            break
+        part = F.least(F.lit(BINS - 1), F.floor((F.col("raw") - lo) / (hi - lo) * BINS))
+        bins = inside.groupBy(part.alias("i")).agg(
+            F.sum(weight).alias("mass"), F.min("raw").alias("lo"), F.max("raw").alias("hi")
+        )
+        for r in sorted(bins.collect(), key=lambda r: r.i):
+            lo, hi = r.lo, r.hi
+            if below + r.mass >= share - 1e-12:
+                break
+            below += r.mass
+    at = values[-1].raw
+    for r in values:
+        below += r.mass
+        if below >= share - 1e-12:
+            at = r.raw
+            break
+    less = raw.where(F.col("raw") < at).agg(F.max("raw")).first()[0]
+    return float(at if less is None else (less + at) / 2)
+
+
+def ranked(found: DataFrame, ranking: Ranking | None) -> DataFrame:
+    """(doc_id, score) of every row of found(doc_id, found)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
-                if ranking is None:
-                    score = np.full(part.num_rows, 0.5)
-                else:
-                    score = ranking.score(features(part.column("text")))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), pa.array(score)], names=["row", "score"]
-                )
+            x = _matrix(batch.column("found"))
+            score = np.full(len(x), 0.5) if ranking is None else ranking.score(x)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], names=["doc_id", "score"])
 
-    kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(run, f"row {kind}, score double")
+    return found.mapInArrow(run, f"doc_id {dict(found.dtypes)['doc_id']}, score double")
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
-    row = F.struct("doc_id", (fold() == HELD_OUT).alias("held_out"))
-    scored = ranked(docs, learn(docs, labels), row)
+    found = cut_lineage(featured(docs))
+    scored = ranked(found, learn(found, labels))
     predicted = (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
-    return scored.select("row.*", "score", predicted)
+    return scored.select("doc_id", (fold() == HELD_OUT).alias("held_out"), "score", predicted)

@@ -49,3 +49,25 @@ def test_hard_rows_and_missing_labels(spark):
     got = Q.quality(docs, labels).collect()
     assert len(got) == docs.count() and all(0 <= r.score <= 1 for r in got)
     assert Q.quality(spark.createDataFrame([], R.SCHEMA), labels).count() == 0
+
+
+def test_all_labels_are_fitted(spark, monkeypatch):
+    """Any number of labels: a kind that only a tenth of the blocks would see, and every row counts."""
+    monkeypatch.setattr(Q, "BLOCK", 100)
+    monkeypatch.setattr(Q, "BINS", 16)
+    rng = np.random.default_rng(1)
+    kinds = [(i, int(i % 40 != 0), 0) for i in range(5000)]
+    found = [(i, [float(v) for v in rng.normal(1 if q else -1, 1, Q.FEATURES)]) for i, q, _ in kinds]
+    rows = spark.createDataFrame(found, "doc_id bigint, found array<double>")
+    labels = spark.createDataFrame(kinds, LABELS)
+    seen, used = [], Q._fit_blocks
+    monkeypatch.setattr(Q, "_fit_blocks", lambda r, c, s: seen.append((c, s)) or used(r, c, s))
+    ranking = Q.learn(rows, labels)
+    learnt = [q for i, q, _ in kinds if zlib.crc32(str(i).encode()) % 5]
+    assert seen[0][0] == {1: sum(learnt), 0: len(learnt) - sum(learnt)} and sum(learnt) > 3800
+    raw = ranking.raw(np.array([x for _, x in found]))
+    good, bad = raw[[q == 1 for _, q, _ in kinds]], raw[[q == 0 for _, q, _ in kinds]]
+    assert good.mean() > bad.mean() and (good > ranking.threshold).mean() > 0.95 and (bad < ranking.threshold).mean() > 0.95
+    own = [i for i, _, _ in kinds if zlib.crc32(str(i).encode()) % 5]
+    # The labelled share of bad documents lies below the threshold.
+    assert abs((raw[own] < ranking.threshold).mean() - seen[0][1]) < 0.01
