@@ -267,46 +267,57 @@ def vote_database(labels: DataFrame, index: DataFrame) -> DataFrame:
     return lists.join(best, "names", "left").select("qid", F.coalesce("db", F.lit("")).alias("db"))
 
 
-def listed_names(lists: DataFrame, index: DataFrame) -> DataFrame:
-    """(names, tbl, n, uses, first): known tables of each list, and how many databases have each."""
+def listed_names(lists: DataFrame, index: DataFrame, key: str = "names") -> DataFrame:
+    """(key, tbl, n, uses, first): known tables of each list, and how many databases have each."""
     widths = index.groupBy("tbl").agg(F.count(F.lit(1)).alias("n"))
-    each = lists.select("names", F.posexplode("names").alias("i", "tbl"))
+    each = lists.select(key, F.posexplode("names").alias("i", "tbl"))
     return (
-        each.groupBy("names", "tbl")
+        each.groupBy(key, "tbl")
         .agg(F.count(F.lit(1)).alias("uses"), F.min("i").alias("first"))
         .join(widths, "tbl")
     )
 
 
-def opening_names(known: DataFrame, floors: DataFrame) -> DataFrame:
-    """Tables of each list whose databases must be listed, given (names, floor)."""
-    widest = Window.partitionBy("names").orderBy(F.desc("n"), "tbl")
+def opening_names(known: DataFrame, floors: DataFrame, key: str = "names") -> DataFrame:
+    """Tables of each list whose databases must be listed, given (key, floor)."""
+    widest = Window.partitionBy(key).orderBy(F.desc("n"), "tbl")
     upto = F.sum("uses").over(widest.rowsBetween(Window.unboundedPreceding, 0))
-    return known.join(floors, "names").withColumn("upto", upto).where("upto >= floor")
+    return known.join(floors, key).withColumn("upto", upto).where("upto >= floor")
 
 
 def _best_votes(reached: DataFrame, known: DataFrame, index: DataFrame) -> DataFrame:
-    """(names, best): the winner of the (names, db) reached, by votes of the whole list."""
-    named = reached.join(known.select("names", "tbl", "uses", "first"), "names")
-    votes = named.join(index, ["tbl", "db"], "left_semi").groupBy("names", "db").agg(
+    """(lid, best): the winner of the (lid, db) reached, by votes of the whole list."""
+    named = reached.join(known.select("lid", "tbl", "uses", "first"), "lid")
+    votes = named.join(index, ["tbl", "db"], "left_semi").groupBy("lid", "db").agg(
         F.sum("uses").alias("votes"), F.min("first").alias("seen")
     )
-    return votes.groupBy("names").agg(
+    return votes.groupBy("lid").agg(
         F.min(F.struct((-F.col("votes")).alias("v"), "seen", "db")).alias("best")
     )
 
 
 def best_of_lists(lists: DataFrame, index: DataFrame) -> DataFrame:
-    """(names, db) of distinct lists of table names."""
-    known = cut_lineage(listed_names(lists, index))
-    narrow = Window.partitionBy("names").orderBy("n", "tbl")
+    """(names, db) of distinct lists of table names.
+
+    A list goes by a number, so that no step carries its names along. Where only its
+    rarest name is opened, the databases of that have been counted for the floor.
+    """
+    numbered = cut_lineage(lists.withColumn("lid", F.monotonically_increasing_id()))
+    known = cut_lineage(listed_names(numbered, index, "lid"))
+    # The last in the order of opening_names.
+    narrow = Window.partitionBy("lid").orderBy("n", F.desc("tbl"))
     rarest = known.withColumn("nth", F.row_number().over(narrow)).where("nth = 1")
-    reached = rarest.join(index, "tbl").select("names", "db")
-    floors = cut_lineage(_best_votes(reached, known, index)).select(
-        "names", (-F.col("best.v")).alias("floor")
-    )
-    opened = opening_names(known, floors).join(index, "tbl").select("names", "db").distinct()
-    return _best_votes(opened, known, index).select("names", F.col("best.db").alias("db"))
+    reached = rarest.join(index, "tbl").select("lid", "db")
+    counted = cut_lineage(_best_votes(reached, known, index))
+    floors = counted.select("lid", (-F.col("best.v")).alias("floor"))
+    n_opened = F.count(F.lit(1)).over(Window.partitionBy("lid"))
+    further = cut_lineage(
+        opening_names(known, floors, "lid").select("lid", "tbl", n_opened.alias("opened")).where("opened > 1")
+    )
+    more = _best_votes(further.join(index, "tbl").select("lid", "db").distinct(), known, index)
+    settled = counted.join(further.select("lid").distinct(), "lid", "left_anti")
+    best = settled.unionByName(more).select("lid", F.col("best.db").alias("db"))
+    return numbered.join(best, "lid").select("names", "db")
 
 
 def voted_schema(labels: DataFrame, index: DataFrame) -> DataFrame:

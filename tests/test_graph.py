@@ -264,3 +264,17 @@ def test_numbering_is_dense(spark):
     for g in range(3):
         numbers = sorted(r["no"] for r in rows if r["g"] == g)
         assert numbers == list(range(len(numbers)))
+
+
+def test_votes_carry_no_lists_and_count_once(spark, monkeypatch):
+    """A list goes by its number; where its rarest name settles it, nothing is counted again."""
+    seen, counted = [], graph._best_votes
+    monkeypatch.setattr(graph, "_best_votes", lambda *a: seen.append(a[0]) or counted(*a))
+    index = spark.createDataFrame(
+        [(f"t{i}", f"d{i // 3}") for i in range(30)] + [(f"t{i}", f"d{i % 7}x") for i in range(30)], "tbl string, db string"
+    )
+    lists = spark.createDataFrame([([f"t{i}", f"t{i + 1}", f"t{i + 2}"],) for i in range(0, 30, 3)], "names array<string>")
+    got = {r.names[0]: r.db for r in graph.best_of_lists(lists, index).collect()}
+    assert got == {f"t{i}": f"d{i // 3}" for i in range(0, 30, 3)}
+    assert all("names" not in x.columns for x in seen)
+    assert seen[0].count() == 20 and seen[1].count() == 0
