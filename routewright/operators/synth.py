@@ -12,6 +12,11 @@ from routewright.session import cut_lineage
 
 # Proposals that one job makes for every walk.
 STEPS_AT_ONCE = 8
+# A database of at most so many clique members is walked from one row, which lists
+# fewer than GATHERED times its members as neighbours; others go key by key.
+GATHERED = 64
+# Proposals per table of a walk in one pass over such rows, where weights thin them out.
+PROPOSALS = 4
 
 
 def cardinalities(instances: DataFrame) -> DataFrame:
@@ -192,6 +197,108 @@ def random_walks(
     return walk_from(_starts(starts, columns, seed), members, walk_len, seed, p, q)
 
 
+def _neighbour_rows(members: DataFrame) -> DataFrame:
+    """(db, names, nbrs): a database's tables and, by their numbers, the neighbours of each.
+
+    Neighbours stand in the order of ``_lines``: by the first shared key, then by
+    their slot of ``clique_places``. For databases of few members only.
+    """
+    keyed = members.groupBy("db", "key").agg(F.collect_list("tbl").alias("tbls"))
+    keys = F.sort_array(F.collect_list(F.struct("key", F.array_sort("tbls").alias("tbls"))))
+    in_key = keyed.groupBy("db").agg(F.transform(keys, lambda k: k["tbls"]).alias("keys"))
+
+    def shared(tbls: Column, i: Column) -> Column:
+        """Smaller keys that two members of this one have."""
+        below = F.filter(F.sequence(F.lit(0), i), lambda j: j < i)
+        return F.filter(below, lambda j: F.size(F.array_intersect(F.get("keys", j), tbls)) >= 2)
+
+    def slots(k: Column) -> Column:
+        place = F.transform(
+            k["tbls"],
+            lambda t: F.struct(
+                F.filter(k["low"], lambda j: F.array_contains(F.get("keys", j), t)).alias("low"),
+                F.substring(F.md5(t), 1, 2).alias("slice"),
+                t.alias("tbl"),
+            ),
+        )
+        return F.transform(F.array_sort(place), lambda x: x["tbl"])
+
+    lows = F.transform("keys", lambda k, i: F.struct(k.alias("tbls"), shared(k, i).alias("low")))
+    placed = cut_lineage(
+        in_key.withColumn("lows", lows).select(
+            "db",
+            F.array_sort(F.array_distinct(F.flatten("keys"))).alias("names"),
+            F.transform("lows", slots).alias("keys"),
+        )
+    )
+
+    def near(t: Column) -> Column:
+        met = F.array_distinct(F.flatten(F.filter("keys", lambda k: F.array_contains(k, t))))
+        return F.transform(F.array_remove(met, t), lambda x: F.array_position("names", x).cast("int") - 1)
+
+    return cut_lineage(placed.select("db", "names", F.transform("names", near).alias("nbrs")))
+
+
+def _walk_rows(begun: DataFrame, rows: DataFrame, most: int, p: float, q: float, seed: str) -> DataFrame:
+    """(walk_id, db, path) of walks in databases of ``_neighbour_rows``, all steps in the row.
+
+    The draws are those of ``_step``. Walks that were refused too often go on in
+    another pass.
+    """
+    thinned = (p, q) != (1, 1)
+    state = begun.select("walk_id", "db", F.array("at").alias("way"), F.lit(0).alias("attempt"))
+    done: DataFrame | None = None
+
+    def near(way: Column) -> Column:
+        return F.get("nbrs", F.element_at(way, -1))
+
+    def going(s: Column) -> Column:
+        return (F.size(s["way"]) < most) & (F.size(near(s["way"])) > 0)
+
+    def move(s: Column, nxt: Column) -> Column:
+        moved = F.struct(F.concat(s["way"], F.array(nxt)).alias("way"), F.lit(0).alias("attempt"))
+        if not thinned:
+            return moved
+        prev = F.get(s["way"], F.size(s["way"]) - 2)
+        weight = (
+            F.when(prev.isNull(), 1.0)
+            .when(nxt == prev, 1 / p)
+            .when(F.array_contains(F.get("nbrs", prev), nxt), 1.0)
+            .otherwise(1 / q)
+        )
+        luck = unit_draw(F.lit(seed), F.lit("accept"), "walk_id", F.size(s["way"]), s["attempt"])
+        stayed = F.struct(s["way"].alias("way"), (s["attempt"] + 1).alias("attempt"))
+        return F.when(luck * max(1.0, 1 / p, 1 / q) < weight, moved).otherwise(stayed)
+
+    def step(s: Column, _: Column) -> Column:
+        at = near(s["way"])
+        pick = draw_below(F.size(at), F.lit(seed), "walk_id", F.size(s["way"]), s["attempt"])
+        # The list of one holds the draw, so that it is made once.
+        drawn = F.transform(F.array(F.get(at, pick.cast("int"))), lambda nxt: move(s, nxt))
+        return F.when(going(s), F.get(drawn, F.lit(0))).otherwise(s)
+
+    tries = PROPOSALS * most if thinned else most - 1
+    while True:
+        s = F.struct("way", "attempt")
+        if tries > 0:
+            s = F.aggregate(F.sequence(F.lit(1), F.lit(tries)), s, step)
+        walked = cut_lineage(
+            state.join(rows, "db").withColumn("s", s).select(
+                "walk_id",
+                "db",
+                "s.way",
+                "s.attempt",
+                F.transform("s.way", lambda i: F.get("names", i)).alias("path"),
+                going(F.col("s")).alias("going"),
+            )
+        )
+        ended = walked.where(~F.col("going")).select("walk_id", "db", "path")
+        done = ended if done is None else done.unionByName(ended)
+        state = walked.where("going").select("walk_id", "db", "way", "attempt")
+        if not thinned or state.isEmpty():
+            return done
+
+
 def walk_from(
     begun: DataFrame,
     members: DataFrame,
@@ -200,7 +307,39 @@ def walk_from(
     p: float = 1.0,
     q: float = 1.0,
 ) -> DataFrame:
-    """(walk_id, db, path) of begun(walk_id, db, tbl), as ``random_walks`` goes on."""
+    """(walk_id, db, path) of begun(walk_id, db, tbl), as ``random_walks`` goes on.
+
+    Walks through a database of few clique members are made whole from one row,
+    and one join by database serves all their steps. Other databases are walked
+    key by key, a join per step.
+    """
+    members = cut_lineage(members)
+    sizes = cut_lineage(
+        members.groupBy("db").agg(
+            F.count(F.lit(1)).alias("n"), F.max(F.col("tbl").isNull()).alias("unnamed")
+        )
+    )
+    # A null names no table to go to, which only the steps by key tell apart.
+    small = (F.col("n") <= GATHERED) & ~F.col("unnamed")
+    few = members.join(sizes.where(small).select("db"), "db", "left_semi")
+    rows = _neighbour_rows(few)
+    at = F.coalesce(F.array_position("names", F.col("tbl")).cast("int") - 1, F.lit(-1))
+    begun = cut_lineage(
+        begun.join(rows.select("db", "names"), "db", "left").select("walk_id", "db", "tbl", at.alias("at"))
+    )
+    inside = _walk_rows(begun.where("at >= 0"), rows, walk_len - 2, p, q, seed)
+    others = begun.where("at < 0").select("walk_id", "db", "tbl")
+    wide = sizes.where(~small & F.col("db").isNotNull()).select("db")
+    if wide.isEmpty():
+        return inside.unionByName(others.select("walk_id", "db", F.array("tbl").alias("path")))
+    by_key = _walk_keys(others, members.join(wide, "db", "left_semi"), walk_len, seed, p, q)
+    return inside.unionByName(by_key)
+
+
+def _walk_keys(
+    begun: DataFrame, members: DataFrame, walk_len: int, seed: str, p: float, q: float
+) -> DataFrame:
+    """``walk_from`` by keys: a join per step, and no pair of tables is listed."""
     most = walk_len - 2
     placed = cut_lineage(clique_places(cut_lineage(members)))
     lines = cut_lineage(_lines(placed))

@@ -278,3 +278,31 @@ def test_votes_carry_no_lists_and_count_once(spark, monkeypatch):
     assert got == {f"t{i}": f"d{i // 3}" for i in range(0, 30, 3)}
     assert all("names" not in x.columns for x in seen)
     assert seen[0].count() == 20 and seen[1].count() == 0
+
+
+def test_walks_from_rows_are_those_by_key(spark, monkeypatch):
+    """A database of few members is walked in one row, with no join per step."""
+    cols, members, _ = fixture(spark, seed=5, n_db=4, n_tbl=8)
+    bare = spark.createDataFrame(
+        [("d0", 0, None, 0, "c0", "t1", "c0"), ("e", 0, "alone", 0, "c0", None, None)], cols.schema
+    )
+    odd = graph.clique_members(cols.unionByName(bare))
+    begun = spark.range(300).select(
+        F.col("id").alias("walk_id"),
+        F.concat(F.lit("d"), F.col("id") % 5).alias("db"),
+        F.concat(F.lit("t"), F.col("id") % 9).alias("tbl"),
+    )
+    steps = []
+    real = synth._step
+    monkeypatch.setattr(synth, "_step", lambda *a: steps.append(1) or real(*a))
+    for named, p, q in ((members, 1.0, 1.0), (members, 0.5, 2.0), (odd, 2.0, 0.5)):
+        walks = []
+        for most in (64, 0):
+            monkeypatch.setattr(synth, "GATHERED", most)
+            monkeypatch.setattr(synth, "PROPOSALS", 1)
+            steps.clear()
+            rows = synth.walk_from(begun, named, 9, p=p, q=q).collect()
+            walks.append(sorted((r["walk_id"], r["db"], r["path"]) for r in rows))
+            assert bool(steps) == (most == 0 or named is odd)
+        assert walks[0] == walks[1] and len(walks[0]) == 300
+        assert max(len(path) for _, _, path in walks[0]) == 7
