@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -130,47 +130,26 @@ def macro_recall(run: DataFrame, rel: DataFrame, ks: list[int], by: list[str]) -
     return means.select(*by, F.inline(cells))
 
 
-def _curves(
-    run: DataFrame, rel: DataFrame, n: int, questions: DataFrame, by: list[str]
-) -> DataFrame:
-    """(by…, qid, points): precision and recall of each question at k = 1..n.
+def _points(run: DataFrame, rel: DataFrame, n: int, by: list[str]) -> DataFrame:
+    """(by…, qid, rank, p, r, p0, r0): precision and recall from a document's rank on, and before.
 
-    ``points`` are running sums over the ranks, one pass in the row. A question
-    without any prediction has zeros.
+    Both change only where the list has a document, so a question has a row per
+    document within n and none for the other ranks. Before the first p0 and r0 are 0.
     """
-    ranked = first_ranks(run.where(F.col("rank") <= n), rel, by)
-    flags = ranked.groupBy(*by, "qid").agg(F.collect_list(F.struct("rank", "rel")).alias("flags"))
-    asked = questions.select(*by, "qid").join(flags, [*by, "qid"], "left")
-    sized = asked.join(_gold_sizes(rel), "qid", "left").withColumn(
-        "n_gold", F.coalesce("n_gold", F.lit(0))
-    )
-    # The flag of each rank, -1 where the list has none.
-    at = F.map_from_entries("flags")
-    by_rank = F.transform(
-        F.sequence(F.lit(1), F.lit(n)), lambda k: F.coalesce(F.try_element_at("at", k), F.lit(-1))
-    )
-    start = F.struct(
-        F.lit(0).alias("n"), F.lit(0).alias("tp"),
-        F.array().cast("array<struct<n:int,tp:int>>").alias("seen"),
-    )
-
-    def add(state: Column, flag: Column) -> Column:
-        count = (state["n"] + (flag >= 0).cast("int")).alias("n")
-        hits = (state["tp"] + (flag == 1).cast("int")).alias("tp")
-        return F.struct(count, hits, F.concat(state["seen"], F.array(F.struct(count, hits))).alias("seen"))
-
-    seen = F.aggregate("by_rank", start, add)["seen"]
-    points = F.transform(
-        seen,
-        lambda s: F.struct(
-            F.when(s["n"] > 0, s["tp"] / s["n"]).otherwise(0.0).alias("p"),
-            F.when(F.col("n_gold") > 0, s["tp"] / F.col("n_gold")).otherwise(0.0).alias("r"),
-        ),
+    first = run.groupBy(*by, "qid", "doc_id").agg(F.min("rank").alias("rank"))
+    within = first.where((F.col("rank") >= 1) & (F.col("rank") <= n))
+    gold = rel.select("qid", "doc_id").distinct().groupBy("qid").agg(
+        F.count(F.lit(1)).alias("n_gold"), F.collect_list("doc_id").alias("gold")
     )
+    hit = F.coalesce(F.array_contains("gold", F.col("doc_id")), F.lit(False))
+    ranked = within.join(gold, "qid", "left").select(*by, "qid", "rank", hit.cast("int").alias("rel"), "n_gold")
+    upto = Window.partitionBy(*by, "qid").orderBy("rank")
     return (
-        sized.withColumn("at", at)
-        .withColumn("by_rank", by_rank)
-        .select(*by, "qid", points.alias("points"))
+        ranked.withColumn("p", F.sum("rel").over(upto) / F.count(F.lit(1)).over(upto))
+        .withColumn("r", F.coalesce(F.sum("rel").over(upto) / F.col("n_gold"), F.lit(0.0)))
+        .withColumn("p0", F.lag("p", 1, 0.0).over(upto))
+        .withColumn("r0", F.lag("r", 1, 0.0).over(upto))
+        .select(*by, "qid", "rank", "p", "r", "p0", "r0")
     )
 
 
@@ -179,28 +158,42 @@ def precision_recall_curve(
 ) -> DataFrame:
     """(by…, k, precision, recall): means over the questions for k = 1..n.
 
-    questions(by…, qid) names every question that was asked.
+    questions(by…, qid) names every question that was asked; one without any
+    prediction counts with zeros. The changes at each k are summed, then added up
+    over the n values of k.
     """
-    curves = _curves(run, rel, n, questions, by)
-    return (
-        curves.select(*by, F.posexplode("points").alias("at", "v"))
-        .groupBy(*by, (F.col("at") + 1).alias("k"))
-        .agg(rounded(F.avg("v.p")).alias("precision"), rounded(F.avg("v.r")).alias("recall"))
+    changes = (
+        _points(run.where(F.col("rank") <= n), rel, n, by)
+        .join(questions.select(*by, "qid"), [*by, "qid"])
+        .groupBy(*by, F.col("rank").cast("int").alias("k"))
+        .agg(F.sum(F.col("p") - F.col("p0")).alias("dp"), F.sum(F.col("r") - F.col("r0")).alias("dr"))
     )
+    asked = questions.groupBy(*by).agg(F.count(F.lit(1)).alias("asked")).where("asked > 0")
+    every = asked.select(*by, "asked", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("k"))
+    cells = every.unionByName(changes, allowMissingColumns=True).groupBy(*by, "k").agg(
+        F.max("asked").alias("asked"), F.sum("dp").alias("dp"), F.sum("dr").alias("dr")
+    )
+    upto = Window.partitionBy(*by).orderBy("k")
+
+    def mean(change: str) -> Column:
+        return rounded(F.coalesce(F.sum(change).over(upto), F.lit(0.0)) / F.col("asked"))
+
+    return cells.select(*by, "k", mean("dp").alias("precision"), mean("dr").alias("recall"))
 
 
 def average_precision(
     run: DataFrame, rel: DataFrame, questions: DataFrame, by: list[str], n: int = 15
 ) -> DataFrame:
     """(by…, qid, ap): trapezoidal area under (recall, precision), from (0, 1) to k = n."""
-    start = F.struct(F.lit(1.0).alias("p"), F.lit(0.0).alias("r"))
-    pairs = F.arrays_zip(F.concat(F.array(start), F.col("points")).alias("a"), F.col("points").alias("b"))
-    area = F.aggregate(
-        F.slice(pairs, 1, n),
-        F.lit(0.0),
-        lambda sum_, x: sum_ + (x["b"]["r"] - x["a"]["r"]) * (x["b"]["p"] + x["a"]["p"]) / 2,
+    before = F.when(F.col("rank") == 1, 1.0).otherwise(F.col("p0"))
+    area = F.sum((F.col("r") - F.col("r0")) * (F.col("p") + before) / 2)
+    points = _points(run.where(F.col("rank") <= n), rel, n, by)
+    areas = points.groupBy(*by, "qid").agg(rounded(area).alias("ap"))
+    return (
+        questions.select(*by, "qid")
+        .join(areas, [*by, "qid"], "left")
+        .select(*by, "qid", F.coalesce("ap", rounded(F.lit(0.0))).alias("ap"))
     )
-    return _curves(run, rel, n, questions, by).select(*by, "qid", rounded(area).alias("ap"))
 
 
 def map_by_table_count(

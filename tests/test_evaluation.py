@@ -215,3 +215,21 @@ def test_running_cost_of_a_stream(spark, tmp_path):
     last = states.agg({"batch": "max"}).first()[0]
     rows = {r["model"]: r["cost"] for r in states.where(f"batch = {last}").collect()}
     assert rows == {"gpt-4": 90.0, None: 90.0}
+
+
+def test_curves_list_a_question_once_per_document(spark):
+    """Ranks without a document make no rows; questions without a list count with zeros."""
+    run = spark.createDataFrame(
+        [("m", 1, "a", 2), ("m", 1, "b", 3), ("m", 1, "a", 7), ("m", 2, "c", 1), ("m", 9, "c", 1), ("m", 2, "z", 60)],
+        "method string, qid int, doc_id string, rank int",
+    )
+    rel = spark.createDataFrame([(1, "a"), (1, "x"), (2, "c")], "qid int, doc_id string")
+    asked = spark.createDataFrame([("m", q) for q in (1, 2, 3, 3)], "method string, qid int")
+    points = m._points(run, rel, 50, ["method"]).where("qid < 9")
+    assert points.count() == 3
+    got = m.precision_recall_curve(run, rel, asked, ["method"], 50).collect()
+    curve = {r["k"]: (r["precision"], r["recall"]) for r in got}
+    assert len(curve) == len(got) == 50
+    assert curve[1] == (0.25, 0.25) and curve[2] == (0.5, 0.375) and curve[3] == curve[50] == (0.375, 0.375)
+    ap = m.average_precision(run, rel, asked, ["method"], 15).collect()
+    assert sorted((r["qid"], r["ap"]) for r in ap) == [(1, 0.25), (2, 1.0), (3, 0.0), (3, 0.0)]
