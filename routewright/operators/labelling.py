@@ -14,6 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from routewright.session import cut_lineage
+
+# Characters of statements in a task that sorts their tokens.
+CHARS_AT_ONCE = 2_000_000
+
 # What a token is, and words with a meaning of their own.
 _QUOTED = r'"(?:[^"]|"")*+"|`(?:[^`]|``)*+`|\[[^\]]*\]'
 _STRING = r"'(?:[^']|'')*+'"
@@ -35,6 +40,18 @@ _OPERATORS = [
 ]
 
 
+def _dealt(statements: DataFrame) -> DataFrame:
+    """Each statement in one of as many tasks as their length asks for.
+
+    Tokens take many times the room of their text and are sorted more than once, so
+    a task's share is bounded before they become rows, and no token is shuffled.
+    """
+    kept = cut_lineage(statements.select("qid", "db", "sql"))
+    chars = kept.agg(F.sum(F.length("sql").cast("bigint")).alias("n")).first()["n"] or 0
+    cores = kept.sparkSession.sparkContext.defaultParallelism
+    return kept.repartition(max(cores, chars // CHARS_AT_ONCE + 1), "qid", "db")
+
+
 def _tokens(statements: DataFrame) -> DataFrame:
     """(qid, db, pos, token, kind): lower-cased, without comments, names unquoted."""
     all_tokens = F.regexp_extract_all("sql", F.lit(_TOKEN), F.lit(0))
@@ -120,7 +137,7 @@ def mentioned_names(statements: DataFrame) -> DataFrame:
 
     A statement has one qid. Null and empty texts name nothing.
     """
-    rows = _in_clauses(_in_parts(_tokens(statements)))
+    rows = _in_clauses(_in_parts(_tokens(_dealt(statements))))
     name = F.col("kind").isin("word", "quoted")
     qualifier = F.coalesce("behind", F.lit("")) == "."
     place = F.col("nth") - F.col("item.nth") - 1

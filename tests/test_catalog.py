@@ -218,3 +218,20 @@ def test_empty_schema_list_stays_empty(spark):
     df = spark.createDataFrame([([], "[3]"), (["a", "b"], "[9]")], "s array<string>, r string")
     got = [r[0] for r in df.select(parsing.picked_schema(F.col("s"), F.col("r"))).collect()]
     assert got == [[], ["b"]]
+
+
+def test_tokens_are_dealt_by_length_and_not_shuffled(spark, monkeypatch):
+    """A task's statements are bounded before their tokens become rows."""
+    monkeypatch.setattr(labelling, "CHARS_AT_ONCE", 200)
+    sql = "select code from item where id in (select ref from sale)"
+    statements = spark.createDataFrame(
+        [(i, "shop", sql) for i in range(100)] + [(100, "shop", None), (101, None, sql)],
+        "qid bigint, db string, sql string",
+    )
+    dealt = labelling._dealt(statements)
+    assert dealt.rdd.getNumPartitions() == 101 * len(sql) // 200 + 1
+    parts = labelling._in_parts(labelling._tokens(dealt))
+    plan = parts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    names = labelling.mentioned_names(statements).where("is_table").groupBy("name").count().collect()
+    assert sorted((r["name"], r["count"]) for r in names) == [("item", 101), ("sale", 101)]
