@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from routewright.functions.text import normalise_name, strip
+from routewright.session import cut_lineage
+
+# Columns times key entries of a dump row that looks its keys up by itself.
+ROW_LOOKUPS = 1 << 16
 
 
 def lower_dump(raw: DataFrame) -> DataFrame:
@@ -242,16 +246,95 @@ def keyed_columns(raw: DataFrame, type_offset: int = 0) -> DataFrame:
     return merged.where("c is not null").select("db", "col_pos", "c.*", "pk_pos", "declared")
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with the value worked out once however often a lambda asks for it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _finished_structs(type_offset: int) -> Column:
+    """The real columns of a dump row with (is_key, declared, hit), looked up inside the row."""
+    keys = F.transform(
+        F.array_distinct(_key_positions()),
+        lambda k: _let(
+            F.get(F.col("column_names_original"), k.cast("int")),
+            lambda c: F.struct(
+                k.alias("at"),
+                F.lower(F.get(F.col("table_names_original"), F.get(c, F.lit(0)).cast("int"))).alias("tbl"),
+                F.lower(F.get(c, F.lit(1))).alias("col"),
+            ),
+        ),
+    )
+
+    def finished(x: Column, ks: Column, pairs: Column) -> Column:
+        own = F.filter(pairs, lambda p: p["col_pos"] == x["col_pos"])
+        others = F.filter(
+            ks, lambda k: (k["col"] == x["col"]) & (k["col"] != "id") & (k["at"] != x["col_pos"])
+        )
+        return F.struct(
+            *[x[n].alias(n) for n in ("tbl_pos", "tbl", "tbl_norm", "col_pos", "col", "col_norm", "type")],
+            F.exists(ks, lambda k: k["at"].eqNullSafe(x["col_pos"])).alias("is_key"),
+            _let(own, lambda o: F.get(o, F.size(o) - 1)).alias("declared"),
+            F.when(F.col("db_id").isNotNull(), F.get(others, F.lit(0))).alias("hit"),
+        )
+
+    return _let(
+        F.struct(keys.alias("ks"), _declared_structs().alias("pairs")),
+        lambda v: F.transform(_column_structs(type_offset), lambda x: finished(x, v["ks"], v["pairs"])),
+    )
+
+
+def _merged_columns(raw: DataFrame, type_offset: int) -> DataFrame:
+    """Flat columns with (is_key, declared, hit) by shuffles, for any dump."""
+    two = first_two_keys(key_columns(raw))
+    return (
+        keyed_columns(raw, type_offset)
+        .join(two, ["db", "col"], "left")
+        .withColumn("is_key", F.col("pk_pos").isNotNull())
+        .withColumn("hit", _other_key(F.col("col_pos")))
+    )
+
+
+def looked_up_columns(raw: DataFrame, type_offset: int = 0) -> DataFrame:
+    """Flat columns with (is_key, declared, hit): no shuffle where a dump row can answer alone.
+
+    A row whose columns times key entries stay below ``ROW_LOOKUPS`` looks its
+    keys up inside the row. Larger ones, and databases of several rows, are
+    merged by shuffles.
+    """
+    entries = F.size(_key_positions()) + F.size("foreign_keys")
+    large = F.coalesce(F.size("column_names_original") * entries > ROW_LOOKUPS, F.lit(True))
+    per_db = raw.groupBy("db_id").agg(F.count(F.lit(1)).alias("n"), F.max(large).alias("large"))
+    odd = cut_lineage(per_db.where("n > 1 or large").select(F.col("db_id").alias("odd")))
+    alone = raw.select(F.col("db_id").alias("db"), F.inline(_finished_structs(type_offset)))
+    if odd.isEmpty():
+        return alone
+    same = F.col("db_id").eqNullSafe(F.col("odd"))
+    rest = raw.join(odd, same, "left_anti")
+    alone = rest.select(F.col("db_id").alias("db"), F.inline(_finished_structs(type_offset)))
+    merged = _merged_columns(raw.join(odd, same, "left_semi"), type_offset)
+    names = ["db", "tbl_pos", "tbl", "tbl_norm", "col_pos", "col", "col_norm", "type", "is_key"]
+    shown = [*names, "declared.fk_tbl", "declared.fk_col", "hit.tbl"]
+    flat = [*names, "fk_tbl", "fk_col", "hit_tbl"]
+    rows = [
+        side.select(*shown, F.col("declared").isNotNull(), F.col("hit").isNotNull()).toDF(*flat, "d", "h")
+        for side in (alone, merged)
+    ]
+    both = rows[0].unionByName(rows[1])
+    return both.select(
+        *names,
+        F.when(F.col("d"), F.struct("fk_tbl", "fk_col")).alias("declared"),
+        F.when(F.col("h"), F.struct(F.col("hit_tbl").alias("tbl"))).alias("hit"),
+    )
+
+
 def build_catalog(raw: DataFrame, type_offset: int = 0, split_names: bool = False) -> DataFrame:
     """The whole catalog of a dump, with declared and inferred foreign keys."""
-    cols = keyed_columns(raw, type_offset)
+    cols = looked_up_columns(raw, type_offset)
     if split_names:
         cols = cols.withColumn("tbl_norm", normalise_name(F.col("tbl"))).withColumn(
             "col_norm", normalise_name(F.col("col"))
         )
-    two = first_two_keys(key_columns(raw))
-    inferred = _other_key(F.col("col_pos"))
-    return cols.join(two, ["db", "col"], "left").select(
+    return cols.select(
         "db",
         "tbl_pos",
         "tbl",
@@ -260,10 +343,10 @@ def build_catalog(raw: DataFrame, type_offset: int = 0, split_names: bool = Fals
         "col",
         "col_norm",
         "type",
-        F.col("pk_pos").isNotNull().alias("is_pk"),
-        F.coalesce("declared.fk_tbl", inferred["tbl"]).alias("fk_tbl"),
+        F.col("is_key").alias("is_pk"),
+        F.coalesce("declared.fk_tbl", "hit.tbl").alias("fk_tbl"),
         F.when(F.col("declared").isNotNull(), F.col("declared.fk_col"))
-        .when(inferred.isNotNull(), F.col("col"))
+        .when(F.col("hit").isNotNull(), F.col("col"))
         .alias("fk_col"),
     )
 
@@ -355,7 +438,8 @@ def nest_catalog(columns: DataFrame, tables: DataFrame | None = None) -> DataFra
         F.col("is_pk").alias("primary_key"),
         key.alias("foreign_key"),
     )
-    per_table = columns.groupBy("db", "tbl_pos", "tbl", "tbl_norm").agg(
+    # One shuffle, by database, serves both steps.
+    per_table = columns.repartition("db").groupBy("db", "tbl_pos", "tbl", "tbl_norm").agg(
         F.sort_array(F.collect_list(column)).alias("columns")
     )
     if tables is not None:

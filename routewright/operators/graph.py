@@ -42,13 +42,16 @@ def clique_members(columns: DataFrame) -> DataFrame:
     ``key`` holds the referenced table and column side by side, as both may
     have dots in their names.
     """
-    linked = columns.where("fk_tbl is not null")
     key = F.struct("fk_tbl", "fk_col").alias("key")
+    # One shuffle, by key: members are told apart and counted where they arrive.
+    linked = columns.where("fk_tbl is not null and db is not null").select("db", key, "tbl")
     members = (
-        linked.select("db", key, F.explode(F.array("tbl", "fk_tbl")).alias("tbl")).distinct()
+        linked.repartition("db", "key")
+        .select("db", "key", F.explode(F.array("tbl", "key.fk_tbl")).alias("tbl"))
+        .distinct()
     )
-    size = members.groupBy("db", "key").agg(F.count(F.lit(1)).alias("size"))
-    return members.join(size.where("size > 1"), ["db", "key"])
+    size = F.count(F.lit(1)).over(Window.partitionBy("db", "key"))
+    return members.withColumn("size", size).where("size > 1")
 
 
 def clique_sizes(members: DataFrame) -> DataFrame:

@@ -28,14 +28,16 @@ def fk_clique_edges(spark, d):
 
 def fk_linked_pairs(spark, d):
     """Which consecutive tables of an order's catalog are linked."""
-    tables = t.plain_columns(spark, d).select("db", "tbl_pos", "tbl").distinct()
+    columns = t.keep(t.full_columns(spark, d))
+    tables = columns.select("db", "tbl_pos", "tbl").distinct()
     nxt = tables.select("db", (F.col("tbl_pos") - 1).alias("tbl_pos"), F.col("tbl").alias("b"))
     pairs = tables.withColumnRenamed("tbl", "a").join(nxt, ["db", "tbl_pos"]).select("db", "a", "b")
-    return g.linked_pairs(pairs, t.members(spark, d))
+    return g.linked_pairs(pairs, g.clique_members(columns))
 
 
 def serialize_schema(spark, d):
-    return g.serialise(t.gold_mentions(spark, d), t.members(spark, d), t.SEP)
+    columns = t.keep(t.full_columns(spark, d))
+    return g.serialise(t.mentioned(columns), g.clique_members(columns), t.SEP)
 
 
 def deserialize_schema(spark, d):
@@ -97,25 +99,25 @@ def separator_guard(spark, d):
     return g.separator_rejects(t.plain_columns(spark, d), "99")
 
 
-def _states(spark, d):
+def _states(spark, d, columns):
     """Per order: nothing chosen, the database chosen, and returned tables chosen."""
     order = t.gold(spark, d)
     none = F.lit(None).cast("string")
     empty = order.select("qid", none.alias("db"), none.alias("tbl"))
     opened = order.select("qid", "db", none.alias("tbl"))
-    chosen = t.gold_mentions(spark, d).select("qid", "db", "tbl").distinct()
+    chosen = t.mentioned(columns).select("qid", "db", "tbl").distinct()
     return empty.unionByName(opened).unionByName(chosen).withColumnRenamed("qid", "sid")
 
 
 def schema_frontier(spark, d):
     columns = t.keep(t.full_columns(spark, d))
-    return g.frontier(_states(spark, d), columns, g.clique_members(columns))
+    return g.frontier(_states(spark, d, columns), columns, g.clique_members(columns))
 
 
 def _chosen(spark, d):
     """The gold tables of each question as a state, and the places of all cliques."""
     columns = t.keep(t.full_columns(spark, d))
-    chosen = t.gold_mentions(spark, d).select(F.col("qid").alias("sid"), "db", "tbl").distinct()
+    chosen = t.mentioned(columns).select(F.col("qid").alias("sid"), "db", "tbl").distinct()
     return chosen, t.keep(g.clique_members(columns))
 
 

@@ -51,7 +51,7 @@ def read_catalog(spark, d):
     maps = nested.groupBy(shard).agg(
         F.to_json(F.map_from_entries(F.collect_list(F.struct("db", "tables")))).alias("value")
     )
-    maps.repartition("shard").write.partitionBy("shard").text(path)
+    maps.write.partitionBy("shard").text(path, compression="gzip")
     return readers.read_catalog(spark, f"{path}/*")
 
 
