@@ -1,8 +1,10 @@
-"""Numbering rows without putting a whole group into one task."""
+"""Numbering rows without putting a whole group into one task, and naming values in a row."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # A group is cut by the first two hex digits of a hash: 256 slices, each
@@ -33,3 +35,8 @@ def number_rows(df: DataFrame, group: list[str], item: str, out: str) -> DataFra
         .withColumn(out, (F.col("_base") + F.col("_rn") - 1).cast("bigint"))
         .drop("_slice", "_rn", "_base")
     )
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once however often a lambda asks for it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

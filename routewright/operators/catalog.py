@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from routewright.functions.positions import let
 from routewright.functions.text import normalise_name, strip
 from routewright.session import cut_lineage
 
@@ -246,16 +247,11 @@ def keyed_columns(raw: DataFrame, type_offset: int = 0) -> DataFrame:
     return merged.where("c is not null").select("db", "col_pos", "c.*", "pk_pos", "declared")
 
 
-def _let(value: Column, use) -> Column:
-    """use(value), with the value worked out once however often a lambda asks for it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _finished_structs(type_offset: int) -> Column:
     """The real columns of a dump row with (is_key, declared, hit), looked up inside the row."""
     keys = F.transform(
         F.array_distinct(_key_positions()),
-        lambda k: _let(
+        lambda k: let(
             F.get(F.col("column_names_original"), k.cast("int")),
             lambda c: F.struct(
                 k.alias("at"),
@@ -273,11 +269,11 @@ def _finished_structs(type_offset: int) -> Column:
         return F.struct(
             *[x[n].alias(n) for n in ("tbl_pos", "tbl", "tbl_norm", "col_pos", "col", "col_norm", "type")],
             F.exists(ks, lambda k: k["at"].eqNullSafe(x["col_pos"])).alias("is_key"),
-            _let(own, lambda o: F.get(o, F.size(o) - 1)).alias("declared"),
+            let(own, lambda o: F.get(o, F.size(o) - 1)).alias("declared"),
             F.when(F.col("db_id").isNotNull(), F.get(others, F.lit(0))).alias("hit"),
         )
 
-    return _let(
+    return let(
         F.struct(keys.alias("ks"), _declared_structs().alias("pairs")),
         lambda v: F.transform(_column_structs(type_offset), lambda x: finished(x, v["ks"], v["pairs"])),
     )

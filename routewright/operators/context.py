@@ -7,11 +7,14 @@ database, mentions(qid, db, tbl, col) its own tables and columns.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from routewright.functions.draws import draw_below
-from routewright.functions.positions import number_rows
+from routewright.functions.positions import let, number_rows
 
 _FLAT = ["qid", "schema_pos", "db", "tbl_pos", "tbl", "col_pos", "col"]
 
@@ -107,28 +110,45 @@ def context_gold_hit(pred: DataFrame, gold: DataFrame, columns: DataFrame) -> Da
     return context_predicted(hit, columns, 1)
 
 
+def _runs_of(rows: Column, fields: tuple[str, ...]) -> Column:
+    """The rows of a sorted array, one array per run of equal fields; linear in the rows."""
+
+    def begins(at: Column, xs: Column) -> Column:
+        before = F.get(xs, at - 2)
+        same = [F.get(xs, at - 1)[f].eqNullSafe(before[f]) for f in fields]
+        return (at == 1) | ~reduce(and_, same)
+
+    def cut(xs: Column) -> Column:
+        starts = F.filter(F.transform(xs, lambda _, i: i + 1), lambda at: begins(at, xs))
+        return let(
+            starts,
+            lambda s: F.transform(
+                s, lambda at, j: F.slice(xs, at, F.coalesce(F.get(s, j + 1), F.size(xs) + 1) - at)
+            ),
+        )
+
+    return let(rows, cut)
+
+
 def nest_context(rows: DataFrame) -> DataFrame:
-    """(qid, schemas) for the prompt renderers, in catalog order."""
-    tables = rows.groupBy("qid", "schema_pos", "db", "tbl_pos", "tbl").agg(
-        F.sort_array(
-            F.collect_list(F.when(F.col("col").isNotNull(), F.struct("col_pos", "col")))
-        ).alias("cols")
-    )
-    table = F.struct(
-        "tbl_pos",
-        F.col("tbl").alias("name"),
-        F.transform("cols", lambda c: c["col"]).alias("columns"),
-    )
-    schemas = tables.groupBy("qid", "schema_pos", "db").agg(
-        F.sort_array(F.collect_list(F.when(F.col("tbl_pos").isNotNull(), table))).alias("t")
-    )
-    schema = F.struct(
-        "schema_pos",
-        F.col("db").alias("name"),
-        F.transform("t", lambda t: t.dropFields("tbl_pos")).alias("tables"),
-    )
-    return schemas.groupBy("qid").agg(
+    """(qid, schemas) for the prompt renderers, in catalog order.
+
+    The rows of a schema are gathered and sorted once, where the join with the
+    catalog has brought them together; its tables are runs of them, cut inside
+    the row. What moves to the question is a finished schema.
+    """
+    flat = F.struct("tbl_pos", "tbl", "col_pos", "col")
+    gathered = rows.groupBy("db", "schema_pos", "qid").agg(F.sort_array(F.collect_list(flat)).alias("rows"))
+
+    def table(xs: Column) -> Column:
+        named = F.filter(xs, lambda x: x["col"].isNotNull())
+        return F.struct(F.get(xs, F.lit(0))["tbl"].alias("name"), F.transform(named, lambda x: x["col"]).alias("columns"))
+
+    known = F.filter("rows", lambda x: x["tbl_pos"].isNotNull())
+    tables = F.transform(_runs_of(known, ("tbl_pos", "tbl")), table)
+    schema = F.struct("schema_pos", F.col("db").alias("name"), tables.alias("tables"))
+    return gathered.select("qid", schema.alias("schema")).groupBy("qid").agg(
         F.transform(
-            F.sort_array(F.collect_list(schema)), lambda s: s.dropFields("schema_pos")
+            F.sort_array(F.collect_list("schema")), lambda s: s.dropFields("schema_pos")
         ).alias("schemas")
     )
