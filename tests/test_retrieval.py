@@ -3,6 +3,8 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from routewright.operators import block_scan, cover, dense, retrieval as r
@@ -211,6 +213,54 @@ def test_segment_cover(spark):
         assert all(x["db"] == f"db{x['doc_id'] % 3}" for x in mine)
 
 
+def test_cover_shuffles_the_run_once_by_question(spark):
+    schema = "qid bigint, sid int, doc_id bigint, db string, score double, rank int"
+    run = spark.createDataFrame([(1, 0, 5, "a", 2.0, 1)], schema)
+    weights = spark.createDataFrame([(1, 0, 0.5)], "qid bigint, sid int, weight double")
+
+    def exchanges(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+    assert exchanges(cover.score_matrix(run)) == 1
+    # one for the run, one for the weights
+    assert exchanges(cover.greedy_cover(run, weights)) == 2
+
+
+def test_cover_leaves_out_what_has_no_weight_or_key(spark):
+    schema = "qid bigint, sid int, doc_id bigint, db string, score double, rank int"
+    rows = [
+        (1, 0, 5, "a", 2.0, 1), (1, 7, 6, "a", 9.0, 1), (2, 0, 8, "a", 1.0, 1),
+        (None, 0, 5, "a", 2.0, 1), (3, None, 5, "a", 2.0, 1),
+    ]
+    asked = [(1, 0, 0.5), (1, 1, 0.4), (None, 0, 0.5), (3, None, 0.5), (4, 0, 0.5)]
+    weights = spark.createDataFrame(asked, "qid bigint, sid int, weight double")
+    got = cover.greedy_cover(spark.createDataFrame(rows, schema), weights).collect()
+    assert [tuple(x) for x in got] == [(1, 5, "a", 0.75, 1)]
+
+
+@pytest.mark.parametrize("dense", [0, 8, 1 << 40])
+@pytest.mark.parametrize("hits", [3, 1 << 20])
+def test_block_sums_are_the_matrix_product(monkeypatch, dense, hits):
+    """Whether a term goes as an array or hit by hit, for any size of a step."""
+    monkeypatch.setattr(block_scan, "DENSE", dense)
+    monkeypatch.setattr(block_scan, "HITS", hits)
+    rng = np.random.default_rng(5)
+    names = [f"w{i}" for i in range(30)]
+    term, of = np.nonzero(rng.random((30, 7)) < np.linspace(0.1, 1, 30)[:, None])
+    ws = rng.normal(size=len(term))
+    asked = block_scan._Asked(pa.array([names[i] for i in term]), of, ws, 7)
+    number = {x: i for i, x in enumerate(asked.known.to_pylist())}
+    doc, own = np.nonzero(rng.random((11, 30)) < 0.4)
+    held = np.array([names[i] in number for i in own])
+    doc, own = doc[held], own[held]
+    value, at = rng.random(len(doc)), np.array([number[names[i]] for i in own])
+    full, w = np.zeros((11, 30)), np.zeros((30, 7))
+    full[doc, own], w[term, of] = value, ws
+    assert np.allclose(asked.sums(11, doc, at, value), full @ w)
+    met = asked.sums(11, doc, at, np.ones(len(at)), met=True) > 0
+    assert (met == ((full > 0).astype(float) @ (w != 0) > 0)).all()
+
+
 def test_segment_queries_drop_repeats(spark):
     q = spark.createDataFrame([(1, "how many")], "qid bigint, question string")
     s = spark.createDataFrame([(1, ["a.b", "a.b", "c.d"])], "qid bigint, segments array<string>")
