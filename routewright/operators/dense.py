@@ -24,6 +24,8 @@ from routewright.session import cut_lineage, scratch_path
 BLOCK = 4096
 SLICE = 20_000
 TILE = 64
+# Vectors that meet all centres at once.
+MEET = 256
 # Documents of a cell on average, the most cells, and vectors drawn per cell to place the centres.
 CELL_DOCS, MOST_CELLS, DRAWN, ROUNDS = 256, 4096, 8, 3
 # Cells that a query reads in the first round, and how many times as many in each later one.
@@ -76,6 +78,12 @@ def _best(
     return pd.DataFrame(dict(zip(("qid", "doc_id", "score"), columns, strict=True)))
 
 
+def nearest(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The nearest centre of each unit vector, MEET vectors at a time."""
+    parts = [(rows[a : a + MEET] @ centres.T).argmax(axis=1) for a in range(0, len(rows), MEET)]
+    return np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
+
+
 def place_centres(vectors: DataFrame, n: int) -> np.ndarray:
     """Unit centres of n cells, by a few rounds of means over a bounded sample."""
     drawn = vectors.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n * DRAWN).select("vec").toPandas()
@@ -84,7 +92,7 @@ def place_centres(vectors: DataFrame, n: int) -> np.ndarray:
     rows = _unit(drawn["vec"])
     centres = rows[:n]
     for _ in range(ROUNDS):
-        own = (rows @ centres.T).argmax(axis=1)
+        own = nearest(rows, centres)
         sums = np.zeros_like(centres)
         np.add.at(sums, own, rows)
         norm = np.sqrt((sums**2).sum(axis=1, keepdims=True))
@@ -100,7 +108,7 @@ def deal_to_cells(docs: DataFrame, centres: np.ndarray) -> DataFrame:
         for part in parts:
             if len(part):
                 rows, near = _unit(part["vec"]), shipped.value
-                cell = (rows @ near.T).argmax(axis=1)
+                cell = nearest(rows, near)
                 apart = np.sqrt(((rows - near[cell]) ** 2).sum(axis=1))
                 yield part.assign(cell=cell, apart=apart)
 
@@ -156,16 +164,18 @@ class CellIndex:
             for part in parts:
                 if not len(part) or not len(held):
                     continue
-                bounds = cell_bounds(_unit(part["vec"]), centres[held], radius[held])
-                order = np.argsort(-bounds, axis=1, kind="stable")
-                rows, cells = [], []
-                for i, (seen, floor) in enumerate(zip(part["seen"], part["floor"], strict=True)):
-                    own = order[i, seen : seen + most]
-                    own = own[bounds[i, own] >= floor - SLACK]
-                    rows += [i] * len(own)
-                    cells += held[own].tolist()
-                picked = part[["qid", "vec"]].iloc[rows]
-                yield picked.assign(cell=np.array(cells, dtype=np.int32))
+                for a in range(0, len(part), MEET):
+                    few = part.iloc[a : a + MEET]
+                    bounds = cell_bounds(_unit(few["vec"]), centres[held], radius[held])
+                    order = np.argsort(-bounds, axis=1, kind="stable")
+                    rows, cells = [], []
+                    for i, (seen, floor) in enumerate(zip(few["seen"], few["floor"], strict=True)):
+                        own = order[i, seen : seen + most]
+                        own = own[bounds[i, own] >= floor - SLACK]
+                        rows += [i] * len(own)
+                        cells += held[own].tolist()
+                    picked = few[["qid", "vec"]].iloc[rows]
+                    yield picked.assign(cell=np.array(cells, dtype=np.int32))
 
         kind = state.schema["vec"].dataType.simpleString()
         return state.select("qid", "vec", "seen", "floor").mapInPandas(

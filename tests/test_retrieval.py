@@ -1,6 +1,7 @@
 import collections
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -369,6 +370,27 @@ def test_dense_search_leaves_out_far_cells(spark, monkeypatch):
         assert got == want.tolist()
 
 
+def test_vectors_meet_the_centres_a_few_at_a_time(spark, monkeypatch):
+    """The scores of a task's vectors with all centres are never held together."""
+    rng = np.random.default_rng(6)
+    unit = rng.normal(size=(2_000, 8))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    tracemalloc.start()
+    own = dense.nearest(unit, unit[:1_000])
+    assert tracemalloc.get_traced_memory()[1] < 2_000 * 1_000 * 8 / 4
+    tracemalloc.stop()
+    assert (own == (unit @ unit[:1_000].T).argmax(axis=1)).all()
+    assert len(dense.nearest(unit[:0], unit)) == 0
+    vectors = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(unit[:300])], "doc_id bigint, vec array<double>")
+    asked = vectors.where("doc_id < 40").withColumnRenamed("doc_id", "qid")
+    monkeypatch.setattr(dense, "CELL_DOCS", 16)
+    found = []
+    for meet in (3, 256):
+        monkeypatch.setattr(dense, "MEET", meet)
+        found.append(sorted(tuple(x) for x in dense.dense_search(asked, vectors, 7).collect()))
+    assert len(found[0]) == 40 * 7 and found[0] == found[1]
+
+
 def test_common_words_are_scored_without_listing_pairs(spark, monkeypatch):
     """Only the best of a query leave a task of the block scan, for several parameters at once."""
     monkeypatch.setattr(r, "PROBED", 0)
