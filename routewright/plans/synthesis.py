@@ -20,10 +20,11 @@ def max_tables(spark, d):
     return s.max_tables(t.instances(spark, d))
 
 
-def _walks(spark, d, p: float = 1.0, q: float = 1.0):
+def _walks(spark, d, p: float = 1.0, q: float = 1.0, dump=None):
     """One walk per order; the walk length follows from the largest question."""
-    walk_len = s.max_tables(t.instances(spark, d)).first()["walk_len"]
-    columns = t.keep(t.full_columns(spark, d))
+    dump = t.schema_dump(spark, d) if dump is None else dump
+    walk_len = s.max_tables(t.instances(spark, d, dump)).first()["walk_len"]
+    columns = t.keep(t.full_columns(spark, d, dump))
     starts = t.load(spark, d, "orders").select(F.col("o_orderkey").alias("walk_id"))
     return s.random_walks(starts, columns, g.clique_members(columns), walk_len, p=p, q=q)
 
@@ -65,15 +66,17 @@ def draw_table_count(spark, d):
 
 
 def draw_columns(spark, d):
-    walks = s.dedupe_walks(_line_walks(spark, d))
-    return s.sample_columns(walks, t.plain_columns(spark, d), cardinality_histogram(spark, d))
+    walks, dump = s.dedupe_walks(_line_walks(spark, d)), t.schema_dump(spark, d)
+    histogram = s.cardinalities(t.instances(spark, d, dump))
+    return s.sample_columns(walks, t.plain_columns(spark, d, dump), histogram)
 
 
 def assemble_synthetic(spark, d):
     """The whole chain: walks, truncation, columns, nested instances."""
-    histogram = t.keep(cardinality_histogram(spark, d))
-    walks = s.truncate_walks(s.dedupe_walks(_walks(spark, d)), histogram)
-    drawn = s.sample_columns(walks, t.plain_columns(spark, d), histogram)
+    dump = t.schema_dump(spark, d)
+    histogram = t.keep(s.cardinalities(t.instances(spark, d, dump)))
+    walks = s.truncate_walks(s.dedupe_walks(_walks(spark, d, dump=dump)), histogram)
+    drawn = s.sample_columns(walks, t.plain_columns(spark, d, dump), histogram)
     return s.assemble_synthetic(walks, drawn).select(
         "qid",
         "sql",

@@ -2,6 +2,7 @@
 
 from routewright.operators import catalog, context
 from routewright.operators import graph as g
+from routewright.plans import synthesis, tables
 from routewright.sources.readers import DUMP_DDL
 
 _NAMES = [["-1", "*"], ["0", "ID"], ["0", "Code"], ["1", "ID"], ["1", "Code"], ["1", "Ref"], ["1", "Code"]]
@@ -70,3 +71,19 @@ def test_a_context_is_gathered_twice_and_keeps_odd_rows(spark):
         1: [("a", []), ("b", [("t", ["x", "y"]), ("t", ["z"])]), ("b", [("t", ["x", "x"])]), ("c", [("empty", [])])],
         2: [(None, [])],
     }
+
+
+def test_synthetic_schemas_write_one_dump(spark, tmp_path, monkeypatch):
+    """The histogram, the walks and the drawn columns read the same dump."""
+    lines = [(o, i, o * 10 + i, i % 2, "NRA"[i % 3], "FO"[o % 2], 0.05) for o in (1, 2, 3) for i in (1, 2, 3, 4)]
+    names = "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint"
+    kinds = "l_returnflag string, l_linestatus string, l_tax double"
+    spark.createDataFrame(lines, f"{names}, {kinds}").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1,), (2,), (3,)], "o_orderkey bigint").write.parquet(f"{tmp_path}/orders.parquet")
+    written, dump = [], tables.schema_dump
+    monkeypatch.setattr(tables, "schema_dump", lambda *a: written.append(a) or dump(*a))
+    drawn = synthesis.draw_columns(spark, str(tmp_path)).collect()
+    assert len(written) == 1
+    assert {x["db"] for x in drawn} <= {"o1", "o2", "o3"}
+    assert len(synthesis.assemble_synthetic(spark, str(tmp_path)).collect()) == 3
+    assert len(written) == 2
