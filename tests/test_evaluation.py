@@ -233,3 +233,16 @@ def test_curves_list_a_question_once_per_document(spark):
     assert curve[1] == (0.25, 0.25) and curve[2] == (0.5, 0.375) and curve[3] == curve[50] == (0.375, 0.375)
     ap = m.average_precision(run, rel, asked, ["method"], 15).collect()
     assert sorted((r["qid"], r["ap"]) for r in ap) == [(1, 0.25), (2, 1.0), (3, 0.0), (3, 0.0)]
+
+
+def test_recall_shuffles_no_documents_below_its_cutoffs(spark, monkeypatch):
+    """Ranks below all ks are one row a question; a question with such rows only still counts."""
+    rows = [(q, f"d{i % 40}", i + 1) for q in (1, 2) for i in range(100)] + [(3, "d0", 50), (None, "d1", 1)]
+    run = spark.createDataFrame(rows, "qid bigint, doc_id string, rank int")
+    rel = spark.createDataFrame([(1, "d1"), (1, "d30"), (2, "d4"), (4, "d9")], "qid bigint, doc_id string")
+    seen, ranks = [], m.first_ranks
+    monkeypatch.setattr(m, "first_ranks", lambda run, *a: seen.append(run) or ranks(run, *a))
+    got = {x["qid"]: (x["r2"], x["r5"]) for x in m.query_recall(run, rel, [2, 5], []).collect()}
+    assert got == {1: (0.5, 0.5), 2: (0.0, 1.0), 3: (0.0, 0.0), 4: (0.0, 0.0), None: (0.0, 0.0)}
+    assert all(x["n"] <= 6 for x in seen[0].distinct().groupBy("qid").agg(F.countDistinct("doc_id").alias("n")).collect())
+    assert seen[0].where("qid = 1").select("qid", "doc_id").distinct().count() == 6
