@@ -5,9 +5,11 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from routewright import session
 from routewright.operators import block_scan, cover, dense, retrieval as r
 
 WORDS = [f"w{i}" for i in range(30)]
@@ -414,3 +416,22 @@ def test_common_words_are_scored_without_listing_pairs(spark, monkeypatch):
     assert all(x["db"] == db_of[x["doc_id"]] for x in run.collect())
     tasks = left[0].rdd.getNumPartitions()
     assert left[0].count() <= tasks * 2 * 8 * 10
+
+
+def test_wide_rows_are_written_in_small_row_groups(spark, monkeypatch):
+    rows = spark.range(0, 40, 1, 1).select("id", F.expr("transform(sequence(1, 125000), i -> xxhash64(i, id))").alias("x"))
+    kept = session.cut_lineage(rows, wide=True)
+    files = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in kept.inputFiles()]
+    groups = [m.row_group(i) for m in files for i in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 40
+    assert max(g.total_byte_size for g in groups) < 20 << 20
+    # Documents and queries of the block scan are such rows.
+    wide = []
+    for module in (r, block_scan):
+        real = module.cut_lineage
+        monkeypatch.setattr(module, "cut_lineage", lambda df, real=real, **k: wide.append((df.columns[0], k)) or real(df, **k))
+    monkeypatch.setattr(r, "PROBED", 0)
+    monkeypatch.setattr(r, "WIDE", 1 << 40)
+    _, _, df, q = frames(spark)
+    r.search(r.build_index(df), q, 5).collect()
+    assert ("ids", {"wide": True}) in wide and ("block", {"wide": True}) in wide
