@@ -435,3 +435,31 @@ def test_wide_rows_are_written_in_small_row_groups(spark, monkeypatch):
     _, _, df, q = frames(spark)
     r.search(r.build_index(df), q, 5).collect()
     assert ("ids", {"wide": True}) in wide and ("block", {"wide": True}) in wide
+
+
+def test_the_first_documents_set_a_floor():
+    rng = np.random.default_rng(4)
+    scores, ids = rng.integers(0, 40, (300, 6)) / 8, rng.permutation(300)
+    scores[:, 5], dbs = np.where(np.arange(300) < 7, 1.0, 0.0), np.full(300, "d", dtype=object)
+    best = block_scan._Best(6, 10)
+    best.add(scores, scores > 0, ids, dbs)
+    # Only ties of the tenth and better ones are held; a query with fewer documents keeps them all.
+    assert best.held == sum(int((c >= max(np.sort(c)[-10], 1 / 8)).sum()) for c in scores.T)
+    best.cut()
+    q, shown, _, got, _ = best.rows[0]
+    for i, column in enumerate(scores.T):
+        want = sorted((-s, d) for s, d in zip(column, ids, strict=True) if s > 0)[:10]
+        assert sorted(zip(-shown[q == i], got[q == i], strict=True)) == want
+
+
+def test_queries_reach_a_scan_task_once(spark, monkeypatch):
+    monkeypatch.setattr(r, "PROBED", 0)
+    monkeypatch.setattr(r, "WIDE", 1 << 40)
+    monkeypatch.setattr(block_scan, "PACK_DOCS", 5)
+    _, _, df, q = frames(spark, 2)
+    scans = []
+    real = r.best_of_blocks
+    monkeypatch.setattr(r, "best_of_blocks", lambda *a: scans.append(real(*a)) or scans[-1])
+    r.search(r.stored_index(df), q, 5).collect()
+    sent = scans[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert all(f"AS {c}#" in sent for c in ("keys", "qs", "asked", "ws")) and "(nth" in sent
