@@ -17,6 +17,8 @@ from routewright.functions.positions import number_rows
 from routewright.session import cut_lineage
 
 ROOT = "source"
+# Databases of at most so many names list all pairs of them when votes are counted.
+PAIRED = 16
 
 
 def tree_edges(columns: DataFrame) -> DataFrame:
@@ -288,15 +290,55 @@ def opening_names(known: DataFrame, floors: DataFrame, key: str = "names") -> Da
     return known.join(floors, key).withColumn("upto", upto).where("upto >= floor")
 
 
-def _best_votes(reached: DataFrame, known: DataFrame, index: DataFrame) -> DataFrame:
-    """(lid, best): the winner of the (lid, db) reached, by votes of the whole list."""
-    named = reached.join(known.select("lid", "tbl", "uses", "first"), "lid")
-    votes = named.join(index, ["tbl", "db"], "left_semi").groupBy("lid", "db").agg(
-        F.sum("uses").alias("votes"), F.min("first").alias("seen")
+def _beside(rarest: DataFrame, known: DataFrame, index: DataFrame) -> DataFrame:
+    """(lid, db, uses, first): votes of a list's other names in databases that hold its rarest one.
+
+    Databases of few names list their pairs of names, which the pairs asked for meet.
+    Of larger ones those with the rarest name are tested for each of the others.
+    """
+    others = known.join(rarest.select("lid", F.col("tbl").alias("beside")), "lid").where("tbl <> beside")
+    sized = index.where("tbl is not null and db is not null").withColumn(
+        "size", F.count(F.lit(1)).over(Window.partitionBy("db"))
     )
-    return votes.groupBy("lid").agg(
-        F.min(F.struct((-F.col("votes")).alias("v"), "seen", "db")).alias("best")
+    names = sized.where(F.col("size") <= PAIRED).groupBy("db").agg(F.sort_array(F.collect_set("tbl")).alias("t"))
+    both = F.transform(
+        "t", lambda a, i: F.transform(F.slice("t", i + 2, PAIRED), lambda b: F.struct(a.alias("a"), b.alias("b")))
     )
+    pairs = names.select("db", F.inline(F.flatten(both)))
+    asked = others.withColumns({"a": F.least("tbl", "beside"), "b": F.greatest("tbl", "beside")})
+    large = sized.where(F.col("size") > PAIRED).select("tbl", "db")
+    tested = others.join(large.withColumnRenamed("tbl", "beside"), "beside").join(large, ["tbl", "db"], "left_semi")
+    votes = ["lid", "db", "uses", "first"]
+    hits = asked.join(pairs, ["a", "b"]).select(*votes).unionByName(tested.select(*votes))
+    return hits.groupBy("lid", "db").agg(F.sum("uses").alias("uses"), F.min("first").alias("first"))
+
+
+def _best_votes(
+    reached: DataFrame, known: DataFrame, index: DataFrame, rarest: DataFrame | None = None
+) -> DataFrame:
+    """(lid, best): the winner of the (lid, db) reached, by votes of the whole list.
+
+    Those reached by the ``rarest`` name have its votes for sure, so only databases that
+    hold another name as well are counted; the first of the others stands for them.
+    """
+
+    def ranked(votes: Column, seen: Column) -> Column:
+        return F.struct((-votes).alias("v"), seen.alias("seen"), "db").alias("best")
+
+    if rarest is None:
+        named = reached.join(known.select("lid", "tbl", "uses", "first"), "lid")
+        votes = named.join(index, ["tbl", "db"], "left_semi").groupBy("lid", "db").agg(
+            F.sum("uses").alias("votes"), F.min("first").alias("seen")
+        )
+        found = votes.select("lid", ranked(F.col("votes"), F.col("seen")))
+    else:
+        sure = reached.where("db is not null").select("lid", ranked(F.col("uses"), F.col("first")))
+        own = rarest.select("lid", F.col("uses").alias("own"), F.col("first").alias("at"))
+        more = _beside(rarest, known, index).join(own, "lid").select(
+            "lid", ranked(F.col("own") + F.col("uses"), F.least("at", "first"))
+        )
+        found = sure.groupBy("lid").agg(F.min("best").alias("best")).unionByName(more)
+    return found.groupBy("lid").agg(F.min("best").alias("best"))
 
 
 def best_of_lists(lists: DataFrame, index: DataFrame) -> DataFrame:
@@ -305,13 +347,15 @@ def best_of_lists(lists: DataFrame, index: DataFrame) -> DataFrame:
     A list goes by a number, so that no step carries its names along. Where only its
     rarest name is opened, the databases of that have been counted for the floor.
     """
+    index = cut_lineage(index.select("tbl", "db"))
     numbered = cut_lineage(lists.withColumn("lid", F.monotonically_increasing_id()))
     known = cut_lineage(listed_names(numbered, index, "lid"))
     # The last in the order of opening_names.
     narrow = Window.partitionBy("lid").orderBy("n", F.desc("tbl"))
-    rarest = known.withColumn("nth", F.row_number().over(narrow)).where("nth = 1")
-    reached = rarest.join(index, "tbl").select("lid", "db")
-    counted = cut_lineage(_best_votes(reached, known, index))
+    nth = known.withColumn("nth", F.row_number().over(narrow)).where("nth = 1")
+    rarest = cut_lineage(nth.select("lid", "tbl", "uses", "first"))
+    reached = rarest.join(index, "tbl").select("lid", "db", "uses", "first")
+    counted = cut_lineage(_best_votes(reached, known, index, rarest))
     floors = counted.select("lid", (-F.col("best.v")).alias("floor"))
     n_opened = F.count(F.lit(1)).over(Window.partitionBy("lid"))
     further = cut_lineage(

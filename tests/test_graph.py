@@ -1,6 +1,7 @@
 import collections
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from routewright.operators import graph, synth
@@ -280,6 +281,30 @@ def test_votes_carry_no_lists_and_count_once(spark, monkeypatch):
     assert seen[0].count() == 20 and seen[1].count() == 0
 
 
+@pytest.mark.parametrize("paired", [0, 3, 16])
+def test_votes_beside_the_rarest_name(spark, monkeypatch, paired):
+    """Only databases with another name of the list are counted, however many names they have."""
+    monkeypatch.setattr(graph, "PAIRED", paired)
+    rng = random.Random(21)
+    rows = {(f"t{rng.randrange(14)}", f"d{d:02}") for d in range(25) for _ in range(rng.randrange(1, 8))}
+    index = spark.createDataFrame(sorted(rows) + [("t1", None)], "tbl string, db string")
+    lists = [tuple(f"t{rng.randrange(16)}" for _ in range(rng.randrange(1, 6))) for _ in range(60)]
+    named = spark.createDataFrame([(list(x),) for x in sorted(set(lists))], "names array<string>")
+    beside, real = [], graph._beside
+    monkeypatch.setattr(graph, "_beside", lambda *a: beside.append((a[0], real(*a))) or beside[-1][1])
+    got = {tuple(x.names): x.db for x in graph.best_of_lists(named, index).collect()}
+    want = {}
+    for x in set(lists):
+        votes = {d: [(-x.count(t), x.index(t)) for t in set(x) if (t, d) in rows] for _, d in rows}
+        best = min(((sum(v for v, _ in w), min(i for _, i in w), d) for d, w in votes.items() if w), default=None)
+        if best:
+            want[x] = best[2]
+    assert got == want
+    rarest, found = beside[0][0].collect(), beside[0][1].collect()
+    dbs = {x.lid: {d for t, d in rows if t == x.tbl} for x in rarest}
+    assert all(x.db in dbs[x.lid] for x in found) and len(found) < sum(map(len, dbs.values()))
+
+
 def test_walks_from_rows_are_those_by_key(spark, monkeypatch):
     """A database of few members is walked in one row, with no join per step."""
     cols, members, _ = fixture(spark, seed=5, n_db=4, n_tbl=8)
