@@ -463,3 +463,46 @@ def test_queries_reach_a_scan_task_once(spark, monkeypatch):
     r.search(r.stored_index(df), q, 5).collect()
     sent = scans[0]._jdf.queryExecution().optimizedPlan().toString()
     assert all(f"AS {c}#" in sent for c in ("keys", "qs", "asked", "ws")) and "(nth" in sent
+
+
+@pytest.mark.parametrize("most", [0, 60, 1 << 20])
+def test_hits_stay_at_the_home_of_a_query(spark, monkeypatch, most):
+    """Each query has one home, a term of its own unless that has too many hits; no roll-up moves its rows."""
+    monkeypatch.setattr(r, "HOME_HITS", most)
+    docs, queries, df, q = frames(spark)
+    wanted = brute(docs, queries)
+    run = r.search(r.stored_index(df), q, 10, homes=True)
+
+    def exchanges(df):
+        return df.select("*")._jdf.queryExecution().executedPlan().toString().count(" Exchange ")
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert exchanges(r.roll_up(run)) == exchanges(run)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    rows = run.collect()
+    home = {x["qid"]: x["home"] for x in rows}
+    assert len({(x["qid"], x["home"]) for x in rows}) == len(home)
+    words = {x: t.split() for x, t in queries}
+    assert any(home[x] in words[x] for x in home) == (most > 0)
+    assert all(home[x] in words[x] or home[x][0] == "\0" for x in home)
+    got = as_lists(run)
+    assert all(got[x] == wanted[x][:10] for x, _ in queries)
+    plain = run.drop("home")
+    assert sorted(r.roll_up(run).collect()) == sorted(r.roll_up(plain).collect())
+    pred = [sorted(r.predicted_schemas(x, q, 3).collect()) for x in (run, plain)]
+    assert pred[0] == pred[1]
+    # A query of one term moves no hit at all.
+    one = r.search(r.stored_index(df), q.where("qid < 2").select("qid", F.substring_index("text", " ", 1).alias("text")), 10, homes=True)
+    found = [x for x in one.collect() if most > 100 and x["home"][0] == "\0"]
+    assert not found
+
+
+def test_lengths_of_a_stored_index(spark):
+    parts = [(1, "a", "x y"), (1, "b", "z"), (2, "a", ""), (None, "a", "u v"), (None, None, "w"), (3, None, None)]
+    df = spark.createDataFrame(parts, "doc_id bigint, db string, text string")
+    index = r.stored_index(df)
+    assert dict(index.lengths.collect()) == dict(r.build_index(df).lengths.collect()) == {1: 3, 2: 0, None: 3, 3: 0}
+    assert " Exchange " not in index.lengths._jdf.queryExecution().executedPlan().toString()
+    assert tuple(index.stats.first()) == tuple(r.build_index(df).stats.first())
