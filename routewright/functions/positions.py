@@ -12,26 +12,29 @@ from pyspark.sql import functions as F
 _SLICE_CHARS = 2
 
 
-def number_rows(df: DataFrame, group: list[str], item: str, out: str) -> DataFrame:
+def number_rows(df: DataFrame, group: list[str], item: str, out: str, kind: str | None = None) -> DataFrame:
     """Number the distinct ``item`` values of each group from 0.
 
     Order is (md5 prefix, item): arbitrary but fixed. ``df`` must hold one row
-    per (group, item). An empty ``group`` numbers the whole table.
+    per (group, item). An empty ``group`` numbers the whole table. With ``kind``
+    items of one kind stand side by side, kinds in order: [lo, lo + n) are their numbers.
     """
+    own = [*group, kind] if kind else group
     sliced = df.withColumn(
         "_slice", F.substring(F.md5(F.col(item).cast("string")), 1, _SLICE_CHARS)
     )
-    sizes = sliced.groupBy(*group, "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(
+    sizes = sliced.groupBy(*own, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*group).orderBy(*own[len(group) :], "_slice").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    offsets = sizes.select(
-        *group, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base")
-    )
-    in_slice = Window.partitionBy(*group, "_slice").orderBy(item)
+    offsets = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    if kind:
+        alike = Window.partitionBy(*own)
+        offsets = offsets.withColumns({"lo": F.min("_base").over(alike), "n": F.sum("_n").over(alike)})
+    in_slice = Window.partitionBy(*own, "_slice").orderBy(item)
     return (
         sliced.withColumn("_rn", F.row_number().over(in_slice))
-        .join(offsets, [*group, "_slice"])
+        .join(offsets.drop("_n"), [*own, "_slice"])
         .withColumn(out, (F.col("_base") + F.col("_rn") - 1).cast("bigint"))
         .drop("_slice", "_rn", "_base")
     )

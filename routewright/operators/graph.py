@@ -182,14 +182,7 @@ def clique_places(members: DataFrame, least: int = 2) -> DataFrame:
     marked = cut_lineage(
         members.join(lows, ["db", "key", "tbl"], "left").withColumn("low", F.coalesce("low", none))
     )
-    kinds = marked.groupBy("db", "key", "low").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("db", "key").orderBy("low").rowsBetween(Window.unboundedPreceding, -1)
-    kinds = kinds.withColumn("lo", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    return (
-        number_rows(marked, ["db", "key", "low"], "tbl", "slot")
-        .join(kinds, ["db", "key", "low"])
-        .withColumn("slot", F.col("slot") + F.col("lo"))
-    )
+    return number_rows(marked, ["db", "key"], "tbl", "slot", kind="low")
 
 
 def frontier(states: DataFrame, columns: DataFrame, members: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import collections
+import hashlib
 import random
 
 import pytest
@@ -305,6 +306,28 @@ def test_votes_beside_the_rarest_name(spark, monkeypatch, paired):
     assert all(x.db in dbs[x.lid] for x in found) and len(found) < sum(map(len, dbs.values()))
 
 
+def test_kinds_are_numbered_side_by_side(spark):
+    from routewright.functions.positions import number_rows
+
+    rng = random.Random(5)
+    rows = [(g, sorted(rng.sample("abc", rng.randrange(3))), f"x{i}") for i in range(200) for g in ("u", "v")]
+    df = spark.createDataFrame(rows, "g string, kind array<string>, x string")
+    found = number_rows(df, ["g"], "x", "no", kind="kind")
+    # The rows, their slices' sizes and those by group, which serve the numbers and the kinds' places.
+    assert found._jdf.queryExecution().executedPlan().toString().count(" Exchange ") <= 4
+    got = found.collect()
+    for g in "uv":
+        mine = sorted((r for r in got if r.g == g), key=lambda r: r.no)
+        assert [r.no for r in mine] == list(range(200))
+        places = {}
+        for r in mine:
+            places.setdefault(tuple(r.kind), []).append(r.no)
+            by_hash = [(hashlib.md5(y.x.encode()).hexdigest()[:2], y.x) for y in mine if y.kind == r.kind]
+            assert by_hash == sorted(by_hash)
+        assert list(places) == sorted(places)
+        assert all((r.lo, r.n) == (places[tuple(r.kind)][0], len(places[tuple(r.kind)])) for r in mine)
+
+
 def test_walks_from_rows_are_those_by_key(spark, monkeypatch):
     """A database of few members is walked in one row, with no join per step."""
     cols, members, _ = fixture(spark, seed=5, n_db=4, n_tbl=8)
